@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import jump_shard, minhash
+from catalogspark.llm import jump_shard, minhash, sentencepiece_codec
 
 
 def op2_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -20,6 +25,7 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_jump_shard": op2_jump_shard,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_superminhash": op8_superminhash,
     }
 
