@@ -7,7 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import jump_shard, minhash, sentencepiece_codec
+from catalogspark.llm import jump_shard, minhash, sentencepiece_codec, token_store
+from catalogspark.llm.common import new_path
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_path(spark, "token-store")
+    token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), root, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.digests(spark, root)
 
 
 def op2_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,7 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_store": op1_token_store,
         "op2_jump_shard": op2_jump_shard,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_superminhash": op8_superminhash,
