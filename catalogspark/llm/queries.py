@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import jump_shard, minhash, sentencepiece_codec, token_store
+from catalogspark.llm import html_extract, jump_shard, minhash, sentencepiece_codec, token_store
 from catalogspark.llm.common import new_path
 
 
@@ -29,12 +29,17 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_jump_shard": op2_jump_shard,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_superminhash": op8_superminhash,
+        "op10_html_extract": op10_html_extract,
     }
 
 

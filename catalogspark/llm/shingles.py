@@ -42,13 +42,13 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each document the number of its first word (one more at the end)."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    gap = _SPACE[data]
+    gap = gaps[data]
     inside = ~gap
     first, last = inside.copy(), inside.copy()
     first[1:] &= gap[:-1]
