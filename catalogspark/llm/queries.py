@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import html_extract, jump_shard, minhash, sentencepiece_codec, token_store
+from catalogspark.llm import html_extract, jump_shard, minhash, sentencepiece_codec, token_store, toxicity
 from catalogspark.llm.common import new_path
 
 
@@ -21,6 +21,12 @@ def op2_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_jump_shard": op2_jump_shard,
+        "op5_toxicity": op5_toxicity,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_superminhash": op8_superminhash,
         "op10_html_extract": op10_html_extract,
