@@ -23,8 +23,10 @@ not read.  Texts are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from catalogspark.llm.shingles import U, _powers, mix, word_hashes
 
 WINDOW, MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 16, 64, 256, 2048
 #: Distinct words whose ids one Python worker keeps, and distinct chunk hashes it remembers having sent.
-WORDS_KEPT, CHUNKS_KEPT = 600_000, 200_000
+WORDS_KEPT, CHUNKS_KEPT = 400_000, 100_000
 BLOCK = 256
 
 _BREAK = np.zeros(256, bool)
@@ -53,40 +55,49 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tool = Tokenizer.from_file(path)
-        self.ids: dict[bytes, np.ndarray] = {}
+        self.ids: dict[bytes, bytes] = {}
         self.width = 2 if self.tool.get_vocab_size(with_added_tokens=True) <= 65536 else 4
 
     def _fill(self, words: list[bytes]) -> None:
         if len(self.ids) + len(words) > WORDS_KEPT:
             self.ids.clear()
-        made = self.tool.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        kind = np.uint16 if self.width == 2 else np.uint32
-        for w, e in zip(words, made, strict=True):
-            self.ids[w] = np.array(e.ids, kind)
+        text = [w.decode() for w in words]
+        # a word of ASCII letters passes normaliser and pre-tokenizer as one lower-cased piece, so the model alone tells its ids
+        bpe = self.tool.model.tokenize
+        ids = [[t.id for t in bpe(t.lower())] if t.isascii() and t.isalpha() else None for t in text]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(rest, self.tool.encode_batch_fast([text[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        raw = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
+        ends = (self.width * np.cumsum([len(x) for x in ids])).tolist()
+        at = 0
+        for w, end in zip(words, ends, strict=True):
+            self.ids[w] = raw[at:end]
+            at = end
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice with the end id after each document, and where each document's ids begin."""
-        kind = np.uint16 if self.width == 2 else np.uint32
         docs = len(offsets) - 1
         starts, ends, first = _units(data, offsets)
         h = word_hashes(data, starts, ends)
         _, at, which = np.unique(h, return_index=True, return_inverse=True)
         raw = data.tobytes()
         names = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        missing = [w for w in names if w not in self.ids]
+        parts = [*map(self.ids.get, names)]
+        missing = [i for i, p in enumerate(parts) if p is None]
         if missing:
-            kept = {w: self.ids[w] for w in names if w in self.ids} if len(self.ids) + len(missing) > WORDS_KEPT else {}
-            self._fill(missing)
-            self.ids.update(kept)
-        parts = [self.ids[w] for w in names]
-        parts.append(np.array([end_id], kind))
-        size = np.array([len(p) for p in parts], np.int64)
+            self._fill([names[i] for i in missing])
+            for i in missing:
+                parts[i] = self.ids[names[i]]
+        parts.append(end_id.to_bytes(self.width, "little"))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
         begin = np.concatenate([[0], np.cumsum(size)])
         order = np.insert(which, first[1:], len(parts) - 1) if len(which) else np.full(docs, len(parts) - 1)
         length = size[order]
         out_at = np.concatenate([[0], np.cumsum(length)])
-        flat = np.concatenate(parts)
+        flat = np.frombuffer(b"".join(parts), f"<u{self.width}")
         take = np.arange(out_at[-1]) + np.repeat(begin[order] - out_at[:-1], length)
         return flat[take], out_at[first + np.arange(docs + 1)]
 
