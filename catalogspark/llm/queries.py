@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import html_extract, jump_shard, minhash, sentencepiece_codec, token_store, toxicity
+from catalogspark.llm import html_extract, jump_shard, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity
 from catalogspark.llm.common import new_path
 
 
@@ -21,12 +21,20 @@ def op2_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
 
 
+def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_text.edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model)
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.audit_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -43,7 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_jump_shard": op2_jump_shard,
+        "op4_merkle_fingerprint": op4_merkle_fingerprint,
         "op5_toxicity": op5_toxicity,
+        "op6_warc_fixity": op6_warc_fixity,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_superminhash": op8_superminhash,
         "op10_html_extract": op10_html_extract,
@@ -51,4 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_merkle_fingerprint": merkle_text.sql(),
+        "op6_warc_fixity": warc_fixity.SQL,
+    }
