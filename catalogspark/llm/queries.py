@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import html_extract, jump_shard, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity
+from catalogspark.llm import decontaminate, html_extract, jump_shard, line_dedup, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity
 from catalogspark.llm.common import new_path
 
 
@@ -21,6 +21,10 @@ def op2_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_text.edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -43,6 +47,10 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -51,11 +59,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_jump_shard": op2_jump_shard,
+        "op3_line_dedup": op3_line_dedup,
         "op4_merkle_fingerprint": op4_merkle_fingerprint,
         "op5_toxicity": op5_toxicity,
         "op6_warc_fixity": op6_warc_fixity,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_superminhash": op8_superminhash,
+        "op9_decontaminate": op9_decontaminate,
         "op10_html_extract": op10_html_extract,
     }
 

@@ -1,0 +1,79 @@
+import random
+
+from catalogspark.llm import line_dedup as ld
+
+
+def brute(rows, seed_words=ld.SEED_WORDS, rare=ld.RARE, least=ld.BLOCK_WORDS):
+    """Positions deleted from each (distinct ids, no nulls), by plain loops over the definition."""
+    text = {k: [x.strip(" \t\r\f\v") for x in t.split("\n")] for k, t in rows if t is not None}
+    holders = {}
+    for k in sorted(text):
+        for x in set(text[k]):
+            if len(x.split()) >= seed_words:
+                holders.setdefault(x, []).append(k)
+    pairs = set()
+    for held in holders.values():
+        for n in range(1, len(held)):
+            pairs.add((held[0], held[n]))
+            if len(held) <= rare:
+                pairs.add((held[n - 1], held[n]))
+    gone = {}
+    for a, b in pairs:
+        words = [len(x.split()) for x in text[b]]
+        gone.setdefault(b, set()).update(ld.blocks(ld.patience(text[a], text[b]), words, least))
+    return gone
+
+
+def check(spark, rows):
+    docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, k int, h string").repartition(3)
+    gone = brute(rows)
+    out = ld.remove_common_blocks(docs)
+    assert out.columns == [*docs.columns, "_cut", "_left"]
+    got = out.collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        cut = sorted(gone.get(r.doc_id, ()))
+        assert (r["_cut"] or []) == cut, r.doc_id
+        assert r["_left"] == (None if text[r.doc_id] is None else "\n".join(x for i, x in enumerate(text[r.doc_id].split("\n")) if i not in cut))
+
+
+def test_given_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    check(spark, rows)
+
+
+def test_passages_and_odd_texts(spark):
+    rnd = random.Random(2)
+    line = lambda n: " ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randrange(50)) for _ in range(n))
+    passage = [line(30), "", line(2), line(30)]
+    common = line(8)
+    rows = []
+    for i in range(200):
+        own = [line(rnd.randrange(3, 15)) for _ in range(6)] + [common]
+        if i % 3 == 0:
+            own[2:2] = passage
+        rows.append((i, "\n".join(own)))
+    rows += [(300, None), (301, ""), (302, "\n\n"), (303, "\n".join([common] * 3000)), (304, "\n".join(line(9) for _ in range(4000))), (305, rows[1][1]), (306, rows[1][1])]
+    gone = brute(rows)
+    assert all(len(gone.get(i, ())) >= 4 for i in range(3, 200, 3)) and not any(gone.get(i) for i in range(1, 200, 3))
+    check(spark, rows)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([(5, t), (5, t), (7, t), (None, t + " more"), (9, "q")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r["_left"]) for r in ld.remove_common_blocks(docs).collect())
+    assert got == [(0, t + " more"), (5, t), (5, t), (7, ""), (9, "q")]
+    assert ld.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_patience():
+    assert ld.patience(list("abcxyz"), list("abQxyz")) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
+    assert ld.patience(list("aab"), list("baa")) in ([(0, 1), (1, 2)], [(2, 0)])
+    assert ld.patience([], list("a")) == []
+    rnd = random.Random(1)
+    for _ in range(200):
+        a, b = ([rnd.randrange(12) for _ in range(rnd.randrange(25))] for _ in range(2))
+        m = ld.patience(a, b)
+        assert all(a[i] == b[j] for i, j in m) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:]))
