@@ -214,7 +214,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(model_path), "doc_id long, text string")
 
 
-def _digest(model_path: str):
+def _digest(model_path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path)
         name = tool.text
@@ -229,15 +229,16 @@ def _digest(model_path: str):
                     covered.append(int((ends - begins).sum()))
                     sha.append(hashlib.sha256(",".join([name[i] for i in x]).encode()).hexdigest())
                     plain.append(hashlib.sha256(y.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(count, pa.int64()), pa.array(covered, pa.int64()), pa.array(sha), pa.array(plain)], ["doc_id", "n_tokens", "covered_bytes", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(count, pa.int64()), pa.array(covered, pa.int64()), pa.array(sha), pa.array(plain), *[pa.array(ids, pa.list_(pa.int32()))] * with_ids], ["doc_id", "n_tokens", "covered_bytes", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return run
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode with spans, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes.
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode with spans, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes, and ids if asked for.
 
     covered_bytes is the sum of the pieces' source spans: pieces made from one character share its span.
     """
-    out = id_text(docs, id_col, text_col).mapInArrow(_digest(model_path), "doc_id long, n_tokens long, covered_bytes long, ids_sha256 string, decoded_sha256 string")
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
+    schema = "doc_id long, n_tokens long, covered_bytes long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = id_text(docs, id_col, text_col).mapInArrow(_digest(model_path, with_ids), schema)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", *["ids"] * with_ids)
