@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogspark.llm.common import materialize
-
 SECTION = 8
 LEAF = r"(?s).*?(?:[.,;:!?|]|[dt] )|.+"
 
@@ -43,15 +41,18 @@ def fingerprint(df: DataFrame, text_col: str, to: str = "fingerprint") -> DataFr
 
 def _part(fp: Column, n: int, width: int) -> Column:
     """The n-th list of a fingerprint (1: sections, 2: paragraphs, 3: leaves)."""
-    codes = F.split(fp, ":")[n]
-    return F.when(codes == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(codes), F.lit(1)), F.lit(width)), lambda i: F.substring(codes, i, F.lit(width))))
+    return F.regexp_extract_all(F.split(fp, ":")[n], F.lit(f".{{{width}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: equal roots give 1; else the share of distinct leaves in common."""
-    x, y = _part(a, 3, 6), _part(b, 3, 6)
-    either = F.size(F.array_union(x, y))
-    return F.when(a == b, F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / either)
+
+    def share(x: Column, y: Column) -> Column:
+        return F.when(F.size(x) + F.size(y) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    # a one-row transform binds the two leaf lists, so that each is cut out of its string once
+    both = F.array(F.struct(_part(a, 3, 6).alias("x"), _part(b, 3, 6).alias("y")))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.get(F.transform(both, lambda p: share(p["x"], p["y"])), 0))
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -67,36 +68,41 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(F.size(section) == 0, None).otherwise(F.get(inside, 0))
 
 
-def next_of(docs: DataFrame, key: str, size: str) -> DataFrame:
-    """(key, next key, size) by falling key, the last followed by the first.  Only keys and sizes are moved.
+def with_next(rows: DataFrame, parts: int) -> DataFrame:
+    """rows: key, text, ...  Adds ``fingerprint`` and ``nxt`` (text and fingerprint) of the next lower key, after the last the first.
 
-    Keys are dealt to ranges; inside a range a window finds the next, and between ranges the ranges' heads, one row
-    for each shuffle partition, do.
+    Rows are dealt to ranges of keys between ``parts`` quantiles (the only values that reach the driver); each range
+    also gets a copy of the head of the range below it, so that one shuffle and a window inside ranges are enough.  Of
+    rows that share a key the one with the least text is the next of others.
     """
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = docs.groupBy(key).agg(F.max(size).alias(size))
-    ranged = materialize(keys.repartitionByRange(parts, F.desc(key)).withColumn("part", F.spark_partition_id()), "merkle-keys")
-    heads = ranged.groupBy("part").agg(F.max(key).alias("head"))
-    top = Window.orderBy("part")
-    all_ = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("part", F.coalesce(F.lead("head").over(top), F.first("head").over(all_)).alias("after"))
-    inside = Window.partitionBy("part").orderBy(F.desc(key))
-    return ranged.withColumn("nxt", F.lead(key).over(inside)).join(F.broadcast(heads), "part").select(key, F.coalesce("nxt", "after").alias("nxt"), size)
+    marks = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q"), F.max("key").alias("top")).first()
+    if marks["top"] is None:
+        heads = [0]
+    else:
+        heads = sorted({*marks["q"], marks["top"]})
+    bounds = F.split(F.lit(",".join(map(str, heads))), ",").cast("array<bigint>")
+    halve = lambda s, _: F.when(F.get(bounds, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) >= F.col("key"), F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))).otherwise(
+        F.struct(F.least(s["hi"], F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))
+    )
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(len(heads).bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(heads) - 1).alias("hi")), halve, lambda s: s["lo"])
+    placed = rows.withColumn("_at", at)
+    above = F.pmod(F.col("_at") + 1, F.lit(len(heads)))
+    own = F.struct(F.col("_at").alias("r"), F.lit(0).alias("copy"))
+    dealt = placed.withColumn("_r", F.explode(F.when(F.get(bounds, F.col("_at")) == F.col("key"), F.array(own, F.struct(above.alias("r"), F.lit(1).alias("copy")))).otherwise(F.array(own))))
+    dealt = dealt.select(*rows.columns, F.col("_r.r").alias("_r"), F.col("_r.copy").alias("_copy"))
+    order = Window.partitionBy("_r").orderBy("_copy", F.desc("key"), "text")
+    first = (F.lag("key").over(order) != F.col("key")) | F.lag("key").over(order).isNull() | (F.lag("_copy").over(order) != F.col("_copy"))
+    made = fingerprint(dealt.withColumn("_first", first), "text").withColumn("_given", F.when(F.col("_first"), F.struct("text", "fingerprint")))
+    return made.withColumn("nxt", F.expr("lead(_given) IGNORE NULLS OVER (PARTITION BY _r ORDER BY _copy, key DESC, text)")).where("_copy = 0").drop("_r", "_copy", "_first", "_given")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document, its text with the last half replaced from the next document, and how alike they are."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
-    links = next_of(base.select("key", "n_chars"), "key", "n_chars")
-
-    own = fingerprint(base, "text").select("doc_id", "key", "n_chars", "fingerprint", F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")).alias("head"))
-    wanted = links.select(F.col("nxt").alias("key"), F.col("key").alias("owner"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
-    given = fingerprint(base, "text", "next_fingerprint").select("key", "text", "next_fingerprint").join(wanted, "key")
-    # the owner's size is the largest of its rows, so each row cuts the prefix to its own half again
-    one = given.groupBy("owner").agg(F.min(F.struct(F.substring(F.col("text"), F.lit(1), F.col("need")).alias("tail"), "next_fingerprint")).alias("n"))
-    joined = own.join(one.select(F.col("owner").alias("key"), "n.tail", "n.next_fingerprint"), "key")
-    edited = F.concat("head", F.substring(F.col("tail"), F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = with_next(base, parts).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("_half")).cast("int")), F.substring(F.col("nxt.text"), F.lit(1), F.col("_half")))
     made = fingerprint(joined.withColumn("edited", edited), "edited", "edited_fingerprint")
     return made.select(
         "doc_id",
@@ -105,7 +111,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("nxt.fingerprint")).alias("near_next"),
         first_difference(F.col("fingerprint"), F.col("edited_fingerprint")).cast("long").alias("edited_paragraph"),
     )
 
