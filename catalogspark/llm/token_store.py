@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -38,7 +39,7 @@ from catalogspark.llm.shingles import U, _powers, mix, word_hashes
 
 WINDOW, MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 16, 64, 256, 2048
 #: Distinct words whose ids one Python worker keeps, and distinct chunk hashes it remembers having sent.
-WORDS_KEPT, CHUNKS_KEPT = 400_000, 100_000
+WORDS_KEPT, CHUNKS_KEPT = 1_200_000, 100_000
 BLOCK = 256
 
 _BREAK = np.zeros(256, bool)
@@ -49,6 +50,21 @@ _STOP = np.zeros(256, bool)
 _STOP[[33, 44, 46, 58, 59, 63]] = True  # ! , . : ; ?
 
 
+# Byte-level vocabularies write a byte as itself where it is printable in Latin-1, the others from 256 on in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_TEXT = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+def plain_piece(word: str) -> str | None:
+    """What the model sees of a word that is one run of letters: normaliser and pre-tokenizer leave one piece of it."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
+    low = "".join([c.lower() for c in word])
+    if word.isalpha() and low.isalpha() and unicodedata.is_normalized("NFC", word):
+        return low.encode().decode("latin-1").translate(_AS_TEXT)
+    return None
+
+
 class WordEncoder:
     """Ids of whole texts through a cache of words."""
 
@@ -58,15 +74,25 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tool = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.width = 2 if self.tool.get_vocab_size(with_added_tokens=True) <= 65536 else 4
 
+    def _known(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of the words seen lately.  Of two generations the older goes when the newer is full; words in use move on."""
+        out = [*map(self.ids.get, words)]
+        old = self.older
+        if old:
+            for i, x in enumerate(out):
+                if x is None and (x := old.get(words[i])) is not None:
+                    out[i] = self.ids[words[i]] = x
+        return out
+
     def _fill(self, words: list[bytes]) -> None:
-        if len(self.ids) + len(words) > WORDS_KEPT:
-            self.ids.clear()
+        if len(self.ids) + len(words) > WORDS_KEPT // 2:
+            self.older, self.ids = self.ids, {}
         text = [w.decode() for w in words]
-        # a word of ASCII letters passes normaliser and pre-tokenizer as one lower-cased piece, so the model alone tells its ids
         bpe = self.tool.model.tokenize
-        ids = [[t.id for t in bpe(t.lower())] if t.isascii() and t.isalpha() else None for t in text]
+        ids = [[x.id for x in bpe(piece)] if (piece := plain_piece(t)) else None for t in text]
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, e in zip(rest, self.tool.encode_batch_fast([text[i] for i in rest], add_special_tokens=False), strict=True):
             ids[i] = e.ids
@@ -85,7 +111,7 @@ class WordEncoder:
         _, at, which = np.unique(h, return_index=True, return_inverse=True)
         raw = data.tobytes()
         names = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        parts = [*map(self.ids.get, names)]
+        parts = self._known(names)
         missing = [i for i, p in enumerate(parts) if p is None]
         if missing:
             self._fill([names[i] for i in missing])
