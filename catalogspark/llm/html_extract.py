@@ -138,7 +138,10 @@ def count_tags(page: str) -> tuple[Counter, Counter, int, int] | None:
 
 def fit_weights(pages: DataFrame, html_col: str = "html", sample: int = 400) -> dict[str, float]:
     """Tag weights from at most ``sample`` labelled pages, those with the lowest hash of their html."""
-    rows = pages.select(pages[html_col].cast("string").alias("html")).where(F.lower("html").rlike(r"<(article|main)[\s>]")).orderBy(F.xxhash64("html")).limit(sample).collect()
+    labelled = pages.select(pages[html_col].cast("string").alias("html")).where(F.lower("html").rlike(r"<(article|main)[\s>]")).withColumn("h", F.xxhash64("html"))
+    # hashes first: only the chosen pages themselves come to the driver, whatever the number of partitions
+    chosen = [r["h"] for r in labelled.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = labelled.where(F.col("h") <= chosen[-1]).dropDuplicates(["h"]).collect() if chosen else []
     inside, outside, words, runs = Counter(), Counter(), 0, 0
     for r in rows:
         if counted := count_tags(r["html"]):
