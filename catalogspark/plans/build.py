@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,18 +45,25 @@ def _with_policy(versions: DataFrame, strategy: str) -> DataFrame:
     return hashed.withColumn("relpath", nz.record_relpath(F.col("package_id"), F.col("package_version"), F.col("content_sha"))).drop("_kept")
 
 
-def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore) -> dict[str, DataFrame]:
-    """All tables of a run, lazily; nothing is written."""
+def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore) -> dict:
+    """All tables of a run.  Steps that several others read are tables in the state's work folder; the state is not touched."""
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        path = f"{work}/{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    work = f"{store.root}/work/{uuid.uuid4().hex}"
     prev_files, prev = store.read("files", FILES), store.read("versions", VERSIONS)
     prev_children = store.read("children", CHILDREN)
     listed = fl.scan_files(spark, cfg.corpus)
     chosen = None
     if cfg.targets:
         named = prev.select("version_dir", "package_id", "package_version").unionByName(listed.select("version_dir").distinct().join(prev.select("version_dir"), "version_dir", "left_anti").select("version_dir", F.lit(None).cast("string").alias("package_id"), nz.last_segment(F.col("version_dir")).alias("package_version")))
-        chosen = lookup.select_targets(named, **cfg.targets).persist()
+        chosen = table(lookup.select_targets(named, **cfg.targets), "targets")
         if cfg.remove:
             listed = lookup.exclude_targets(listed, chosen)
-    now = diff.fill_hashes(listed, prev_files, fl.read_contents(spark, cfg.corpus), cfg.trust_mtime).drop("reused").persist()
+    now = table(diff.fill_hashes(listed, prev_files, fl.read_contents(spark, cfg.corpus), cfg.trust_mtime).drop("reused"), "files")
 
     dirty = diff.dirty_groups(now, prev_files)
     if not cfg.force:
@@ -63,29 +71,30 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore) -> d
     groups = diff.groups_to_refresh(dirty, now, cfg.force)
     if chosen is not None:
         groups = groups.join(chosen, "version_dir", "left_semi")
-    groups = groups.persist()
+    groups = table(groups, "groups")
     paths = now.join(diff.still_present(groups, now), "version_dir", "left_semi").select("path")
-    fragments = fr.parse_fragments(fl.read_contents(spark, cfg.corpus).join(paths, "path", "left_semi")).persist()
-    broken = records.check_groups(fragments)
+    fragments = table(fr.parse_fragments(fl.read_contents(spark, cfg.corpus).join(paths, "path", "left_semi")), "fragments")
+    broken = table(records.check_groups(fragments), "violations")
     good = fragments.join(broken.select("version_dir").distinct(), "version_dir", "left_anti")
-    made = records.assemble_records(good)
-    fresh = made.join(records.project_index(made), "version_dir").persist()
-    children = records.child_records(made)
+    made = table(records.assemble_records(good), "records")
+    fresh = table(made.join(records.project_index(made), "version_dir"), "projected")
+    children = table(records.child_records(made), "children")
 
     touched = diff.touched_packages(groups, fresh, prev)
     unhashed = fresh.withColumns({"content_sha": F.lit(None).cast("string"), "relpath": F.lit(None).cast("string")}).select(*prev.columns)
     siblings = diff.expand_siblings(touched, prev, groups).select(*prev.columns)
-    computed = _with_policy(unhashed.unionByName(siblings), cfg.strategy).select(*prev.columns).persist()
-    compared = groups.unionByName(siblings.select("version_dir")).distinct()
-    changes = diff.diff_records(computed, prev.join(compared, "version_dir", "left_semi"), "version_dir", ["content_sha"]).persist()
+    computed = _with_policy(unhashed.unionByName(siblings), cfg.strategy).select(*prev.columns)
+    computed = table(computed, "computed")
+    compared = table(groups.unionByName(siblings.select("version_dir")).distinct(), "compared")
+    changes = table(diff.diff_records(computed, prev.join(compared, "version_dir", "left_semi"), "version_dir", ["content_sha"]), "changes")
 
-    versions = diff.apply_changes(prev, computed, compared)
-    kids = diff.apply_changes(prev_children, children.select(*prev_children.columns), groups)
+    versions = table(diff.apply_changes(prev, computed, compared), "versions")
+    kids = table(diff.apply_changes(prev_children, children.select(*prev_children.columns), groups), "kids")
     files = now if chosen is None else diff.apply_changes(prev_files, now.join(groups, "version_dir", "left_semi").select(*prev_files.columns), groups)
     queue = diff.validation_queue(changes, kids, prev_children)
     hashes = rollup.package_hash(versions).join(rollup.version_counts(versions), "package_id")
     packages = hashes.withColumn("relpath", nz.sidecar_relpath(F.col("package_id"), F.col("package_sha")))
-    return {"files": files, "versions": versions, "children": kids, "packages": packages, "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments)}
+    return {"work": work, "files": files, "versions": versions, "children": kids, "packages": packages, "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments)}
 
 
 def index_tables(versions: DataFrame) -> dict[str, DataFrame]:
@@ -98,9 +107,16 @@ def index_tables(versions: DataFrame) -> dict[str, DataFrame]:
 
 
 def pending_diff(spark: SparkSession, cfg: BuildConfig) -> dict:
-    """What a build would do: added, updated, removed, revalidations.  Nothing is written."""
+    """What a build would do: added, updated, removed, revalidations.  The state is not touched."""
     plan = plan_build(spark, cfg, st.StateStore(spark, cfg.state))
-    return diff.diff_summary(plan["changes"], plan["queue"]).first().asDict()
+    out = diff.diff_summary(plan["changes"], plan["queue"]).first().asDict()
+    _forget(spark, plan)
+    return out
+
+
+def _forget(spark: SparkSession, plan: dict) -> None:
+    fs, path = fl.filesystem(spark, plan["work"])
+    fs.delete(path, True)
 
 
 def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
@@ -116,12 +132,14 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
         summary = diff.diff_summary(plan["changes"], plan["queue"]).first().asDict()
         if not cfg.force and store.current()["tables"] and not any(summary.values()):
             store.commit({"files": plan["files"]}, "staged_reused")
+            _forget(spark, plan)
             return summary | {"build": build, "status": "staged_reused"}
         st.write_changes(plan["changes"], f"{store.root}/changes", build)
         st.write_queue(plan["queue"], f"{store.root}/snapshots/{build:08d}/queue", "version_dir", "child_sha")
         tables = {k: plan[k] for k in ("files", "versions", "children", "packages")}
         tables |= {f"index_{k}": df for k, df in index_tables(plan["versions"]).items()}
         store.commit(tables, "staged", staged=build)
+        _forget(spark, plan)
         return summary | {"build": build, "status": "staged"}
     except Exception as e:
         if store.current()["builds"][-1]["status"] == "running":
