@@ -51,7 +51,13 @@ def version_key(version: Column) -> Column:
 
     end = F.struct(F.lit(0).alias("sign"), F.lit(0).alias("run"), F.lit(0).alias("ilen"), F.lit("").alias("digits"), F.lit(0).alias("olen"), F.lit("").alias("over"), F.lit(0).alias("release"), F.lit("").alias("suffix"))
     solid = F.aggregate(parts, start, add, lambda acc: acc["out"])
-    only = F.get(solid, 0)
-    lone = (F.size(solid) == 1) & (only["digits"] == "") & (only["run"] == 0)
-    rank = F.when(lone & (only["suffix"] == "latest"), 1).when(lone & (only["suffix"] == "unknown"), -1).otherwise(0)
-    return F.struct(rank.alias("rank"), F.when(rank != 0, F.array(end)).otherwise(F.concat(solid, F.array(end))).alias("parts"), approx.alias("approx"))
+
+    def key(found: Column) -> Column:
+        only = F.get(found, 0)
+        lone = (F.size(found) == 1) & (only["digits"] == "") & (only["run"] == 0)
+        rank = F.when(lone & (only["suffix"] == "latest"), 1).when(lone & (only["suffix"] == "unknown"), -1).otherwise(0)
+        return F.struct(rank.alias("rank"), F.when(rank != 0, F.array(end)).otherwise(F.concat(found, F.array(end))).alias("parts"))
+
+    # a one-element transform binds the parts, so that they are worked out once
+    bound = F.get(F.transform(F.array(solid), key), 0)
+    return F.struct(bound["rank"].alias("rank"), bound["parts"].alias("parts"), approx.alias("approx"))
