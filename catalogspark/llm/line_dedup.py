@@ -1,12 +1,14 @@
 """Line dedup by pairwise alignment.
 
-1. Every line with at least ``seed_words`` words is hashed.  A hash held by several documents is a seed.  A rare seed
-   (held by at most ``rare`` documents) pairs each holder with the first holder and with the one before it.  A frequent
-   seed pairs each holder with the first holder; so pairs grow with the lines, never with the square of a group, and
-   no line is left out for being frequent.
-2. Each pair is aligned by patience diff on the hashes of all its lines: lines unique in both, their longest common
+1. From every line of a document the shortest run of adjacent lines with at least ``block_words`` words is hashed,
+   once forwards and once backwards.  These runs cover every common block of two documents: the forward run from a
+   block's first line lies in it, and so on up to the backward run from its last line.
+2. A run held by several documents pairs each holder with the run's first holder.  So pairs grow with the lines, never
+   with the square of a group; no run is left out for being frequent, and whatever a document shares with any earlier
+   one it shares with a partner.
+3. Each pair is aligned by patience diff on the hashes of all its lines: lines unique in both, their longest common
    increasing order, and the same again between them.
-3. Runs of aligned lines, adjacent in both documents, with at least ``block_words`` words are deleted from the later
+4. Runs of aligned lines, adjacent in both documents, with at least ``block_words`` words are deleted from the later
    document.
 
 Documents are in order of id, then of the hash of the text.  Only hashes are joined and aligned; texts move once, when
@@ -25,13 +27,18 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.llm.common import materialize
+from catalogspark.llm.shingles import U, mix
 
-SEED_WORDS, RARE, BLOCK_WORDS = 3, 64, 25
+BLOCK_WORDS = 25
+SEED_WORDS, RARE = 3, 64  # of the former pairing by lines; only its plain version in the tests reads them
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE_INV = pow(_BASE, -1, 2**64)
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -86,6 +93,43 @@ def blocks(aligned: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
+def runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of the shortest runs of lines with ``least`` words, from each line forwards and backwards.
+
+    ``first`` has the first line of each document, and one more entry at the end; a run stays inside its document.
+    """
+    n = len(h)
+    total = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    line, size = np.arange(n), np.diff(first)
+    begin, end = np.repeat(first[:-1], size), np.repeat(first[1:], size)
+    last = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, side="right") - 1
+    ahead, behind = last <= end, (start >= begin) & (total[1:] >= least)
+    b, e = np.concatenate([line[ahead], start[behind]]), np.concatenate([last[ahead], line[behind] + 1])
+    power, inverse = (np.concatenate([np.ones(1, U), np.cumprod(np.full(n, U(x), U), dtype=U)]) for x in (_BASE, _BASE_INV))
+    value = np.concatenate([np.zeros(1, U), np.cumsum(mix(h.astype(np.int64).view(U)) * power[:n], dtype=U)])
+    return b, e, mix((value[e] - value[b]) * inverse[b] + (e - b).astype(U))
+
+
+def _seeds(least: int):
+    """(key, line hashes, words) to (key, hash) of each document's distinct runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w = batch.column(1), batch.column(2)
+            size = h.value_lengths().to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(size)])
+            b, _, seed = runs(h.flatten().to_numpy(), w.flatten().to_numpy(), first, least)
+            doc = np.repeat(np.arange(len(size)), size)[b]
+            order = np.lexsort((seed, doc))
+            doc, seed = doc[order], seed[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[new])), pa.array(seed[new].view(np.int64))], ["k", "h"])
+
+    return run
+
+
 def _align(least: int):
     """(a's hashes, key of b, b's hashes, b's words) to (key of b, positions to delete)."""
 
@@ -105,7 +149,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_words: int = SEED_WORDS, rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns of ``docs``; then ``_cut`` (positions of lines taken out, null if none) and ``_left`` (the text without them)."""
     names = [f"_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
@@ -117,14 +161,9 @@ def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rows.where(text.isNotNull()).select(k.alias("k"), bare.alias("x")).select("k", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", count).alias("w")).distinct(), "line-hashes"
     )
 
-    line = held.select("k", F.explode(F.arrays_zip("h", "w")).alias("l")).where(F.col("l.w") >= seed_words).select(F.col("l.h").alias("h"), "k").distinct()
-    seed = line.groupBy("h").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = line.join(seed, "h")
-    frequent = shared.where(F.col("df") > rare).where("first <> k").select(F.col("first").alias("a"), F.col("k").alias("b"))
-    holders = shared.where(F.col("df") <= rare).groupBy("h").agg(F.array_sort(F.collect_set("k")).alias("s"))
-    partners = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.array(F.struct(F.get("s", 0).alias("a"), F.get("s", i).alias("b")), F.struct(F.get("s", i - 1).alias("a"), F.get("s", i).alias("b"))))
-    scarce = holders.where(F.size("s") > 1).select(F.explode(F.array_distinct(F.flatten(partners))).alias("p")).select("p.a", "p.b")
-    pairs = frequent.unionByName(scarce).distinct()
+    run = held.mapInArrow(_seeds(block_words), "k struct<d: bigint, t: bigint>, h bigint")
+    seed = run.groupBy("h").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select("h", "first")
+    pairs = run.join(seed, "h").where("first <> k").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
 
     later = pairs.join(held.select(F.col("k").alias("b"), F.col("h").alias("bh"), "w"), "b")
     both = later.join(held.select(F.col("k").alias("a"), F.col("h").alias("ah")), "a").select("ah", "b", "bh", "w")

@@ -77,3 +77,31 @@ def test_patience():
         a, b = ([rnd.randrange(12) for _ in range(rnd.randrange(25))] for _ in range(2))
         m = ld.patience(a, b)
         assert all(a[i] == b[j] for i, j in m) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:]))
+
+
+def all_pairs(rows, least=ld.BLOCK_WORDS):
+    """Positions deleted from each, over all pairs of documents and all common blocks, by plain loops."""
+    text = {k: [x.strip(" \t\r\f\v") for x in t.split("\n")] for k, t in rows}
+    gone = {k: set() for k in text}
+    for a, b in ((a, b) for a in text for b in text if a < b):
+        x, y = text[a], text[b]
+        for shift in range(-len(y), len(x)):
+            same = [(j + shift, j) for j in range(len(y)) if 0 <= j + shift < len(x) and x[j + shift] == y[j]]
+            gone[b].update(ld.blocks(same, [len(z.split()) for z in y], least))
+    return gone
+
+
+def against_all_pairs(spark, rows):
+    want = all_pairs(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: set(r["_cut"] or ()) for r in ld.remove_common_blocks(docs).collect()} == want
+    return want
+
+
+def test_passage_of_lines_that_stand_alone_in_earlier_documents(spark):
+    passage = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(5)]
+    for copies in (3, 70):
+        rows = [(i, f"own {i} text\n{x}\nmore of {i}") for i, x in enumerate(passage)]
+        rows += [(10 + i, "\n".join([f"head of {i}", *passage, f"tail of {i}"])) for i in range(copies)]
+        want = against_all_pairs(spark, rows)
+        assert all(want[10 + i] == set(range(1, 6)) for i in range(1, copies)) and not want[10]
