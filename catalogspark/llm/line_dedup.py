@@ -7,9 +7,14 @@
    with the square of a group; no run is left out for being frequent, and whatever a document shares with any earlier
    one it shares with a partner.
 3. Each pair is aligned by patience diff on the hashes of all its lines: lines unique in both, their longest common
-   increasing order, and the same again between them.
-4. Runs of aligned lines, adjacent in both documents, with at least ``block_words`` words are deleted from the later
-   document.
+   increasing order, and the same again between them.  Runs of aligned lines, adjacent in both documents, with at least
+   ``block_words`` words are deleted from the later document.
+4. One alignment leaves passages in another order and passages that either document repeats.  What it left is matched
+   by the hashes of runs: each run of the later document that the earlier one holds anywhere is deleted.
+
+So a line of the later document is deleted exactly if it lies in a block of adjacent lines with at least
+``block_words`` words that some earlier document holds, wherever and however often either holds it.  Repeats inside
+one document alone are kept.
 
 Documents are in order of id, then of the hash of the text.  Only hashes are joined and aligned; texts move once, when
 the lines are taken out.
@@ -111,6 +116,21 @@ def runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, least: int) -> tuple[n
     return b, e, mix((value[e] - value[b]) * inverse[b] + (e - b).astype(U))
 
 
+def rest(a: list[int], b: list[int], words: list[int], least: int, done: list[int]) -> list[int]:
+    """Positions in the later document, besides ``done``, of runs that the earlier one holds anywhere."""
+    count = dict(zip(b, words, strict=True))
+    one = lambda x, w: runs(np.array(x, np.int64), np.array(w, np.int64), np.array([0, len(x)]), least)
+    _, _, held = one(a, [count.get(x, least) for x in a])  # a line that b hasn't ends every run, and b has no such run
+    begin, end, seed = one(b, words)
+    found = np.isin(seed, held)
+    depth = np.zeros(len(b) + 1, np.int64)
+    np.add.at(depth, begin[found], 1)
+    np.add.at(depth, end[found], -1)
+    inside = np.cumsum(depth[:-1]) > 0
+    inside[done] = False
+    return np.flatnonzero(inside).tolist()
+
+
 def _seeds(least: int):
     """(key, line hashes, words) to (key, hash) of each document's distinct runs."""
 
@@ -137,7 +157,10 @@ def _align(least: int):
         for batch in batches:
             keep, cut = [], []
             for n, (a, b, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if gone := blocks(patience(a, b), w, least):
+                gone = blocks(patience(a, b), w, least)
+                if len(gone) < len(b):
+                    gone += rest(a, b, w, least, gone)
+                if gone:
                     keep.append(n)
                     cut.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(cut, pa.list_(pa.int32()))], ["b", "cut"])

@@ -105,3 +105,23 @@ def test_passage_of_lines_that_stand_alone_in_earlier_documents(spark):
         rows += [(10 + i, "\n".join([f"head of {i}", *passage, f"tail of {i}"])) for i in range(copies)]
         want = against_all_pairs(spark, rows)
         assert all(want[10 + i] == set(range(1, 6)) for i in range(1, copies)) and not want[10]
+
+
+def test_repeated_and_moved_passages(spark):
+    p, q = ([" ".join(f"{x}{i}w{j}" for j in range(7)) for i in range(6)] for x in "pq")
+    text = lambda k, *parts: "\n".join(x for i, part in enumerate(parts) for x in (f"own {k} {i}", *part))
+    for first, later, cut in (((p, p), (p,), 6), ((p,), (p, p), 12), ((p, q), (q, p), 12), ((p, p, q), (q, p, q), 18)):
+        want = against_all_pairs(spark, [(1, text(1, *first)), *((k, text(k, *later)) for k in range(2, 6))])
+        assert [len(want[k]) for k in range(1, 6)] == [0, cut, cut, cut, cut]
+
+
+def test_random_documents_against_all_pairs(spark):
+    rnd = random.Random(5)
+    lines = ["", "", "a", "b c", "d e f g h", *(" ".join(f"x{i}y{j}" for j in range(n)) for i, n in enumerate((3, 6, 9, 12, 24, 25, 30)))]
+    rows = []
+    for k in range(70):
+        own = [rnd.choice(lines) for _ in range(rnd.randrange(25))]
+        if rows and rnd.random() < 0.5:
+            own += rnd.choice(rows)[1].split("\n")[3:12]
+        rows.append((k, "\n".join(own)))
+    assert sum(map(len, against_all_pairs(spark, rows).values())) > 200
