@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits, apostrophes and all non-ASCII bytes, A-Z lower-cased.  Every ``n``-word run of
-a test item is a possible seed; how many documents hold it is counted over the whole corpus, and an item keeps those
-that are no more frequent than its median seed (or in at most ``few`` documents).  So each item keeps at least half of
-its seeds however often its text was copied.  Where a document holds a seed, the passage around the seed's diagonal is
-aligned with the item word by word (match 2, mismatch -1, gap -1); the best local score over twice the item's words is
-the score, 1 for a whole copy.
+a test item is a seed, however many documents hold it: of an edited copy that is itself repeated only frequent seeds
+may be left.  Where a document holds a seed, the passage around the seed's diagonal is aligned with the item word by
+word (match 2, mismatch -1, gap -1); the best local score over twice the item's words is the score, 1 for a whole copy.
+A passage that has too few of the item's words to reach the threshold in any alignment isn't aligned; that is what
+keeps frequent seeds cheap, and it changes no result.  A copy of which edits leave no ``n`` adjacent words isn't found.
 
 Items are taken in blocks of at most ``block_words`` words, which bounds what is broadcast; every block is held
 against all documents.
@@ -24,12 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from catalogspark.llm.common import id_text, text_slices
 from catalogspark.llm.shingles import U, mix, word_hashes, words
 
-N, FEW, THRESHOLD = 4, 5, 0.5
+N, THRESHOLD = 4, 0.5
 BLOCK_WORDS = 200_000
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = False
@@ -68,10 +67,7 @@ class Items:
                 places[size, g].append((item, at))
         self.sizes = sorted({s for s, _ in places})
         self.places = dict(places)
-        self.keep(lambda key: True)
-
-    def keep(self, wanted) -> None:
-        self.keys = {s: np.array(sorted(g for t, g in self.places if t == s and wanted((t, g))), U) for s in self.sizes}
+        self.keys = {s: np.array(sorted(g for t, g in self.places if t == s), U) for s in self.sizes}
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """(documents, word places in the slice, seeds, size) of all seeds in a slice."""
@@ -111,10 +107,15 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return float(best), *where
 
 
-def _windows(places: list[tuple[int, int]], length: int, limit: int) -> list[tuple[int, int]]:
-    """Passages around hits (document word, item word) of one item in one document; overlapping ones are joined."""
+def most_matches(item: np.ndarray, passage: np.ndarray) -> int:
+    """At least the matches of any alignment: each takes a word of its own on either side."""
+    return int(min(np.isin(item, passage).sum(), np.isin(passage, item).sum()))
+
+
+def _windows(diagonals: set[int], length: int, limit: int) -> list[tuple[int, int]]:
+    """Passages around hits (document word less item word) of one item in one document; overlapping ones are joined."""
     pad = length // 2 + 2
-    spans = sorted((max(0, d - i - pad), min(limit, d - i + length + pad)) for d, i in places)
+    spans = sorted((max(0, d - pad), min(limit, d + length + pad)) for d in diagonals)
     out = [spans[0]]
     for b, e in spans[1:]:
         if b <= out[-1][1]:
@@ -124,22 +125,6 @@ def _windows(places: list[tuple[int, int]], length: int, limit: int) -> list[tup
     return out
 
 
-def _count(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], int] = defaultdict(int)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text"):
-                h, first = _words(data, offsets)
-                for doc, _, seed, size in items.hits(h, first):
-                    pair = np.unique(np.stack([doc.astype(U), seed]), axis=1)
-                    for g, c in zip(*np.unique(pair[1], return_counts=True), strict=True):
-                        total[size, int(g)] += int(c)
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in keys], pa.int32()), pa.array(np.array([g for _, g in keys], U).view(np.int64)), pa.array([total[k] for k in keys], pa.int64())], ["size", "seed", "n"])
-
-    return run
-
-
 def _find(items: Items, threshold: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,18 +132,20 @@ def _find(items: Items, threshold: float, n: int):
             out = []
             for at, _, data, offsets in text_slices(batch, "text"):
                 h, first = _words(data, offsets)
-                found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                found: dict[tuple[int, int], set[int]] = defaultdict(set)
                 for doc, place, seed, size in items.hits(h, first):
                     for d, p, g in zip(doc.tolist(), place.tolist(), seed.tolist(), strict=True):
                         for item, i in items.places[size, g]:
-                            found[d, item].append((p - int(first[d]), i))
-                for (d, item), places in found.items():
+                            found[d, item].add(p - int(first[d]) - i)
+                for (d, item), diagonals in found.items():
                     own, text = items.words[item], h[first[d]:first[d + 1]]
                     if len(own) < n:
-                        best = (1.0, places[0][0], places[0][0] + len(own))
+                        best = (1.0, min(diagonals), min(diagonals) + len(own))
                     else:
                         best = (0.0, 0, 0)
-                        for b, e in _windows(places, len(own), len(text)):
+                        for b, e in _windows(diagonals, len(own), len(text)):
+                            if most_matches(own, text[b:e]) / len(own) < threshold:
+                                continue
                             score, x, y = smith_waterman(own, text[b:e])
                             if score / (2 * len(own)) > best[0]:
                                 best = (score / (2 * len(own)), b + x, b + y)
@@ -170,7 +157,7 @@ def _find(items: Items, threshold: float, n: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, few: int = FEW, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, score, begin_word, end_word: documents that hold a copy of an item, whole or edited."""
     text = id_text(docs, id_col, text_col)
     out = text.limit(0).selectExpr("doc_id", "doc_id AS item_id", "0D AS score", "0L AS begin_word", "0L AS end_word")
@@ -178,18 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = 0
 
     def close() -> DataFrame:
-        items = Items(block, n)
-        df = defaultdict(int)
-        counts = text.mapInArrow(_count(items), "size int, seed long, n long").groupBy("size", "seed").agg(F.sum("n").alias("n"))
-        for r in counts.toLocalIterator():  # at most one row for each seed of the block
-            df[r["size"], r["seed"] % 2**64] = r["n"]
-        own: dict[int, list[int]] = defaultdict(list)
-        for key, at in items.places.items():
-            for item, _ in at:
-                own[item].append(df[key])
-        limit = {item: max(few, int(np.median(c))) for item, c in own.items()}
-        items.keep(lambda key: any(df[key] <= limit[item] for item, _ in items.places[key]))
-        return text.mapInArrow(_find(items, threshold, n), SCHEMA)
+        return text.mapInArrow(_find(Items(block, n), threshold, n), SCHEMA)
 
     for r in benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[item_text_col].cast("string").alias("t")).where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
         block.append((r["i"], r["t"]))

@@ -69,3 +69,27 @@ def test_edits_odd_rows_and_blocks(spark):
     kept = dc.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - len(want)
     assert dc.contaminated(docs.limit(0), bench).count() == 0 and dc.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_repeated_edited_copy_against_all_alignments(spark):
+    rnd = random.Random(3)
+    item = [f"item{i}" for i in range(30)]
+    edited = [f"other{i}" if i in (3, 7, 11, 15, 19, 22) else w for i, w in enumerate(item)]
+    assert sum(edited[i:i + 4] == item[i:i + 4] for i in range(27)) == 4
+    number: dict[str, int] = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in split(t)], np.uint64)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for whole, copies in ((1, 5), (0, 6), (3, 100), (50, 1000)):
+        body = [item] * whole + [edited] * copies + [item[:4], item[26:], ["none"]] * 20
+        rows = [(i, " ".join([*(f"w{rnd.randrange(999)}" for _ in range(9)), *x, f"end{i}"])) for i, x in enumerate(body)]
+        got = {r.doc_id: r.score for r in dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench).collect()}
+        score = {i: dc.smith_waterman(code(" ".join(item)), code(t))[0] / 60 for i, t in rows}
+        assert got == {i: s for i, s in score.items() if s >= dc.THRESHOLD}
+        assert len(got) == whole + copies
+
+
+def test_bound_of_matches():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a, b = (np.array([rnd.randrange(6) for _ in range(rnd.randrange(1, 15))], np.uint64) for _ in range(2))
+        assert dc.smith_waterman(a, b)[0] <= 2 * dc.most_matches(a, b)
