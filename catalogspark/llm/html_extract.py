@@ -1,12 +1,15 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
 A page is read as a row of tokens: words and tags.  Boilerplate elements (menus, footers, forms, scripts, adverts,
-reader comments and the like, by element name, role or class) give no words.  Of what is left every word scores +1
-and every tag scores minus its weight; one linear scan finds the contiguous run of tokens with the highest sum.  Tag
-weights come from labelled pages: those whose content is marked by exactly one ``article`` or ``main`` element.  A tag
-that stands mostly outside the marked content weighs as much as the log-odds of that, times the mean run of words
-between outside tags, so that such a run cannot pay for the tags around it.  Where the best region lies in an
-``article`` or ``main`` element, it is widened or cut to that element; else to the blocks it touches.
+reader comments and the like, by element name, role or class) give no words.  A class or id counts only as a whole
+name (or if it is made of such names, as ``cookie-banner``), and never drops the element around the page's content:
+around the ``article`` or ``main`` with the most words of its own or, on a page without these, around over three
+quarters of the words.  Of what is left every word scores +1 and every tag scores minus its weight; one linear scan
+finds the contiguous run of tokens with the highest sum.  Tag weights come from labelled pages: those whose content is
+marked by exactly one ``article`` or ``main`` element.  A tag that stands mostly outside the marked content weighs as
+much as the log-odds of that, times the mean run of words between outside tags, so that such a run cannot pay for the
+tags around it.  Where the best region lies in an ``article`` or ``main`` element, it is widened or cut to that
+element; else to the blocks it touches.
 
 Defined results: a null or empty page has the empty text and 0 characters; white space is what HTML calls so (space,
 tab, line feed, form feed, return) and the vertical tab; rows are independent, so repeated ids, nulls and extra
@@ -44,35 +47,76 @@ _WHITE = re.compile(r"[ \t\n\r\f\v]+")
 _NAME_PART = re.compile(r"[a-z]+")
 
 
-def _boilerplate(name: str, attrs: str, marked: bool) -> bool:
+def _hinted(value: str) -> bool:
+    """Whether one of the names in a class or id consists of hints only."""
+    return any((parts := _NAME_PART.findall(x)) and HINTS.issuperset(parts) for x in value.split())
+
+
+def _boilerplate(name: str, attrs: str, marked: bool) -> str:
+    """Empty, or what drops the element: 'element' (name, role, hidden) or 'class'."""
     if name in DROPPED:
-        return not (marked and name == "header")
+        return "" if marked and name == "header" else "element"
     if not attrs or name in ("html", "body") or name in MARKED and "comment" not in attrs:
-        return False
+        return ""
+    by_class = False
     for key, value, bare in _HINT_ATTR.findall(attrs):
         value = value.strip("\"'").lower()
         if bare or key.lower() == "aria-hidden" and value == "true" or key.lower() == "role" and value in ROLES:
-            return True
-        if key.lower() in ("class", "id") and not HINTS.isdisjoint(_NAME_PART.findall(value)):
-            return True
-    return False
+            return "element"
+        by_class = by_class or key.lower() in ("class", "id") and _hinted(value)
+    return "class" if by_class else ""
+
+
+class Words:
+    """Of a first reading: words of the page, of each element dropped by class, and of each article or main its own."""
+
+    def __init__(self):
+        self.total = 0
+        self.hinted: Counter = Counter()
+        self.own: Counter = Counter()
+        self.around: dict[int, list[int]] = {}
+
+    def content(self) -> set[int]:
+        """Places of the elements that stay, whatever their class, as they hold the page's content."""
+        if self.own:
+            return set(self.around[max(self.own, key=lambda at: (self.own[at], -at))])
+        return {at for at, n in self.hinted.items() if 4 * n > 3 * self.total}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, int]]:
     """(kind, value, marked): kind 't' a tag's name, 'w' a piece of text; marked counts the article or main elements around."""
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, marked
+    seen = Words()
+    row = list(_read(page, set(), seen))
+    return _read(page, seen.content(), None) if seen.hinted else iter(row)
+
+
+def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[tuple[str, str, int]]:
+    """The tokens; elements at the places ``kept`` aren't dropped by class.  With ``seen`` no element is, and words are counted."""
+    stack: list[tuple[str, bool, bool, int]] = []  # name, dropped, marked, place if the class would drop it
     dropped = marked = at = 0
+    hinted: list[int] = []
+    inner: list[int] = []
 
     def pop() -> None:
         nonlocal dropped, marked
-        _, d, m = stack.pop()
+        _, d, m, hint = stack.pop()
         dropped -= d
         marked -= m
+        if m:
+            inner.pop()
+        if hint >= 0:
+            hinted.pop()
 
     while at < len(page):
         found = _TOKEN.search(page, at)
         text = page[at:found.start()] if found else page[at:]
         if text and not dropped:
+            if seen is not None:
+                n = len(text.split())
+                seen.total += n
+                seen.hinted.update(dict.fromkeys(hinted, n))
+                if inner:
+                    seen.own[inner[-1]] += n
             yield "w", text, marked
         if not found:
             break
@@ -106,16 +150,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, int]]:
             if not dropped:
                 yield "t", name, marked
             continue
-        gone = _boilerplate(name, attrs, marked > 0)
+        why = _boilerplate(name, attrs, marked > 0)
+        hint = at if why == "class" and name not in MARKED and not dropped else -1
+        gone = why != "" and (hint < 0 or seen is None and hint not in kept)
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
         if attrs.endswith("/") and name not in BLOCK:
             continue
-        stack.append((name, gone, name in MARKED and not dropped and not gone))
+        stack.append((name, gone, name in MARKED and not dropped and not gone, hint))
         dropped += gone
         marked += stack[-1][2]
+        if hint >= 0:
+            hinted.append(hint)
+        if stack[-1][2]:
+            inner.append(at)
+            if seen is not None:
+                seen.around[at] = hinted.copy()
         if not dropped:
             yield "t", name, marked
 

@@ -51,3 +51,15 @@ def test_scan():
     assert he.best_region([-1.0, 2, -1, 3, -5, 4]) == (1, 4)
     assert he.best_region([-1.0]) == (0, 0)
     assert he.best_region([1.0, -1.0, 1.0]) == (0, 1)
+
+
+def test_layout_classes_around_the_content():
+    story = "<h1>Title</h1><p>Body of the story here.</p>"
+    for mark in ("class='site has-sidebar'", "class=no-sidebar", "class='page-with-comments'", "class='menu-open'", "id='page-skip'", "class='widget'", "id=overlay class='modal x'"):
+        for page in (f"<article>{story}</article>", f"<main>{story}</main>", f"<main><p>a</p><article>{story}</article></main>"):
+            got = he.extract(f"<body><div {mark}><div class='cookie-banner'>We use cookies on all of these pages</div>{page}<section class=related><article>One other card</article></section></div></body>", W)
+            assert got.endswith("Title\nBody of the story here.") and "cookies" not in got and "card" not in got, (mark, page)
+        text = "one two three four five six seven eight nine ten " * 5
+        assert he.extract(f"<div {mark}><div class=ads>buy this</div><p>{text}</p></div>", {}) == text.strip()
+    comments = "<section id=comments><article id=comment-1>first comment, and a long one</article><article class=c2>second</article></section>"
+    assert he.extract(f"<article>{story}{comments}</article>", W) == he.extract(f"<article>{story}</article>{comments}", W) == "Title\nBody of the story here."
