@@ -1,26 +1,29 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
-A page is read as a row of tokens: words and tags.  Boilerplate elements (menus, footers, forms, scripts, adverts,
-reader comments and the like, by element name, role or class) give no words.  A class or id counts only as a whole
-name (or if it is made of such names, as ``cookie-banner``), and never drops the element around the page's content:
-around the ``article`` or ``main`` with the most words of its own or, on a page without these, around over three
-quarters of the words.  Of what is left every word scores +1 and every tag scores minus its weight; one linear scan
-finds the contiguous run of tokens with the highest sum.  Tag weights come from labelled pages: those whose content is
-marked by exactly one ``article`` or ``main`` element.  A tag that stands mostly outside the marked content weighs as
-much as the log-odds of that, times the mean run of words between outside tags, so that such a run cannot pay for the
-tags around it.  Where the best region lies in an ``article`` or ``main`` element, it is widened or cut to that
-element; else to the blocks it touches.
+A page is read as a row of scored tokens, words and tags, and one linear scan finds the contiguous run with the highest
+sum; nothing else chooses the place or the bounds of the text.
+
+Words score +1 each, but -1 (-1/1000 inside ``article`` or ``main``, whose text goes on behind it) in an element that by
+its name, role, class or id is a menu, footer, form, advert, reader comment or the like, and -1/2 outside ``article`` and ``main`` on pages where these hold at least a third of the words
+that no such element holds.  A class or id counts only as a whole name (or if it is made of such names, as
+``cookie-banner``), and never for the element around the ``article`` or ``main`` with the most words of its own or, on
+a page without these, around over three quarters of the words: layout names lower no score.  Tags score minus their
+weight: 0.01 inside ``article`` or ``main``, elsewhere what labelled pages (content marked by exactly one such element)
+say: the mean run of words between tags outside the content, times the surplus of the tag's uses outside it over those
+inside, as a share; so such a run can hardly pay for the tags around it.
+
+The run is widened to whole blocks of text.  Of its words those with a negative score that stand between positive ones
+are left out: an advert in the middle of the article.
 
 Defined results: a null or empty page has the empty text and 0 characters; white space is what HTML calls so (space,
 tab, line feed, form feed, return) and the vertical tab; rows are independent, so repeated ids, nulls and extra
-columns change nothing; of regions with the same score the first is taken; an empty table gives an empty result.
-Pages are read whole.
+columns, whatever their names, change nothing; of regions with the same score the first is taken; an empty table gives
+an empty result.  Pages are read whole.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Names of elements in the HTML standard, by their part in a page, and usual class and role names.
-DROPPED = frozenset("head title script style noscript template nav header footer aside form button select textarea option iframe svg canvas object dialog menu audio video map math".split())
+SILENT = frozenset("head svg canvas object audio video map math".split())
+ASIDE = frozenset("nav header footer aside form button select option dialog menu".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -53,12 +57,12 @@ def _hinted(value: str) -> bool:
 
 
 def _boilerplate(name: str, attrs: str, marked: bool) -> str:
-    """Empty, or what drops the element: 'element' (name, role, hidden) or 'class'."""
-    if name in DROPPED:
+    """Empty, or what makes the element's words negative: 'element' (name, role, hidden) or 'class'."""
+    if name in ASIDE:
         return "" if marked and name == "header" else "element"
     if not attrs or name in ("html", "body") or name in MARKED and "comment" not in attrs:
         return ""
-    by_class = False
+    by_class = name in MARKED
     for key, value, bare in _HINT_ATTR.findall(attrs):
         value = value.strip("\"'").lower()
         if bare or key.lower() == "aria-hidden" and value == "true" or key.lower() == "role" and value in ROLES:
@@ -68,7 +72,7 @@ def _boilerplate(name: str, attrs: str, marked: bool) -> str:
 
 
 class Words:
-    """Of a first reading: words of the page, of each element dropped by class, and of each article or main its own."""
+    """Of a first reading: words of the page, of each element with a telling class, and of each article or main its own."""
 
     def __init__(self):
         self.total = 0
@@ -77,30 +81,34 @@ class Words:
         self.around: dict[int, list[int]] = {}
 
     def content(self) -> set[int]:
-        """Places of the elements that stay, whatever their class, as they hold the page's content."""
+        """Places of the elements whose class doesn't count, as they hold the page's content."""
         if self.own:
             return set(self.around[max(self.own, key=lambda at: (self.own[at], -at))])
         return {at for at, n in self.hinted.items() if 4 * n > 3 * self.total}
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, int]]:
-    """(kind, value, marked): kind 't' a tag's name, 'w' a piece of text; marked counts the article or main elements around."""
+Token = tuple[str, str, bool, bool]
+
+
+def tokens(page: str) -> list[Token]:
+    """(kind, value, marked, low): kind 't' a tag's name, 'w' a piece of text; marked: in an article or main; low: in an element that lowers words."""
     seen = Words()
     row = list(_read(page, set(), seen))
-    return _read(page, seen.content(), None) if seen.hinted else iter(row)
+    return list(_read(page, seen.content(), None)) if seen.hinted else row
 
 
-def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[tuple[str, str, int]]:
-    """The tokens; elements at the places ``kept`` aren't dropped by class.  With ``seen`` no element is, and words are counted."""
-    stack: list[tuple[str, bool, bool, int]] = []  # name, dropped, marked, place if the class would drop it
-    dropped = marked = at = 0
+def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[Token]:
+    """The tokens; the classes of elements at the places ``kept`` don't count.  With ``seen`` none does, and words are counted."""
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, silent, low, marked, place if its class may count
+    silent = low = marked = at = 0
     hinted: list[int] = []
     inner: list[int] = []
 
     def pop() -> None:
-        nonlocal dropped, marked
-        _, d, m, hint = stack.pop()
-        dropped -= d
+        nonlocal silent, low, marked
+        _, s, d, m, hint = stack.pop()
+        silent -= s
+        low -= d
         marked -= m
         if m:
             inner.pop()
@@ -110,14 +118,14 @@ def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[tuple[str,
     while at < len(page):
         found = _TOKEN.search(page, at)
         text = page[at:found.start()] if found else page[at:]
-        if text and not dropped:
-            if seen is not None:
+        if text and not silent:
+            if seen is not None and not low:
                 n = len(text.split())
                 seen.total += n
                 seen.hinted.update(dict.fromkeys(hinted, n))
                 if inner:
                     seen.own[inner[-1]] += n
-            yield "w", text, marked
+            yield "w", text, marked > 0, low > 0
         if not found:
             break
         at = found.end()
@@ -126,13 +134,15 @@ def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[tuple[str,
             continue
         if found[1]:
             if name == "br":
-                yield "t", name, marked
+                yield "t", name, marked > 0, low > 0
             elif any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
                     pop()
-                if not dropped:
-                    yield "t", name, marked
+                inside = marked > 0, low > 0
+                was = silent
                 pop()
+                if not was:
+                    yield "t", name, *inside
             continue
         attrs = found[3]
         if name in CLOSES_P and any(x[0] == "p" for x in stack):
@@ -144,32 +154,33 @@ def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[tuple[str,
             if stack and stack[-1][0] == end:
                 pop()
         if name in MARKED:  # content never stands inside a menu or footer: an unclosed one ends here
-            while dropped and any(x[1] and x[0] in ("nav", "header", "footer") for x in stack):
+            while low and any(x[2] and x[0] in ("nav", "header", "footer") for x in stack):
                 pop()
-        if name in VOID:
-            if not dropped:
-                yield "t", name, marked
-            continue
-        why = _boilerplate(name, attrs, marked > 0)
-        hint = at if why == "class" and name not in MARKED and not dropped else -1
-        gone = why != "" and (hint < 0 or seen is None and hint not in kept)
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
+        if name in VOID:
+            if not silent:
+                yield "t", name, marked > 0, low > 0
+            continue
         if attrs.endswith("/") and name not in BLOCK:
             continue
-        stack.append((name, gone, name in MARKED and not dropped and not gone, hint))
-        dropped += gone
-        marked += stack[-1][2]
+        why = _boilerplate(name, attrs, marked > 0)
+        hint = at if why == "class" and not low and not silent else -1
+        down = why != "" and (hint < 0 or seen is None and hint not in kept)
+        stack.append((name, name in SILENT, down, name in MARKED and why == "" and not low and not silent, hint))
+        silent += stack[-1][1]
+        low += down
+        marked += stack[-1][3]
         if hint >= 0:
             hinted.append(hint)
-        if stack[-1][2]:
+        if stack[-1][3]:
             inner.append(at)
             if seen is not None:
                 seen.around[at] = hinted.copy()
-        if not dropped:
-            yield "t", name, marked
+        if not silent:
+            yield "t", name, marked > 0, low > 0
 
 
 def count_tags(page: str) -> tuple[Counter, Counter, int, int] | None:
@@ -179,7 +190,7 @@ def count_tags(page: str) -> tuple[Counter, Counter, int, int] | None:
     inside, outside, words, runs = Counter(), Counter(), 0, 0
     for name in re.findall(r"<([a-zA-Z][\w-]*)", re.sub(r"<(article|main)[\s>].*</\1\s*>", " ", page, flags=re.S | re.I)):
         outside[name.lower()] += 1
-    for kind, value, marked in tokens(page):
+    for kind, value, marked, _ in tokens(page):
         if kind == "t" and marked:
             inside[value] += 1
     for text in re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<(article|main)[\s>].*</\2\s*>|<!--.*?-->", "<x>", page).split("<"):
@@ -199,7 +210,7 @@ def fit_weights(pages: DataFrame, html_col: str = "html", sample: int = 400) ->
         if counted := count_tags(r["html"]):
             inside, outside, words, runs = inside + counted[0], outside + counted[1], words + counted[2], runs + counted[3]
     run = words / runs if runs else 10.0
-    return {t: max(0.1, run * math.log((outside[t] + 1) / (inside[t] + 1))) for t in {*inside, *outside} if t not in MARKED}
+    return {t: max(0.1, run * (outside[t] - inside[t]) / (outside[t] + inside[t])) for t in {*inside, *outside} if t not in MARKED}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -215,31 +226,38 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def token_scores(row: list[Token], weights: dict[str, float]) -> list[float]:
+    """What each token adds to a region that holds it."""
+    size = [len(value.split()) if kind == "w" else 0 for kind, value, _, _ in row]
+    plain = sum(n for n, x in zip(size, row, strict=True) if not x[3])
+    in_marks = sum(n for n, x in zip(size, row, strict=True) if x[2] and not x[3])
+    outside = -0.5 if 3 * in_marks >= plain and in_marks else 1.0
+    out = []
+    for n, (kind, value, marked, low) in zip(size, row, strict=True):
+        if kind == "w":
+            out.append(n * (1.0 if marked else outside) if not low else -n * (0.001 if marked else 1.0))
+        else:
+            out.append(-0.01 if marked else -weights.get(value, 1.0 if value in BLOCK else 0.1))
+    return out
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page: blocks joined by line feeds."""
-    row = list(tokens(page or ""))
-    scores = [float(len(value.split())) if kind == "w" else -weights.get(value, 1.0 if value in BLOCK else 0.1) for kind, value, _ in row]
+    row = tokens(page or "")
+    scores = token_scores(row, weights)
     begin, end = best_region(scores)
-    if begin == end:
-        return ""
-    if any(m for _, _, m in row[begin:end]):
-        first = next(i for i in range(begin, end) if row[i][2])
-        last = next(i for i in range(end - 1, begin - 1, -1) if row[i][2])
-        while first > 0 and row[first - 1][2]:
-            first -= 1
-        while last + 1 < len(row) and row[last + 1][2]:
-            last += 1
-        row = [x for x in row[first:last + 1] if x[2]]
-    else:
-        while begin > 0 and not (row[begin - 1][0] == "t" and row[begin - 1][1] in BLOCK):
-            begin -= 1
-        while end < len(row) and not (row[end][0] == "t" and row[end][1] in BLOCK):
-            end += 1
-        row = row[begin:end]
+    wall = lambda i: row[i][0] == "t" and row[i][1] in BLOCK or row[i][0] == "w" and scores[i] < 0
+    while 0 < begin < end and not wall(begin - 1):
+        begin -= 1
+    while begin < end < len(row) and not wall(end):
+        end += 1
+    good = [i for i in range(begin, end) if row[i][0] == "w" and scores[i] > 0]
     blocks, now = [], []
-    for kind, value, _ in [*row, ("t", "div", 0)]:
+    for i in range(begin, end + 1):
+        kind, value = row[i][:2] if i < end else ("t", "div")
         if kind == "w":
-            now.append(html.unescape(value))
+            if scores[i] >= 0 or not good[0] < i < good[-1]:
+                now.append(html.unescape(value))
         elif value in BLOCK:
             if line := _WHITE.sub(" ", "".join(now)).strip(" "):
                 blocks.append(line)

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from catalogspark.llm import html_extract as he
@@ -63,3 +64,40 @@ def test_layout_classes_around_the_content():
         assert he.extract(f"<div {mark}><div class=ads>buy this</div><p>{text}</p></div>", {}) == text.strip()
     comments = "<section id=comments><article id=comment-1>first comment, and a long one</article><article class=c2>second</article></section>"
     assert he.extract(f"<article>{story}{comments}</article>", W) == he.extract(f"<article>{story}</article>{comments}", W) == "Title\nBody of the story here."
+
+
+def test_scan_against_all_regions():
+    rnd = random.Random(3)
+    for _ in range(300):
+        s = [rnd.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rnd.randrange(0, 14))]
+        best = max((sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0.0)
+        b, e = he.best_region(s)
+        assert sum(s[b:e]) == max(best, 0.0)
+        if best > 0:  # the first of the best ones
+            assert min((j, i) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if sum(s[i:j]) == best)[0] == e
+
+
+def test_the_scan_decides(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(40).collect()]
+    text = "one two three four five six seven eight nine ten " * 5
+    bare = f"<body><div><a>Home</a><a>News</a><a>Shop</a></div><div><div>{text}</div><div>{text}</div></div><div><a>Terms</a><a>Privacy</a><a>Contact</a></div>"
+    weights = {"a": 2.0, "div": 1.0}
+    mine = [he.extract(p, weights) for p in (*pages, bare)]
+    assert mine[-1] == f"{text.strip()}\n{text.strip()}"
+    monkeypatch.setattr(he, "best_region", lambda s: (0, len(s)))
+    assert all(he.extract(p, weights) != t for p, t in zip((*pages, bare), mine, strict=True))
+
+
+def test_weights_come_from_labelled_pages(spark):
+    rows = [(i, "u", f"<div><span>menu</span></div><main><p>text {i} of the page</p><p>more</p></main><footer><span>end</span></footer>") for i in range(20)] + [(99, "u", "<div>no mark</div>"), (100, None, None)]
+    w = he.fit_weights(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert w["span"] > w["p"] == 0.1 and w["div"] > 0.1 and "main" not in w
+    assert he.fit_weights(spark.createDataFrame(rows[-1:], "page_id long, url string, html string")) == {}
+
+
+def test_related_work_and_teasers():
+    page = "<main><h1>Paper</h1><section class='related-work'><p>Others did this before.</p></section><p>We do that.</p></main>"
+    assert he.extract(page, W) == "Paper\nOthers did this before.\nWe do that."
+    long = "a real text that runs on and on over many words of its own " * 6
+    page = f"<div class=content><p>{long}</p><p>{long}</p></div><article class=card>tiny</article><article class=card>small card</article>"
+    assert he.extract(page, {}).count("over many words") == 12
