@@ -58,6 +58,12 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def text_key(text_col: str) -> tuple[F.Column, F.Column]:
+    """t1, t2: 128 bits of hash of a text; null for a null text."""
+    text = F.col(text_col).cast("string")
+    return F.when(text.isNotNull(), F.xxhash64(text)).alias("t1"), F.when(text.isNotNull(), F.xxhash64(F.lit(1), text)).alias("t2")
+
+
 def text_slices(batch: pa.RecordBatch, text_col: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into row ranges of about ``limit`` bytes of text: (first row, rows, bytes, offsets).
 

@@ -1,35 +1,41 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of ASCII letters, digits, apostrophes and all non-ASCII bytes, A-Z lower-cased.  Every ``n``-word run of
-a test item is a seed, however many documents hold it: of an edited copy that is itself repeated only frequent seeds
-may be left.  Where a document holds a seed, the passage around the seed's diagonal is aligned with the item word by
-word (match 2, mismatch -1, gap -1); the best local score over twice the item's words is the score, 1 for a whole copy.
-A passage that has too few of the item's words to reach the threshold in any alignment isn't aligned; that is what
-keeps frequent seeds cheap, and it changes no result.  A copy of which edits leave no ``n`` adjacent words isn't found.
-
-Items are taken in blocks of at most ``block_words`` words, which bounds what is broadcast; every block is held
-against all documents.
-
-Defined results: a null or empty text or item has no words and no hits; an item of fewer than ``n`` words is matched by
-its whole sequence only, with score 1; rows that repeat a document id give their own rows, items that repeat an id
-likewise; a document may hold an item several times and gives one row, with its best passage (the first of equals);
-empty tables give an empty result; other columns are not read.  Texts are read whole.
+"""Benchmark decontamination: n-gram seeds joined to test items, then Smith-Waterman alignment.
+
+Words are runs of ASCII letters, digits, apostrophes and all non-ASCII bytes, A-Z lower-cased.
+
+1. Every ``n``-word run of a test item is a seed, however many documents hold it: of an edited copy that is itself
+   repeated only frequent seeds may be left.  A text or item of fewer words has its whole sequence as its only seed, so
+   a short item is found in texts that are nothing but this item, and nowhere else.
+2. The seeds' hashes set bits of a map of at most ``MAP_BITS`` bits, the only thing that is sent to every task.  One
+   pass over the texts keeps the seeds whose bit is set, with their places; a join with the table of seeds says which
+   are an item's.  Both sides of the join carry one of ``SALTS`` numbers, so that a seed held by a third of all texts is
+   dealt to many tasks.
+3. Texts that hold seeds meet their items' words, and the passage around the seeds' diagonals is aligned with the item
+   word by word (match 2, mismatch -1, gap -1); the best local score over twice the item's words is the score, 1 for a
+   whole copy.  A passage that has too few of the item's words to reach the threshold in any alignment isn't aligned,
+   which changes no result.  A copy of which edits leave no ``n`` adjacent words isn't found.
+
+Texts are known by 128 bits of hash, so what is found depends on the text alone, never on its id.
+
+Defined results: a null or empty text or item has no words and no hits; every row gives its own rows, whatever ids or
+texts are repeated, null ids too; items that repeat an id give rows of their own, and an item given twice counts once;
+a document may hold an item several times and gives one row, with its best passage (the first of equals); very long
+texts are read whole; empty tables give an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from catalogspark.llm.common import id_text, text_slices
+from catalogspark.llm.common import id_text, materialize, text_key, text_slices
 from catalogspark.llm.shingles import U, mix, word_hashes, words
 
 N, THRESHOLD = 4, 0.5
-BLOCK_WORDS = 200_000
+MAP_BITS, SALTS = 1 << 24, 32
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = False
 _STEP = U(0xA24BAED4963EE407)
@@ -51,35 +57,23 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U(n))
 
 
-class Items:
-    """A block of test items: words, and seeds with their places."""
-
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.ids = [r[0] for r in rows]
-        self.words: list[np.ndarray] = []
-        places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for item, (_, text) in enumerate(rows):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            h, _ = _words(raw, np.array([0, len(raw)]))
-            self.words.append(h)
-            size = min(n, len(h))
-            for at, g in enumerate(_grams(h, size).tolist() if size else []):
-                places[size, g].append((item, at))
-        self.sizes = sorted({s for s, _ in places})
-        self.places = dict(places)
-        self.keys = {s: np.array(sorted(g for t, g in self.places if t == s), U) for s in self.sizes}
-
-    def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """(documents, word places in the slice, seeds, size) of all seeds in a slice."""
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for size, keys in self.keys.items():
-            g = _grams(h, size)
-            if not len(g) or not len(keys):
-                continue
-            at = np.searchsorted(keys, g)
-            at[at == len(keys)] = 0
-            place = np.flatnonzero((keys[at] == g) & (doc[:len(g)] == doc[size - 1:]))
-            yield doc[place], place, g[place], size
+def seeds(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word's place in it, hash) of all seeds of a slice, in order."""
+    count = np.diff(first)
+    doc = np.repeat(np.arange(len(count)), count)
+    out = []
+    for size in range(1, n + 1):
+        g = _grams(h, size)
+        if len(g):
+            whole = doc[:len(g)] == doc[size - 1:]
+            place = np.flatnonzero(whole & (count[doc[:len(g)]] == size) if size < n else whole)
+            out.append((doc[place], place - first[doc[place]], g[place]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, U)
+    doc, place, g = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(doc, kind="stable")
+    return doc[order], place[order], g[order]
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -112,12 +106,12 @@ def most_matches(item: np.ndarray, passage: np.ndarray) -> int:
     return int(min(np.isin(item, passage).sum(), np.isin(passage, item).sum()))
 
 
-def _windows(diagonals: set[int], length: int, limit: int) -> list[tuple[int, int]]:
-    """Passages around hits (document word less item word) of one item in one document; overlapping ones are joined."""
+def windows(spans: list[tuple[int, int]], length: int, limit: int) -> list[tuple[int, int]]:
+    """Passages around the diagonals (document word less item word) first to last of each span; overlapping ones are joined."""
     pad = length // 2 + 2
-    spans = sorted((max(0, d - pad), min(limit, d + length + pad)) for d in diagonals)
-    out = [spans[0]]
-    for b, e in spans[1:]:
+    around = sorted((max(0, lo - pad), min(limit, hi + length + pad)) for lo, hi in spans)
+    out = [around[0]]
+    for b, e in around[1:]:
         if b <= out[-1][1]:
             out[-1] = out[-1][0], max(e, out[-1][1])
         else:
@@ -125,58 +119,118 @@ def _windows(diagonals: set[int], length: int, limit: int) -> list[tuple[int, in
     return out
 
 
-def _find(items: Items, threshold: float, n: int):
+def best_passage(item: np.ndarray, text: np.ndarray, spans: list[tuple[int, int]], threshold: float) -> tuple[float, int, int]:
+    best = (0.0, 0, 0)
+    for b, e in windows(spans, len(item), len(text)):
+        if most_matches(item, text[b:e]) / len(item) >= threshold:
+            score, x, y = smith_waterman(item, text[b:e])
+            if score / (2 * len(item)) > best[0]:
+                best = (score / (2 * len(item)), b + x, b + y)
+    return best
+
+
+def _item_rows(n: int):
+    """(item_id, text) to the item's words and seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, size, data, offsets in text_slices(batch, "text"):
+                h, first = _words(data, offsets)
+                doc, _, g = seeds(h, first, n)
+                ends = np.searchsorted(doc, np.arange(size + 1)).astype(np.int32)
+                raw = h.tobytes()
+                words_of = [raw[8 * a:8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(g.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), pa.array(words_of, pa.binary()), lists], ["item_id", "words", "seeds"])
+
+    return run
+
+
+def _candidates(bits: np.ndarray, n: int):
+    """(t1, t2, text) to the seeds whose bit is set: (t1, t2, h, places), one row for each distinct seed of a text."""
+    mask = U(8 * len(bits) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = []
             for at, _, data, offsets in text_slices(batch, "text"):
                 h, first = _words(data, offsets)
-                found: dict[tuple[int, int], set[int]] = defaultdict(set)
-                for doc, place, seed, size in items.hits(h, first):
-                    for d, p, g in zip(doc.tolist(), place.tolist(), seed.tolist(), strict=True):
-                        for item, i in items.places[size, g]:
-                            found[d, item].add(p - int(first[d]) - i)
-                for (d, item), diagonals in found.items():
-                    own, text = items.words[item], h[first[d]:first[d + 1]]
-                    if len(own) < n:
-                        best = (1.0, min(diagonals), min(diagonals) + len(own))
-                    else:
-                        best = (0.0, 0, 0)
-                        for b, e in _windows(diagonals, len(own), len(text)):
-                            if most_matches(own, text[b:e]) / len(own) < threshold:
-                                continue
-                            score, x, y = smith_waterman(own, text[b:e])
-                            if score / (2 * len(own)) > best[0]:
-                                best = (score / (2 * len(own)), b + x, b + y)
-                    if best[0] >= threshold:
-                        out.append((ids[at + d], items.ids[item], *best))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "score", "begin_word", "end_word"])
+                doc, place, g = seeds(h, first, n)
+                bit = (g & mask).astype(np.int64)
+                hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                doc, place, g = doc[hit], place[hit], g[hit]
+                order = np.lexsort((place, g, doc))
+                doc, place, g = doc[order], place[order], g[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
+                heads = np.flatnonzero(new)
+                rows = pa.array(doc[heads] + at)
+                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(doc)).astype(np.int32)), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(g[heads].view(np.int64)), places], ["t1", "t2", "h", "places"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _align(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, n, data, offsets in text_slices(batch, "text"):
+                h, first = _words(data, offsets)
+                for d in range(n):
+                    text = h[first[d]:first[d + 1]]
+                    for item in batch.column(4)[at + d].as_py():
+                        spans = [(p - x["hi"], p - x["lo"]) for x in item["hits"] for p in x["places"]]
+                        best = best_passage(np.frombuffer(item["words"], U), text, spans, threshold)
+                        if best[0] >= threshold:
+                            out.append((at + d, item["item_id"], *best))
+            rows = pa.array([r[0] for r in out], pa.int64())
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            found = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *found], ["doc_id", "t1", "t2", "item_id", "score", "begin_word", "end_word"])
+
+    return run
+
+
+def _bitmap(table: DataFrame, seed: str) -> np.ndarray:
+    """Bytes of a map with a bit for every seed, 16 times as many bits as seeds but no more than MAP_BITS."""
+    size = min(MAP_BITS, 1 << max(10, (16 * table.count()).bit_length()))
+    bit = F.col(seed).bitwiseAND(F.lit(size - 1))
+    cells = table.select(bit.cast("int").alias("bit")).groupBy(F.shiftright("bit", 3).alias("cell")).agg(F.expr("bit_or(shiftleft(1, bit & 7))").alias("byte"))
+    packed = cells.groupBy(F.shiftright("cell", 8).alias("k")).agg(F.collect_list(F.struct("cell", "byte")).alias("c"))  # 256 bytes at most in each row
+    out = np.zeros(size // 8, np.uint8)
+    for r in packed.toLocalIterator():
+        for cell, byte in r["c"]:
+            out[cell] = byte
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, t1, t2 (key of the text), item_id, score, begin_word, end_word."""
+    texts = id_text(docs, id_col, text_col).where("text IS NOT NULL").select("doc_id", *text_key("text"), "text")
+    given = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text IS NOT NULL")
+    items = materialize(given.mapInArrow(_item_rows(n), "item_id long, words binary, seeds array<long>").where("size(seeds) > 0").distinct().withColumn("item", F.xxhash64("item_id", "words")), "leak-items")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # of a seed that an item repeats the first and last place are enough: the diagonals between them lie in one passage
+    table = items.select("item", F.posexplode("seeds").alias("at", "h")).groupBy("item", "h").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    bits = _bitmap(table.select("h").distinct(), "h")
+    held = texts.select("t1", "t2", "text").mapInArrow(_candidates(bits, n), "t1 long, t2 long, h long, places array<int>")
+    held = held.groupBy("t1", "t2", "h").agg(F.first("places").alias("places")).withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int"))
+    hits = held.join(table.select("*", salts), ["h", "salt"]).groupBy("t1", "t2", "salt", "item").agg(F.collect_list(F.struct("places", "lo", "hi")).alias("hits"))
+    words_of = items.select("item", "item_id", "words", salts)
+    wanted = hits.join(words_of, ["item", "salt"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("items"))
+    schema = "doc_id long, t1 long, t2 long, item_id long, score double, begin_word long, end_word long"
+    return texts.join(wanted, ["t1", "t2"]).select("doc_id", "t1", "t2", "text", "items").mapInArrow(_align(threshold), schema)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """doc_id, item_id, score, begin_word, end_word: documents that hold a copy of an item, whole or edited."""
-    text = id_text(docs, id_col, text_col)
-    out = text.limit(0).selectExpr("doc_id", "doc_id AS item_id", "0D AS score", "0L AS begin_word", "0L AS end_word")
-    block: list[tuple[int, str]] = []
-    size = 0
-
-    def close() -> DataFrame:
-        return text.mapInArrow(_find(Items(block, n), threshold, n), SCHEMA)
-
-    for r in benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[item_text_col].cast("string").alias("t")).where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        size += len(r["t"].split())
-        if size >= block_words:
-            out = out.unionByName(close())
-            block, size = [], 0
-    return out.unionByName(close()) if block else out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of ``docs`` without those whose document holds a test item."""
-    bad = contaminated(docs, benchmark, id_col, **more).select("doc_id").distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
+    return find(docs, benchmark, id_col, **more).drop("t1", "t2")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no test item; ids play no part, other columns are returned as they are."""
+    bad = find(docs, benchmark, id_col, text_col, **more).select("t1", "t2").distinct()
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    keyed = rows.select("*", *text_key(names[docs.columns.index(text_col)]))
+    return keyed.join(bad, ["t1", "t2"], "left_anti").select(*names).toDF(*docs.columns)

@@ -58,14 +58,12 @@ def test_edits_odd_rows_and_blocks(spark):
                 copy[at] = word()
             w[50:50] = copy[:12] + [word()] + copy[12:]
         rows.append((i, ", ".join(w)))
-    rows += [(500, None), (501, ""), (502, "some two, words"), (503, "up LOW ünï"), (504, "x " * 100_000 + items[3][1]), (505, items[5][1]), (505, items[5][1]), (None, items[6][1])]
+    rows += [(500, None), (501, ""), (502, "some two, words"), (503, "up LOW ünï"), (504, "x " * 100_000 + items[3][1]), (505, items[5][1]), (505, items[5][1]), (506, "(TWO, words.)"), (None, items[6][1])]
     docs = spark.createDataFrame([(*r, 1.0, 3) for r in rows], "doc_id long, text string, score double, item_id int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.item_id) for r in dc.contaminated(docs, bench).collect())
-    want = sorted([(i, i % 40) for i in range(0, 400, 4)] + [(502, 92), (503, 93), (504, 3), (505, 5), (505, 5), (-1, 6)])
+    want = sorted([(i, i % 40) for i in range(0, 400, 4)] + [(503, 93), (504, 3), (505, 5), (505, 5), (506, 92), (-1, 6)])
     assert got == want
-    small = sorted(((-1 if r.doc_id is None else r.doc_id), r.item_id) for r in dc.contaminated(docs, bench, block_words=300).collect())
-    assert small == want
     kept = dc.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - len(want)
     assert dc.contaminated(docs.limit(0), bench).count() == 0 and dc.contaminated(docs, bench.limit(0)).count() == 0
@@ -93,3 +91,22 @@ def test_bound_of_matches():
     for _ in range(300):
         a, b = (np.array([rnd.randrange(6) for _ in range(rnd.randrange(1, 15))], np.uint64) for _ in range(2))
         assert dc.smith_waterman(a, b)[0] <= 2 * dc.most_matches(a, b)
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    leak = " ".join(f"item{i}" for i in range(12))
+    rows = [(None, leak, 1), (None, "a clean text of no item", 2), (7, leak, 3), (7, "another clean text", 4), (7, None, 5), (8, "the", 6), (8, "the cat and the dog", 7), (9, "", 8)]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, n long, t1 int, items int").repartition(2)
+    bench = spark.createDataFrame([(1, leak), (1, leak), (2, "the"), (3, "the cat")], "item_id long, text string")
+    assert {r.n for r in dc.drop_contaminated(docs, bench).collect()} == {2, 4, 5, 7, 8}
+    assert sorted((r.doc_id or 0, r.item_id, r.score) for r in dc.contaminated(docs, bench).collect()) == [(0, 1, 1.0), (7, 1, 1.0), (8, 2, 1.0)]
+
+
+def test_repeated_seeds_of_item_and_text(spark):
+    item = ("tick tock " * 8 + "boom goes the clock ") * 3
+    rows = [(1, "x y z " + item + " end"), (2, "tick tock " * 500), (3, "boom goes the clock " * 4)]
+    number: dict[str, int] = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in split(t)], np.uint64)
+    got = {r.doc_id: r.score for r in dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    score = {i: dc.smith_waterman(code(item), code(t))[0] / (2 * len(code(item))) for i, t in rows}
+    assert got == {i: s for i, s in score.items() if s >= dc.THRESHOLD} and 1 in got
