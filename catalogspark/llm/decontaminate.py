@@ -217,7 +217,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     held = held.groupBy("t1", "t2", "h").agg(F.first("places").alias("places")).withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int"))
     hits = held.join(table.select("*", salts), ["h", "salt"]).groupBy("t1", "t2", "salt", "item").agg(F.collect_list(F.struct("places", "lo", "hi")).alias("hits"))
     words_of = items.select("item", "item_id", "words", salts)
-    wanted = hits.join(words_of, ["item", "salt"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("items"))
+    grouped = hits.join(words_of, ["item", "salt"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("items"))
+    wanted = materialize(grouped, "leak-candidates")  # a plain table: the join below may then split the copies of one text
     schema = "doc_id long, t1 long, t2 long, item_id long, score double, begin_word long, end_word long"
     return texts.join(wanted, ["t1", "t2"]).select("doc_id", "t1", "t2", "text", "items").mapInArrow(_align(threshold), schema)
 
