@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.llm.common import delete_path, materialize, materialize_at, new_path
 
-FILE_BYTES, DATE = 32 << 20, "2024-01-01T00:00:00Z"
+FILE_BYTES, DATE = 16 << 20, "2024-01-01T00:00:00Z"
 RANGE_BITS, FAN_BITS = 16, 4
 _END = "\r\n\r\n"
 INDEX = "file long, nth long, offset long, length long, page_id long, record_id string, copy long, hash string"
@@ -99,7 +99,7 @@ def _read(with_record: bool):
                     if with_record:
                         texts.append(data[a:b - 4].decode("utf-8", "replace"))
                         held += b - a
-                    if len(rows) >= 4096 or held >= 4 << 20:
+                    if len(rows) >= 1024 or held >= 1 << 20:
                         yield _batch(rows, texts, with_record)
                         rows, texts, held = [], [], 0
                 if rows:
