@@ -1,20 +1,22 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all texts as they come, whatever their labels, are the unlabelled ones.  A linear
+Confirmed toxic texts are the positives; texts as they come, whatever their labels, are the unlabelled ones.  A linear
 classifier over words and word beginnings minimises the class-prior-corrected risk
 
     prior * E_pos[loss(g)] + max(0, E_unl[loss(-g)] - prior * E_pos[loss(-g)])
 
 with numpy; while the second term is below zero its gradient is reversed, so the model cannot fit it away.  The prior
-is the share of toxic rows among the labels that may be learned from.
+is the share of toxic rows among all labels that may be learned from.
 
-Fitting uses at most ``positives`` + ``unlabelled`` documents, those with the lowest hash of their id (documented
-bounds; nothing else is sampled).  Only they and the model (``features`` weights) reach the driver.  Every document is
-scored whole.
+Fitting uses at most ``positives`` + ``unlabelled`` labelled rows outside the held-out fold, those with the lowest hash
+of their id (documented bounds; nothing else is sampled).  Their features are counted in Spark; the ``features`` with
+the highest lower bound of their excess in positives are kept, however small the sample.  Only these rows' hits on them
+(at most ``features`` small numbers a row) and the model reach the driver.  Every document is scored whole.
 
 Defined results: a null or empty text has the score of a text without features; without any positive label to learn
 from every score is 0; rows that repeat an id are scored each; a null id is in fold 0 of crc32('') and never used to
-learn; label, language, source and id never are features; an empty table gives an empty result.
+learn; label, language, source and id never are features; very long texts are learned from and scored whole; other
+columns, whatever their names, are kept by ``drop_toxic`` and not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.common import id_text, text_slices
+from catalogspark.llm.common import delete_path, id_text, materialize_at, text_slices
 from catalogspark.llm.shingles import U, mix, word_hashes, words
 
 #: Bytes of a longer word that make a beginning, each a feature of its own: insults are often stems with many endings.
@@ -73,35 +75,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, least: int = 4, sigmas: float = 7.0) -> np.ndarray:
-    """Hashes that are in positives far more often than their rate among the unlabelled explains, the clearest first."""
-    keys, count = np.unique(np.concatenate(positive), return_counts=True)
-    keys, count = keys[count >= least], count[count >= least]
-    base = np.zeros(len(keys))
-    other = np.concatenate(unlabelled) if unlabelled else np.zeros(0, U)
-    at = np.searchsorted(keys, other)
-    ok = at < len(keys)
-    ok[ok] = keys[at[ok]] == other[ok]
-    np.add.at(base, at[ok], 1)
-    rate = (base + 0.5) / (len(unlabelled) + 1)
-    expected = len(positive) * rate
-    excess = (count - expected) / np.sqrt(expected * (1 - np.minimum(rate, 0.99)) + 0.25)
-    good = (excess >= sigmas) & (count >= 2 * expected)
-    best = np.lexsort((keys, -excess))
-    return np.sort(keys[best[good[best]]][:features])
-
-
-def nn_pu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk with the logistic loss."""
+def excess(pos: Column, unl: Column, n_pos: int, n_unl: int) -> Column:
+    """Lower bound (two standard errors) of the log of a feature's rate in positives over its rate in unlabelled texts."""
+    rate = lambda c, n: (c + 0.5) / F.lit(n + 1.0)
+    return F.log(rate(pos, n_pos) / rate(unl, n_unl)) - 2 * F.sqrt(1 / (pos + 0.5) - F.lit(1 / (n_pos + 1.0)) + 1 / (unl + 0.5) - F.lit(1 / (n_unl + 1.0)))
+
+
+def nn_pu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 4e-5, tolerance: float = 1e-7) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk with the logistic loss; equal rows count once, with their number."""
     k = x_pos.shape[1]
+    (x_pos, n_p), (x_unl, n_u) = (np.unique(x, axis=0, return_counts=True) if len(x) else (x, np.zeros(0)) for x in (x_pos, x_unl))
+    w_pos, w_unl = n_p / max(1, n_p.sum()), n_u / max(1, n_u.sum())
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    n_pos, n_unl = len(x_pos), max(1, len(x_unl))
+    along = lambda x, w: np.append(x.T @ w, w.sum())
+    best, since = np.inf, 0
     for t in range(1, steps + 1):
         g_pos, g_unl = x_pos @ theta[:k] + theta[k], x_unl @ theta[:k] + theta[k]
-        negative = np.logaddexp(0, g_unl).sum() / n_unl - prior * np.logaddexp(0, g_pos).mean()
-        d_neg = np.append(x_unl.T @ sigmoid(g_unl), sigmoid(g_unl).sum()) / n_unl - prior * np.append(x_pos.T @ sigmoid(g_pos), sigmoid(g_pos).sum()) / n_pos
-        d_pos = -prior * np.append(x_pos.T @ sigmoid(-g_pos), sigmoid(-g_pos).sum()) / n_pos
+        negative = w_unl @ np.logaddexp(0, g_unl) - prior * (w_pos @ np.logaddexp(0, g_pos))
+        risk = prior * (w_pos @ np.logaddexp(0, -g_pos)) + max(0.0, negative) + l2 / 2 * (theta[:k] @ theta[:k])
+        best, since = (risk, 0) if risk < best - tolerance else (best, since + 1)
+        if since > 60:
+            break
+        d_neg = along(x_unl, w_unl * sigmoid(g_unl)) - prior * along(x_pos, w_pos * sigmoid(g_pos))
+        d_pos = -prior * along(x_pos, w_pos * sigmoid(-g_pos))
         grad = d_pos + d_neg if negative >= 0 else -d_neg
         grad[:k] += l2 * theta[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -110,53 +107,69 @@ def nn_pu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 1000,
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, positive, unlabelled) to the distinct features of each text."""
     for batch in batches:
-        for at, n, data, offsets in text_slices(batch, "text"):
+        for at, n, data, offsets in text_slices(batch, "text", 1 << 18):
             doc, h = features_of(data, offsets)
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             new = np.ones(len(h), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
             doc, h = doc[new], h[new]
-            bounds = np.searchsorted(doc, np.arange(n + 1))
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, n), pa.array([raw[8 * a:8 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["positive", "features"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, n), batch.column(3).slice(at, n), lists], ["positive", "unlabelled", "features"])
+
+
+def _hits(keys: np.ndarray):
+    """Features to the numbers of those that are keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(2)
+            h = col.flatten().to_numpy().view(U)
+            row = np.repeat(np.arange(len(col)), col.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.searchsorted(keys, h)
+            at[at == len(keys)] = 0
+            hit = keys[at] == h
+            ends = np.searchsorted(row[hit], np.arange(len(col) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], ["positive", "unlabelled", "at"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 4000, unlabelled: int = 8000, features: int = 512) -> Model:
-    """A model from the labels outside the held-out fold and a bounded sample of other texts of these folds."""
-    text = id_text(docs, id_col, text_col)
+    """A model from a bounded sample of the labelled rows outside the held-out fold."""
+    spark, text = docs.sparkSession, id_text(docs, id_col, text_col)
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     toxic, total = known.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.lit(1))).first()
     nothing = Model(np.zeros(0, U), np.zeros(0), -30.0)
     if not toxic:
         return nothing
     prior = min(0.9, max(0.001, toxic / total))
-    order = F.xxhash64("doc_id")
-    pos = known.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
+    ids = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    take = lambda rows, n: rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # the risk wants unlabelled texts as they come, toxic ones among them at the prior's rate
-    unl = text.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled)
-    chosen = pos.select("doc_id", F.lit(1).alias("positive")).unionByName(unl.select("doc_id", F.lit(0).alias("positive")))  # at most positives + unlabelled rows
-    sample = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive").mapInArrow(_featurise, "positive int, features binary")
-    got: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for r in sample.toLocalIterator():
-        got[r.positive].append(np.frombuffer(r.features, U))
-    if not got[1]:
+    chosen = take(ids.where("toxic"), positives).withColumn("positive", F.lit(True)).join(take(ids, unlabelled).withColumn("unlabelled", F.lit(True)), "doc_id", "full_outer")
+    chosen = chosen.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("positive", "unlabelled")))  # at most positives + unlabelled rows
+    sample, path = materialize_at(text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive", "unlabelled").mapInArrow(_featurise, "positive boolean, unlabelled boolean, features array<long>"), "toxicity-sample")
+    n_pos, n_unl = sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
+    counts = sample.select("positive", "unlabelled", F.explode("features").alias("h")).groupBy("h").agg(F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u"))
+    ranked = counts.where("p > 1").select("h", excess(F.col("p"), F.col("u"), n_pos, n_unl).alias("e")).orderBy(F.desc("e"), "h").limit(features)
+    keys = np.sort(np.array([r.h for r in ranked.collect()], np.int64).view(U))
+    if not n_pos or not len(keys):
+        delete_path(spark, path)
         return nothing
-    keys = choose_features(got[1], got[0], features)
-    if not len(keys):
-        return nothing
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), len(keys)), np.float32)
-        for i, h in enumerate(rows):
-            at = np.searchsorted(keys, h)
-            ok = at < len(keys)
-            ok[ok] = keys[at[ok]] == h[ok]
-            out[i, at[ok]] = 1
+    rows = sample.mapInArrow(_hits(keys), "positive boolean, unlabelled boolean, at array<int>").collect()
+    delete_path(spark, path)
+
+    def matrix(kind: str) -> np.ndarray:
+        mine = [r.at for r in rows if r[kind]]
+        out = np.zeros((len(mine), len(keys)), np.float32)
+        for i, at in enumerate(mine):
+            out[i, at] = 1
         return out
 
-    weights, bias = nn_pu(matrix(got[1]), matrix(got[0]), prior)
+    weights, bias = nn_pu(matrix("positive"), matrix("unlabelled"), prior)
     return Model(keys, weights, bias)
 
 

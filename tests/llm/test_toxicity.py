@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from catalogspark.llm import toxicity as tx
 
@@ -17,14 +18,16 @@ def auc(score, label):
     return (rank[label == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
 
 
-def test_held_out_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+@pytest.mark.parametrize("sf,least,found,wrong", [("sf0.001", 0.9, 0.5, 0.1), ("sf0.01", 0.9, 0.6, 0.03), ("sf0.1", 0.96, 0.85, 0.01)])
+def test_held_out_accuracy(spark, sf, least, found, wrong):
+    """Some of the labels are noise: toxic rows without any telling word."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
     model = tx.fit(docs, labels)
     rows = tx.score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
     y, s = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
-    assert auc(s, y) > 0.94
-    assert (s[y == 1] >= 0.5).mean() > 0.9 and (s[y == 0] >= 0.5).mean() < 0.03
+    assert auc(s, y) > least and len({*s.round(6)}) > 10
+    assert (s[y == 1] >= 0.5).mean() > found and (s[y == 0] >= 0.5).mean() < wrong
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
@@ -60,3 +63,22 @@ def test_risk_never_rewards_negative_part():
     more = rng.random((60, 6)) < [0.9, 0.8, 0.5, 0.5, 0.5, 0.5]
     w, b = tx.nn_pu(pos.astype(float), np.concatenate([neg, more]).astype(float), 60 / 460)
     assert ((more @ w + b) > 0).mean() > 0.6 and ((neg @ w + b) > 0).mean() < 0.05
+
+
+def test_fit_reaches_the_least_risk():
+    """Against the risk written out on its own: no step in any direction lowers it much."""
+    rng = np.random.default_rng(2)
+    pos = (rng.random((80, 3)) < [0.8, 0.3, 0.1]).astype(float)
+    unl = (rng.random((500, 3)) < [0.15, 0.3, 0.3]).astype(float)
+    prior, l2 = 0.1, 0.01
+
+    def risk(theta):
+        g = lambda x: x @ theta[:3] + theta[3]
+        loss = lambda z: np.mean(np.log1p(np.exp(-z)))
+        return prior * loss(g(pos)) + max(0, loss(-g(unl)) - prior * loss(-g(pos))) + l2 / 2 * (theta[:3] ** 2).sum()
+
+    w, b = tx.nn_pu(pos, unl, prior, steps=3000, l2=l2)
+    at = np.append(w, b)
+    for _ in range(200):
+        assert risk(at + rng.normal(0, 0.05, 4)) > risk(at) - 1e-4
+    assert risk(at) < risk(np.zeros(4))
