@@ -1,8 +1,8 @@
 """Shared helpers: the cluster's shared folder, tables that cut lineage, and slicing of Arrow batches.
 
 Tables that cut lineage are written as Parquet below ``spark.checkpoint.dir``, so that a lost executor costs a
-re-read and not a re-run.  The setting is read from the session; only where it is unset (local tests) a temporary
-folder is used.
+re-read and not a re-run.  The setting is read from the session; only on a local master, as in tests, may it be unset:
+then a temporary folder is used.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
@@ -53,6 +55,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of one run in a folder of their own below the shared one; ``drop`` deletes them once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, new_path(spark, label)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        delete_path(self.spark, self.root)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs; other columns, whatever their names, cannot clash."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -85,7 +101,3 @@ def text_slices(batch: pa.RecordBatch, text_col: str, limit: int = 2 << 20) -> I
         end = min(n, max(end, row + 1))
         yield row, end - row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
-
-
-def pmod_hash(n: int, *cols: str) -> F.Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

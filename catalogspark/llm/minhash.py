@@ -9,17 +9,21 @@ Steps, all exact after banding:
 1. Documents with equal shingle sets form a class; only one row of each (its smallest id) goes on.
 2. Classes that share a band of the signature form buckets.  Each bucket compares its members with its smallest one
    on their full sets; links found so far are grouped.
-3. Buckets whose members are still in several groups compare members of different groups, again on full sets.  A
-   bucket of more than ``block`` members is cut into blocks and each pair of blocks is a task of its own, so nothing
-   is capped and no task holds an unbounded group.
-4. Links are grouped by union-find inside partitions, then by rounds of smallest-neighbour linking between them.
+3. Buckets whose members are still in several groups open their members to an exact search that needs no bucket: in one
+   order of all shingles, rare ones first (by a table of ``CELLS`` counts, the only thing that is sent to every task),
+   two sets alike to 0.75 have a shingle in common among the first quarter of each.  Holders of such a shingle compare
+   themselves with its smallest holder, and are grouped again.
+4. Only shingles whose holders are still in several groups compare holders of different groups, again on full sets.
+   Holders with more than ``block_bytes`` of sets are cut into blocks and each pair of blocks is a task of its own, so
+   nothing is capped and no task holds an unbounded group.
+5. Links are grouped by union-find inside partitions, then by rounds of smallest-neighbour linking between them.
 
 With 32 bands of 4 registers a pair at exactly 0.75 shares no band with probability 5e-6.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is kept; equal texts are one
 class; of a group the smallest id is kept; rows that repeat an id are one document, with the links of all its
-texts and the largest set size; a null id keeps its own class under id null and is never linked; an empty table gives
-an empty result.
+texts and the largest set size; a null id keeps its own class under id null and is never linked; very long texts are
+read whole; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.common import id_text, materialize, text_slices
+from catalogspark.llm.common import Scratch, id_text, materialize, text_slices
 from catalogspark.llm.shingles import U, mix, shingle_sets
 from catalogspark.llm.unionfind import components
 
 REGISTERS, ROWS = 128, 4
+CELLS, BLOCK_BYTES = 1 << 16, 4 << 20
 
 
 def superminhash(h: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -142,6 +147,37 @@ def _star(percent: int):
     return run
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets to how many of their shingles fall into each cell."""
+    n = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            n += np.bincount((np.frombuffer(x.as_py(), U) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
+
+
+def prefix(h: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles, rare cells first, of which two sets that are alike enough have one in common."""
+    size = len(h) + (-percent * len(h)) // 100 + 1
+    return h[np.lexsort((h, count[(h & U(CELLS - 1)).astype(np.int64)]))[:size]]
+
+
+def _prefixes(count: np.ndarray, percent: int):
+    """(rep, grp, set) to (h, rep, grp, n) of each shingle of the prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), U) for x in batch.column(2)]
+            made = [prefix(h, count, percent) for h in sets]
+            row = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
+            h = np.concatenate(made) if made else np.zeros(0, U)
+            n = pa.array(np.array([len(x) for x in sets], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), n.take(row)], ["h", "rep", "grp", "n"])
+
+    return run
+
+
 def link_bucket(ids: np.ndarray, group: np.ndarray, half: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between members of different groups, as far as they join groups.
 
@@ -178,7 +214,7 @@ def link_bucket(ids: np.ndarray, group: np.ndarray, half: np.ndarray, sets: list
 
 
 def _rest(percent: int):
-    """Rows sorted by bucket: (bucket, rep, group, half, set); yields links that join groups."""
+    """Rows sorted by shingle and blocks: (h, p, q, rep, group, half, set); yields links that join groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -209,51 +245,72 @@ def _rest(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, registers: int = REGISTERS, rows: int = ROWS, block: int = 1024) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    text = id_text(docs, id_col, text_col)
-    signed = materialize(
-        text.mapInArrow(_sign(size, registers, rows), "doc_id long, n long, digest binary, bands array<long>"), "minhash-signed"
-    )
-    classes = (
-        signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select(F.col("r.doc_id").alias("rep"), "r.n", "r.bands")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
+    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b"))
+    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_star(percent), "a long, b long")
+
+
+def _regrouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (rep, ...) with the group of each rep: its own id if no link is known."""
+    return rows.join(groups, rows["rep"] == groups["node"], "left").select(*rows.columns, F.coalesce("label", "rep").alias("grp"))
+
+
+def _open_links(open_: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch, percent: int, block_bytes: int) -> DataFrame:
+    """Further links between the sets of open_ (rep, grp, hashes), so that every pair that is alike is connected."""
+    count = np.zeros(CELLS, np.int64)
+    for r in open_.select("hashes").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        count[r["cell"]] = r["n"]
+    firsts = scratch.table(open_.select("rep", "grp", "hashes").mapInArrow(_prefixes(count, percent), "h long, rep long, grp long, n long"), "prefixes")
+    keys = firsts.groupBy("h").agg(F.min(F.struct("rep", "grp", "n")).alias("lead"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("h", "lead")
+    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    led = firsts.join(keys, "h").where((F.col("grp") != F.col("lead.grp")) & fits).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    second = scratch.table(_verified(led, sets, percent), "second")
+    groups = components(links.unionByName(second))
+
+    again = scratch.table(_regrouped(firsts.join(keys.select("h"), "h", "left_semi").drop("grp"), groups), "regrouped")
+    wide = again.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("holders")).where("lo < hi AND holders > 2")
+    blocks = F.ceil(F.col("size") * 8 / block_bytes).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = (
+        again.join(wide.select("h", blocks.alias("blocks")), "h")
+        .select("h", "rep", "grp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        .select("h", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q"), "rep", "grp", F.when(F.col("mine") == F.col("with"), 0).otherwise(F.when(F.col("mine") < F.col("with"), 1).otherwise(2)).alias("half"))
     )
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rest = placed.join(open_.select("rep", "hashes"), "rep").select("h", "p", "q", "rep", "grp", "half", "hashes").repartition(parts, "h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_rest(percent), "a long, b long")
+    return second.unionByName(scratch.table(rest, "third"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, registers: int = REGISTERS, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    text, scratch = id_text(docs, id_col, text_col), Scratch(docs.sparkSession, "minhash")
+    signed = materialize(text.mapInArrow(_sign(size, registers, rows), "doc_id long, n long, digest binary, bands array<long>"), "minhash-signed")
+    solid = signed.where("n > 0 AND doc_id IS NOT NULL")
+    classes = solid.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select(F.col("r.doc_id").alias("rep"), "r.bands")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialize(banded.join(shared, "bucket"), "minhash-members")
+    members = scratch.table(banded.join(shared.select("bucket", "leader"), "bucket"), "members")
 
     reps = members.select("rep").distinct()
-    sets = materialize(text.join(reps, text["doc_id"] == reps["rep"], "left_semi").distinct().mapInArrow(_sets(size), "rep long, hashes binary"), "minhash-sets")
-    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b"))
+    sets = scratch.table(text.join(reps, text["doc_id"] == reps["rep"], "left_semi").distinct().mapInArrow(_sets(size), "rep long, hashes binary"), "sets")
     star = members.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = materialize(star.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_star(percent), "a long, b long"), "minhash-star")
-    groups = components(first)
-
-    grouped = members.join(groups, members["rep"] == groups["node"], "left").select("bucket", "rep", "members", F.coalesce("label", "rep").alias("grp"))
-    open_ = grouped.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("bucket")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    placed = (
-        grouped.join(open_, "bucket", "left_semi")
-        .select("bucket", "rep", "grp", blocks.alias("blocks"), mine.alias("mine"))
-        .select("bucket", "rep", "grp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        .select("bucket", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q"), "rep", "grp", F.when(F.col("mine") == F.col("with"), 0).otherwise(F.when(F.col("mine") < F.col("with"), 1).otherwise(2)).alias("half"))
-    )
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rest = (
-        placed.join(sets, "rep")
-        .select("bucket", "p", "q", "rep", "grp", "half", "hashes")
-        .repartition(parts, "bucket", "p", "q")
-        .sortWithinPartitions("bucket", "p", "q")
-        .mapInArrow(_rest(percent), "a long, b long")
-    )
-    second = materialize(rest, "minhash-rest")
-    final = components(first.unionByName(second))
-
-    of_class = classes.join(final, classes["rep"] == final["node"], "left").select("rep", F.coalesce("label", "rep").alias("label"))
-    heads = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(of_class, "rep").select("digest", "label")
-    tagged = signed.select("doc_id", "n", "digest").join(heads, "digest", "left")
-    return tagged.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("label", "doc_id")).alias("component_id")).select(
+    links = scratch.table(_verified(star, sets, percent), "first")
+    final = components(links)
+
+    grouped = _regrouped(members.select("bucket", "rep"), final)
+    several = grouped.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("bucket")
+    loose = grouped.join(several, "bucket", "left_semi").select("rep", "grp").distinct()
+    open_ = scratch.table(sets.join(loose, "rep").select("rep", "grp", "hashes"), "open")
+    if not open_.isEmpty():
+        final = components(links.unionByName(_open_links(open_, sets, links, scratch, percent, block_bytes)))
+    scratch.drop()
+
+    heads = solid.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    labels = heads.join(final, heads["rep"] == final["node"], "left").select("digest", F.coalesce("label", "rep").alias("label"))
+    tagged = signed.where("n > 0").select("doc_id", "n", "digest").join(labels, "digest", "left").select("doc_id", "n", "label")
+    blank = signed.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("label"))  # equal, but linked with nothing
+    return tagged.unionByName(blank).groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("label", "doc_id")).alias("component_id")).select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

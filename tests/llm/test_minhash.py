@@ -64,7 +64,7 @@ def test_chain_of_edits_and_odd_texts(spark):
         rows.append((i, " ".join(w)))
     rows += [(200, None), (201, ""), (202, " \n\t"), (203, "one two"), (204, "ONE  two\n"), (205, "one two three"), (206, "ä" * 70_000), (207, " ".join(base * 200)), (208, rows[3][1])]
     check(spark, rows)
-    check(spark, rows, block=8)
+    check(spark, rows, block_bytes=4000)
 
 
 def test_repeated_rows_and_null_id(spark):
@@ -102,3 +102,29 @@ def test_shingles_of_bytes():
 def test_no_words_no_shingles(n):
     _, bounds = shingle_sets(np.frombuffer(b" \n" * n, np.uint8), np.array([0, n, 2 * n]), 5)
     assert list(bounds) == [0, 0, 0]
+
+
+def test_prefixes_of_like_sets_meet():
+    rnd = np.random.default_rng(8)
+    count = rnd.integers(0, 5, minhash.CELLS)
+    for _ in range(400):
+        pool = np.unique(rnd.integers(0, 2**63, 60, dtype=np.uint64))
+        a = np.sort(rnd.permutation(pool)[: rnd.integers(1, 60)])
+        b = np.sort(np.unique(np.concatenate([rnd.permutation(a)[: rnd.integers(1, len(a) + 1)], rnd.permutation(pool)[: rnd.integers(0, 12)]])))
+        if minhash.similar(len(np.intersect1d(a, b)), len(a), len(b), 75):
+            assert len(np.intersect1d(minhash.prefix(a, count, 75), minhash.prefix(b, count, 75)))
+
+
+def test_many_documents_around_one_passage(spark):
+    """A passage that is over half of each document: buckets are full of pairs that aren't alike, and of some that are."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(240):
+        own = [word() for _ in range(rnd.choice([6, 12, 20, 30]))]
+        rows.append((i, " ".join(passage + own)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join([word(), *passage, *own[:-1]])))
+    check(spark, rows)
+    check(spark, rows, block_bytes=3000)
