@@ -9,14 +9,12 @@ Steps, all exact after banding:
 1. Documents with equal shingle sets form a class; only one row of each (its smallest id) goes on.
 2. Classes that share a band of the signature form buckets.  Each bucket compares its members with its smallest one
    on their full sets; links found so far are grouped.
-3. Buckets whose members are still in several groups open their members to an exact search that needs no bucket: in one
-   order of all shingles, rare ones first (by a table of ``CELLS`` counts, the only thing that is sent to every task),
-   two sets alike to 0.75 have a shingle in common among the first quarter of each.  Holders of such a shingle compare
-   themselves with its smallest holder, and are grouped again.
-4. Only shingles whose holders are still in several groups compare holders of different groups, again on full sets.
-   Holders with more than ``block_bytes`` of sets are cut into blocks and each pair of blocks is a task of its own, so
-   nothing is capped and no task holds an unbounded group.
-5. Links are grouped by union-find inside partitions, then by rounds of smallest-neighbour linking between them.
+3. Of buckets with more than two members, still in several groups, every member outside the leader's group is compared
+   with all members of other groups, again on full sets; of buckets with the same members one is enough.  Both sides
+   are cut into blocks of ``block_bytes`` and each pair of blocks is a task of its own that holds one of them, so nothing
+   is capped, no task holds an unbounded group, and where all but a few members are linked to the leader the work
+   grows with the members and not with their square.
+4. Links are grouped by union-find inside partitions, then by rounds of smallest-neighbour linking between them.
 
 With 32 bands of 4 registers a pair at exactly 0.75 shares no band with probability 5e-6.
 
@@ -41,7 +39,7 @@ from catalogspark.llm.shingles import U, mix, shingle_sets
 from catalogspark.llm.unionfind import components
 
 REGISTERS, ROWS = 128, 4
-CELLS, BLOCK_BYTES = 1 << 16, 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def superminhash(h: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -147,100 +145,56 @@ def _star(percent: int):
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets to how many of their shingles fall into each cell."""
-    n = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            n += np.bincount((np.frombuffer(x.as_py(), U) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
-
-
-def prefix(h: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles, rare cells first, of which two sets that are alike enough have one in common."""
-    size = len(h) + (-percent * len(h)) // 100 + 1
-    return h[np.lexsort((h, count[(h & U(CELLS - 1)).astype(np.int64)]))[:size]]
-
-
-def _prefixes(count: np.ndarray, percent: int):
-    """(rep, grp, set) to (h, rep, grp, n) of each shingle of the prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(x.as_py(), U) for x in batch.column(2)]
-            made = [prefix(h, count, percent) for h in sets]
-            row = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
-            h = np.concatenate(made) if made else np.zeros(0, U)
-            n = pa.array(np.array([len(x) for x in sets], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), n.take(row)], ["h", "rep", "grp", "n"])
-
-    return run
-
-
-def link_bucket(ids: np.ndarray, group: np.ndarray, half: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between members of different groups, as far as they join groups.
-
-    ``half`` is 0 inside one block; in a pair of blocks it tells the blocks apart and only pairs across are compared.
-    """
-    _, group = np.unique(group, return_inverse=True)
-    if group.max(initial=0) == 0:
-        return []
-    size = np.array([len(s) for s in sets])
-    values, element = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.concatenate([[0], np.cumsum(size)])
-    across = len(np.unique(half)) > 1
-    mark = np.zeros(len(values), np.int32)
-    out = []
-    for i in range(len(ids) - 1):
-        other = np.flatnonzero(group[i + 1:] != group[i]) + i + 1
-        if across:
-            other = other[half[other] != half[i]]
-        if not len(other):
-            continue
-        mine = element[begin[i]:begin[i + 1]]
-        mark[mine] = 1
-        run = np.concatenate([[0], np.cumsum(mark[element])]) if len(other) > 8 else None
-        if run is not None:
-            common = run[begin[other + 1]] - run[begin[other]]
-        else:
-            common = np.array([int(mark[element[begin[o]:begin[o + 1]]].sum()) for o in other])
-        mark[mine] = 0
-        for o in other[100 * common >= percent * (size[i] + size[other] - common)]:
-            if group[o] != group[i]:
-                out.append((int(ids[i]), int(ids[o])))
-                group[group == group[o]] = group[i]
-    return out
+class Probes:
+    """Some sets that others are compared with; ``groups`` says what is known to be linked already."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]], percent: int):
+        self.percent = percent
+        self.ids, self.group = [r[0] for r in rows], [r[1] for r in rows]
+        sets = [np.frombuffer(r[2], U) for r in rows]
+        self.size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, U)
+        order = np.argsort(flat, kind="stable")
+        self.value, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
+        self.root: dict[int, int] = {}
+
+    def find(self, g: int) -> int:
+        while (up := self.root.get(g, g)) != g:
+            g = up
+        return g
+
+    def links(self, rep: int, group: int, raw: bytes) -> list[tuple[int, int]]:
+        """Links of a set to probes of other groups, as far as they join groups."""
+        s = np.frombuffer(raw, U)
+        lo, hi = np.searchsorted(self.value, s, "left"), np.searchsorted(self.value, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.ids))
+        out = []
+        for i in np.flatnonzero((common > 0) & (100 * common >= self.percent * (self.size + len(s) - common))).tolist():
+            a, b = self.find(group), self.find(self.group[i])
+            if a != b:
+                self.root[a] = b
+                out.append((rep, self.ids[i]))
+        return out
 
 
 def _rest(percent: int):
-    """Rows sorted by shingle and blocks: (h, p, q, rep, group, half, set); yields links that join groups."""
+    """Rows (bucket, p, c, role, rep, group, set) sorted by the first four, probes (role 0) before the others; yields links that join groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def flush() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            held.sort(key=lambda r: r[0])
-            return link_bucket(np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held]), [np.frombuffer(r[3], U) for r in held], percent)
-
-        def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
+        now, held, probes = None, [], None
         for batch in batches:
             out = []
-            key = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            rest = [batch.column(i).to_pylist() for i in range(3, 7)]
-            for k, *row in zip(key, *rest, strict=True):
-                if k != now:
-                    out += flush()
-                    held, now = [], k
-                held.append(tuple(row))
-            if out:
-                yield made(out)
-        yield made(flush())
+            for *key, role, rep, group, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, held, probes = key, [], None
+                if role == 0:
+                    held.append((rep, group, raw))
+                    continue
+                probes = probes or Probes(held, percent)
+                out += probes.links(rep, group, raw)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
     return run
 
@@ -252,35 +206,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_star(percent), "a long, b long")
 
 
-def _regrouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows (rep, ...) with the group of each rep: its own id if no link is known."""
-    return rows.join(groups, rows["rep"] == groups["node"], "left").select(*rows.columns, F.coalesce("label", "rep").alias("grp"))
-
-
-def _open_links(open_: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch, percent: int, block_bytes: int) -> DataFrame:
-    """Further links between the sets of open_ (rep, grp, hashes), so that every pair that is alike is connected."""
-    count = np.zeros(CELLS, np.int64)
-    for r in open_.select("hashes").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        count[r["cell"]] = r["n"]
-    firsts = scratch.table(open_.select("rep", "grp", "hashes").mapInArrow(_prefixes(count, percent), "h long, rep long, grp long, n long"), "prefixes")
-    keys = firsts.groupBy("h").agg(F.min(F.struct("rep", "grp", "n")).alias("lead"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("h", "lead")
-    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    led = firsts.join(keys, "h").where((F.col("grp") != F.col("lead.grp")) & fits).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    second = scratch.table(_verified(led, sets, percent), "second")
-    groups = components(links.unionByName(second))
-
-    again = scratch.table(_regrouped(firsts.join(keys.select("h"), "h", "left_semi").drop("grp"), groups), "regrouped")
-    wide = again.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("holders")).where("lo < hi AND holders > 2")
-    blocks = F.ceil(F.col("size") * 8 / block_bytes).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = (
-        again.join(wide.select("h", blocks.alias("blocks")), "h")
-        .select("h", "rep", "grp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        .select("h", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q"), "rep", "grp", F.when(F.col("mine") == F.col("with"), 0).otherwise(F.when(F.col("mine") < F.col("with"), 1).otherwise(2)).alias("half"))
-    )
+def _open_links(grouped: DataFrame, sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links between members (bucket, rep, n, grp) of different groups of one bucket that comparing with its leader has left."""
+    key = F.xxhash64("rep")
+    known = grouped.groupBy("bucket").agg(F.min(F.struct("rep", "grp")).alias("lead"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("members"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 20)).alias("y"))
+    alone = known.where("lo < hi AND members > 2").groupBy("members", "x", "y").agg(F.min(F.struct("bucket", "lead")).alias("k")).select("k.bucket", F.col("k.lead.grp").alias("main"))
+    rows = grouped.join(alone, "bucket").withColumn("probe", F.col("grp") != F.col("main"))
+    blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(0)) * 8 / block_bytes).cast("int")
+    counts = rows.groupBy("bucket").agg(blocks(F.when(F.col("probe"), F.col("n"))).alias("ps"), blocks(F.col("n")).alias("cs"))
+    rows = rows.join(counts, "bucket")
+    mine, every = lambda n: F.pmod(key, F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = rows.where("probe").select("bucket", mine("ps").alias("p"), every("cs").alias("c"), F.lit(0).alias("role"), "rep", "grp")
+    others = rows.select("bucket", every("ps").alias("p"), mine("cs").alias("c"), F.lit(1).alias("role"), "rep", "grp")
     parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rest = placed.join(open_.select("rep", "hashes"), "rep").select("h", "p", "q", "rep", "grp", "half", "hashes").repartition(parts, "h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_rest(percent), "a long, b long")
-    return second.unionByName(scratch.table(rest, "third"))
+    placed = probes.unionByName(others).join(sets, "rep").select("bucket", "p", "c", "role", "rep", "grp", "hashes")
+    return placed.repartition(parts, "bucket", "p", "c").sortWithinPartitions("bucket", "p", "c", "role").mapInArrow(_rest(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, registers: int = REGISTERS, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -288,23 +228,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, scratch = id_text(docs, id_col, text_col), Scratch(docs.sparkSession, "minhash")
     signed = materialize(text.mapInArrow(_sign(size, registers, rows), "doc_id long, n long, digest binary, bands array<long>"), "minhash-signed")
     solid = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = solid.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select(F.col("r.doc_id").alias("rep"), "r.bands")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    classes = solid.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select(F.col("r.doc_id").alias("rep"), "r.n", "r.bands")
+    banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = scratch.table(banded.join(shared.select("bucket", "leader"), "bucket"), "members")
 
     reps = members.select("rep").distinct()
     sets = scratch.table(text.join(reps, text["doc_id"] == reps["rep"], "left_semi").distinct().mapInArrow(_sets(size), "rep long, hashes binary"), "sets")
     star = members.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.table(_verified(star, sets, percent), "first")
-    final = components(links)
-
-    grouped = _regrouped(members.select("bucket", "rep"), final)
-    several = grouped.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("bucket")
-    loose = grouped.join(several, "bucket", "left_semi").select("rep", "grp").distinct()
-    open_ = scratch.table(sets.join(loose, "rep").select("rep", "grp", "hashes"), "open")
-    if not open_.isEmpty():
-        final = components(links.unionByName(_open_links(open_, sets, links, scratch, percent, block_bytes)))
+    first = scratch.table(_verified(star, sets, percent), "first")
+    groups = components(first)
+    grouped = members.join(groups, members["rep"] == groups["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("grp"))
+    second = scratch.table(_open_links(scratch.table(grouped, "grouped"), sets, percent, block_bytes), "second")
+    final = groups if second.isEmpty() else components(first.unionByName(second))
     scratch.drop()
 
     heads = solid.groupBy("digest").agg(F.min("doc_id").alias("rep"))

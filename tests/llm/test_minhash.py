@@ -104,17 +104,6 @@ def test_no_words_no_shingles(n):
     assert list(bounds) == [0, 0, 0]
 
 
-def test_prefixes_of_like_sets_meet():
-    rnd = np.random.default_rng(8)
-    count = rnd.integers(0, 5, minhash.CELLS)
-    for _ in range(400):
-        pool = np.unique(rnd.integers(0, 2**63, 60, dtype=np.uint64))
-        a = np.sort(rnd.permutation(pool)[: rnd.integers(1, 60)])
-        b = np.sort(np.unique(np.concatenate([rnd.permutation(a)[: rnd.integers(1, len(a) + 1)], rnd.permutation(pool)[: rnd.integers(0, 12)]])))
-        if minhash.similar(len(np.intersect1d(a, b)), len(a), len(b), 75):
-            assert len(np.intersect1d(minhash.prefix(a, count, 75), minhash.prefix(b, count, 75)))
-
-
 def test_many_documents_around_one_passage(spark):
     """A passage that is over half of each document: buckets are full of pairs that aren't alike, and of some that are."""
     rnd = random.Random(11)
