@@ -17,13 +17,15 @@ So a line of the later document is deleted exactly if it lies in a block of adja
 one document alone are kept.
 
 Documents are in order of id, then of the hash of the text.  Only hashes are joined and aligned; texts move once, when
-the lines are taken out.
+the lines are taken out.  Runs and alignments go by 64 bits of hash a line; a line is deleted only if the earlier
+document holds one that also agrees in 64 others.
 
 Defined results: a null text stays null and has no lines; blank lines are lines without words, deleted only inside a
 block; equal texts lose all blocks in every later copy; rows equal in id and text are one document (each row is
 returned, with the same lines taken out); rows that share an id but not the text are documents in order of their
-text's hash; a null id comes first; an empty table gives an empty result.  Columns of the input are returned as they
-are, whatever their names.
+text's hash; a null id comes first; very long texts are aligned whole; an empty table gives an empty result.  Columns of
+the input are returned as they are, whatever their names; one that is called like an added column is an error, and the
+added ones can be renamed.
 """
 
 from __future__ import annotations
@@ -41,7 +43,6 @@ from catalogspark.llm.common import materialize
 from catalogspark.llm.shingles import U, mix
 
 BLOCK_WORDS = 25
-SEED_WORDS, RARE = 3, 64  # of the former pairing by lines; only its plain version in the tests reads them
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 
@@ -151,15 +152,17 @@ def _seeds(least: int):
 
 
 def _align(least: int):
-    """(a's hashes, key of b, b's hashes, b's words) to (key of b, positions to delete)."""
+    """(a's hashes, key of b, b's hashes, b's words, a's and b's other hashes) to (key of b, positions to delete)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, cut = [], []
-            for n, (a, b, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for n, (a, b, w, x, y) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True)):
                 gone = blocks(patience(a, b), w, least)
                 if len(gone) < len(b):
                     gone += rest(a, b, w, least, gone)
+                held = {*zip(a, x, strict=True)} if gone else ()
+                gone = [j for j in gone if (b[j], y[j]) in held]
                 if gone:
                     keep.append(n)
                     cut.append(gone)
@@ -172,8 +175,10 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``; then ``_cut`` (positions of lines taken out, null if none) and ``_left`` (the text without them)."""
+def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, cut_as: str = "_cut", left_as: str = "_left") -> DataFrame:
+    """All rows and columns of ``docs``; then the positions of lines taken out (null if none) and the text without them."""
+    if {cut_as.lower(), left_as.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"a column of the input is called {cut_as} or {left_as}")
     names = [f"_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     key, text = F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(-(2**63))), F.col(names[docs.columns.index(text_col)]).cast("string")
@@ -181,21 +186,33 @@ def remove_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bare = F.transform(_lines(text), lambda x: F.trim(F.translate(x, "\t\r\f\u000b", "    ")))
     count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " +")))
     held = materialize(
-        rows.where(text.isNotNull()).select(k.alias("k"), bare.alias("x")).select("k", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", count).alias("w")).distinct(), "line-hashes"
+        rows.where(text.isNotNull()).select(k.alias("k"), bare.alias("x")).select("k", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", lambda x: F.xxhash64(F.lit(1), x)).alias("g"), F.transform("x", count).alias("w")).distinct(), "line-hashes"
     )
 
-    run = held.mapInArrow(_seeds(block_words), "k struct<d: bigint, t: bigint>, h bigint")
+    run = held.select("k", "h", "w").mapInArrow(_seeds(block_words), "k struct<d: bigint, t: bigint>, h bigint")
     seed = run.groupBy("h").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select("h", "first")
     pairs = run.join(seed, "h").where("first <> k").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
 
-    later = pairs.join(held.select(F.col("k").alias("b"), F.col("h").alias("bh"), "w"), "b")
-    both = later.join(held.select(F.col("k").alias("a"), F.col("h").alias("ah")), "a").select("ah", "b", "bh", "w")
+    later = pairs.join(held.select(F.col("k").alias("b"), F.col("h").alias("bh"), "w", F.col("g").alias("bg")), "b")
+    both = later.join(held.select(F.col("k").alias("a"), F.col("h").alias("ah"), F.col("g").alias("ag")), "a").select("ah", "b", "bh", "w", "ag", "bg")
     cuts = both.mapInArrow(_align(block_words), "b struct<d: bigint, t: bigint>, cut array<int>")
     merged = cuts.groupBy("b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("_cut"))
     keyed = rows.withColumn("_d", key).withColumn("_t", F.xxhash64(text))
     joined = keyed.join(merged.select(F.col("b.d").alias("_d"), F.col("b.t").alias("_t"), "_cut"), ["_d", "_t"], "left")
     left = F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("_cut", i)), "\n"))
-    return joined.select(*(F.col(n).alias(f"_{n}") for n in names), "_cut", left.alias("_left")).toDF(*docs.columns, "_cut", "_left")
+    return joined.select(*(F.col(n).alias(f"_{n}") for n in names), "_cut", left.alias("_left")).toDF(*docs.columns, cut_as, left_as)
+
+
+def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", **more) -> DataFrame:
+    """``docs`` with the blocks taken out of their texts, and the number of characters of those that changed; a document
+    that is left without a word goes.  Columns may have any names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in (id_col, text_col, n_chars_col)}
+    out = remove_common_blocks(docs.toDF(*names), at[id_col], at[text_col], **more)
+    out = out.where(F.col("_cut").isNull() | F.col("_left").rlike(r"\S"))
+    size = F.when(F.col("_cut").isNull(), F.col(at[n_chars_col])).otherwise(F.char_length("_left").cast("long"))
+    changed = {at[text_col]: F.col("_left"), at[n_chars_col]: size}
+    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in names)).toDF(*docs.columns)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

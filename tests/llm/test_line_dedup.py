@@ -1,26 +1,25 @@
 import random
 
+import pytest
+
 from catalogspark.llm import line_dedup as ld
 
 
-def brute(rows, seed_words=ld.SEED_WORDS, rare=ld.RARE, least=ld.BLOCK_WORDS):
-    """Positions deleted from each (distinct ids, no nulls), by plain loops over the definition."""
+def brute(rows, least=25):
+    """Positions deleted from each (distinct ids, no nulls): lines in a run of adjacent lines that some earlier document holds."""
     text = {k: [x.strip(" \t\r\f\v") for x in t.split("\n")] for k, t in rows if t is not None}
-    holders = {}
+    places, gone = {}, {}
     for k in sorted(text):
-        for x in set(text[k]):
-            if len(x.split()) >= seed_words:
-                holders.setdefault(x, []).append(k)
-    pairs = set()
-    for held in holders.values():
-        for n in range(1, len(held)):
-            pairs.add((held[0], held[n]))
-            if len(held) <= rare:
-                pairs.add((held[n - 1], held[n]))
-    gone = {}
-    for a, b in pairs:
-        words = [len(x.split()) for x in text[b]]
-        gone.setdefault(b, set()).update(ld.blocks(ld.patience(text[a], text[b]), words, least))
+        words, found, open_ = [len(x.split()) for x in text[k]], set(), {}
+        for j, x in enumerate([*text[k], None]):
+            now = {(a, i): open_.pop((a, i - 1), j) for a, i in places.get(x, ())}
+            for begin in {*open_.values()}:
+                if sum(words[begin:j]) >= least:
+                    found.update(range(begin, j))
+            open_ = now
+        for i, x in enumerate(text[k]):
+            places.setdefault(x, []).append((k, i))
+        gone[k] = found
     return gone
 
 
@@ -68,6 +67,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert ld.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_names_that_clash(spark):
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([(5, t, 1, "x", 51), (7, t + "\nmore", 2, "y", 56), (8, t, 3, "z", 51)], "doc_id long, text string, _cut int, _left string, n_chars long")
+    with pytest.raises(ValueError, match="_cut"):
+        ld.remove_common_blocks(docs)
+    out = ld.remove_common_blocks(docs, cut_as="gone", left_as="kept")
+    assert out.columns == [*docs.columns, "gone", "kept"] and {r.doc_id: r.kept for r in out.collect()} == {5: t, 7: "more", 8: ""}
+    got = ld.without_common_blocks(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(5, t, 1, "x", 51), (7, "more", 2, "y", 4)]
+
+
 def test_patience():
     assert ld.patience(list("abcxyz"), list("abQxyz")) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
     assert ld.patience(list("aab"), list("baa")) in ([(0, 1), (1, 2)], [(2, 0)])
