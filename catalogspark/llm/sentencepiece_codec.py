@@ -2,12 +2,14 @@
 
 The model's compiled character map (a double-array trie and a block of replacement strings) is read here.  A text is
 normalised by longest prefix through that trie; each byte of the normalised text records the source byte it came
-from.  The library then segments the text, and the lengths of the pieces, laid end to end over the normalised text,
-project every piece to a span of source bytes.  If pieces and normalised text ever differ in length the job fails.
+from.  The library then segments the text (it normalises for itself, too), and its pieces, laid end to end over the
+normalised text, project every piece to a span of source bytes.  If the pieces' bytes are ever other than those of the
+text as normalised here the job fails, so every id that is returned has been checked against the bytes that it covers.
 
 Defined results: a null text is empty; an empty text has no pieces; special tokens' names in a text are ordinary text;
 rows are independent, so repeated ids, nulls in other columns and clashing names change nothing; an empty table gives
-an empty result.  Texts are encoded whole.
+an empty result.  Texts, however long, are encoded whole.  Of the byte pieces of one character the last one has its span
+and the others an empty one at its beginning.
 """
 
 from __future__ import annotations
@@ -106,7 +108,8 @@ class Codec:
         self.spec = proto.normalizer_spec
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.map = CharMap(self.spec.precompiled_charsmap)
-        self.length = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        self.piece = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.encode() for p in proto.pieces]
+        self.length = np.array([len(x) for x in self.piece], np.int64)
         self.unknown = self.lib.unk_id()
         self.text = [str(i) for i in range(len(proto.pieces))]
 
@@ -148,11 +151,13 @@ class Codec:
         body, origin = self.normalise(text)
         length = self.length[ids]
         if (ids == self.unknown).any():  # an unknown piece stands for the characters that no piece covers
-            pieces = self.lib.encode(text.decode(), return_type="proto").pieces
-            length = np.array([len(p.piece.encode()) for p in pieces], np.int64)
+            laid = [p.piece.encode() for p in self.lib.encode(text.decode(), return_type="proto").pieces]
+            length = np.array([len(x) for x in laid], np.int64)
+        else:
+            laid = map(self.piece.__getitem__, ids.tolist())
         edge = np.concatenate([[0], np.cumsum(length)])
-        if edge[-1] != len(body):
-            raise ValueError(f"pieces cover {edge[-1]} of {len(body)} normalised bytes")
+        if b"".join(laid) != body:
+            raise ValueError(f"the pieces' {edge[-1]} bytes aren't the {len(body)} normalised ones")
         return origin[edge[:-1]], origin[edge[1:]]
 
 
@@ -225,7 +230,7 @@ def _digest(model_path: str, with_ids: bool):
                 count, covered, sha, plain = [], [], [], []
                 for t, x, y in zip(texts, ids, back, strict=True):
                     begins, ends = tool.spans(t.encode(), np.array(x, np.int32))
-                    count.append(len(x))
+                    count.append(len(begins))
                     covered.append(int((ends - begins).sum()))
                     sha.append(hashlib.sha256(",".join([name[i] for i in x]).encode()).hexdigest())
                     plain.append(hashlib.sha256(y.encode()).hexdigest())
@@ -237,7 +242,7 @@ def _digest(model_path: str, with_ids: bool):
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode with spans, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes, and ids if asked for.
 
-    covered_bytes is the sum of the pieces' source spans: pieces made from one character share its span.
+    covered_bytes is the sum of the pieces' source spans.
     """
     schema = "doc_id long, n_tokens long, covered_bytes long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = id_text(docs, id_col, text_col).mapInArrow(_digest(model_path, with_ids), schema)

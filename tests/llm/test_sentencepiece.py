@@ -54,3 +54,18 @@ def test_character_map_follows_the_library(rule):
             raw = t.encode()
             chars = np.flatnonzero(np.frombuffer(body, np.uint8) & 0xC0 != 0x80) if body else []
             assert [len(raw[:origin[i]].decode()) for i in chars] == list(at)[:len(chars)], (rule, extra, t)
+
+
+def test_every_piece_covers_its_bytes():
+    tool = sc.codec(MODEL)
+    for t in ODD:
+        ids = np.array(tool.lib.encode(t), np.int32)
+        begins, ends = tool.spans(t.encode(), ids)
+        assert (begins[1:] >= ends[:-1]).all() and (ends >= begins).all()
+    ids = np.array(tool.lib.encode("some words of text"), np.int32)
+    with pytest.raises(ValueError, match="normalised"):
+        tool.spans(b"some words of test", ids)
+    # the byte pieces of one character: the last has its span
+    ids = np.array(tool.lib.encode("a\U00013000b"), np.int32)
+    spans = [(b, e) for i, b, e in zip(ids.tolist(), *tool.spans("a\U00013000b".encode(), ids), strict=True) if tool.lib.is_byte(i)]
+    assert spans == [(1, 1), (1, 1), (1, 1), (1, 5)]
