@@ -17,7 +17,7 @@ def jump(key: int, shards: int) -> int:
 def test_equals_published_loop(spark):
     keys = [0, 1, 2, 7, 10**6, 2**31, 2**40 + 3, 2**63 - 1, -1, -(2**63), None, *range(100, 400)]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    for n in (1, 2, 40, 41, 300):
+    for n in (1, 2, 3, 40, 41, 300, 20_000):
         got = df.select("k", jump_hash(df.k, n).alias("s")).collect()
         assert [r.s for r in got] == [jump(k or 0, n) for k in keys]
 
@@ -39,3 +39,21 @@ def test_documents(spark):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
     assert shard_documents(docs.limit(0)).count() == 0
+
+
+def test_long_chains(spark):
+    """Keys whose chain is longer than the usual number of steps."""
+    def jumps(key, shards):
+        n, b, j = 0, -1, 0
+        while j < shards:
+            b, n = j, n + 1
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return n
+    long = [k for k in range(60_000) if jumps(k, 3) > 2 and jumps(k, 40) > 10][:40]
+    assert long
+    df = spark.createDataFrame([(k,) for k in long], "k long")
+    assert [r.s for r in df.select(jump_hash(df.k, 40).alias("s")).collect()] == [jump(k, 40) for k in long]
+    whole = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
+    for n in whole:
+        assert [r.s for r in df.select(jump_hash(df.k, n).alias("s")).collect()] == [jump(k, n) for k in long]
