@@ -1,17 +1,19 @@
 """Merkle fingerprints of documents, in column expressions only.
 
 A document is a tree: sections of ``SECTION`` paragraphs, paragraphs (lines), leaves.  A paragraph is cut into leaves
-after a stop, comma, colon, bar or a word that ends in d or t, so that an edit changes the leaves it touches and no
-others.  Leaf hash: md5; paragraph, section and root: sha256 over the hashes below.  Equal roots mean equal texts;
-where roots differ, sections and then the paragraphs of a differing section tell where.
+after a stop, comma, colon, bar, a word that ends in d or t, or, in scripts without blanks, a stop or one of the most
+frequent particles, so that an edit changes the leaves it touches and no others.  Every hash is a sha256: of a leaf's
+text, of the hashes below for paragraph, section and root.  Equal roots mean equal texts; where roots differ, sections
+and then the paragraphs of a differing section tell where.
 
-The fingerprint is one string: root, sections, paragraphs (8 hex digits each) and leaves (6 hex digits each), divided
-by colons.  Two fingerprints are alike to the share of distinct leaves that they have in common.
+The fingerprint is one string: the root in full, then the first 48 bits (8 characters of base64) of each section,
+paragraph and leaf, divided by colons.  Two fingerprints are alike to the share of distinct leaves that they have in
+common.
 
 Defined results: a null text is empty; an empty text has one empty paragraph and no leaves; texts without leaves are
 alike to 1 if equal, else 0; rows that repeat an id are all kept, and as a "next" document the one with the least
-text stands for them; a null id comes after all others; other columns are not read; an empty table gives an empty
-result.  Texts are read whole.
+text stands for them; a null id comes after all others; other columns, whatever their names, are not read; an empty
+table gives an empty result.  Texts, however long, are read whole.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECTION = 8
-LEAF = r"(?s).*?(?:[.,;:!?|]|[dt] )|.+"
+LEAF = r"(?s).*?(?:[.,;:!?|。、，；：！？的了是在のにはを]|[dt] )|.+"
+RANGE_BYTES, MAX_RANGES = 2 << 20, 100_000
 
 
 def _hashes(df: DataFrame, text: str, to: str) -> DataFrame:
     """Add ``to``: the fingerprint of column ``text``."""
     leaves, paras, sections = f"_{to}_l", f"_{to}_p", f"_{to}_s"
-    df = df.withColumn(leaves, F.transform(F.split(F.col(text), "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.md5(x.cast("binary")))))
+    df = df.withColumn(leaves, F.transform(F.split(F.col(text), "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.sha2(x.cast("binary"), 256))))
     df = df.withColumn(paras, F.transform(leaves, lambda a: F.sha2(F.array_join(a, ""), 256)))
     df = df.withColumn(sections, F.transform(F.sequence(F.lit(0), F.floor((F.size(paras) - 1) / SECTION).cast("int")), lambda i: F.sha2(F.array_join(F.slice(F.col(paras), i * SECTION + 1, F.lit(SECTION)), ""), 256)))
-    short = lambda a, n: F.array_join(F.transform(a, lambda x: F.substring(x, 1, n)), "")
-    whole = F.concat_ws(":", F.sha2(F.array_join(sections, ""), 256), short(F.col(sections), 8), short(F.col(paras), 8), short(F.flatten(leaves), 6))
+    short = lambda a: F.array_join(F.transform(a, lambda x: F.base64(F.unhex(F.substring(x, 1, 12)))), "")
+    whole = F.concat_ws(":", F.sha2(F.array_join(sections, ""), 256), short(F.col(sections)), short(F.col(paras)), short(F.flatten(leaves)))
     return df.withColumn(to, whole).drop(leaves, paras, sections)
 
 
@@ -39,7 +42,7 @@ def fingerprint(df: DataFrame, text_col: str, to: str = "fingerprint") -> DataFr
     return _hashes(df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))), "_text", to).drop("_text")
 
 
-def _part(fp: Column, n: int, width: int) -> Column:
+def _part(fp: Column, n: int, width: int = 8) -> Column:
     """The n-th list of a fingerprint (1: sections, 2: paragraphs, 3: leaves)."""
     return F.regexp_extract_all(F.split(fp, ":")[n], F.lit(f".{{{width}}}"), F.lit(0))
 
@@ -51,7 +54,7 @@ def likeness(a: Column, b: Column) -> Column:
         return F.when(F.size(x) + F.size(y) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
     # a one-row transform binds the two leaf lists, so that each is cut out of its string once
-    both = F.array(F.struct(_part(a, 3, 6).alias("x"), _part(b, 3, 6).alias("y")))
+    both = F.array(F.struct(_part(a, 3).alias("x"), _part(b, 3).alias("y")))
     return F.when(a == b, F.lit(1.0)).otherwise(F.get(F.transform(both, lambda p: share(p["x"], p["y"])), 0))
 
 
@@ -61,25 +64,27 @@ def first_difference(a: Column, b: Column) -> Column:
     def differs(x: Column, y: Column, at: Column) -> Column:
         return ~F.get(x, at).eqNullSafe(F.get(y, at))
 
-    sa, sb, pa, pb = _part(a, 1, 8), _part(b, 1, 8), _part(a, 2, 8), _part(b, 2, 8)
+    sa, sb, pa, pb = _part(a, 1), _part(b, 1), _part(a, 2), _part(b, 2)
     section = F.filter(F.sequence(F.lit(0), F.greatest(F.size(sa), F.size(sb)) - 1), lambda i: differs(sa, sb, i))
     begin = F.get(section, 0) * SECTION
     inside = F.filter(F.sequence(begin, begin + SECTION - 1), lambda i: differs(pa, pb, i))
     return F.when(F.size(section) == 0, None).otherwise(F.get(inside, 0))
 
 
-def with_next(rows: DataFrame, parts: int) -> DataFrame:
+def with_next(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """rows: key, text, ...  Adds ``fingerprint`` and ``nxt`` (text and fingerprint) of the next lower key, after the last the first.
 
-    Rows are dealt to ranges of keys between ``parts`` quantiles (the only values that reach the driver); each range
-    also gets a copy of the head of the range below it, so that one shuffle and a window inside ranges are enough.  Of
+    Rows are dealt to ranges of keys between quantiles (the only values that reach the driver), as many as give ranges
+    of ``range_bytes`` of text, but MAX_RANGES at most; each range also gets a copy of the head of the range below it, so that one shuffle and a window inside ranges are enough.  Of
     rows that share a key the one with the least text is the next of others.
     """
-    marks = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q"), F.max("key").alias("top")).first()
-    if marks["top"] is None:
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size"), F.max("key").alias("top")).first()
+    if size["top"] is None:
         heads = [0]
     else:
-        heads = sorted({*marks["q"], marks["top"]})
+        parts = min(MAX_RANGES, size["size"] // range_bytes + 2)
+        marks = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()
+        heads = sorted({*marks["q"], size["top"]})
     bounds = F.split(F.lit(",".join(map(str, heads))), ",").cast("array<bigint>")
     halve = lambda s, _: F.when(F.get(bounds, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) >= F.col("key"), F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))).otherwise(
         F.struct(F.least(s["hi"], F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))
@@ -100,8 +105,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Each document, its text with the last half replaced from the next document, and how alike they are."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = with_next(base, parts).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
+    joined = with_next(base).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("_half")).cast("int")), F.substring(F.col("nxt.text"), F.lit(1), F.col("_half")))
     made = fingerprint(joined.withColumn("edited", edited), "edited", "edited_fingerprint")
     return made.select(
@@ -119,13 +123,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def sql() -> str:
     """The same in DuckDB over ``documents`` (distinct ids)."""
     def tree(text: str, name: str) -> str:
-        leaves = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{LEAF}', 0), lambda x: md5(x)))"
+        leaves = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{LEAF}', 0), lambda x: sha256(x)))"
         return f"""
 , {name}_l as (select *, {leaves} l from {name})
 , {name}_p as (select *, list_transform(l, lambda a: sha256(array_to_string(a, ''))) p from {name}_l)
 , {name}_s as (select *, list_transform(range(0, (len(p) - 1) // {SECTION} + 1), lambda i: sha256(array_to_string(p[i * {SECTION} + 1:i * {SECTION} + {SECTION}], ''))) s from {name}_p)
-, {name}_f as (select doc_id, p, s, list_transform(flatten(l), lambda x: x[1:6]) c,
-    concat(sha256(array_to_string(s, '')), ':', array_to_string(list_transform(s, lambda x: x[1:8]), ''), ':', array_to_string(list_transform(p, lambda x: x[1:8]), ''), ':', array_to_string(list_transform(flatten(l), lambda x: x[1:6]), '')) fp from {name}_s)"""
+, {name}_f as (select doc_id, p, s, list_transform(flatten(l), lambda x: x[1:12]) c,
+    concat(sha256(array_to_string(s, '')), ':', array_to_string(list_transform(s, lambda x: to_base64(unhex(x[1:12]))), ''), ':', array_to_string(list_transform(p, lambda x: to_base64(unhex(x[1:12]))), ''), ':', array_to_string(list_transform(flatten(l), lambda x: to_base64(unhex(x[1:12]))), '')) fp from {name}_s)"""
 
     def alike(a: str, b: str) -> str:
         return f"case when {a}.fp = {b}.fp then 1.0::double when len(list_distinct(list_concat({a}.c, {b}.c))) = 0 then 0.0::double else len(list_intersect(list_distinct({a}.c), list_distinct({b}.c)))::double / len(list_distinct(list_concat({a}.c, {b}.c))) end"

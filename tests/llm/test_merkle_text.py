@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -13,15 +14,16 @@ def test_equals_sql(spark):
 
 
 def fp(text):
-    leaves = [[hashlib.md5(x.encode()).hexdigest() for x in re.findall(mt.LEAF.replace("(?s)", ""), p, re.S)] for p in text.split("\n")]
+    leaves = [[hashlib.sha256(x.encode()).hexdigest() for x in re.findall(mt.LEAF.replace("(?s)", ""), p, re.S)] for p in text.split("\n")]
     sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
     paras = [sha(x) for x in leaves]
     sections = [sha(paras[i:i + mt.SECTION]) for i in range(0, len(paras), mt.SECTION)]
-    return ":".join([sha(sections), "".join(x[:8] for x in sections), "".join(x[:8] for x in paras), "".join(x[:6] for a in leaves for x in a)])
+    short = lambda parts: "".join(base64.b64encode(bytes.fromhex(x[:12])).decode() for x in parts)
+    return ":".join([sha(sections), short(sections), short(paras), short(x for a in leaves for x in a)])
 
 
 def test_odd_rows(spark):
-    rows = [(1, "One. Two and three\nfour"), (2, None), (3, ""), (5, "x"), (7, "ä€😀b"), (8, "a, b\n" * 40), (9, "w" * 100_000), (7, "ä€😀b"), (None, "last")]
+    rows = [(1, "One. Two and three\nfour"), (2, None), (3, ""), (5, "x"), (7, "ä€😀b"), (8, "a, b\n" * 40), (9, "w" * 100_000), (10, "日本語の文章は、長い。それを読む。"), (7, "ä€😀b"), (None, "last")]
     docs = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, fingerprint string").repartition(3)
     got = mt.edited_fingerprints(docs).collect()
     assert len(got) == len(rows)
