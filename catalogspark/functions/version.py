@@ -1,4 +1,4 @@
-"""Version ordering as a native sort key (struct columns compare field by field)."""
+"""Version ordering as a native sort key: one string that compares byte by byte."""
 
 from __future__ import annotations
 
@@ -9,55 +9,77 @@ from pyspark.sql import functions as F
 MAX_U64 = "18446744073709551615"
 
 _TRIM = r"(?U)^\s+|\s+$"
+#: Marks of the key, in their order: end of a suffix, a part below zero, a zero before such a part, the end, a zero before
+#: a part above zero, such a part; and a zero part that is still to be told apart.
+_T, _N, _ZN, _END, _ZP, _P, _Z = "\x01", "\x02", "\x03", "\x04", "\x05", "\x06", "\x07"
 
 
 def _trim(c: Column) -> Column:
     return F.regexp_replace(c, _TRIM, "")
 
 
+def _base(version: Column) -> tuple[Column, Column]:
+    """(-1, 0 or 1 for ``< ``, nothing and ``> ``; the text without it and without letters before the first number)."""
+    text = _trim(F.coalesce(version, F.lit("")))
+    approx = F.when(text.startswith("< "), -1).when(text.startswith("> "), 1).otherwise(0)
+    base = F.when(approx != 0, _trim(F.substring(text, F.lit(3), F.length(text)))).otherwise(text)
+    return approx, F.regexp_replace(base, r"(?s)^[^0-9.]+(?=[0-9])", "")
+
+
+def version_parts(version: Column) -> Column:
+    """array<struct<number, suffix>> of the dotted parts: digits without leading zeros, suffix in lower case."""
+    raw = F.transform(F.split(_base(version)[1], r"\."), _trim)
+
+    def cut(x: Column) -> Column:
+        digits = F.regexp_extract(x, "^[0-9]*", 0)
+        return F.struct(F.regexp_replace(digits, "^0+", "").alias("number"), F.lower(F.substring(x, F.length(digits) + 1, F.length(x))).alias("suffix"), digits.alias("digits"))
+
+    return F.transform(raw, cut)
+
+
+def _safe(suffix: Column) -> Column:
+    """A suffix whose characters are all above the marks, in the same order."""
+    out = F.replace(suffix, F.lit("\t"), F.lit("\t\x19"))
+    for i in range(9):
+        out = F.replace(out, F.lit(chr(i)), F.lit("\t" + chr(16 + i)))
+    return F.when(suffix.rlike("[\\x00-\\x09]"), out).otherwise(suffix)
+
+
+def _item(p: Column) -> Column:
+    """A part that is not zero: below zero (0 with a suffix) or above; number by length and digits; no suffix above any."""
+    over = (F.length(p["number"]) > 20) | ((F.length(p["number"]) == 20) & (p["number"] > MAX_U64))
+    number, rest = F.when(over, MAX_U64).otherwise(p["number"]), F.when(over, p["digits"]).otherwise("")
+    value = F.concat(F.lpad(F.length(number).cast("string"), 2, "0"), number, F.lpad(F.length(rest).cast("string"), 6, "0"), rest)
+    suffix = F.when(p["suffix"] == "", "1").otherwise(F.concat(F.lit("0"), _safe(p["suffix"])))
+    return F.concat(F.when(p["number"] == "", _N).otherwise(_P), value, suffix, F.lit(_T))
+
+
+def _lone(word: str) -> str:
+    return f"{_N}000000000{word}{_T}"
+
+
 def version_key(version: Column) -> Column:
-    """A struct that sorts as versions do: use it in orderBy, min_by, max_by, comparisons.
+    """A string that sorts as versions do: use it in orderBy, min, max, comparisons.
 
     Dotted parts compare as (number, no suffix above any suffix, suffix ignoring case); a shorter version goes on with
-    zeros for ever.  Therefore zero parts are left out and counted: a part above zero after a run of zeros ranks the
-    higher the shorter the run, a part below zero (0 with a suffix) the lower.  The end counts as sign 0.  A lone
-    ``latest`` is above and a lone ``unknown`` below all others; ``< 1`` and ``> 1`` lie just beside ``1``.
+    zeros for ever.  Therefore zero parts at the end are left out, and a zero before a part above zero ranks above the
+    end, one before a part below zero (0 with a suffix) below it.  A lone ``latest`` is above and a lone ``unknown``
+    below all others; ``< 1`` and ``> 1`` lie just beside ``1``.  No key begins another.
     """
-    text = _trim(F.coalesce(version, F.lit("")))
-    approx = F.when(text.startswith("< "), -1).when(text.startswith("> "), 1).otherwise(0)
-    base = F.when(approx != 0, _trim(F.substring(text, F.lit(3), F.length(text)))).otherwise(text)
-    base = F.regexp_replace(base, r"(?s)^[^0-9.]+(?=[0-9])", "")
-
-    def part(raw: Column) -> Column:
-        raw = _trim(raw)
-        digits = F.regexp_extract(raw, r"^[0-9]*", 0)
-        suffix = F.lower(F.substring(raw, F.length(digits) + 1, F.length(raw)))
-        value = F.regexp_replace(digits, "^0+", "")
-        over = (F.length(value) > 20) | ((F.length(value) == 20) & (value > MAX_U64))
-        number = F.when(over, MAX_U64).otherwise(value)
-        return F.struct(number.alias("n"), F.when(over, digits).otherwise("").alias("o"), suffix.alias("s"))
-
-    parts = F.transform(F.split(base, r"\."), part)
-    start = F.struct(F.array().cast("array<struct<sign:int,run:int,ilen:int,digits:string,olen:int,over:string,release:int,suffix:string>>").alias("out"), F.lit(0).alias("zeros"))
-
-    def add(acc: Column, p: Column) -> Column:
-        zero = (p["n"] == "") & (p["s"] == "")
-        sign = F.when(p["n"] == "", -1).otherwise(1)
-        item = F.struct(
-            sign.alias("sign"), (-sign * acc["zeros"]).alias("run"), F.length(p["n"]).alias("ilen"), p["n"].alias("digits"), F.length(p["o"]).alias("olen"), p["o"].alias("over"),
-            F.when(p["s"] == "", 1).otherwise(0).alias("release"), p["s"].alias("suffix"),
-        )
-        return F.when(zero, F.struct(acc["out"].alias("out"), (acc["zeros"] + 1).alias("zeros"))).otherwise(F.struct(F.concat(acc["out"], F.array(item)).alias("out"), F.lit(0).alias("zeros")))
-
-    end = F.struct(F.lit(0).alias("sign"), F.lit(0).alias("run"), F.lit(0).alias("ilen"), F.lit("").alias("digits"), F.lit(0).alias("olen"), F.lit("").alias("over"), F.lit(0).alias("release"), F.lit("").alias("suffix"))
-    solid = F.aggregate(parts, start, add, lambda acc: acc["out"])
-
-    def key(found: Column) -> Column:
-        only = F.get(found, 0)
-        lone = (F.size(found) == 1) & (only["digits"] == "") & (only["run"] == 0)
-        rank = F.when(lone & (only["suffix"] == "latest"), 1).when(lone & (only["suffix"] == "unknown"), -1).otherwise(0)
-        return F.struct(rank.alias("rank"), F.when(rank != 0, F.array(end)).otherwise(F.concat(found, F.array(end))).alias("parts"))
+    zero = lambda p: (p["number"] == "") & (p["suffix"] == "")
+    joined = F.array_join(F.transform(version_parts(version), lambda p: F.when(zero(p), _Z).otherwise(_item(p))), "")
+
+    def key(s: Column) -> Column:
+        rank = F.when(s == _lone("latest"), "2").when(s == _lone("unknown"), "0").otherwise("1")
+        marked = F.regexp_replace(F.regexp_replace(s, f"{_Z}(?={_Z}*{_P})", _ZP), f"{_Z}(?={_Z}*{_N})", _ZN)
+        body = F.when(rank != "1", "").when(F.contains(s, F.lit(_Z)), marked).otherwise(s)
+        return F.concat(rank, body, F.lit(_END))
 
     # a one-element transform binds the parts, so that they are worked out once
-    bound = F.get(F.transform(F.array(solid), key), 0)
-    return F.struct(bound["rank"].alias("rank"), bound["parts"].alias("parts"), approx.alias("approx"))
+    bound = F.get(F.transform(F.array(F.regexp_replace(joined, f"{_Z}+$", "")), key), 0)
+    return F.concat(bound, (_base(version)[0] + 1).cast("string"))
+
+
+def reverse_key(key: Column) -> Column:
+    """A string that sorts against ``key``: as no key begins another, the complement of its bytes does."""
+    return F.translate(F.hex(key), "0123456789ABCDEF", "FEDCBA9876543210")

@@ -95,11 +95,11 @@ def apply_changes(prev: DataFrame, computed: DataFrame, compared: DataFrame, key
 
 
 def validation_queue(changes: DataFrame, new_children: DataFrame, old_children: DataFrame, owner: str = "version_dir", child: str = "child_sha") -> DataFrame:
-    """owner, child, reason: children of added records, and children that updated records gained."""
+    """owner, child, reason: children of added records, and children that updated records gained.  One outer join of the children."""
     kinds = changes.where(F.col("change_kind").isin("add", "update")).select(owner, "change_kind")
-    added = added_children(new_children, old_children, owner, child).withColumn("_fresh", F.lit(True))
-    rows = new_children.select(owner, child).distinct().join(kinds, owner).join(added, [owner, child], "left")
-    return rows.where((F.col("change_kind") == "add") | F.col("_fresh")).select(owner, child, F.when(F.col("change_kind") == "add", "added").otherwise("installer-changed").alias("reason"))
+    gained = new_children.select(owner, child).distinct().join(old_children.select(owner, child).withColumn("_had", F.lit(True)).distinct(), [owner, child], "left")
+    rows = gained.join(kinds, owner).where((F.col("change_kind") == "add") | F.col("_had").isNull())
+    return rows.select(owner, child, F.when(F.col("change_kind") == "add", "added").otherwise("installer-changed").alias("reason"))
 
 
 def queue_order(queue: DataFrame, *columns: str) -> DataFrame:

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogspark.operators.rollup import rank_versions
+from catalogspark.sources.scratch import written
 
 
 def dictionary(df: DataFrame, value: str) -> DataFrame:
     """value, id: dense ids from 1 in order of value, without a window over everything.
 
     Values are dealt to ranges and numbered inside each; the ranges' sizes, one row for each partition, give the
-    offsets.  The ranged rows are persisted, because range bounds are sampled and a second run could differ.
+    offsets.  The ranged rows are a written table, because range bounds are sampled and a second run could differ.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.select(value).where(F.col(value).isNotNull()).distinct().repartitionByRange(parts, value).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = df.select(value).where(F.col(value).isNotNull()).distinct().repartitionByRange(parts, value).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, "dictionary")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -69,26 +71,46 @@ def index_lookup(words: DataFrame, bridge: DataFrame, value: str, owner: str) ->
     return bridge.join(words, "id").select(value, owner)
 
 
-def build_index_v2(packages: DataFrame, attributes: dict[str, DataFrame], direct: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Package-level index.  attributes (dictionary and bridge) and direct (inverted): name -> (package_id, value)."""
-    owners = dictionary(packages, "package_id").withColumnRenamed("id", "package")
-    tables = {"packages": packages.join(owners, "package_id")}
-    for name, rows in attributes.items():
+#: Tables of the two index formats (fixed values): dictionary and bridge, dictionary alone, values with their owners.
+V2_MAPPED, V2_DIRECT = ("tags", "commands"), ("pfns", "productcodes", "upgradecodes", "norm_names", "norm_publishers")
+V1_SCALARS = ("ids", "names", "monikers", "versions", "channels")
+V1_MAPPED = ("tags", "commands", "pfns", "productcodes", "norm_names", "norm_publishers")
+PUBLISHER_KIND = 5
+
+
+def build_index_v2(packages: DataFrame, values: dict[str, DataFrame], owners: DataFrame | None = None, now: int = 0, base: int = 0) -> dict[str, DataFrame]:
+    """The package-level index: 11 tables.  packages: one row each; values: name -> (package_id, value).
+
+    ``owners`` (package_id) may come from a cheaper table than ``packages``; it must hold the same packages.
+    """
+    ids = dictionary(packages if owners is None else owners, "package_id").withColumnRenamed("id", "package")
+    tables = {"packages": packages.join(ids, "package_id"), "metadata": index_metadata(packages, 2, now, base)}
+    none = packages.limit(0).select("package_id", F.lit(None).cast("string").alias("value"))
+    for name in V2_MAPPED:
+        rows = values.get(name, none)
         words = dictionary(rows, "value")
-        tables[f"{name}2"], tables[f"{name}2_map"] = words, map_table(rows.join(owners, "package_id"), "package", "value", words)
-    for name, rows in direct.items():
-        tables[f"{name}2"] = inverted_table(rows.join(owners, "package_id"), "package", "value")
+        tables[f"{name}2"], tables[f"{name}2_map"] = words, map_table(rows.join(ids, "package_id"), "package", "value", words)
+    for name in V2_DIRECT:
+        tables[f"{name}2"] = inverted_table(values.get(name, none).join(ids, "package_id"), "package", "value")
     return tables
 
 
-def build_index_v1(versions: DataFrame, scalars: list[str], attributes: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Version-level star schema: a dictionary for each scalar and attribute, bridges, the path tree and the fact."""
-    dicts = {c: dictionary(versions, c) for c in scalars}
-    tree = path_tree(versions, path)
-    tables = {c: d for c, d in dicts.items()} | {"pathparts": tree}
-    leaf = tree.select(F.col("path").alias(path), F.col("id"))
-    tables["manifest"] = fact_table(versions, dicts | {path: leaf})
-    for name, rows in attributes.items():
-        words = dictionary(rows, "value")
-        tables[name], tables[f"{name}_map"] = words, map_table(rows, "version_dir", "value", words)
+def build_index_v1(versions: DataFrame, values: dict[str, DataFrame], now: int = 0, base: int = 0) -> dict[str, DataFrame]:
+    """The version-level star schema: 21 tables.
+
+    versions: version_dir, package_id, package_version, channel, name (falls back to the id), moniker, publisher, path;
+    values: name -> (version_dir, value).
+    """
+    rows = versions.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "package_id"))
+    columns = dict(zip(V1_SCALARS, ("package_id", "name", "moniker", "package_version", "channel"), strict=True))
+    dicts = {t: dictionary(rows, c) for t, c in columns.items()}
+    tree = path_tree(rows, "path")
+    tables = dicts | {"pathparts": tree, "metadata": index_metadata(rows, 1, now, base), "manifest_metadata": metadata_rows(rows, "version_dir", {PUBLISHER_KIND: "publisher"})}
+    leaf = tree.select("path", "id")
+    tables["manifest"] = fact_table(rows, {c: dicts[t] for t, c in columns.items()} | {"path": leaf})
+    none = rows.limit(0).select("version_dir", F.lit(None).cast("string").alias("value"))
+    for name in V1_MAPPED:
+        own = values.get(name, none)
+        words = dictionary(own, "value")
+        tables[name], tables[f"{name}_map"] = words, map_table(own, "version_dir", "value", words)
     return tables

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions import normalize as nz
+from catalogspark.sources.fragments import canonical, dump
 
 # Fields every fragment has; root fields that describe and do not identify a child.
 COMMON = ("PackageIdentifier", "PackageVersion", "ManifestVersion", "ManifestType")
@@ -60,33 +65,94 @@ def check_groups(fragments: DataFrame) -> DataFrame:
     return g.select("version_dir", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in rules)))).alias("rule"))
 
 
-def _merge(fragments: DataFrame, column: str) -> DataFrame:
+def _merged(column: str) -> dict[str, Column]:
+    """What a group needs of one map column: the parts and the ordered texts of the other locales."""
     f = F.col(column)
     one = lambda t: F.max_by(F.when(F.col("frag_type") == t, f), F.when(F.col("frag_type") == t, F.col("file_name")))
-    bare = lambda m: F.map_filter(m, lambda k, _: ~k.isin(*COMMON))
     name = F.coalesce(text_of(F.try_element_at(f, F.lit("PackageLocale"))), F.lit(""))
-    locales = F.array_sort(F.collect_list(F.when(F.col("frag_type") == "locale", F.struct(F.lower(name).alias("l"), name.alias("name"), F.col("file_name"), canonical_json(bare(f)).alias("text")))))
-    g = fragments.groupBy("version_dir").agg(F.count(F.lit(1)).alias("n"), F.max_by(f, "file_name").alias("single"), one("installer").alias("installer"), one("defaultlocale").alias("locale"), locales.alias("others"))
-    localization = F.when(F.size("others") > 0, F.create_map(F.lit("Localization"), F.concat(F.lit("["), F.array_join(F.transform("others", lambda x: x["text"]), ","), F.lit("]"))))
-    merged = overlay(overlay(overlay(F.col("installer"), bare(F.col("locale"))), localization), F.create_map(F.lit("ManifestType"), F.lit('"merged"')))
-    fixed = overlay(F.when(F.col("n") == 1, F.col("single")).otherwise(merged), F.create_map(F.lit("PackageVersion"), json_of(nz.last_segment(F.col("version_dir")))))
-    return g.select("version_dir", F.col("n").alias("source_file_count"), fixed.alias(column))
+    other = F.when(F.col("frag_type") == "locale", F.struct(F.lower(name).alias("l"), name.alias("name"), F.col("file_name"), canonical_json(_bare(f)).alias("text")))
+    return {"single": F.max_by(f, "file_name"), "installer": one("installer"), "locale": one("defaultlocale"), "others": F.array_sort(F.collect_list(other))}
+
+
+def _bare(m: Column) -> Column:
+    return F.map_filter(m, lambda k, _: ~k.isin(*COMMON))
+
+
+def _overlaid(part: dict[str, Column]) -> Column:
+    localization = F.when(F.size(part["others"]) > 0, F.create_map(F.lit("Localization"), F.concat(F.lit("["), F.array_join(F.transform(part["others"], lambda x: x["text"]), ","), F.lit("]"))))
+    merged = overlay(overlay(overlay(part["installer"], _bare(part["locale"])), localization), F.create_map(F.lit("ManifestType"), F.lit('"merged"')))
+    return overlay(F.when(F.col("source_file_count") == 1, part["single"]).otherwise(merged), F.create_map(F.lit("PackageVersion"), json_of(nz.last_segment(F.col("version_dir")))))
 
 
 def assemble_records(fragments: DataFrame) -> DataFrame:
-    """One record for each group: version_dir, identity, fields, child_fields, record (canonical text), source_file_count.
+    """One record for each group: version_dir, identity, fields, child_fields, installers, record (canonical text), source_file_count.
 
     The installer's fields are overlaid by the default locale's, other locales are nested in order of name, and the
-    version is the last part of the directory whatever the files say.
+    version is the last part of the directory whatever the files say.  One aggregation gathers both maps.
     """
-    rows = _merge(fragments, "fields").join(_merge(fragments, "child_fields").drop("source_file_count"), "version_dir")
+    maps = ("fields", "child_fields")
+    gathered = {f"{c}_{k}": v for c in maps for k, v in _merged(c).items()}
+    own = F.max_by("installers", F.when(F.col("installers").isNotNull(), F.col("file_name")))
+    g = fragments.groupBy("version_dir").agg(F.count(F.lit(1)).alias("source_file_count"), own.alias("installers"), *(v.alias(k) for k, v in gathered.items()))
+    rows = g.select("version_dir", "source_file_count", "installers", *(_overlaid({k: F.col(f"{c}_{k}") for k in ("single", "installer", "locale", "others")}).alias(c) for c in maps))
+    return _identified(rows)
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    """Records from version_dir, source_file_count, installers, fields, child_fields."""
     plain = lambda k: text_of(F.try_element_at(F.col("fields"), F.lit(k)))
     return rows.select(
         "version_dir", plain("PackageIdentifier").alias("package_id"), nz.last_segment(F.col("version_dir")).alias("package_version"), F.coalesce(plain("Channel"), F.lit("")).alias("channel"),
-        "fields", "child_fields", canonical_json(F.col("fields")).alias("record"), "source_file_count",
+        "fields", "child_fields", "installers", canonical_json(F.col("fields")).alias("record"), "source_file_count",
     )
 
 
+def render_records(records: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """version_dir, package_id, record: the canonical text of all or of the targets' records."""
+    rows = records if targets is None else records.join(targets.select("version_dir"), "version_dir", "left_semi")
+    return rows.select("version_dir", "package_id", "record")
+
+
+def _without(entries, lost: set[str]):
+    """A list of installed-program entries without the lost display versions."""
+    for e in entries if isinstance(entries, list) else ():
+        v = e.get("DisplayVersion") if isinstance(e, dict) else None
+        if v is not None and not isinstance(v, (dict, list)) and (str(v).lower() if isinstance(v, bool) else str(v)) in lost:
+            del e["DisplayVersion"]
+
+
+def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tidy(fields: dict, lost: set[str]) -> dict:
+        out = dict(fields)
+        for key in ("AppsAndFeaturesEntries", "Installers"):
+            if key in out:
+                tree = json.loads(out[key])
+                for x in [tree] if key != "Installers" else [i.get("AppsAndFeaturesEntries") for i in tree if isinstance(i, dict)]:
+                    _without(x, lost)
+                tree = canonical(tree, key)
+                out[key] = dump(tree)
+                if tree in ([], {}):
+                    del out[key]
+        return out
+
+    for frame in batches:
+        lost = [{*x} for x in frame["_lost"]]
+        for c in ("fields", "child_fields"):
+            frame[c] = [tidy(f, x) for f, x in zip(frame[c], lost, strict=True)]
+        frame["installers"] = [None if m is None else [tidy(dict(i), x) for i in m] for m, x in zip(frame["installers"], lost, strict=True)]
+        yield frame.drop(columns="_lost")
+
+
+def strip_display_versions(records: DataFrame, lost: DataFrame) -> DataFrame:
+    """Records of which those in ``lost`` (version_dir, value) have given up these display versions, at the root and in
+    their installers; entries that are left empty go.  Only these records pass through Python."""
+    gone = lost.groupBy("version_dir").agg(F.collect_set("value").alias("_lost"))
+    base = ["version_dir", "source_file_count", "installers", "fields", "child_fields"]
+    kinds = dict(records.dtypes)
+    hit = records.join(gone, "version_dir").select(*base, "_lost").mapInPandas(_strip, ", ".join(f"{c} {kinds[c]}" for c in base))
+    return records.join(gone, "version_dir", "left_anti").unionByName(_identified(hit))
+
+
 def child_records(records: DataFrame) -> DataFrame:
     """version_dir, child_sha, url, architecture, type, locale, scope, family, product_codes: each record's distinct installers.
 
@@ -94,11 +160,8 @@ def child_records(records: DataFrame) -> DataFrame:
     extensions never change its identity.
     """
     root = F.map_filter("child_fields", lambda k, _: ~k.isin(*DESCRIPTIVE, *IDENTITY, "Installers"))
-    own = F.explode(F.coalesce(F.from_json(F.try_element_at("child_fields", F.lit("Installers")), "array<map<string,string>>"), F.array()))
-    raw = records.select("version_dir", F.map_filter("child_fields", lambda k, _: k.isin(*IDENTITY)).alias("id"), root.alias("root"), own.alias("own"))
-    # from_json unquotes plain strings; quote them again unless they are JSON already
-    quoted = F.transform_values("own", lambda _, v: F.when(v.rlike(r"^(\{|\[)"), v).otherwise(json_of(v)))
-    made = raw.withColumn("installer", overlay(F.col("root"), quoted))
+    raw = records.select("version_dir", F.map_filter("child_fields", lambda k, _: k.isin(*IDENTITY)).alias("id"), root.alias("root"), F.explode("installers").alias("own"))
+    made = raw.withColumn("installer", overlay(F.col("root"), F.col("own")))
     text = canonical_json(overlay(F.col("id"), F.create_map(F.lit("Installer"), canonical_json(F.col("installer")))))
     field = lambda k: text_of(F.try_element_at(F.col("installer"), F.lit(k)))
     entries = F.from_json(F.try_element_at(F.col("installer"), F.lit("AppsAndFeaturesEntries")), f"array<{ENTRY}>")
@@ -109,6 +172,11 @@ def child_records(records: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def children_hash(children: DataFrame, owner: str = "version_dir", child: str = "child_sha") -> DataFrame:
+    """owner, children_sha: one hash over the sorted distinct children of each owner."""
+    return children.select(owner, child).distinct().groupBy(owner).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(child)), ""), 256).alias("children_sha"))
+
+
 def project_index(records: DataFrame, ascii_only: bool = False) -> DataFrame:
     """version_dir, name, publisher, moniker and the sorted sets of tags, commands, families, codes, names and publishers."""
     get = lambda k: F.try_element_at(F.col("fields"), F.lit(k))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogspark.functions.version import version_key
+from catalogspark.functions.version import reverse_key, version_key
 
 
 def version_counts(versions: DataFrame) -> DataFrame:
@@ -23,15 +23,10 @@ def rank_versions(versions: DataFrame) -> DataFrame:
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
-    """The first version of each package in that order, without sorting: two aggregations with partial sums.
-
-    The least channel is found first; of its rows the greatest (version, then least directory) wins.
-    """
-    keyed = versions.withColumn("_key", version_key(F.col("package_version")))
-    best = keyed.groupBy("package_id", "channel").agg(F.max("_key").alias("_key"))
-    first = best.groupBy("package_id").agg(F.min_by(F.struct("channel", "_key"), "channel").alias("b")).select("package_id", F.col("b.channel").alias("channel"), F.col("b._key").alias("_best"))
-    held = keyed.join(first, ["package_id", "channel"]).where(F.col("_key") == F.col("_best"))
-    return held.groupBy("package_id").agg(F.min_by(F.struct(*[c for c in versions.columns if c != "package_id"]), "version_dir").alias("r")).select("package_id", *[f"r.{c}" for c in versions.columns if c != "package_id"])
+    """The first version of each package in that order, by one aggregation with partial results."""
+    rest = [c for c in versions.columns if c != "package_id"]
+    keyed = versions.withColumn("_key", reverse_key(version_key(F.col("package_version"))))
+    return keyed.groupBy("package_id").agg(F.min_by(F.struct(*rest), F.struct("channel", "_key", "version_dir")).alias("r")).select("package_id", *[f"r.{c}" for c in rest])
 
 
 def union_sets(rows: DataFrame, group: str, value: str) -> DataFrame:

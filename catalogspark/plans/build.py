@@ -1,4 +1,9 @@
-"""The incremental job: scan, find dirty groups, assemble, resolve conflicts, compare, index, commit; and publishing."""
+"""The incremental job: scan, find dirty groups, assemble, resolve conflicts, compare, index, commit; and publishing.
+
+What a run reads of contents, assembles and writes follows what has changed: hashes are worked out for new and altered
+files only, a run without dirty groups ends there, and of the state only the buckets of touched groups and packages are
+read in full and rewritten.  The index is built from the projections of all versions.
+"""
 
 from __future__ import annotations
 
@@ -15,12 +20,18 @@ from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
 
 FILES = "path string, version_dir string, size bigint, mtime timestamp, raw_sha256 string"
+SETS = ("tags", "commands", "families", "product_codes", "upgrade_codes", "display_versions", "claimed_versions", "norm_names", "norm_publishers")
 VERSIONS = (
-    "version_dir string, package_id string, package_version string, channel string, content_sha string, record string, relpath string, source_file_count bigint, package_name string, publisher string, "
-    "moniker string, tags array<string>, commands array<string>, families array<string>, product_codes array<string>, upgrade_codes array<string>, display_versions array<string>, norm_names array<string>, norm_publishers array<string>"
+    "version_dir string, package_id string, package_version string, channel string, content_sha string, children_sha string, record string, relpath string, source_file_count bigint, package_name string, publisher string, "
+    "moniker string, " + ", ".join(f"{c} array<string>" for c in SETS)
 )
 CHILDREN = "version_dir string, child_sha string, url string, architecture string, type string, locale string, scope string, family string, product_codes array<string>"
+PACKAGES = "package_id string, package_sha string, version_count bigint, relpath string, sha256 string"
 PUBLISHED = "relpath string, kind string, sha256 string"
+#: Version-level values of each index table (fixed names).
+V1_VALUES = {"tags": "tags", "commands": "commands", "pfns": "families", "productcodes": "product_codes", "norm_names": "norm_names", "norm_publishers": "norm_publishers"}
+V2_VALUES = V1_VALUES | {"upgradecodes": "upgrade_codes"}
+CATALOGUE_PARTS = 4096
 
 
 @dataclass
@@ -28,95 +39,145 @@ class BuildConfig:
     corpus: str
     state: str
     strategy: str = "latest"
+    index_format: int = 2
     force: bool = False
     dry_run: bool = False
     trust_mtime: bool = True
     quarantine: bool = False
     targets: dict = field(default_factory=dict)
     remove: bool = False
+    glob: str = "*.yaml"
+
+
+class Work:
+    """Tables of one run below the state's work folder: steps that several others read."""
+
+    def __init__(self, spark: SparkSession, store: st.StateStore):
+        self.spark, self.root = spark, f"{store.root}/work/{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def drop(self) -> None:
+        fs, path = fl.filesystem(self.spark, self.root)
+        fs.delete(path, True)
 
-def _with_policy(versions: DataFrame, strategy: str) -> DataFrame:
-    """content_sha and path of versions, after the display versions that other versions of the package keep are left out."""
-    claimed = versions.select("package_id", "version_dir", "package_version", "channel", F.explode("display_versions").alias("value"))
-    kept = conflicts.resolve_conflicts(claimed, strategy).groupBy("version_dir").agg(F.array_sort(F.collect_set("value")).alias("_kept"))
-    sha = F.sha2(F.concat_ws("|", "record", F.array_join(F.coalesce("_kept", F.array().cast("array<string>")), ",")), 256)
-    hashed = versions.drop("content_sha", "relpath").join(kept, "version_dir", "left").withColumn("content_sha", sha)
-    return hashed.withColumn("relpath", nz.record_relpath(F.col("package_id"), F.col("package_version"), F.col("content_sha"))).drop("_kept")
 
+def _projected(made: DataFrame) -> DataFrame:
+    """Rows of the state for records: the hash is that of the record's text, children count by their hash."""
+    sha = F.sha2("record", 256)
+    children = records.children_hash(records.child_records(made))
+    rows = made.join(records.project_index(made), "version_dir").join(children, "version_dir", "left").withColumn("content_sha", sha)
+    return rows.withColumn("relpath", nz.record_relpath(F.col("package_id"), F.col("package_version"), sha))
 
-def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore) -> dict:
-    """All tables of a run.  Steps that several others read are tables in the state's work folder; the state is not touched."""
 
-    def table(df: DataFrame, name: str) -> DataFrame:
-        path = f"{work}/{name}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+def _claims(versions: DataFrame) -> DataFrame:
+    return versions.select("package_id", "version_dir", "package_version", "channel", F.explode("claimed_versions").alias("value"))
 
-    work = f"{store.root}/work/{uuid.uuid4().hex}"
-    prev_files, prev = store.read("files", FILES), store.read("versions", VERSIONS)
-    prev_children = store.read("children", CHILDREN)
-    listed = fl.scan_files(spark, cfg.corpus)
+
+def scan_changes(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work: Work) -> dict:
+    """listed (the inventory without hashes), prev, hashed (new and altered files), gone (files that are no more), groups (dirty), chosen (targets or None)."""
+    prev = store.read("files", FILES)
+    listed = fl.scan_files(spark, cfg.corpus, cfg.glob)
     chosen = None
     if cfg.targets:
-        named = prev.select("version_dir", "package_id", "package_version").unionByName(listed.select("version_dir").distinct().join(prev.select("version_dir"), "version_dir", "left_anti").select("version_dir", F.lit(None).cast("string").alias("package_id"), nz.last_segment(F.col("version_dir")).alias("package_version")))
-        chosen = table(lookup.select_targets(named, **cfg.targets), "targets")
+        known = store.read("versions", "version_dir string, package_id string, package_version string")
+        new = listed.select("version_dir").distinct().join(known.select("version_dir"), "version_dir", "left_anti").select("version_dir", F.lit(None).cast("string").alias("package_id"), nz.last_segment(F.col("version_dir")).alias("package_version"))
+        chosen = work.table(lookup.select_targets(known.unionByName(new), **cfg.targets), "targets")
         if cfg.remove:
             listed = lookup.exclude_targets(listed, chosen)
-    now = table(diff.fill_hashes(listed, prev_files, fl.read_contents(spark, cfg.corpus), cfg.trust_mtime).drop("reused"), "files")
-
-    dirty = diff.dirty_groups(now, prev_files)
+    same = ["path", "size", "mtime"] if cfg.trust_mtime else ["path"]
+    fresh = listed.join(prev.select(*same), same, "left_anti") if cfg.trust_mtime else listed
+    hashed = work.table(diff.fill_hashes(fresh, prev.limit(0), fl.read_contents(spark, cfg.corpus, cfg.glob)).drop("reused"), "files")
+    gone = prev.join(listed.select("path"), "path", "left_anti")
+    before = prev.join(hashed.select("path"), "path", "left_semi").unionByName(gone)
+    groups = diff.dirty_groups(hashed, before)
     if not cfg.force:
-        dirty = dirty.unionByName(diff.needs_backfill(now, prev, ["record", "display_versions"])).distinct()
-    groups = diff.groups_to_refresh(dirty, now, cfg.force)
+        held = store.read("versions", "version_dir string, record string, claimed_versions array<string>")
+        groups = groups.unionByName(diff.needs_backfill(listed, held, ["record", "claimed_versions"])).distinct()
+    groups = diff.groups_to_refresh(groups, listed, cfg.force)
     if chosen is not None:
         groups = groups.join(chosen, "version_dir", "left_semi")
-    groups = table(groups, "groups")
-    paths = now.join(diff.still_present(groups, now), "version_dir", "left_semi").select("path")
-    fragments = table(fr.parse_fragments(fl.read_contents(spark, cfg.corpus).join(paths, "path", "left_semi")), "fragments")
-    broken = table(records.check_groups(fragments), "violations")
+    return {"listed": listed, "prev": prev, "hashed": hashed, "gone": gone, "groups": work.table(groups, "groups"), "chosen": chosen}
+
+
+def _assembled(spark: SparkSession, cfg: BuildConfig, scan: dict, groups: DataFrame, work: Work, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, violations, fragments) of the files of some groups."""
+    paths = scan["listed"].join(diff.still_present(groups, scan["listed"]), "version_dir", "left_semi").select("path")
+    fragments = work.table(fr.parse_fragments(fl.read_contents(spark, cfg.corpus, cfg.glob).join(paths, "path", "left_semi")), f"{name}-fragments")
+    broken = work.table(records.check_groups(fragments), f"{name}-violations")
     good = fragments.join(broken.select("version_dir").distinct(), "version_dir", "left_anti")
-    made = table(records.assemble_records(good), "records")
-    fresh = table(made.join(records.project_index(made), "version_dir"), "projected")
-    children = table(records.child_records(made), "children")
-
-    touched = diff.touched_packages(groups, fresh, prev)
-    unhashed = fresh.withColumns({"content_sha": F.lit(None).cast("string"), "relpath": F.lit(None).cast("string")}).select(*prev.columns)
-    siblings = diff.expand_siblings(touched, prev, groups).select(*prev.columns)
-    computed = _with_policy(unhashed.unionByName(siblings), cfg.strategy).select(*prev.columns)
-    computed = table(computed, "computed")
-    compared = table(groups.unionByName(siblings.select("version_dir")).distinct(), "compared")
-    changes = table(diff.diff_records(computed, prev.join(compared, "version_dir", "left_semi"), "version_dir", ["content_sha"]), "changes")
-
-    versions = table(diff.apply_changes(prev, computed, compared), "versions")
-    kids = table(diff.apply_changes(prev_children, children.select(*prev_children.columns), groups), "kids")
-    files = now if chosen is None else diff.apply_changes(prev_files, now.join(groups, "version_dir", "left_semi").select(*prev_files.columns), groups)
+    return work.table(records.assemble_records(good), f"{name}-records"), broken, fragments
+
+
+def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work: Work, scan: dict) -> dict:
+    """The touched part of every state table, the changes and the queue; the state is not touched."""
+    groups = scan["groups"]
+    made, broken, fragments = _assembled(spark, cfg, scan, groups, work, "dirty")
+    names = made.select("version_dir", "package_id")
+    touched = work.table(diff.touched_packages(groups, names, store.read("versions", "version_dir string, package_id string")), "touched")
+    buckets = {"versions": store.buckets_of(touched, "package_id")}
+    buckets["packages"] = buckets["versions"]
+    prev = store.read("versions", VERSIONS, buckets["versions"])
+    siblings = work.table(diff.expand_siblings(touched, prev, groups), "siblings")
+
+    # conflicts are resolved on what the files claim; siblings that keep other values than before are read again
+    claimed = work.table(made.join(records.project_index(made), "version_dir").select("package_id", "version_dir", "package_version", "channel", F.col("display_versions").alias("claimed_versions")), "claimed")
+    lost = work.table(conflicts.losing_claims(_claims(claimed.unionByName(siblings.select(*claimed.columns))), cfg.strategy).select("version_dir", "value"), "lost")
+    gives_up = lost.groupBy("version_dir").agg(F.collect_set("value").alias("_lost"))
+    keeps = F.array_sort(F.array_except("claimed_versions", F.coalesce("_lost", F.array().cast("array<string>"))))
+    again = siblings.join(gives_up, "version_dir", "left").where(keeps != F.array_sort(F.coalesce("display_versions", F.array().cast("array<string>")))).select("version_dir")
+    again = work.table(again, "again")
+    more, _, _ = _assembled(spark, cfg, scan, again, work, "siblings")
+    both = made.unionByName(more)
+    final = work.table(records.strip_display_versions(both, lost), "records")
+    kept = both.join(records.project_index(both), "version_dir").select("version_dir", F.col("display_versions").alias("claimed_versions"))
+    computed = work.table(_projected(final).join(kept, "version_dir").select(*prev.columns), "computed")
+
+    compared = work.table(groups.unionByName(again).distinct(), "compared")
+    looked_at = compared.unionByName(siblings.select("version_dir")).distinct()
+    unread = siblings.join(again, "version_dir", "left_anti")
+    now, was = computed.unionByName(unread.select(*computed.columns)), prev.join(looked_at, "version_dir", "left_semi")
+    changes = work.table(diff.diff_records(now, was, "version_dir", ["content_sha", "children_sha"]), "changes")
+    buckets["children"] = store.buckets_of(compared, "version_dir")
+    prev_children = store.read("children", CHILDREN, buckets["children"])
+    kids = work.table(diff.apply_changes(prev_children, records.child_records(final).select(*prev_children.columns), compared), "children")
+    versions = work.table(diff.apply_changes(prev, computed, compared), "versions")
+
+    done = groups if scan["chosen"] is not None else None
+    hashed, gone = (x if done is None else x.join(done, "version_dir", "left_semi") for x in (scan["hashed"], scan["gone"]))
+    buckets["files"] = store.buckets_of(hashed.select("version_dir").union(gone.select("version_dir")).union(scan["prev"].join(hashed.select("path"), "path", "left_semi").select("version_dir")), "version_dir")
+    kept_files = store.read("files", FILES, buckets["files"]).join(hashed.select("path").union(gone.select("path")), "path", "left_anti")
+    files = kept_files.unionByName(hashed.select(*kept_files.columns))
     queue = diff.validation_queue(changes, kids, prev_children)
-    hashes = rollup.package_hash(versions).join(rollup.version_counts(versions), "package_id")
-    packages = hashes.withColumn("relpath", nz.sidecar_relpath(F.col("package_id"), F.col("package_sha")))
-    return {"work": work, "files": files, "versions": versions, "children": kids, "packages": packages, "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments)}
+    data = rollup.version_data(versions).select("package_id", F.sha2(F.to_json("versions"), 256).alias("sha256"))
+    packages = rollup.package_hash(versions).join(rollup.version_counts(versions), "package_id").join(data, "package_id").withColumn("relpath", nz.sidecar_relpath(F.col("package_id"), F.col("package_sha")))
+    return {"files": files, "versions": versions, "children": kids, "packages": packages.select(*[f.split()[0] for f in PACKAGES.split(", ")]), "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets}
 
 
-def index_tables(versions: DataFrame) -> dict[str, DataFrame]:
-    """The package-level index of all versions."""
-    values = lambda c: versions.select("package_id", F.explode(c).alias("value"))
+def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0) -> dict[str, DataFrame]:
+    """All tables of an index format over all versions."""
+    if fmt == 1:
+        rows = versions.select("version_dir", "package_id", "package_version", "channel", F.col("package_name").alias("name"), "moniker", "publisher", F.col("relpath").alias("path"))
+        return index.build_index_v1(rows, {t: versions.select("version_dir", F.explode(c).alias("value")) for t, c in V1_VALUES.items()}, now, base)
     latest = rollup.latest_version(versions.select("package_id", "version_dir", "package_version", "channel", "package_name", "moniker"))
     named = latest.withColumn("name", F.coalesce(F.nullif("package_name", F.lit("")), "package_id")).drop("package_name")
-    direct = {"pfns": "families", "productcodes": "product_codes", "upgradecodes": "upgrade_codes", "norm_names": "norm_names", "norm_publishers": "norm_publishers"}
-    return index.build_index_v2(named, {c: values(c) for c in ("tags", "commands")}, {k: values(c) for k, c in direct.items()})
+    return index.build_index_v2(named, {t: versions.select("package_id", F.explode(c).alias("value")) for t, c in V2_VALUES.items()}, versions.select("package_id"), now, base)
 
 
 def pending_diff(spark: SparkSession, cfg: BuildConfig) -> dict:
     """What a build would do: added, updated, removed, revalidations.  The state is not touched."""
-    plan = plan_build(spark, cfg, st.StateStore(spark, cfg.state))
-    out = diff.diff_summary(plan["changes"], plan["queue"]).first().asDict()
-    _forget(spark, plan)
-    return out
-
-
-def _forget(spark: SparkSession, plan: dict) -> None:
-    fs, path = fl.filesystem(spark, plan["work"])
-    fs.delete(path, True)
+    store = st.StateStore(spark, cfg.state)
+    work = Work(spark, store)
+    try:
+        scan = scan_changes(spark, cfg, store, work)
+        if scan["groups"].isEmpty():
+            return {"added": 0, "updated": 0, "removed": 0, "revalidations": 0}
+        plan = plan_build(spark, cfg, store, work, scan)
+        return diff.diff_summary(plan["changes"], plan["queue"]).first().asDict()
+    finally:
+        work.drop()
 
 
 def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
@@ -124,27 +185,38 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
     store = st.StateStore(spark, cfg.state)
     if cfg.dry_run:
         return pending_diff(spark, cfg) | {"status": "dry-run"}
+    work = Work(spark, store)
     build = store.begin()
     try:
-        plan = plan_build(spark, cfg, store)
+        if store.get_meta("format", cfg.index_format) != cfg.index_format:  # another format: everything is built again
+            cfg = BuildConfig(**{**cfg.__dict__, "force": True})
+        first = not store.current()["tables"]
+        scan = scan_changes(spark, cfg, store, work)
+        summary = {"added": 0, "updated": 0, "removed": 0, "revalidations": 0}
+        if not first and not cfg.force and scan["groups"].isEmpty():
+            store.close("staged_reused")
+            return summary | {"build": build, "status": "staged_reused"}
+        plan = plan_build(spark, cfg, store, work, scan)
         if not cfg.quarantine and (bad := plan["violations"].limit(5).collect()):
             raise ValueError("; ".join(f"{r.version_dir}: {r.rule}" for r in bad))
         summary = diff.diff_summary(plan["changes"], plan["queue"]).first().asDict()
-        if not cfg.force and store.current()["tables"] and not any(summary.values()):
-            store.commit({"files": plan["files"]}, "staged_reused")
-            _forget(spark, plan)
+        touched = {n: None if first else b for n, b in plan["buckets"].items()}
+        tables = {n: plan[n] for n in ("files", "versions", "children", "packages")}
+        if not first and not cfg.force and not any(summary.values()):
+            store.commit({"files": plan["files"]}, "staged_reused", touched)
             return summary | {"build": build, "status": "staged_reused"}
         st.write_changes(plan["changes"], f"{store.root}/changes", build)
         st.write_queue(plan["queue"], f"{store.root}/snapshots/{build:08d}/queue", "version_dir", "child_sha")
-        tables = {k: plan[k] for k in ("files", "versions", "children", "packages")}
-        tables |= {f"index_{k}": df for k, df in index_tables(plan["versions"]).items()}
-        store.commit(tables, "staged", staged=build)
-        _forget(spark, plan)
+        untouched = store.read("versions", VERSIONS).where(~store.bucket("package_id").isin(plan["buckets"]["versions"]))
+        everything = untouched.unionByName(plan["versions"])
+        tables |= {f"index_{n}": df for n, df in index_tables(everything, cfg.index_format, base=build).items()}
+        store.commit(tables, "staged", touched, staged=build, format=cfg.index_format)
         return summary | {"build": build, "status": "staged"}
     except Exception as e:
-        if store.current()["builds"][-1]["status"] == "running":
-            store.close("failed", str(e)[:2000])
+        store.fail(str(e))
         raise
+    finally:
+        work.drop()
 
 
 def apply_targets(spark: SparkSession, cfg: BuildConfig, targets: dict, remove: bool = False) -> dict:
@@ -152,29 +224,93 @@ def apply_targets(spark: SparkSession, cfg: BuildConfig, targets: dict, remove:
     return incremental_build(spark, BuildConfig(**{**cfg.__dict__, "targets": targets, "remove": remove}))
 
 
-def publish(spark: SparkSession, cfg: BuildConfig, target: str, force: bool = False, dry_run: bool = False) -> dict:
-    """Publish the staged records and sidecars as a table at ``target``, unless it drifted from what is tracked."""
-    store = st.StateStore(spark, cfg.state)
-    versions, tracked = store.read("versions", VERSIONS), store.read("published", PUBLISHED)
-    packages = store.read("packages", "package_id string, package_sha string, version_count bigint, relpath string")
+def _catalogue(packages: DataFrame) -> DataFrame:
+    """relpath, body: the catalogue file, a list of hashes over parts of the packages, so that no task gathers them all."""
+    part = F.pmod(F.xxhash64("package_id"), F.lit(CATALOGUE_PARTS))
+    line = F.concat_ws("|", "package_id", "package_sha")
+    parts = packages.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha"))
+    listed = F.array_sort(F.collect_list(F.struct("part", "sha")))
+    return parts.agg(F.to_json(listed).alias("body")).select(F.lit("catalog.idx").alias("relpath"), "body")  # CATALOGUE_PARTS hashes at most
+
+
+def _bodies(versions: DataFrame, packages: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """relpath, body of records, sidecars and the catalogue, or of those whose path is in ``touched``."""
+    only = lambda df: df if touched is None else df.join(touched.select("relpath"), "relpath", "left_semi")
+    side = only(packages.select("package_id", "relpath"))
+    data = rollup.version_data(versions, None if touched is None else side).select("package_id", F.to_json("versions").alias("body"))
+    return only(versions.select("relpath", F.col("record").alias("body"))).unionByName(side.join(data, "package_id").select("relpath", "body")).unionByName(only(_catalogue(packages)))
+
+
+def published_files(spark: SparkSession, target: str) -> DataFrame:
+    """relpath, sha256 of the bodies that are really there."""
     fs, path = fl.filesystem(spark, target)
-    actual = spark.read.parquet(target).select("relpath", F.sha2("body", 256).alias("body_sha"), "sha256") if fs.exists(path) else spark.createDataFrame([], "relpath string, body_sha string, sha256 string")
-    off = inventory.drift(tracked, actual).groupBy("drift_kind").count().collect()
+    if not fs.exists(path) or not list(fs.listStatus(path)):
+        return spark.createDataFrame([], "relpath string, sha256 string")
+    return spark.read.parquet(target).select("relpath", F.sha2("body", 256).alias("sha256"))
+
+
+def verify_published(spark: SparkSession, cfg: BuildConfig, target: str) -> DataFrame:
+    """relpath, drift_kind: published files that are missing, changed or not tracked."""
+    return inventory.drift(st.StateStore(spark, cfg.state).read("published", PUBLISHED), published_files(spark, target))
+
+
+def plan_publish(spark: SparkSession, cfg: BuildConfig, build_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(wanted, actions, versions, packages) for publishing the current or a chosen build."""
+    store = st.StateStore(spark, cfg.state)
+    tables = None if build_id is None else store.tables_of(build_id)
+    versions, packages = store.read("versions", VERSIONS, tables=tables), store.read("packages", PACKAGES, tables=tables)
+    catalogue = _catalogue(packages).select("relpath", F.sha2("body", 256).alias("sha256"))
+    wanted = inventory.published_inventory(versions.select("relpath", F.col("content_sha").alias("sha256")), packages.select("relpath", "sha256"), catalogue)
+    return wanted, inventory.plan_publish(wanted, store.read("published", PUBLISHED)), versions, packages
+
+
+def publish(spark: SparkSession, cfg: BuildConfig, target: str, force: bool = False, dry_run: bool = False, build_id: int | None = None) -> dict:
+    """Publish a build's records and sidecars at ``target`` (a table in buckets), unless what is there drifted from what is tracked.
+
+    Only buckets with files to copy or delete are written again.
+    """
+    store = st.StateStore(spark, cfg.state)
+    off = verify_published(spark, cfg, target).groupBy("drift_kind").count().collect()
     if off and not force:
         raise ValueError("published files drifted: " + ", ".join(f"{r['count']} {r.drift_kind}" for r in off))
-    catalogue = packages.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("package_sha")), ""), 256).alias("sha256")).select(F.lit("catalog.idx").alias("relpath"), "sha256")
-    wanted = inventory.published_inventory(versions.select("relpath", F.col("content_sha").alias("sha256")), packages.select("relpath", F.col("package_sha").alias("sha256")), catalogue)
-    counts = {r.action: r["count"] for r in inventory.plan_publish(wanted, tracked).groupBy("action").count().collect()}
+    wanted, actions, versions, packages = plan_publish(spark, cfg, build_id)
+    if off:  # whatever is there, all files are written again
+        actions = wanted.select("relpath", F.lit("copy").alias("action")).unionByName(actions.where("action = 'delete'"))
+    work = Work(spark, store)
+    counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
     if dry_run:
         return counts | {"status": "dry-run"}
-    bodies = versions.select("relpath", F.col("record").alias("body")).unionByName(rollup.version_data(versions).join(packages.select("package_id", "relpath"), "package_id").select("relpath", F.to_json("versions").alias("body")))
-    wanted.join(bodies, "relpath", "left").select("relpath", "kind", "sha256", F.coalesce("body", F.lit("")).alias("body")).write.mode("overwrite").parquet(target)
     build = store.begin()
-    store.commit({"published": wanted}, "published", published=build)
-    return counts | {"status": "published"}
+    try:
+        actions = work.table(actions, "actions")
+        buckets = store.buckets_of(actions, "relpath")
+        fs, path = fl.filesystem(spark, target)
+        if off:
+            fs.delete(path, True)
+        bodies = _bodies(versions, packages, actions.where("action = 'copy'"))
+        rows = bodies.join(wanted.select("relpath", "kind"), "relpath").select("relpath", "kind", "body")
+        if fs.exists(path) and list(fs.listStatus(path)):
+            there = spark.read.parquet(target).where(F.col("bucket").isin(buckets)).select("relpath", "kind", "body")
+            rows = rows.unionByName(there.join(actions.select("relpath"), "relpath", "left_anti"))
+        ready = work.table(rows.withColumn("bucket", store.bucket("relpath")), "published")
+        for k in buckets:  # at most as many as there are buckets
+            fs.delete(fl.filesystem(spark, f"{target}/bucket={k}")[1], True)
+        ready.hint("rebalance", "bucket").write.partitionBy("bucket").mode("append").parquet(target)
+        store.commit({"published": wanted}, "published", {"published": buckets}, published=build if build_id is None else build_id)
+        return counts | {"status": "published"}
+    except Exception as e:
+        store.fail(str(e))
+        raise
+    finally:
+        work.drop()
 
 
 def clear_published(spark: SparkSession, cfg: BuildConfig) -> None:
+    """Forget what is tracked as published."""
     store = st.StateStore(spark, cfg.state)
     store.begin()
-    store.commit({"published": spark.createDataFrame([], PUBLISHED)}, "published", published=None)
+    try:
+        store.commit({"published": spark.createDataFrame([], PUBLISHED)}, "published", published=None)
+    except Exception as e:
+        store.fail(str(e))
+        raise

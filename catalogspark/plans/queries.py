@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.functions import normalize as nz
-from catalogspark.functions.version import version_key
+from catalogspark.functions.version import version_key, version_parts
 from catalogspark.operators import conflicts, diff, index, inventory, lookup, rollup
 from catalogspark.plans.fixtures import duck, view
 
@@ -62,9 +62,8 @@ def _(v):
 
 @query("f8_version_parts", "ver_now", f"select version_dir, {NUM}[1] major, {NUM}[2] minor, {NUM}[3] patch from ver_now")
 def _(v):
-    at = lambda i: F.get(F.col("k.parts"), i)
-    num = lambda i: F.coalesce(F.nullif(at(i)["digits"], F.lit("")), F.lit("0")).cast("long")
-    return v.withColumn("k", version_key(F.col("package_version"))).select("version_dir", num(0).alias("major"), num(1).alias("minor"), num(2).alias("patch"))
+    num = lambda i: F.coalesce(F.nullif(F.get(version_parts(F.col("package_version")), i)["number"], F.lit("")), F.lit("0")).cast("long")
+    return v.select("version_dir", num(0).alias("major"), num(1).alias("minor"), num(2).alias("patch"))
 
 
 query("w1_latest_version", "ver_now", LATEST)(rollup.latest_version)

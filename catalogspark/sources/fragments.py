@@ -15,7 +15,10 @@ SET_FIELDS = frozenset((
 ))
 NOT_IDENTITY = frozenset(("Commands", "Protocols", "FileExtensions"))
 
-SCHEMA = "version_dir string, path string, file_name string, frag_type string, fields map<string,string>, child_fields map<string,string>, warnings array<string>, error string"
+#: Under this key the loader gives the node of the version back: one parse is enough.
+VERSION_NODE = "\0version"
+
+SCHEMA = "version_dir string, path string, file_name string, frag_type string, fields map<string,string>, child_fields map<string,string>, installers array<map<string,string>>, warnings array<string>, error string"
 
 
 def dump(value) -> str:
@@ -46,12 +49,22 @@ def loader():
 
     class Loader(yaml.SafeLoader):
         yaml_implicit_resolvers: dict = {}
+        top = None
 
         def construct_mapping(self, node, deep=False):
             keys = [k.value for k, _ in node.value]
             if len(keys) != len({*keys}):
                 raise ValueError("a key is repeated")
-            return super().construct_mapping(node, deep)
+            made = super().construct_mapping(node, deep)
+            if self.top is node:  # the version's own text, whatever type it looks like
+                version = next((v for k, v in node.value if k.value == "PackageVersion"), None)
+                if version is not None:
+                    made[VERSION_NODE] = version
+            return made
+
+        def construct_document(self, node):
+            self.top = node
+            return super().construct_document(node)
 
     import re
 
@@ -70,7 +83,7 @@ def loader():
 def parse(path: str, content: bytes, load) -> dict:
     """One fragment; a text that can't be read gives its error instead of fields."""
     folder, _, name = path.rpartition("/")
-    row = {"version_dir": folder, "path": path, "file_name": name, "frag_type": None, "fields": None, "child_fields": None, "warnings": [], "error": None}
+    row = {"version_dir": folder, "path": path, "file_name": name, "frag_type": None, "fields": None, "child_fields": None, "installers": None, "warnings": [], "error": None}
     import yaml
 
     try:
@@ -78,7 +91,7 @@ def parse(path: str, content: bytes, load) -> dict:
         tree = yaml.load(text, Loader=load)
         if not isinstance(tree, dict):
             raise ValueError("not a mapping")
-        version = next((v for k, v in yaml.compose(text, Loader=load).value if k.value == "PackageVersion"), None)
+        version = tree.pop(VERSION_NODE, None)
         if version is not None and version.value != "":
             if isinstance(tree["PackageVersion"], (int, float)) and not isinstance(tree["PackageVersion"], bool):
                 row["warnings"] = [f"PackageVersion {version.value} is a number"]
@@ -86,7 +99,10 @@ def parse(path: str, content: bytes, load) -> dict:
         kind = tree.get("ManifestType")
         row["frag_type"] = None if kind is None else str(kind).lower()
         row["fields"] = [(k, dump(v)) for k, v in canonical(tree).items()]
-        row["child_fields"] = [(k, dump(v)) for k, v in canonical(tree, "", NOT_IDENTITY).items()]
+        own = canonical(tree, "", NOT_IDENTITY)
+        row["child_fields"] = [(k, dump(v)) for k, v in own.items()]
+        if isinstance(own.get("Installers"), list):  # each value as JSON text, so that 1 and "1" stay apart
+            row["installers"] = [[(k, dump(v)) for k, v in x.items()] for x in own["Installers"] if isinstance(x, dict)]
     except Exception as e:  # the file's own fault; reported as a violation by the record checks
         row["error"] = f"{type(e).__name__}: {e}"[:500]
     return row
@@ -99,9 +115,10 @@ def parse_fragments(contents: DataFrame) -> DataFrame:
         load = loader()
         for frame in frames:
             rows = [parse(p, bytes(c), load) for p, c in zip(frame["path"], frame["content"], strict=True)]
-            out = pd.DataFrame(rows, columns=["version_dir", "path", "file_name", "frag_type", "fields", "child_fields", "warnings", "error"])
+            out = pd.DataFrame(rows, columns=["version_dir", "path", "file_name", "frag_type", "fields", "child_fields", "installers", "warnings", "error"])
             for c in ("fields", "child_fields"):
                 out[c] = [None if x is None else dict(x) for x in out[c]]
+            out["installers"] = [None if x is None else [dict(m) for m in x] for x in out["installers"]]
             yield out
 
     return contents.select("path", "content").mapInPandas(run, SCHEMA)

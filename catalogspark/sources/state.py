@@ -1,7 +1,10 @@
-"""Snapshot state: Parquet tables of a build under one folder, made current by one numbered pointer file.
+"""Snapshot state: Parquet tables in buckets under one folder, made current by one numbered pointer file.
 
-A commit writes a new snapshot folder, checks its keys, and then creates the next pointer by renaming a finished file;
-readers follow the highest pointer, so they see the old state or the new one.  A lock file refuses a second writer.
+A table's rows are dealt to buckets by the hash of a key; a commit writes only the buckets that a run has touched into
+the build's own folder, checks their keys, and then creates the next pointer by renaming a finished file.  A pointer
+names the folder of every bucket, so readers see the old state or the new one, and older builds stay readable.  A lock
+file, created only if absent, refuses a second writer; one older than ``lease`` seconds is taken over, and the build
+that left it is logged as failed.
 """
 
 from __future__ import annotations
@@ -17,13 +20,15 @@ from pyspark.sql.types import StructType
 from catalogspark.sources.files import filesystem
 
 KEYS = {"files": ["path"], "versions": ["version_dir"], "children": ["version_dir", "child_sha"], "packages": ["package_id"], "published": ["relpath"]}
+BUCKET_BY = {"files": "version_dir", "versions": "package_id", "children": "version_dir", "packages": "package_id", "published": "relpath"}
 
 
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, lease: int = 86_400):
+        self.spark, self.root, self.lease = spark, root.rstrip("/"), lease
         fs, target = filesystem(spark, f"{self.root}/pointers")
         fs.mkdirs(target)
+        self.buckets = self.current().get("buckets", buckets)
 
     def _put(self, path: str, body: dict) -> None:
         fs, target = filesystem(self.spark, path)
@@ -34,6 +39,9 @@ class StateStore:
         if fs.exists(target) or not fs.rename(temp, target):
             raise RuntimeError(f"{path} exists already")
 
+    def _text(self, path: str) -> dict:
+        return json.loads(self.spark.read.option("wholetext", "true").text(path).first()[0])
+
     def _names(self) -> list[str]:
         fs, target = filesystem(self.spark, f"{self.root}/pointers")
         return sorted(s.getPath().getName() for s in fs.listStatus(target))
@@ -41,32 +49,57 @@ class StateStore:
     def current(self) -> dict:
         """The current pointer: build, status, tables, meta."""
         names = self._names()
-        if not names:
-            return {"build": 0, "tables": {}, "meta": {}, "builds": []}
-        text = self.spark.read.option("wholetext", "true").text(f"{self.root}/pointers/{names[-1]}").first()[0]
-        return json.loads(text)
-
-    def read(self, name: str, schema: str | StructType) -> DataFrame:
+        return self._text(f"{self.root}/pointers/{names[-1]}") if names else {"build": 0, "tables": {}, "meta": {}, "builds": []}
+
+    def tables_of(self, build: int) -> dict:
+        """The tables as the build left them."""
+        for name in reversed(self._names()):
+            pointer = self._text(f"{self.root}/pointers/{name}")
+            if pointer["build"] == build:
+                if pointer["builds"][-1]["status"] not in ("staged", "staged_reused", "published"):
+                    break
+                return pointer["tables"]
+        raise ValueError(f"build {build} was never staged")
+
+    def bucket(self, column: str) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, rows: DataFrame, column: str) -> list[int]:
+        """The buckets that hold these keys; at most as many numbers as there are buckets."""
+        return sorted(r[0] for r in rows.select(self.bucket(column)).distinct().collect())
+
+    def read(self, name: str, schema: str | StructType, buckets: list[int] | None = None, tables: dict | None = None) -> DataFrame:
         """A table of the current snapshot with the wanted columns: those it does not have yet are null."""
         wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        path = self.current()["tables"].get(name)
-        if path is None:
+        held = (self.current()["tables"] if tables is None else tables).get(name, {})
+        paths = [p for k, p in sorted(held.items()) if buckets is None or int(k) in buckets]
+        if not paths:
             return self.spark.createDataFrame([], wanted)
-        have = self.spark.read.parquet(path)
+        have = self.spark.read.option("mergeSchema", "true").parquet(*paths)
         return have.select(*(F.col(f.name).cast(f.dataType) if f.name in have.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
     def _move(self, **changes) -> dict:
-        body = self.current() | changes
+        body = self.current() | {"buckets": self.buckets} | changes
         names = self._names()
         self._put(f"{self.root}/pointers/{int(names[-1]) + 1 if names else 1:012d}", body)
         return body
 
+    def _lock(self) -> None:
+        fs, target = filesystem(self.spark, f"{self.root}/lock")
+        if fs.exists(target) and time.time() - fs.getFileStatus(target).getModificationTime() / 1000 > self.lease:
+            fs.delete(target, False)
+        try:
+            fs.create(target, False).close()
+        except Exception as e:
+            raise RuntimeError(f"{self.root} is locked by another writer") from e
+
     def begin(self) -> int:
         """Take the lock and log a running build."""
-        self._put(f"{self.root}/lock", {"at": time.time()})
+        self._lock()
         now = self.current()
+        past = [b | {"status": "failed", "finished": int(time.time()), "error": "abandoned"} if b["status"] == "running" else b for b in now["builds"]]
         build = now["build"] + 1
-        self._move(build=build, builds=[*now["builds"], {"build_id": build, "started": int(time.time()), "finished": None, "status": "running", "error": None}])
+        self._move(build=build, builds=[*past, {"build_id": build, "started": int(time.time()), "finished": None, "status": "running", "error": None}])
         return build
 
     def close(self, status: str, error: str | None = None, **changes) -> None:
@@ -77,17 +110,30 @@ class StateStore:
         fs, target = filesystem(self.spark, f"{self.root}/lock")
         fs.delete(target, False)
 
-    def commit(self, tables: dict[str, DataFrame], status: str = "staged", **meta) -> None:
-        """Write the tables as a new snapshot, check their keys, point to it."""
+    def fail(self, error: str) -> None:
+        """Log the running build as failed, release the lock."""
+        if self.current()["builds"][-1]["status"] == "running":
+            self.close("failed", error[:2000])
+
+    def commit(self, tables: dict[str, DataFrame], status: str = "staged", touched: dict[str, list[int]] | None = None, **meta) -> None:
+        """Write the tables, or the touched buckets of them, check their keys, point to them."""
         now = self.current()
-        paths = dict(now["tables"])
+        held = {n: dict(t) for n, t in now["tables"].items()}
         for name, df in tables.items():
-            paths[name] = f"{self.root}/snapshots/{now['build']:08d}/{name}"
-            df.write.mode("overwrite").parquet(paths[name])
+            only = (touched or {}).get(name)
+            path = f"{self.root}/snapshots/{now['build']:08d}/{name}"
+            by = BUCKET_BY.get(name)
+            rows = df.withColumn("bucket", self.bucket(by) if by else F.lit(0))
+            if only is not None:
+                rows = rows.where(F.col("bucket").isin(only))
+            rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+            fs, target = filesystem(self.spark, path)
+            new = {s.getPath().getName().partition("=")[2]: f"{path}/{s.getPath().getName()}" for s in fs.listStatus(target) if s.isDirectory()}
+            held[name] = {k: p for k, p in held.get(name, {}).items() if only is not None and int(k) not in only} | new
             key = KEYS.get(name)
-            if key and not self.spark.read.parquet(paths[name]).groupBy(*key).count().where("count > 1").limit(1).isEmpty():
+            if key and new and not self.spark.read.parquet(*new.values()).groupBy(*key).count().where("count > 1").limit(1).isEmpty():
                 raise ValueError(f"{name} repeats a key")
-        self.close(status, tables=paths, meta=now["meta"] | meta)
+        self.close(status, tables=held, meta=now["meta"] | meta)
 
     def set_meta(self, **values) -> None:
         self._move(meta=self.current()["meta"] | values)

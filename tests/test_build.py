@@ -97,7 +97,7 @@ def test_incremental_equals_full(spark, cfg, tmp_path):
     full = bd.BuildConfig(**{**cfg.__dict__, "state": cfg.state + "2", "force": True})
     bd.incremental_build(spark, full)
     other = st.StateStore(spark, full.state)
-    for name, ddl in (("versions", bd.VERSIONS), ("children", bd.CHILDREN), ("packages", "package_id string, package_sha string, version_count bigint"), ("index_tags2_map", "package bigint, id bigint"), ("index_norm_names2", "value string, package bigint")):
+    for name, ddl in (("versions", bd.VERSIONS), ("children", bd.CHILDREN), ("packages", bd.PACKAGES), ("index_tags2_map", "package bigint, id bigint"), ("index_norm_names2", "value string, package bigint")):
         a, b = (sorted(map(repr, s.read(name, ddl).collect())) for s in (store, other))
         assert a == b and a
     assert [r.status for r in store.builds().orderBy("build_id").collect()] == ["staged", "staged"]
@@ -117,10 +117,29 @@ def test_targets_publish_and_failures(spark, cfg, tmp_path):
     assert bd.publish(spark, cfg, target, dry_run=True)["copy"] == 11 + 5 + 1
     assert bd.publish(spark, cfg, target)["status"] == "published"
     assert bd.publish(spark, cfg, target, dry_run=True) == {"status": "dry-run"}
-    spark.read.parquet(target).where("kind <> 'catalog'").persist().limit(5).write.parquet(target + "-x")
-    bd.fl.filesystem(spark, target)[0].delete(bd.fl.filesystem(spark, target)[1], True)
-    with pytest.raises(ValueError, match="missing"):
+    assert bd.verify_published(spark, cfg, target).count() == 0
+
+    rows = spark.read.parquet(target)
+    bad = spark.createDataFrame([(r.relpath, r.kind, "CORRUPT" if r.kind == "package" else r.body, r.bucket) for r in rows.collect()][1:], rows.schema)
+    bad.write.partitionBy("bucket").parquet(target + "-x")
+    fs, path = bd.fl.filesystem(spark, target)
+    fs.delete(path, True)
+    fs.rename(bd.fl.filesystem(spark, target + "-x")[1], path)
+    with pytest.raises(ValueError, match="mismatched"):
         bd.publish(spark, cfg, target)
+    assert {r.drift_kind for r in bd.verify_published(spark, cfg, target).collect()} == {"mismatched", "missing"}
+    assert bd.publish(spark, cfg, target, force=True)["copy"] == 17 and bd.verify_published(spark, cfg, target).count() == 0
+
+    write(corpus, "Ex.P2", "7.0", d="2.7")
+    bd.incremental_build(spark, cfg)
+    before = {r.relpath for r in spark.read.parquet(target).collect()}
+    done = bd.publish(spark, cfg, target)
+    assert done["copy"] == 4 + 3 + 1 and done["delete"] == 2  # 2.0 of P1, 7.0 of P2, both of P5 again; their sidecars; the catalogue
+    after = {r.relpath for r in spark.read.parquet(target).collect()}
+    assert len(after - before) == 7 and len(before - after) == 2 and bd.verify_published(spark, cfg, target).count() == 0
+    assert bd.publish(spark, cfg, target, build_id=gone["build"])["delete"] == 7
+    assert {r.relpath for r in spark.read.parquet(target).collect()} == before
+
     bd.clear_published(spark, cfg)
     assert st.StateStore(spark, cfg.state).read("published", bd.PUBLISHED).count() == 0
     (corpus / "E/Ex/P4/1.0.0/Ex.P4.yaml").write_text("a: [")
@@ -130,6 +149,75 @@ def test_targets_publish_and_failures(spark, cfg, tmp_path):
     assert log.status == "failed" and "unreadable" in log.error
 
 
+def test_losers_are_rewritten_and_come_back(spark, tmp_path):
+    corpus = tmp_path / "c" / "manifests"
+    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/c", state=f"file://{tmp_path}/s")
+    write(corpus, "Ex.A", "1.0", d="3.1")
+    write(corpus, "Ex.A", "2.0", d="3.1")
+    write(corpus, "Ex.B", "1.0", d="3.1")
+    bd.incremental_build(spark, cfg)
+    seen = lambda: {r.version_dir[-9:]: r for r in st.StateStore(spark, cfg.state).read("versions", bd.VERSIONS).collect()}
+    rows = seen()
+    by = {r.relpath.split("/")[3] + r.package_version: r for r in rows.values()}
+    assert '"3.1"' not in by["A1.0"].record and '"3.1"' in by["A2.0"].record and by["A1.0"].claimed_versions == ["3.1"] and by["A1.0"].display_versions == []
+    import hashlib
+
+    assert all(r.content_sha == hashlib.sha256(r.record.encode()).hexdigest() for r in rows.values())
+    write(corpus, "Ex.A", "3.0", d="3.1")  # takes the value over: 2.0 loses it and is read again
+    done = bd.incremental_build(spark, cfg)
+    assert (done["added"], done["updated"]) == (1, 1)
+    for f in (corpus / "E/Ex/A/3.0").iterdir():
+        f.unlink()
+    done = bd.incremental_build(spark, cfg)  # and gets it back
+    assert (done["removed"], done["updated"]) == (1, 1)
+    assert {k: (r.content_sha, r.children_sha) for k, r in seen().items()} == {k: (r.content_sha, r.children_sha) for k, r in rows.items()}
+    with pytest.raises(Exception, match="conflicting value 3.1"):
+        bd.incremental_build(spark, bd.BuildConfig(**{**cfg.__dict__, "strategy": "error", "force": True}))
+    bd.incremental_build(spark, bd.BuildConfig(**{**cfg.__dict__, "strategy": "oldest", "force": True}))
+    by = {r.relpath.split("/")[3] + r.package_version: r for r in seen().values()}
+    assert by["A1.0"].display_versions == ["3.1"] and by["A2.0"].display_versions == []
+
+
+def test_a_run_writes_what_it_touches(spark, tmp_path):
+    corpus = tmp_path / "c" / "manifests"
+    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/c", state=f"file://{tmp_path}/s")
+    for i in range(40):
+        write(corpus, f"Ex.P{i}", "1.0", d=f"{i}")
+    bd.incremental_build(spark, cfg)
+    size = lambda build, name: len(list((tmp_path / "s" / "snapshots" / f"{build:08d}" / name).glob("bucket=*")))
+    write(corpus, "Ex.P7", "2.0", d="77")
+    second = bd.incremental_build(spark, cfg)
+    assert size(1, "versions") > 20 and [size(second["build"], n) for n in ("versions", "packages", "children", "files")] == [1, 1, 1, 1]
+    third = bd.incremental_build(spark, cfg)
+    assert third["status"] == "staged_reused" and not (tmp_path / "s" / "snapshots" / f"{third['build']:08d}").exists()
+    fourth = bd.incremental_build(spark, bd.BuildConfig(**{**cfg.__dict__, "index_format": 1}))
+    store = st.StateStore(spark, cfg.state)
+    assert fourth["status"] == "staged" and store.get_meta("format") == 1 and store.read("index_manifest", "version_dir string, ordinal long").count() == 41
+    names = [n for n in store.current()["tables"] if n.startswith("index_")]
+    assert len(names) == 21 + 11 - 1  # the tables of both formats; both have metadata
+
+
+def test_a_dead_writers_lock_is_taken_over(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    st.StateStore(spark, root).begin()
+    with pytest.raises(RuntimeError, match="locked"):
+        st.StateStore(spark, root).begin()
+    store = st.StateStore(spark, root, lease=-1)
+    store.begin()
+    store.close("staged")
+    assert [(r.status, r.error) for r in store.builds().orderBy("build_id").collect()] == [("failed", "abandoned"), ("staged", None)]
+
+
+def test_child_identity_keeps_types(spark):
+    from catalogspark.sources import fragments as fr
+
+    text = "PackageIdentifier: A\nPackageVersion: '1'\nManifestVersion: 1.6.0\nManifestType: merged\nInstallers:\n- Architecture: x64\n  Scope: {}\n"
+    rows = [(f"a/{i}/x.yaml", text.format(v).encode()) for i, v in enumerate(("1", "'1'", "true", "'true'"))]
+    frags = fr.parse_fragments(spark.createDataFrame(rows, "path string, content binary")).withColumn("version_dir", F.lit("a/1"))
+    kids = [records.child_records(records.assemble_records(frags.where(F.col("path") == p))).first() for p, _ in rows]
+    assert len({k.child_sha for k in kids}) == 4 and [k.scope for k in kids] == ["1", "1", "true", "true"]
+
+
 def test_conflict_strategies(spark):
     rows = [("p", "d1", "3.15.2", "", "3.14.4"), ("p", "d2", "3.16.2", "", "3.14.4"), ("p", "d2", "3.16.2", "", "other")]
     df = spark.createDataFrame(rows, "package_id string, version_dir string, package_version string, channel string, value string")
