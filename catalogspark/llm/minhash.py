@@ -39,7 +39,7 @@ from catalogspark.llm.shingles import U, mix, shingle_sets
 from catalogspark.llm.unionfind import components
 
 REGISTERS, ROWS = 128, 4
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def superminhash(h: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarray:
