@@ -224,7 +224,7 @@ def _open_links(grouped: DataFrame, sets: DataFrame, percent: int, block_bytes:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, registers: int = REGISTERS, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, n_rows (rows of that id)."""
     text, scratch = id_text(docs, id_col, text_col), Scratch(docs.sparkSession, "minhash")
     signed = materialize(text.mapInArrow(_sign(size, registers, rows), "doc_id long, n long, digest binary, bands array<long>"), "minhash-signed")
     solid = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -247,6 +247,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = heads.join(final, heads["rep"] == final["node"], "left").select("digest", F.coalesce("label", "rep").alias("label"))
     tagged = signed.where("n > 0").select("doc_id", "n", "digest").join(labels, "digest", "left").select("doc_id", "n", "label")
     blank = signed.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("label"))  # equal, but linked with nothing
-    return tagged.unionByName(blank).groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("label", "doc_id")).alias("component_id")).select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return tagged.unionByName(blank).groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("label", "doc_id")).alias("component_id"), F.count(F.lit(1)).alias("n_rows")).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_rows"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """Rows of the document with the smallest id of each group, with their own columns, whatever their names.
+
+    Rows that share an id are one document and stay or go together; of those equal in id and text one stays.  Rows
+    without an id all stay.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    marks = near_duplicates(docs, id_col, text_col, **more).where("doc_id IS NOT NULL AND (NOT kept OR n_rows > 1)").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
+    rows = docs.toDF(*names)
+    marked = rows.join(marks, rows[key].cast("long") == marks["_id"], "left")
+    return marked.where("_kept IS NULL").unionByName(marked.where("_kept").dropDuplicates([key, text])).select(*names).toDF(*docs.columns)

@@ -46,3 +46,29 @@ def test_stages_keep_columns_and_odd_rows(spark):
         assert out.where(F.col("doc_id").isNull()).count() == 1 and out.where("doc_id in (1, 2, 3)").count() == 3
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()} == {1, 2, 3, None}
+
+
+def test_stages_with_repeats_ties_long_texts_and_clashing_names(spark):
+    """Rows are told apart by ``tag``; the extra columns have names that the operators use themselves."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    long = "tea " * 150_000 + "pot"
+    block = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, "a clean text of words", 1), (7, "a clean text of words", 2), (7, "quite another text under the same id", 3), (None, "no id", 4), (None, "no id", 5), (8, None, 6), (8, "", 7), (9, long, 8), (10, long, 9)]
+    rows += [(20, bench, 10), (20, "clean, whatever its id", 11), (None, bench, 12), (30, f"head\n{block}\ntail", 13), (31, f"other\n{block}\nend", 14), (32, block, 15)]
+    extra = ["score", "_cut", "_left", "t1", "t2", "_kept", "label", "c0"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), tag, *range(len(extra))) for k, t, tag in rows], f"doc_id long, text string, lang string, source string, n_chars long, tag int, {', '.join(f'{c} int' for c in extra)}").repartition(3)
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        got[name] = {r.tag: r for r in out.collect()}
+        assert all(tuple(r[c] for c in extra) == tuple(range(len(extra))) for r in got[name].values())
+    everything = {r[2] for r in rows}
+    assert got["toxicity"].keys() == everything
+    assert got["line dedup"].keys() == everything - {9, 10, 15}  # nothing but a block of an earlier document; no id is the first
+    assert (got["line dedup"][14].text, got["line dedup"][14].n_chars) == ("other\nend", 9)
+    near = got["MinHash near-dedup"].keys()
+    assert near - {1, 2} == everything - {1, 2, 9, 14, 15} and len(near & {1, 2}) == 1
+    assert got["benchmark decontamination"].keys() == everything - {10, 12}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == len(rows) and last.where("n_tokens = 0").count() == 2
