@@ -1,46 +1,63 @@
 """A training corpus from raw documents: five stages, each one operator of ``catalogspark.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns of ``documents``; the
-last returns the encoded documents.  Between stages the documents are a written table.
+last returns the encoded documents.  Between stages the documents are a written table; the one before is deleted.
+
+In every stage rows are judged whole: very long texts are read to their end, columns may have any names beside those of
+``documents``, ties are broken by the smaller id, and an empty table gives an empty one.  What a stage does with null
+and empty texts, null ids and repeated rows is said at each.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from catalogspark.llm import decontaminate, line_dedup, minhash, sentencepiece_codec, toxicity
-from catalogspark.llm.common import materialize
+from catalogspark.llm.common import delete_path, materialize_at
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Each row is scored by its text alone, so equal rows stay or go together; null and empty texts have the score of a
+    text without features; an id may be null or repeated.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def cut_repeated_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks that an earlier document holds are cut out; a document of nothing but such blocks goes."""
-    out = line_dedup.remove_common_blocks(docs)
-    out = out.where(F.col("_cut").isNull() | F.col("_left").rlike(r"\S"))
-    changed = {"text": F.col("_left"), "n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.char_length("_left").cast("long"))}
-    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """Blocks that an earlier document holds are cut out, ``n_chars`` follows; a document of nothing but such blocks goes.
+
+    Null and empty texts stay as they are; a null id comes before all others; rows equal in id and text are one document
+    and are cut alike; rows that share only the id are documents in order of their text's hash.
+    """
+    return line_dedup.without_common_blocks(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Null, empty and blank texts are alike to nothing and stay, and so do rows without an id; rows that share an id are
+    one document, and of those equal in id and text one stays.
+    """
+    return minhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, whole or edited, go."""
+    """Documents that hold a benchmark item, whole or edited, go.
+
+    Each row is judged by its own text, whatever rows share its id; null and empty texts and null ids stay.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of ids and decoded text."""
+    """Token ids of every document, with digests of ids and decoded text.
+
+    A row for each row: a null text counts as empty and has no ids; ids may be null or repeated.
+    """
     return sentencepiece_codec.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
@@ -57,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs, path = materialize_at(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if before:
+            delete_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
