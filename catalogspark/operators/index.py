@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,24 +80,48 @@ V1_MAPPED = ("tags", "commands", "pfns", "productcodes", "norm_names", "norm_pub
 PUBLISHER_KIND = 5
 
 
-def build_index_v2(packages: DataFrame, values: dict[str, DataFrame], owners: DataFrame | None = None, now: int = 0, base: int = 0) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name, each built when it is first asked for."""
+
+    def __init__(self):
+        self._makers: dict[str, Callable[[], DataFrame]] = {}
+        self._made: dict[str, DataFrame] = {}
+
+    def add(self, name: str, make: Callable[[], DataFrame]) -> None:
+        self._makers[name] = make
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def build_index_v2(packages: DataFrame, values: dict[str, DataFrame], owners: DataFrame | None = None, now: int = 0, base: int = 0) -> Tables:
     """The package-level index: 11 tables.  packages: one row each; values: name -> (package_id, value).
 
     ``owners`` (package_id) may come from a cheaper table than ``packages``; it must hold the same packages.
     """
-    ids = dictionary(packages if owners is None else owners, "package_id").withColumnRenamed("id", "package")
-    tables = {"packages": packages.join(ids, "package_id"), "metadata": index_metadata(packages, 2, now, base)}
+    out, helper = Tables(), Tables()
+    helper.add("ids", lambda: dictionary(packages if owners is None else owners, "package_id").withColumnRenamed("id", "package"))
     none = packages.limit(0).select("package_id", F.lit(None).cast("string").alias("value"))
+    out.add("packages", lambda: packages.join(helper["ids"], "package_id"))
+    out.add("metadata", lambda: index_metadata(packages, 2, now, base))
+    owned = lambda n: values.get(n, none).join(helper["ids"], "package_id")
     for name in V2_MAPPED:
-        rows = values.get(name, none)
-        words = dictionary(rows, "value")
-        tables[f"{name}2"], tables[f"{name}2_map"] = words, map_table(rows.join(ids, "package_id"), "package", "value", words)
+        out.add(f"{name}2", lambda n=name: dictionary(values.get(n, none), "value"))
+        out.add(f"{name}2_map", lambda n=name: map_table(owned(n), "package", "value", out[f"{n}2"]))
     for name in V2_DIRECT:
-        tables[f"{name}2"] = inverted_table(values.get(name, none).join(ids, "package_id"), "package", "value")
-    return tables
+        out.add(f"{name}2", lambda n=name: inverted_table(owned(n), "package", "value"))
+    return out
 
 
-def build_index_v1(versions: DataFrame, values: dict[str, DataFrame], now: int = 0, base: int = 0) -> dict[str, DataFrame]:
+def build_index_v1(versions: DataFrame, values: dict[str, DataFrame], now: int = 0, base: int = 0) -> Tables:
     """The version-level star schema: 21 tables.
 
     versions: version_dir, package_id, package_version, channel, name (falls back to the id), moniker, publisher, path;
@@ -103,14 +129,15 @@ def build_index_v1(versions: DataFrame, values: dict[str, DataFrame], now: int =
     """
     rows = versions.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "package_id"))
     columns = dict(zip(V1_SCALARS, ("package_id", "name", "moniker", "package_version", "channel"), strict=True))
-    dicts = {t: dictionary(rows, c) for t, c in columns.items()}
-    tree = path_tree(rows, "path")
-    tables = dicts | {"pathparts": tree, "metadata": index_metadata(rows, 1, now, base), "manifest_metadata": metadata_rows(rows, "version_dir", {PUBLISHER_KIND: "publisher"})}
-    leaf = tree.select("path", "id")
-    tables["manifest"] = fact_table(rows, {c: dicts[t] for t, c in columns.items()} | {"path": leaf})
+    out = Tables()
+    for table, column in columns.items():
+        out.add(table, lambda c=column: dictionary(rows, c))
+    out.add("pathparts", lambda: path_tree(rows, "path"))
+    out.add("metadata", lambda: index_metadata(rows, 1, now, base))
+    out.add("manifest_metadata", lambda: metadata_rows(rows, "version_dir", {PUBLISHER_KIND: "publisher"}))
+    out.add("manifest", lambda: fact_table(rows, {c: out[t] for t, c in columns.items()} | {"path": out["pathparts"].select("path", "id")}))
     none = rows.limit(0).select("version_dir", F.lit(None).cast("string").alias("value"))
     for name in V1_MAPPED:
-        own = values.get(name, none)
-        words = dictionary(own, "value")
-        tables[name], tables[f"{name}_map"] = words, map_table(own, "version_dir", "value", words)
-    return tables
+        out.add(name, lambda n=name: dictionary(values.get(n, none), "value"))
+        out.add(f"{name}_map", lambda n=name: map_table(values.get(n, none), "version_dir", "value", out[n]))
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,15 +32,20 @@ def exclude_targets(files: DataFrame, targets: DataFrame) -> DataFrame:
     return files.join(targets, "version_dir", "left_anti")
 
 
-def package_detail(versions: DataFrame, package_id: str | None = None) -> DataFrame:
-    """package_id and its versions as an array ordered by directory; of one package or of all."""
+def package_detail(versions: DataFrame, packages: DataFrame | None = None, package_id: str | None = None) -> DataFrame:
+    """package_id, the package's attributes if given, and its versions ordered by directory; of one package or of all."""
     rows = versions if package_id is None else versions.where(F.col("package_id") == package_id)
-    return rows.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("version_dir", "package_version", "channel"))).alias("versions"))
+    out = rows.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("version_dir", "package_version", "channel"))).alias("versions"))
+    return out if packages is None else packages.join(out, "package_id")
 
 
-def find_child(children: DataFrame, hashes: list[str], column: str = "child_sha") -> DataFrame:
-    """Owners that hold one of the hashes, whatever its case."""
-    return children.where(F.lower(column).isin(*[h.lower() for h in hashes])).distinct()
+def find_child(children: DataFrame, hashes: list[str] | DataFrame, column: str = "child_sha") -> DataFrame:
+    """Rows that hold one of the hashes (a list, or a table's first column), whatever its case; each once."""
+    key = F.lower(column)
+    if isinstance(hashes, list):
+        return children.where(key.isin(*[h.lower() for h in hashes])).distinct()
+    wanted = hashes.select(F.lower(hashes.columns[0]).alias("_hash")).distinct()
+    return children.join(wanted, key == F.col("_hash"), "left_semi").distinct()
 
 
 def list_builds(builds: DataFrame, statuses: list[str] = (), limit: int | None = None) -> DataFrame:
@@ -65,6 +70,11 @@ def parse_age(text: str) -> timedelta:
     return timedelta(seconds=int(m[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}[m[2]])
 
 
+def age_cutoff(now: int | Column, age: str) -> Column:
+    """Unix seconds of the moment that lies ``age`` before ``now``."""
+    return (now if isinstance(now, Column) else F.lit(now)) - F.lit(int(parse_age(age).total_seconds()))
+
+
 def prune_builds(builds: DataFrame, keep_last: int, older_than: int | Column | None = None) -> DataFrame:
     """Builds to delete: all but the newest ``keep_last``, if given only those that ended before ``older_than`` (unix seconds)."""
     ranked = builds.join(builds.select("build_id").orderBy(F.desc("build_id")).limit(keep_last), "build_id", "left_anti")
@@ -92,7 +102,3 @@ def status_counts(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def in_package_order(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("package_id").orderBy(*columns)).cast("long"))

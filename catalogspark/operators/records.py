@@ -34,6 +34,11 @@ def json_of(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
+def strings_of(json: Column) -> Column:
+    """A JSON list of strings; nothing or a blank text is the empty list."""
+    return F.coalesce(F.from_json(F.nullif(F.trim(json), F.lit("")), "array<string>"), F.array().cast("array<string>"))
+
+
 def overlay(base: Column, top: Column) -> Column:
     """Map ``top`` over ``base``; either may be null."""
     empty = F.create_map().cast("map<string,string>")
@@ -181,7 +186,7 @@ def project_index(records: DataFrame, ascii_only: bool = False) -> DataFrame:
     """version_dir, name, publisher, moniker and the sorted sets of tags, commands, families, codes, names and publishers."""
     get = lambda k: F.try_element_at(F.col("fields"), F.lit(k))
     none = F.array().cast("array<string>")
-    strings = lambda k: F.coalesce(F.from_json(get(k), "array<string>"), none)
+    strings = lambda k: strings_of(get(k))
     locales = F.coalesce(F.from_json(get("Localization"), "array<struct<PackageName:string,Publisher:string>>"), F.array())
     rows = records.withColumn("_kids", F.coalesce(F.from_json(get("Installers"), CHILD), F.array().cast(CHILD))).withColumn("_entries", F.concat(F.coalesce(F.from_json(get("AppsAndFeaturesEntries"), f"array<{ENTRY}>"), F.array().cast(f"array<{ENTRY}>")), F.flatten(F.transform("_kids", lambda c: F.coalesce(c["AppsAndFeaturesEntries"], F.array().cast(f"array<{ENTRY}>"))))))
     pick = lambda f: F.transform("_entries", lambda e: e[f])

@@ -39,7 +39,8 @@ class BuildConfig:
     corpus: str
     state: str
     strategy: str = "latest"
-    index_format: int = 2
+    index_format: int = 2  # 1, 2, or 0 for none
+    buckets: int = 64
     force: bool = False
     dry_run: bool = False
     trust_mtime: bool = True
@@ -129,8 +130,7 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
     keeps = F.array_sort(F.array_except("claimed_versions", F.coalesce("_lost", F.array().cast("array<string>"))))
     again = siblings.join(gives_up, "version_dir", "left").where(keeps != F.array_sort(F.coalesce("display_versions", F.array().cast("array<string>")))).select("version_dir")
     again = work.table(again, "again")
-    more, _, _ = _assembled(spark, cfg, scan, again, work, "siblings")
-    both = made.unionByName(more)
+    both = made if again.isEmpty() else made.unionByName(_assembled(spark, cfg, scan, again, work, "siblings")[0])
     final = work.table(records.strip_display_versions(both, lost), "records")
     kept = both.join(records.project_index(both), "version_dir").select("version_dir", F.col("display_versions").alias("claimed_versions"))
     computed = work.table(_projected(final).join(kept, "version_dir").select(*prev.columns), "computed")
@@ -156,7 +156,7 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
     return {"files": files, "versions": versions, "children": kids, "packages": packages.select(*[f.split()[0] for f in PACKAGES.split(", ")]), "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets}
 
 
-def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0) -> dict[str, DataFrame]:
+def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0) -> index.Tables:
     """All tables of an index format over all versions."""
     if fmt == 1:
         rows = versions.select("version_dir", "package_id", "package_version", "channel", F.col("package_name").alias("name"), "moniker", "publisher", F.col("relpath").alias("path"))
@@ -168,7 +168,7 @@ def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0)
 
 def pending_diff(spark: SparkSession, cfg: BuildConfig) -> dict:
     """What a build would do: added, updated, removed, revalidations.  The state is not touched."""
-    store = st.StateStore(spark, cfg.state)
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
     work = Work(spark, store)
     try:
         scan = scan_changes(spark, cfg, store, work)
@@ -182,7 +182,7 @@ def pending_diff(spark: SparkSession, cfg: BuildConfig) -> dict:
 
 def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
     """Run a build; returns its counts, its number and its status (``dry-run``, ``staged``, ``staged_reused``)."""
-    store = st.StateStore(spark, cfg.state)
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
     if cfg.dry_run:
         return pending_diff(spark, cfg) | {"status": "dry-run"}
     work = Work(spark, store)
@@ -209,7 +209,8 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
         st.write_queue(plan["queue"], f"{store.root}/snapshots/{build:08d}/queue", "version_dir", "child_sha")
         untouched = store.read("versions", VERSIONS).where(~store.bucket("package_id").isin(plan["buckets"]["versions"]))
         everything = untouched.unionByName(plan["versions"])
-        tables |= {f"index_{n}": df for n, df in index_tables(everything, cfg.index_format, base=build).items()}
+        if cfg.index_format:
+            tables |= {f"index_{n}": df for n, df in index_tables(everything, cfg.index_format, base=build).items()}
         store.commit(tables, "staged", touched, staged=build, format=cfg.index_format)
         return summary | {"build": build, "status": "staged"}
     except Exception as e:
@@ -251,12 +252,12 @@ def published_files(spark: SparkSession, target: str) -> DataFrame:
 
 def verify_published(spark: SparkSession, cfg: BuildConfig, target: str) -> DataFrame:
     """relpath, drift_kind: published files that are missing, changed or not tracked."""
-    return inventory.drift(st.StateStore(spark, cfg.state).read("published", PUBLISHED), published_files(spark, target))
+    return inventory.drift(st.StateStore(spark, cfg.state, cfg.buckets).read("published", PUBLISHED), published_files(spark, target))
 
 
 def plan_publish(spark: SparkSession, cfg: BuildConfig, build_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(wanted, actions, versions, packages) for publishing the current or a chosen build."""
-    store = st.StateStore(spark, cfg.state)
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
     tables = None if build_id is None else store.tables_of(build_id)
     versions, packages = store.read("versions", VERSIONS, tables=tables), store.read("packages", PACKAGES, tables=tables)
     catalogue = _catalogue(packages).select("relpath", F.sha2("body", 256).alias("sha256"))
@@ -269,7 +270,7 @@ def publish(spark: SparkSession, cfg: BuildConfig, target: str, force: bool = Fa
 
     Only buckets with files to copy or delete are written again.
     """
-    store = st.StateStore(spark, cfg.state)
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
     off = verify_published(spark, cfg, target).groupBy("drift_kind").count().collect()
     if off and not force:
         raise ValueError("published files drifted: " + ", ".join(f"{r['count']} {r.drift_kind}" for r in off))
@@ -307,7 +308,7 @@ def publish(spark: SparkSession, cfg: BuildConfig, target: str, force: bool = Fa
 
 def clear_published(spark: SparkSession, cfg: BuildConfig) -> None:
     """Forget what is tracked as published."""
-    store = st.StateStore(spark, cfg.state)
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
     store.begin()
     try:
         store.commit({"published": spark.createDataFrame([], PUBLISHED)}, "published", published=None)

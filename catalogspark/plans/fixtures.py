@@ -26,6 +26,23 @@ _FILE = """
 select lang || '/' || source || '/' || cast(doc_id {shift} as {{S}}) path, lang || '/' || source version_dir, n_chars size, doc_id % 1000 mtime,
   {{H}}(text{tail}{{E}} raw_sha256 from documents {where}"""
 
+
+
+def _fragments(folder: str, source: str) -> str:
+    """A conversation as a group of fragments: turn 0 the version, 1 the installer, 2 the default locale, others locales; some break a rule."""
+    item = lambda i: f"""'{{{{"Architecture":"x{'86' if i == 1 else '64'}","InstallerUrl":"u/' || cast(conv_id % 13 as {{S}}) || '"}}}}'"""
+    return f"""
+select {folder} version_dir, conv_id, turn, cast(turn as {{S}}) || '.yaml' file_name,
+  case when turn = 0 then 'version' when turn = 1 then 'installer' when turn = 2 then 'defaultlocale' when conv_id % 29 = 3 and turn = 4 then 'mystery' else 'locale' end frag_type,
+  'V.' || cast(conv_id % 40 as {{S}}) || case when conv_id % 23 = 4 and turn = 1 then 'x' else '' end id, '1.' || cast(conv_id % 7 as {{S}}) ver,
+  case when conv_id % 31 = 5 and turn = 3 then null else '1.6.0' end mver, case when turn = 0 then case when conv_id % 19 = 6 then 'de-DE' else 'en-US' end end dl,
+  case when turn = 2 then 'en-us' when turn > 2 then 'L' || cast(100 - turn as {{S}}) || '-' || role end pl, case when turn >= 2 then role || ' Inc' end pub,
+  case when turn >= 2 then 'Name ' || cast(conv_id % 11 as {{S}}) || case when turn = 2 then ' x64' else '' end end name,
+  case when turn = 2 then '["a","t' || cast(conv_id % 5 as {{S}}) || '"]' end tags, case when turn = 1 then 'exe' end itype, 1 + conv_id % 3 n_inst,
+  case when turn = 1 and conv_id % 17 <> 7 then '[' || {item(0)} || case when conv_id % 3 > 0 then ',' || {item(1)} else '' end || case when conv_id % 3 > 1 then ',' || {item(2)} else '' end || ']' end inst
+from {source}"""
+
+
 VIEWS = {
     "ver_now": _version("", 0, False),
     "ver_prev": _version("where o_orderkey % 11 <> 0", 0, True) + " union all " + _version("where o_orderkey % 13 = 0", 10_000_000, False),
@@ -36,6 +53,8 @@ select distinct 'o/' || cast(l_orderkey as {S}) version_dir, {H}(concat_ws('|',
     "child_prev": """
 select distinct 'o/' || cast(l_orderkey as {S}) version_dir, {H}(concat_ws('|', cast(l_partkey as {S}), cast(l_suppkey as {S}), cast(l_linenumber as {S})) || case when l_partkey % 19 = 0 then 'x' else '' end{E} child_sha
 from lineitem where l_orderkey % 7 <> 0 and not (l_orderkey % 5 = 0 and l_linenumber = 1)""",
+    "child_lines": """
+select 'o/' || cast(l_orderkey as {S}) owner, l_partkey, l_linenumber from lineitem""",
     "attrs": """
 select distinct 'C.' || cast(o_custkey as {S}) package_id, 'c/' || cast(o_custkey as {S}) || '/' || cast(o_orderkey as {S}) version_dir, p_brand brand, p_type type, p_name name
 from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey""",
@@ -58,9 +77,12 @@ select cast(user_id as bigint) build_id, min(epoch_s) started, case when user_id
 from (select user_id, cast({EPOCH} as bigint) epoch_s from events) e group by user_id""",
     "build_events": """
 select cast(user_id as bigint) build_id, event_id seq, cast({EPOCH} as bigint) at_s, event_type status from events""",
-    "frag": """
-select 'conv/' || cast(conv_id as {S}) version_dir, 'conv/' || cast(conv_id as {S}) || '/' || cast(turn as {S}) path, case turn % 4 when 0 then 'version' when 1 then 'installer' when 2 then 'defaultLocale' else 'locale' end frag_type,
-  role r, cast({L}(text) as {S}) n, cast(turn as {S}) t from conversations""",
+    "frag": _fragments("'conv/' || cast(conv_id as {S}) || '/1.' || cast(conv_id % 7 as {S})", "conversations"),
+    "frag_files": _fragments(
+        "'p=' || cast(conv_id as {S}) || '/v=1.' || cast(conv_id % 7 as {S})", "(select conv_id, turn, role from conversations union all select conv_id, 99, 'user' from conversations where conv_id % 10 = 2 and turn = 0) c"
+    ),
+    "scalars": """
+select event_id id, case event_id % 5 when 0 then '"' || event_type || '"' when 1 then cast(event_id as {S}) when 2 then 'true' when 3 then props else '["x"]' end json from events""",
 }
 
 

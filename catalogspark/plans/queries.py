@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import normalize as nz
 from catalogspark.functions.version import version_key, version_parts
-from catalogspark.operators import conflicts, diff, index, inventory, lookup, rollup
+from catalogspark.operators import conflicts, diff, index, inventory, lookup, records, rollup
 from catalogspark.plans.fixtures import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,7 +102,7 @@ query("u2_union_groups", "ver_now ver_prev", f"select version_dir from ({DIRTY_V
     lambda n, o: diff.groups_to_refresh(_dirty_versions(n, o), n.where("channel = 'beta'"), True)
 )
 query("u3_still_present", "files_now files_prev", f"select version_dir from ({DIRTY}) intersect select version_dir from files_now")(lambda n, o: diff.still_present(diff.dirty_groups(n, o), n))
-query("u4_apply_changes", "ver_now ver_prev", "select * from ver_now")(lambda n, o: _applied(n, o))
+query("u4_apply_changes", "ver_now ver_prev", f"select * from ver_prev where version_dir not in ({DIRTY_VERSIONS}) union all select * from ver_now where version_dir in ({DIRTY_VERSIONS})")(lambda n, o: _applied(n, o))
 
 
 def _applied(n, o):
@@ -115,8 +115,7 @@ QUEUE = """select c.version_dir, c.child_sha, case when b.version_dir is null th
 
 
 def _queue(n, o):
-    listed = lambda x: x.groupBy("version_dir").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("child_sha")), ""), 256).alias("children_sha"))
-    return diff.validation_queue(diff.diff_records(listed(n), listed(o), "version_dir", ["children_sha"]), n, o)
+    return diff.validation_queue(diff.diff_records(records.children_hash(n), records.children_hash(o), "version_dir", ["children_sha"]), n, o)
 
 
 query("b7_validation_queue", "child_now child_prev", QUEUE)(_queue)
@@ -126,13 +125,7 @@ query(
     "ver_now ver_prev child_now child_prev",
     f"select count(*) filter (where change_kind = 'add') added, count(*) filter (where change_kind = 'update') updated, count(*) filter (where change_kind = 'remove') removed, (select count(*) from ({QUEUE})) revalidations from ({DIFF})",
 )(lambda n, o, cn, co: diff.diff_summary(_diff(n, o), _queue(cn, co)))
-query("a9_children_hash", "child_now", "select version_dir, sha256(string_agg(distinct child_sha, '' order by child_sha)) children_sha from child_now group by 1")(
-    lambda c: c.groupBy("version_dir").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("child_sha")), ""), 256).alias("children_sha"))
-)
-query("p7_child_records", "child_now", "select version_dir, list_sort(list(distinct child_sha)) children from child_now group by 1")(
-    lambda c: rollup.union_sets(c, "version_dir", "child_sha").withColumnRenamed("values", "children")
-)
-query("u7_distinct_children", "child_now", "select distinct version_dir, child_sha from child_now")(lambda c: c.union(c).distinct())
+query("a9_children_hash", "child_now", "select version_dir, sha256(string_agg(distinct child_sha, '' order by child_sha)) children_sha from child_now group by 1")(records.children_hash)
 
 # rollups
 query("a2_rollup_packages", "ver_now attrs", f"""select l.*, {', '.join(f"coalesce((select list_sort(list(distinct {c})) from attrs a where a.package_id = l.package_id), []) {c}s" for c in ('brand', 'type', 'name'))} from ({LATEST}) l""")(
@@ -190,34 +183,50 @@ query("j14_index_lookup", "attrs", "select distinct brand, package_id from attrs
 
 def _v2(v, a):
     values = lambda c: a.select("package_id", F.col(c).alias("value"))
-    return index.build_index_v2(rollup.latest_version(v), {"tags": values("brand")}, {"norm_names": values("name")})
+    return index.build_index_v2(rollup.latest_version(v), {"tags": values("brand"), "commands": values("type"), **{t: values("name") for t in index.V2_DIRECT}}, v.select("package_id"), 1700000000)
 
 
-V2 = f"with o as ({IDS.format(c='package_id', t='ver_now')})"
-query("s11_index_v2_packages", "ver_now attrs", f"select package_id, id package, package_version, channel, version_dir, content_sha from ({LATEST}) join ({IDS.format(c='package_id', t='ver_now')}) using (package_id)")(
-    lambda v, a: _v2(v, a)["packages"].withColumnRenamed("id", "package")
-)
-query("s11_index_v2_tags_map", "ver_now attrs", f"select distinct o.id package, d.id from attrs join ({IDS.format(c='package_id', t='ver_now')}) o using (package_id) join ({IDS.format(c='brand', t='attrs')}) d using (brand)")(lambda v, a: _v2(v, a)["tags2_map"])
-query("s11_index_v2_names", "ver_now attrs", f"select distinct name \"value\", o.id package from attrs join ({IDS.format(c='package_id', t='ver_now')}) o using (package_id)")(lambda v, a: _v2(v, a)["norm_names2"])
+OWNERS = f"({IDS.format(c='package_id', t='ver_now')}) o"
+query("s11_index_v2_packages", "ver_now attrs", f"select package_id, id package, package_version, channel, version_dir, content_sha from ({LATEST}) join {OWNERS} using (package_id)")(lambda v, a: _v2(v, a)["packages"])
+query("s11_index_v2_metadata", "ver_now attrs", "select unnest(['majorVersion', 'lastWriteTime', 'trackingBase', 'rows']) name, unnest(['2', '1700000000', '0', (select count(distinct package_id) from ver_now)::varchar]) \"value\"")(lambda v, a: _v2(v, a)["metadata"])
+for _t, _c in (("tags", "brand"), ("commands", "type")):
+    query(f"s11_index_v2_{_t}", "ver_now attrs", IDS.format(c=_c, t="attrs").replace(f"select {_c},", f'select {_c} "value",', 1))(lambda v, a, t=_t: _v2(v, a)[f"{t}2"])
+    query(f"s11_index_v2_{_t}_map", "ver_now attrs", f"select distinct o.id package, d.id from attrs join {OWNERS} using (package_id) join ({IDS.format(c=_c, t='attrs')}) d using ({_c})")(lambda v, a, t=_t: _v2(v, a)[f"{t}2_map"])
+for _t in index.V2_DIRECT:
+    query(f"s11_index_v2_{_t}", "ver_now attrs", f"select distinct name \"value\", o.id package from attrs join {OWNERS} using (package_id)")(lambda v, a, t=_t: _v2(v, a)[f"{t}2"])
 
 
 def _v1(v, a):
-    return index.build_index_v1(v, ["package_id", "package_version", "channel"], {"tags": a.select("version_dir", F.col("brand").alias("value"))}, "version_dir")
-
-
-query("s12_index_v1_manifest", "ver_now attrs", f"select v.version_dir, package_id, package_version, channel, row_number() over (partition by package_id order by {ORDER}) ordinal from ver_now v")(
-    lambda v, a: _v1_by_value(_v1(v, a))
-)
+    rows = v.withColumns({"name": F.when(F.col("channel") == "", F.col("package_version")), "moniker": F.nullif("channel", F.lit("")), "publisher": F.nullif("channel", F.lit("")), "path": F.col("version_dir")})
+    return index.build_index_v1(rows, {t: a.select("version_dir", F.col("brand" if t == "tags" else "type").alias("value")) for t in index.V1_MAPPED}, 1700000000)
+
+
+V1_COLUMN = {"ids": ("package_id", "package_id"), "names": ("name", "case when channel = '' then package_version else package_id end"), "monikers": ("moniker", "nullif(channel, '')"), "versions": ("package_version", "package_version"), "channels": ("channel", "channel")}
+for _t, (_c, _e) in V1_COLUMN.items():
+    query(f"s12_index_v1_{_t}", "ver_now attrs", f"select {_c}, row_number() over (order by {_c}) id from (select distinct {_e} {_c} from ver_now) where {_c} is not null")(lambda v, a, t=_t: _v1(v, a)[t])
+for _t in index.V1_MAPPED:
+    _c = "brand" if _t == "tags" else "type"
+    query(f"s12_index_v1_{_t}", "ver_now attrs", IDS.format(c=_c, t="attrs").replace(f"select {_c},", f'select {_c} "value",', 1))(lambda v, a, t=_t: _v1(v, a)[t])
+    query(f"s12_index_v1_{_t}_map", "ver_now attrs", f"select distinct version_dir, d.id from attrs join ({IDS.format(c=_c, t='attrs')}) d using ({_c})")(lambda v, a, t=_t: _v1(v, a)[f"{t}_map"])
+query("s12_index_v1_manifest_metadata", "ver_now attrs", "select version_dir, 5 kind, channel \"value\" from ver_now where channel <> ''")(lambda v, a: _v1(v, a)["manifest_metadata"])
+query("s12_index_v1_metadata", "ver_now attrs", "select unnest(['majorVersion', 'lastWriteTime', 'trackingBase', 'rows']) name, unnest(['1', '1700000000', '0', (select count(*) from ver_now)::varchar]) \"value\"")(lambda v, a: _v1(v, a)["metadata"])
+V1_TREE = TREE.replace("from paths)", "from (select version_dir path from ver_now))")
+query("s12_index_v1_pathparts", "ver_now attrs", f"select a.id, b.id parent, string_split(a.path, '/')[-1] name, a.path from ({V1_TREE} select * from i) a left join ({V1_TREE} select * from i) b on b.path = array_to_string(string_split(a.path, '/')[1:-2], '/') and contains(a.path, '/')")(lambda v, a: _v1(v, a)["pathparts"])
+query(
+    "s12_index_v1_manifest",
+    "ver_now attrs",
+    f"select version_dir, package_id, case when channel = '' then package_version else package_id end name, nullif(channel, '') moniker, package_version, channel, row_number() over (partition by package_id order by {ORDER}) ordinal from ver_now v",
+)(lambda v, a: _v1_by_value(_v1(v, a)))
 
 
 def _v1_by_value(t):
-    out = t["manifest"]
-    for c in ("package_id", "package_version", "channel"):
-        out = out.join(t[c].withColumnRenamed("id", f"{c}_ref"), f"{c}_ref")
-    return out.join(t["pathparts"].select(F.col("id").alias("version_dir_ref"), F.col("path").alias("leaf")), "version_dir_ref").select(F.col("leaf").alias("version_dir"), "package_id", "package_version", "channel", "ordinal")
+    out = t["manifest"].drop("version_dir")
+    for table, (c, _) in V1_COLUMN.items():
+        out = out.join(t[table].withColumnRenamed("id", f"{c}_ref"), f"{c}_ref", "left").drop(f"{c}_ref")
+    leaf = t["pathparts"].select(F.col("id").alias("path_ref"), F.col("path").alias("version_dir"))
+    return out.join(leaf, "path_ref").select("version_dir", "package_id", "name", "moniker", "package_version", "channel", "ordinal")
 
 
-query("s12_index_v1_tags_map", "ver_now attrs", f"select distinct version_dir, d.id from attrs join ({IDS.format(c='brand', t='attrs')}) d using (brand)")(lambda v, a: _v1(v, a)["tags_map"])
 query("s13_index_metadata", "ver_now", "select unnest(['majorVersion', 'lastWriteTime', 'trackingBase', 'rows']) name, unnest(['2', '1700000000', '0', (select count(*) from ver_now)::varchar]) \"value\"")(lambda v: index.index_metadata(v, 2, 1700000000, -5))
 
 # names and paths
@@ -238,8 +247,8 @@ query("f4_normalize_publisher", "publishers", f"select id, array_to_string(w[1:c
 )
 query("f5_sanitize", "names", "select id, regexp_replace(display, '[^A-Za-z0-9._-]', '_', 'g') segment from names")(lambda n: n.select("id", nz.sanitize(F.col("display")).alias("segment")))
 query("f7_sha256", "names", "select id, sha256(display) sha, left(sha256(display), 8) prefix from names")(lambda n: n.select("id", nz.sha256(F.col("display")).alias("sha"), F.substring(nz.sha256(F.col("display")), 1, 8).alias("prefix")))
-query("f9_set_functions", "attrs", "select package_id, list_sort(list_distinct(list_concat(list(brand), list(type)))) either, list_sort(list_filter(list(distinct brand), lambda x: x <> 'Brand#11')) rest from attrs group by 1")(
-    lambda a: a.groupBy("package_id").agg(F.collect_set("brand").alias("b"), F.collect_set("type").alias("t")).select("package_id", F.array_sort(F.array_union("b", "t")).alias("either"), F.array_sort(F.array_except("b", F.array(F.lit("Brand#11")))).alias("rest"))
+query("f9_set_functions", "attrs", "select package_id, list_sort(list_distinct(list_concat(list(brand), list(type)))) \"values\" from attrs group by 1")(
+    lambda a: rollup.union_sets(a.select("package_id", F.explode(F.array("brand", "type")).alias("value")), "package_id", "value")
 )
 query("f13_path_parts", "paths", "select path, regexp_replace(path, '/?[^/]*$', '') parent, string_split(path, '/')[-1] last from paths")(lambda p: p.select("path", nz.parent(F.col("path")).alias("parent"), nz.last_segment(F.col("path")).alias("last")))
 query("p8_record_relpath", "ver_now", "select version_dir, 'manifests/c/' || replace(package_id, '.', '/') || '/' || package_version || '/' || left(content_sha, 8) || '-' || package_id || '.yaml' relpath from ver_now")(
@@ -265,9 +274,10 @@ query("o5_published_inventory", "published actual", "select relpath, 'manifest'
 # lookups, logs and status
 query("p10_select_by_package", "ver_now", "select distinct version_dir from ver_now where package_id in ('C.1', 'C.2', 'C.40')")(lambda v: lookup.select_targets(v, packages=["C.1", "C.2", "C.40"]))
 query("p11_exclude_targets", "ver_now", "select * from ver_now where package_id not in ('C.1', 'C.2', 'C.40')")(lambda v: lookup.exclude_targets(v, lookup.select_targets(v, packages=["C.1", "C.2", "C.40"])))
-query("p12_package_detail", "ver_now", "select package_id, list({'version_dir': version_dir, 'package_version': package_version, 'channel': channel} order by version_dir) versions from ver_now group by 1")(lookup.package_detail)
+query("p12_package_detail", "ver_now attrs", """select package_id, brands, versions from (select package_id, list({'version_dir': version_dir, 'package_version': package_version, 'channel': channel} order by version_dir) versions from ver_now group by 1)
+ join (select package_id, list_sort(list(distinct brand)) brands from attrs group by 1) using (package_id)""")(lambda v, a: lookup.package_detail(v, rollup.union_sets(a, "package_id", "brand").withColumnRenamed("values", "brands")))
 query("p13_find_child", "child_now", "select distinct version_dir, child_sha from child_now where child_sha in (select child_sha from child_now where version_dir = 'o/7')")(
-    lambda c: c.join(c.where("version_dir = 'o/7'").select("child_sha").distinct(), "child_sha", "left_semi").select("version_dir", "child_sha").distinct()
+    lambda c: lookup.find_child(c, c.where("version_dir = 'o/7'").select(F.upper("child_sha").alias("h")))
 )
 query("p14_list_builds", "builds", "select * from builds where status in ('staged', 'staged_reused', 'failed')")(lambda b: lookup.list_builds(b, ["staged", "failed"]))
 query("o3_newest_builds", "builds", "select * from builds order by build_id desc limit 25")(lambda b: lookup.list_builds(b, limit=25))
@@ -280,4 +290,107 @@ query("w7_pointers", "builds", "select case when status = 'published' then 'publ
 query("a6_status", "ver_now files_now published", "select 'versions' name, count(*) \"rows\" from ver_now union all select 'files', count(*) from files_now union all select 'published', count(*) from published")(
     lambda v, f, p: lookup.status_counts({"versions": v, "files": f, "published": p})
 )
-query("f12_unix_seconds", "builds", "select build_id, finished - started elapsed from builds")(lambda b: b.select("build_id", (F.col("finished") - F.col("started")).alias("elapsed")))
+query("f12_age_cutoff", "builds", "select * from builds where build_id not in (select build_id from builds order by build_id desc limit 5) and coalesce(finished, started) < (select max(coalesce(finished, started)) from builds) - 2 * 86400")(
+    lambda b: lookup.prune_builds(b.crossJoin(b.agg(F.max(F.coalesce("finished", "started")).alias("last"))), 5, lookup.age_cutoff(F.col("last"), "2d")).drop("last")
+)
+
+# versions that look like none of the above: suffixes, words, approximations, numbers beyond 64 bits
+ODD = """case l_linenumber % 7 when 0 then 'latest' when 1 then '1.' || l_partkey || '-beta' when 2 then 'v1.' || l_partkey when 3 then '< 1.' || l_partkey when 4 then '18446744073709551616.' || l_partkey when 5 then '1.' || l_partkey || '.0' else 'Unknown' end"""
+RANKED = """case l_linenumber % 7 when 0 then 9 when 6 then 0 when 4 then 5 else 3 end"""
+for _strategy, _agg in (("latest", "max_by"), ("oldest", "min_by")):
+    query(
+        f"o1_odd_versions_{_strategy}",
+        "child_lines",
+        f"select owner, {_agg}(version, {{'rank': {RANKED}, 'part': case when l_linenumber % 7 in (0, 6) then 0 else l_partkey end, 'kind': case l_linenumber % 7 when 1 then 0 when 3 then 1 when 4 then 0 when 0 then 0 when 6 then 0 else 2 end, 'v': version}}) version from (select *, {ODD} version from child_lines) group by owner",
+    )(lambda c, agg=_agg: c.selectExpr("*", f"{ODD} AS version").groupBy("owner").agg(getattr(F, agg)("version", F.struct(version_key(F.col("version")).alias("k"), F.col("version").alias("v"))).alias("version")))
+
+
+# fragments and records
+def fragments(f: DataFrame) -> DataFrame:
+    """The flat view as rows of ``sources.fragments``."""
+    plain = {"PackageIdentifier": "id", "PackageVersion": "ver", "ManifestVersion": "mver", "ManifestType": "frag_type", "DefaultLocale": "dl", "PackageLocale": "pl", "Publisher": "pub", "PackageName": "name", "InstallerType": "itype"}
+    pairs = [x for k, c in plain.items() for x in (F.lit(k), F.when(F.col(c).isNotNull(), records.json_of(F.col(c))))]
+    fields = F.map_filter(F.create_map(*pairs, F.lit("Tags"), "tags", F.lit("Installers"), "inst"), lambda _, v: v.isNotNull())
+    own = F.transform(F.from_json("inst", "array<map<string,string>>"), lambda m: F.transform_values(m, lambda _, v: records.json_of(v)))
+    warned = F.when(F.col("conv_id") % 7 == 1, F.array(F.concat(F.lit("PackageVersion "), F.col("ver"), F.lit(" is a number")))).otherwise(F.array().cast("array<string>"))
+    return f.select("version_dir", F.concat_ws("/", "version_dir", "file_name").alias("path"), "file_name", "frag_type", fields.alias("fields"), fields.alias("child_fields"), own.alias("installers"), warned.alias("warnings"), F.lit(None).cast("string").alias("error"))
+
+
+def _text(key: str, column: str, quote: str = '"') -> str:
+    return f"""'"{key}":{quote}' || {column} || '{quote}'"""
+
+
+CANONICAL = "'{' || concat_ws(',', " + ", ".join(
+    (_text("DefaultLocale", "dl"), _text("InstallerType", "itype"), _text("Installers", "inst", ""), _text("ManifestType", "frag_type"), _text("ManifestVersion", "mver"), _text("PackageIdentifier", "id"), _text("PackageLocale", "pl"), _text("PackageName", "name"), _text("PackageVersion", "ver"), _text("Publisher", "pub"), _text("Tags", "tags", ""))
+) + ") || '}'"
+
+
+def record_sql(view_name: str) -> str:
+    """version_dir, conv_id, package_id, package_version, record, source_file_count of every group of a view of fragments."""
+    one = lambda c, t: f"max(case when frag_type = '{t}' then {c} end)"
+    bare = "'{' || concat_ws(',', " + ", ".join((_text("PackageLocale", "pl"), _text("PackageName", "name"), _text("Publisher", "pub"))) + ") || '}'"
+    rows = [_text("InstallerType", "itype"), _text("Installers", "inst", ""), "'\"Localization\":[' || others || ']'", "'\"ManifestType\":\"merged\"'", _text("ManifestVersion", "mver"), _text("PackageIdentifier", "package_id"), _text("PackageLocale", "pl"), _text("PackageName", "name"), _text("PackageVersion", "package_version"), _text("Publisher", "pub"), _text("Tags", "tags", "")]
+    return f"""select version_dir, conv_id, package_id, package_version, '{{' || concat_ws(',', {', '.join(rows)}) || '}}' record, source_file_count, name, pub, tags from (
+ select version_dir, conv_id, string_split(version_dir, '/')[-1] package_version, count(*) source_file_count, {one('id', 'installer')} package_id, {one('itype', 'installer')} itype, {one('inst', 'installer')} inst, {one('mver', 'installer')} mver,
+  {one('pl', 'defaultlocale')} pl, {one('name', 'defaultlocale')} name, {one('pub', 'defaultlocale')} pub, {one('tags', 'defaultlocale')} tags,
+  string_agg(case when frag_type = 'locale' then {bare} end, ',' order by lower(pl), pl, file_name) others from {view_name} group by version_dir, conv_id)"""
+
+
+def child_sql(view_name: str) -> str:
+    """version_dir, child_sha, url, architecture of the distinct children of every group."""
+    return f"""select distinct version_dir, sha256('{{"Installer":{{"Architecture":"' || architecture || '","InstallerType":"exe","InstallerUrl":"' || url || '"}},"PackageIdentifier":"' || id || '","PackageVersion":"' || string_split(version_dir, '/')[-1] || '"}}') child_sha, url, architecture
+ from (select version_dir, id, 'u/' || (conv_id % 13) url, unnest(list_transform(range(0, n_inst), lambda i: case when i = 1 then 'x86' else 'x64' end)) architecture from {view_name} where inst is not null)"""
+
+
+def rules_sql(view_name: str) -> str:
+    """version_dir, rule of every group that breaks one."""
+    kinds = {"PackageIdentifier differs": "count(distinct id) > 1", "not exactly one defaultlocale fragment": "count(*) filter (where frag_type = 'defaultlocale') <> 1", "unknown fragment type": "count(*) filter (where frag_type = 'mystery') > 0", "ManifestVersion is missing": "count(mver) < count(*)", "Installers is missing": "count(inst) = 0", "default locale differs": "max(lower(dl)) is distinct from max(case when frag_type = 'defaultlocale' then lower(pl) end)"}
+    return " union all ".join(f"select version_dir, '{rule}' rule from {view_name} group by version_dir having {cond}" for rule, cond in kinds.items())
+
+
+def _assembled(f):
+    return records.assemble_records(fragments(f))
+
+
+query("p1_assemble_records", "frag", f"select version_dir, package_id, package_version, '' channel, record, source_file_count from ({record_sql('frag')})")(lambda f: _assembled(f).select("version_dir", "package_id", "package_version", "channel", "record", "source_file_count"))
+query("p2_check_groups", "frag", rules_sql("frag"))(lambda f: records.check_groups(fragments(f)))
+query("p4_canonical_json", "frag", f"select version_dir || '/' || file_name path, {CANONICAL} record from frag")(lambda f: fragments(f).select("path", records.canonical_json(F.col("fields")).alias("record")))
+query(
+    "p5_project_index",
+    "frag",
+    f"""select r.version_dir, r.name package_name, r.pub publisher, case when r.tags is null then [] else ['a', 't' || (r.conv_id % 5)] end tags, case when n > 0 then ['name' || (r.conv_id % 11)] else [] end norm_names, coalesce(pubs, []) norm_publishers from ({record_sql('frag')}) r
+ join (select version_dir, count(name) n, list_sort(list(distinct replace(pub, ' Inc', '')) filter (where pub is not null)) pubs from frag where frag_type <> 'mystery' group by 1) g using (version_dir)""",
+)(lambda f: records.project_index(_assembled(f)).select("version_dir", "package_name", "publisher", "tags", "norm_names", "norm_publishers"))
+query("p6_child_records", "frag", child_sql("frag"))(lambda f: records.child_records(_assembled(f)).select("version_dir", "child_sha", "url", "architecture"))
+query("p7_child_list", "frag", f"select version_dir, list_sort(list(child_sha)) children from ({child_sql('frag')}) group by 1")(lambda f: rollup.union_sets(records.child_records(_assembled(f)), "version_dir", "child_sha").withColumnRenamed("values", "children"))
+query("u7_distinct_children", "frag", f"select version_dir, count(*) children from ({child_sql('frag')}) group by 1")(lambda f: records.child_records(_assembled(f)).groupBy("version_dir").agg(F.count(F.lit(1)).alias("children")))
+query("p16_render_records", "frag", f"select version_dir, package_id, record from ({record_sql('frag')}) where package_id in ('V.1', 'V.2', 'V.30')")(
+    lambda f: records.render_records(r := _assembled(f), lookup.select_targets(r, packages=["V.1", "V.2", "V.30"]))
+)
+query("a8_source_file_count", "frag", "select version_dir, count(*) source_file_count from frag group by 1")(lambda f: _assembled(f).select("version_dir", "source_file_count"))
+query("a10_fragment_warnings", "frag", "select 'PackageVersion ' || ver || ' is a number' warning, count(*) files from frag where conv_id % 7 = 1 group by 1")(lambda f: records.fragment_warnings(fragments(f)))
+query("f6_scalar_text", "scalars", "select id, case id % 5 when 0 then trim(json, '\"') when 1 then json when 2 then json end \"text\" from scalars")(lambda s: s.select("id", records.text_of(F.col("json")).alias("text")))
+query("f10_overlay", "names", "select id, '{\"a\":\"' || display || '\",\"b\":\"2\",\"c\":\"' || id || '\"}' record from names")(
+    lambda n: n.select("id", records.canonical_json(records.overlay(F.create_map(F.lit("c"), records.json_of(F.col("id").cast("string")), F.lit("a"), F.lit('"1"')), F.create_map(F.lit("b"), F.lit('"2"'), F.lit("a"), records.json_of(F.col("display"))))).alias("record"))
+)
+query("f11_parse_defaulted", "frag", "select version_dir, turn, case when tags is null then [] else ['a', 't' || (conv_id % 5)] end tags from frag")(lambda f: f.select("version_dir", "turn", records.strings_of(F.coalesce("tags", F.lit(" "))).alias("tags")))
+for _s in ("latest", "oldest", "strip-all"):
+    # each group claims the value of its url; a group that loses it is written again without
+    CLAIM = "select r.package_id, r.version_dir, r.record, r.package_version, 'D' || (r.conv_id % 3) \"value\" from ({r}) r".format(r=record_sql("frag"))
+    WIN = "row_number() over (partition by package_id, \"value\" order by string_split(package_version, '.')[2]::int {d}, version_dir {d})".format(d="desc" if _s == "latest" else "")
+    KEEP = "n = 1" if _s == "strip-all" else "n = 1 or rn = 1"
+    query(
+        f"w4_rewrite_{_s.replace('-', '_')}",
+        "frag",
+        f"""select version_dir, '{{' || case when {KEEP} then '"AppsAndFeaturesEntries":[{{"DisplayVersion":"' || "value" || '","ProductCode":"P"}}],' else '"AppsAndFeaturesEntries":[{{"ProductCode":"P"}}],' end || substr(record, 2) record from (select *, {WIN} rn, count(*) over (partition by package_id, "value") n from ({CLAIM}))""",
+    )(lambda f, s=_s: _rewritten(f, s))
+
+
+def _rewritten(f, strategy):
+    value = F.concat(F.lit("D"), F.col("conv_id") % 3)
+    entry = F.concat(F.lit('[{"DisplayVersion":"'), value, F.lit('","ProductCode":"P"}]'))
+    rows = fragments(f).join(f.select("version_dir", "file_name", "conv_id"), ["version_dir", "file_name"])
+    more = F.when(F.col("frag_type") == "installer", F.create_map(F.lit("AppsAndFeaturesEntries"), entry))
+    made = records.assemble_records(rows.withColumns({c: records.overlay(F.col(c), more) for c in ("fields", "child_fields")}))
+    claimed = made.join(records.project_index(made).select("version_dir", F.explode("display_versions").alias("value")), "version_dir")
+    return records.strip_display_versions(made, conflicts.losing_claims(claimed, strategy).select("version_dir", "value")).select("version_dir", "record")

@@ -32,7 +32,7 @@ def cfg(tmp_path):
     for i in range(6):
         write(corpus, f"Ex.P{i}", "1.0.0", d=f"{i}.1", extra=("fr-FR", "de-DE") if i % 2 else ())
         write(corpus, f"Ex.P{i}", "1.10", d=f"{i}.1" if i == 3 else f"{i}.2")
-    return bd.BuildConfig(corpus=f"file://{tmp_path}/corpus", state=f"file://{tmp_path}/state")
+    return bd.BuildConfig(corpus=f"file://{tmp_path}/corpus", state=f"file://{tmp_path}/state", buckets=4)
 
 
 def test_fragments_and_records(spark, cfg):
@@ -105,6 +105,7 @@ def test_incremental_equals_full(spark, cfg, tmp_path):
 
 
 def test_targets_publish_and_failures(spark, cfg, tmp_path):
+    cfg.index_format = 0
     corpus = tmp_path / "corpus" / "manifests"
     bd.incremental_build(spark, cfg)
     write(corpus, "Ex.P0", "2.0")
@@ -151,7 +152,7 @@ def test_targets_publish_and_failures(spark, cfg, tmp_path):
 
 def test_losers_are_rewritten_and_come_back(spark, tmp_path):
     corpus = tmp_path / "c" / "manifests"
-    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/c", state=f"file://{tmp_path}/s")
+    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/c", state=f"file://{tmp_path}/s", index_format=0, buckets=4)
     write(corpus, "Ex.A", "1.0", d="3.1")
     write(corpus, "Ex.A", "2.0", d="3.1")
     write(corpus, "Ex.B", "1.0", d="3.1")
@@ -180,7 +181,7 @@ def test_losers_are_rewritten_and_come_back(spark, tmp_path):
 
 def test_a_run_writes_what_it_touches(spark, tmp_path):
     corpus = tmp_path / "c" / "manifests"
-    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/c", state=f"file://{tmp_path}/s")
+    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/c", state=f"file://{tmp_path}/s", index_format=0)
     for i in range(40):
         write(corpus, f"Ex.P{i}", "1.0", d=f"{i}")
     bd.incremental_build(spark, cfg)
@@ -194,7 +195,7 @@ def test_a_run_writes_what_it_touches(spark, tmp_path):
     store = st.StateStore(spark, cfg.state)
     assert fourth["status"] == "staged" and store.get_meta("format") == 1 and store.read("index_manifest", "version_dir string, ordinal long").count() == 41
     names = [n for n in store.current()["tables"] if n.startswith("index_")]
-    assert len(names) == 21 + 11 - 1  # the tables of both formats; both have metadata
+    assert len(names) == 21
 
 
 def test_a_dead_writers_lock_is_taken_over(spark, tmp_path):
