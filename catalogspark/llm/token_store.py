@@ -5,24 +5,28 @@ Layout of a store (a folder in any store that Spark writes):
 * ``chunks``   hash (sha256 of the bytes), ids (little-endian integers of ``width`` bytes): each distinct chunk once;
 * ``recipes``  in ascending doc_id order: doc_id, n_tokens, part, nth, offset (ids of the part before it), hashes of
   its chunks in order, root (Merkle root over these hashes);
-* ``manifest`` part, block, root: Merkle nodes over each run of 256 recipes of a part.
+* ``manifest`` part, block, root: Merkle nodes over each run of 256 recipes of a part;
+* ``about``    one row: width, end_id, tokenizer (sha256 of its file).
 
 A rolling hash over the last 16 ids cuts each document's id stream, so that an edit changes the chunks around it and
-no others.  Documents are encoded word by word: the tokenizer drops white space and no token crosses it, so a word's
-ids do not depend on its neighbours, and each distinct word of a slice is encoded once.
+no others.  With the tokenizer whose normaliser and pre-tokenizer are named below (``WORD_WISE``) documents are encoded
+word by word: white space is dropped and no token crosses it, so a word's ids do not depend on its neighbours, and each
+distinct word of a slice is encoded once; words count as equal if a 64-bit hash, the length and the first and last
+eight bytes are.  Any other tokenizer encodes whole texts.
 
 Reading back recomputes every chunk's sha256, every document's root from its recipe and every manifest node; a
 difference stops the job.  ``read_documents`` joins ids to documents; ``digests`` needs only each chunk's length and
 crc32, which combine exactly to the crc32 of the document, so no ids are moved.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an id are documents of their own, next to
-each other and in order of their root; a null id sorts first; an empty table makes an empty store; other columns are
-not read.  Texts are encoded whole.
+each other and in order of their root; a null id sorts first; an empty table makes an empty store; other columns,
+whatever their names, are not read.  Texts, however long, are encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import unicodedata
 import zlib
@@ -46,10 +50,28 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 13]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+_SHIFT = np.array([0, *(64 - 8 * n for n in range(1, 9))], U)
 _STOP = np.zeros(256, bool)
 _STOP[[33, 44, 46, 58, 59, 63]] = True  # ! , . : ; ?
 
 
+# Settings of the tokenizer that may be taken word by word.
+WORD_WISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 # Byte-level vocabularies write a byte as itself where it is printable in Latin-1, the others from 256 on in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _AS_TEXT = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
@@ -75,7 +97,17 @@ class WordEncoder:
         self.tool = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.width = 2 if self.tool.get_vocab_size(with_added_tokens=True) <= 65536 else 4
+        self.width = id_width(self.tool)
+        settings = json.loads(self.tool.to_str())
+        model = settings["model"]
+        self.by_word = all(settings.get(k) == v for k, v in WORD_WISE.items()) and model["type"] == "BPE" and not model.get("dropout")
+
+    def encode_whole(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, by the tokenizer on whole texts."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        ids = [[*e.ids, end_id] for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), f"<u{self.width}"), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
 
     def _known(self, words: list[bytes]) -> list[bytes | None]:
         """Ids of the words seen lately.  Of two generations the older goes when the newer is full; words in use move on."""
@@ -105,10 +137,14 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice with the end id after each document, and where each document's ids begin."""
+        if not self.by_word:
+            return self.encode_whole(data, offsets, end_id)
         docs = len(offsets) - 1
         starts, ends, first = _units(data, offsets)
         h = word_hashes(data, starts, ends)
         _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        if not same_words(data, starts, ends, at, which):
+            return self.encode_whole(data, offsets, end_id)
         raw = data.tobytes()
         names = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         parts = self._known(names)
@@ -128,6 +164,19 @@ class WordEncoder:
         return flat[take], out_at[first + np.arange(docs + 1)]
 
 
+def id_width(tool) -> int:
+    return 2 if tool.get_vocab_size(with_added_tokens=True) <= 65536 else 4
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, which: np.ndarray) -> bool:
+    """Whether every word has the length and the first and last eight bytes of the word that stands for its hash."""
+    low = np.concatenate([np.zeros(8, np.uint8), _FOLD[data], np.zeros(8, np.uint8)])
+    window = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    size = np.minimum(ends - starts, 8)
+    mark = (window[starts + 8] & _MASK[size]) + (window[ends] >> _SHIFT[size]) * U(0x9E3779B97F4A7C15) + (ends - starts).astype(U)
+    return bool((mark[at][which] == mark).all()) if len(mark) else True
+
+
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words cut at ASCII white space and between an ASCII letter and a stop, where no token can cross."""
     n = len(data)
@@ -257,9 +306,20 @@ def write_store(docs: DataFrame, root: str, tokenizer_path: str, end_id: int = 2
         .parquet(f"{root}/recipes")
     )
     _manifest(spark.read.parquet(f"{root}/recipes")).write.parquet(f"{root}/manifest")
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path, "rb") as f:
+        mark = hashlib.file_digest(f, "sha256").hexdigest()
+    about = spark.range(1).select(F.lit(id_width(Tokenizer.from_file(tokenizer_path))).alias("width"), F.lit(end_id).alias("end_id"), F.lit(mark).alias("tokenizer"))
+    about.write.parquet(f"{root}/about")
     delete_path(spark, path)
 
 
+def about(spark: SparkSession, root: str) -> dict:
+    """width, end_id and tokenizer (sha256 of its file) of a store."""
+    return spark.read.parquet(f"{root}/about").first().asDict()
+
+
 def _check_chunks(width: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,9 +363,9 @@ def _entries(recipes: DataFrame) -> DataFrame:
     return recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("seq", "hash"))
 
 
-def read_documents(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
-    """doc_id, start, ids (bytes of ``width`` each), put together again from the chunks."""
-    chunks = spark.read.parquet(f"{root}/chunks").mapInArrow(_check_chunks(width, True), "hash binary, n long, crc long, ids binary")
+def read_documents(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, start, ids (bytes, ``about``'s width each), put together again from the chunks."""
+    chunks = spark.read.parquet(f"{root}/chunks").mapInArrow(_check_chunks(about(spark, root)["width"], True), "hash binary, n long, crc long, ids binary")
     joined = _entries(read_recipes(spark, root)).join(chunks, "hash", "left")
     body = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"]), F.lit(b""), lambda a, x: F.concat(a, x))
     return joined.groupBy("start").agg(F.first("doc_id").alias("doc_id"), body.alias("ids")).select("doc_id", "start", "ids")
@@ -342,9 +402,9 @@ def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(crc.astype(np.int64)), batch.column(5)], ["start", "doc_id", "n_tokens", "crc", "n"])
 
 
-def digests(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
+def digests(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
-    chunks = spark.read.parquet(f"{root}/chunks").mapInArrow(_check_chunks(width, False), "hash binary, n long, crc long")
+    chunks = spark.read.parquet(f"{root}/chunks").mapInArrow(_check_chunks(about(spark, root)["width"], False), "hash binary, n long, crc long")
     ahead = Window.partitionBy("start").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     parts = _entries(read_recipes(spark, root)).join(chunks, "hash", "left").select("start", "crc", (F.col("n_tokens") - F.sum("n").over(ahead)).alias("behind"), "doc_id", "n_tokens", "n")
     shifted = parts.mapInArrow(_shift, "start long, doc_id long, n_tokens long, crc long, n long")

@@ -1,3 +1,5 @@
+import hashlib
+import json
 import random
 import zlib
 
@@ -82,3 +84,30 @@ def test_crc_combines():
     total = np.array([zlib.crc32(a), zlib.crc32(b), zlib.crc32(c)], np.int64)
     got = ts.shift_crc(total, np.array([len(b) + len(c), len(c), 0]))
     assert int(np.bitwise_xor.reduce(got)) == zlib.crc32(a + b + c)
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    """The same model without its normaliser, and one with more ids than two bytes hold."""
+    plain = Tokenizer.from_file(PATH)
+    state = json.loads(plain.to_str()) | {"normalizer": None}
+    (tmp_path / "plain.json").write_text(json.dumps(state))
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    for path in (str(tmp_path / "plain.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        tool, root = Tokenizer.from_file(path), new_path(spark, "store")
+        ts.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), root, path)
+        back = {r.doc_id: np.frombuffer(r.ids, f"<u{ts.about(spark, root)['width']}").tolist() for r in ts.read_documents(spark, root).collect()}
+        assert back == {i: [*tool.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+    assert ts.WordEncoder(PATH).by_word and not ts.WordEncoder(path).by_word
+    assert ts.about(spark, root) == {"width": 2, "end_id": 2, "tokenizer": hashlib.sha256(open(path, "rb").read()).hexdigest()}
+
+
+def test_words_are_compared():
+    data = np.frombuffer(b"alpha Beta alpha beta a b gamma-delta-epsilon-zeta gamma-delta-epsilon-zetb", np.uint8)
+    starts, ends, _ = ts._units(data, np.array([0, len(data)]))
+    h = ts.word_hashes(data, starts, ends)
+    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    assert ts.same_words(data, starts, ends, at, which) and len(at) == 6
+    for x, y in ((0, 1), (4, 5), (0, 4), (6, 7)):  # as if these two had one hash
+        same = which.copy()
+        same[x] = which[y]
+        assert not ts.same_words(data, starts, ends, at, same)
