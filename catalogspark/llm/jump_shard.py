@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 MULTIPLIER = 2862933555777941757
 
 _M32 = 0xFFFFFFFF
+#: Slots that are dealt out in one array.
+CHUNK = 10_000
 
 
 def _next(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -67,23 +69,26 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     """Every row with its shard, its gapless slot in the shard and its shard once one more is appended.
 
     Slots run over ``parts`` hashed parts of each shard in turn and by key inside a part, so that no task sorts a
-    whole shard; the parts' sizes are ``shards * parts`` counts, the only thing that is broadcast.
+    whole shard; the parts' sizes are ``shards * parts`` counts, the only thing that is broadcast.  Rows that agree in
+    key, size and crc32 are counted before any shuffle and numbered as one, so repeated rows gather nowhere.
     """
     key, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     rows = docs.select(
         key.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         jump_hash(key, shards).alias("shard"),
         jump_hash(key, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.crc32(F.coalesce(text, F.lit("")).cast("binary"))), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.xxhash64(key, crc), F.lit(parts)).cast("int").alias("part"),
     )
+    groups = rows.groupBy("shard", "part", "doc_id", "text_crc32", "size", "grown_shard").agg(F.count(F.lit(1)).alias("n"))
     sizes = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("nth", F.row_number().over(inside).cast("long") - 1)
-        .join(F.broadcast(starts), ["shard", "part"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth")).alias("slot"), "grown_shard")
-    )
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = groups.withColumn("nth", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), ["shard", "part"])
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("first")
+    each = F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + CHUNK) - 1)).alias("k")
+    spread = placed.select("*", first).select("*", each)
+    return spread.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth") + F.col("k")).alias("slot"), "grown_shard")

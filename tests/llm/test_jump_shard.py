@@ -57,3 +57,12 @@ def test_long_chains(spark):
     whole = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
     for n in whole:
         assert [r.s for r in df.select(jump_hash(df.k, n).alias("s")).collect()] == [jump(k, n) for k in long]
+
+
+def test_many_equal_rows(spark):
+    docs = spark.range(45_000).selectExpr("if(id % 3 = 0, 5L, id) AS doc_id", "if(id % 3 = 0, 'same', cast(id AS string)) AS text").repartition(3)
+    got = shard_documents(docs).collect()
+    assert len(got) == 45_000 and sum(r.doc_id == 5 for r in got) == 15_001
+    for s in range(40):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
