@@ -245,6 +245,10 @@ SUFFIX = "[" + ", ".join(f"'{x}'" for x in nz.LEGAL_SUFFIXES) + "]"
 query("f4_normalize_publisher", "publishers", f"select id, array_to_string(w[1:coalesce(list_filter(range(1, len(w)), lambda i: list_contains({SUFFIX}, w[i + 1]))[1], len(w))], '') publisher from (select id, list_filter(regexp_split_to_array(lower(publisher), '[^a-z0-9]'), lambda x: x <> '') w from publishers)")(
     lambda p: p.select("id", nz.normalize_publisher(F.col("publisher")).alias("publisher"))
 )
+query("f1_normalize_name_any_script", "titles", f"select id, {BASE.replace('[^a-z0-9]', '[^\\pL\\pN]')} base from (select *, lower(display) l from titles)")(lambda n: n.select("id", nz.normalize_name(F.col("display"))["base"].alias("base")))
+query("f4_normalize_publisher_any_script", "titles", f"select id, array_to_string(w[1:coalesce(list_filter(range(1, len(w)), lambda i: list_contains({SUFFIX}, w[i + 1]))[1], len(w))], '') publisher from (select id, list_filter(regexp_split_to_array(lower(display), '[^\\pL\\pN]'), lambda x: x <> '') w from titles)")(
+    lambda p: p.select("id", nz.normalize_publisher(F.col("display")).alias("publisher"))
+)
 query("f5_sanitize", "names", "select id, regexp_replace(display, '[^A-Za-z0-9._-]', '_', 'g') segment from names")(lambda n: n.select("id", nz.sanitize(F.col("display")).alias("segment")))
 query("f7_sha256", "names", "select id, sha256(display) sha, left(sha256(display), 8) prefix from names")(lambda n: n.select("id", nz.sha256(F.col("display")).alias("sha"), F.substring(nz.sha256(F.col("display")), 1, 8).alias("prefix")))
 query("f9_set_functions", "attrs", "select package_id, list_sort(list_distinct(list_concat(list(brand), list(type)))) \"values\" from attrs group by 1")(
@@ -272,7 +276,18 @@ query("o5_published_inventory", "published actual", "select relpath, 'manifest'
 )
 
 # lookups, logs and status
+def _one_version(v):
+    """The first pair of package and version that names one version."""
+    key = v.groupBy("package_id", "package_version").count().where("count = 1").orderBy("package_id", "package_version").first()
+    return lookup.select_targets(v, package_version=(key.package_id, key.package_version))
+
+
 query("p10_select_by_package", "ver_now", "select distinct version_dir from ver_now where package_id in ('C.1', 'C.2', 'C.40')")(lambda v: lookup.select_targets(v, packages=["C.1", "C.2", "C.40"]))
+query("p10_select_by_directory", "ver_now", "select distinct version_dir from ver_now where version_dir in ('c/1/1', 'c/2/2') or version_dir = (select min(version_dir) from ver_now)")(
+    lambda v: lookup.select_targets(v, directories=["c/1/1", "c/2/2", v.agg(F.min("version_dir")).first()[0]])
+)
+query("p10_select_by_file", "files_now", "select distinct version_dir from files_now where path in ((select min(path) from files_now), (select max(path) from files_now))")(lambda f: lookup.select_targets(f, files=list(f.agg(F.min("path"), F.max("path")).first())))
+query("p10_select_by_version", "ver_now", "select version_dir from (select version_dir, package_id, package_version, count(*) over (partition by package_id, package_version) n from ver_now) where n = 1 order by package_id, package_version limit 1")(_one_version)
 query("p11_exclude_targets", "ver_now", "select * from ver_now where package_id not in ('C.1', 'C.2', 'C.40')")(lambda v: lookup.exclude_targets(v, lookup.select_targets(v, packages=["C.1", "C.2", "C.40"])))
 query("p12_package_detail", "ver_now attrs", """select package_id, brands, versions from (select package_id, list({'version_dir': version_dir, 'package_version': package_version, 'channel': channel} order by version_dir) versions from ver_now group by 1)
  join (select package_id, list_sort(list(distinct brand)) brands from attrs group by 1) using (package_id)""")(lambda v, a: lookup.package_detail(v, rollup.union_sets(a, "package_id", "brand").withColumnRenamed("values", "brands")))
