@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 #: Largest value of an unsigned 64-bit number; larger digit runs compare by magnitude (fixed value).
 MAX_U64 = "18446744073709551615"
 
-_TRIM = r"(?U)^\s+|\s+$"
+#: White space of Unicode (fixed values) and decimal digits, as sets of characters to trim.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_DIGITS = "0123456789"
 #: Marks of the key, in their order: end of a suffix, a part below zero, a zero before such a part, the end, a zero before
 #: a part above zero, such a part; and a zero part that is still to be told apart.
 _T, _N, _ZN, _END, _ZP, _P, _Z = "\x01", "\x02", "\x03", "\x04", "\x05", "\x06", "\x07"
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, _TRIM, "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def _base(version: Column) -> tuple[Column, Column]:
@@ -31,8 +33,9 @@ def version_parts(version: Column) -> Column:
     raw = F.transform(F.split(_base(version)[1], r"\."), _trim)
 
     def cut(x: Column) -> Column:
-        digits = F.regexp_extract(x, "^[0-9]*", 0)
-        return F.struct(F.regexp_replace(digits, "^0+", "").alias("number"), F.lower(F.substring(x, F.length(digits) + 1, F.length(x))).alias("suffix"), digits.alias("digits"))
+        suffix = F.ltrim(x, F.lit(_DIGITS))
+        digits = F.substring(x, F.lit(1), F.length(x) - F.length(suffix))
+        return F.struct(F.ltrim(digits, F.lit("0")).alias("number"), F.lower(suffix).alias("suffix"), digits.alias("digits"))
 
     return F.transform(raw, cut)
 
@@ -76,7 +79,7 @@ def version_key(version: Column) -> Column:
         return F.concat(rank, body, F.lit(_END))
 
     # a one-element transform binds the parts, so that they are worked out once
-    bound = F.get(F.transform(F.array(F.regexp_replace(joined, f"{_Z}+$", "")), key), 0)
+    bound = F.get(F.transform(F.array(F.rtrim(joined, F.lit(_Z))), key), 0)
     return F.concat(bound, (_base(version)[0] + 1).cast("string"))
 
 

@@ -42,9 +42,10 @@ def losing_claims(children: DataFrame, strategy: str) -> DataFrame:
 
 
 def resolve_conflicts(children: DataFrame, strategy: str = "latest") -> DataFrame:
-    """Rows of ``children`` without the losing claims."""
-    lost = losing_claims(children, strategy).select("package_id", "value", "version_dir")
-    return children.join(lost, ["package_id", "value", "version_dir"], "left_anti").select(*children.columns)
+    """Rows of ``children`` without the losing claims: one aggregation and one join."""
+    won = winners(children, strategy).select("package_id", "value", F.col("keeper.version_dir").alias("_kept"), F.lit(True).alias("_fought"))
+    joined = children.join(won, ["package_id", "value"], "left")
+    return joined.where(F.col("_fought").isNull() | F.coalesce(F.col("_kept") == F.col("version_dir"), F.lit(False))).select(*children.columns)
 
 
 def _label(version, channel):

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from catalogspark.functions.version import version_key
+from catalogspark.functions.version import reverse_key, version_key
 from catalogspark.operators.rollup import latest_version, rank_versions
 
 # relations that must hold, as (left, relation, right)
@@ -53,7 +53,7 @@ def test_written_order(a, rel, b):
 
 def test_key_follows_order(spark):
     rnd = random.Random(7)
-    piece = ["0", "00", "1", "2", "10", "beta", "0-beta", "1a", "1B", "latest", "unknown", "", "18446744073709551615", "18446744073709551616", "99999999999999999999999", " 3 ", "v1"]
+    piece = ["0", "00", "1", "2", "10", "beta", "0-beta", "1a", "1B", "latest", "unknown", "", "18446744073709551615", "18446744073709551616", "99999999999999999999999", " 3 ", "v1", "1\x01", "1\t2", "1\x00a", "\u20037\u00a0"]
     texts = sorted({p for x in PAIRS for p in (x[0], x[2])} | {rnd.choice(["", "", "< ", "> ", "v", "Version "]) + ".".join(rnd.choice(piece) for _ in range(rnd.randrange(1, 5))) for _ in range(220)})
     df = spark.createDataFrame([(t,) for t in texts], "v string").withColumn("k", version_key(F.col("v")))
     df.createOrReplaceTempView("keys_under_test")
@@ -62,6 +62,15 @@ def test_key_follows_order(spark):
     assert not wrong, wrong[:5]
 
 
+def test_reverse_key_sorts_against_the_key(spark):
+    rnd = random.Random(9)
+    texts = sorted({".".join(rnd.choice(["0", "1", "10", "2-b", "0-a", "x", "latest", ""]) for _ in range(rnd.randrange(1, 5))) for _ in range(150)})
+    df = spark.createDataFrame([(t,) for t in texts], "v string").withColumn("k", version_key(F.col("v"))).withColumn("r", reverse_key(F.col("k")))
+    rows = df.collect()
+    up, down = [r.k for r in sorted(rows, key=lambda r: r.k.encode())], [r.k for r in sorted(rows, key=lambda r: r.r)]
+    assert up == down[::-1]
+
+
 def test_index_order(spark):
     rows = [("p", "d1", "1.0.0", ""), ("p", "d2", "2.0.0", ""), ("p", "d3", "9.0.0", "beta"), ("p", "d4", "2.0", ""), ("q", "d5", "1", "x")]
     df = spark.createDataFrame(rows, "package_id string, version_dir string, package_version string, channel string")
