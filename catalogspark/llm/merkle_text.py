@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 SECTION = 8
 LEAF = r"(?s).*?(?:[.,;:!?|。、，；：！？的了是在のにはを]|[dt] )|.+"
 RANGE_BYTES, MAX_RANGES = 2 << 20, 100_000
+HOT_ROWS, SALTS = 20_000, 64
 
 
 def _hashes(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -71,8 +72,25 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(F.size(section) == 0, None).otherwise(F.get(inside, 0))
 
 
-def with_next(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """rows: key, text, ...  Adds ``fingerprint`` and ``nxt`` (text and fingerprint) of the next lower key, after the last the first.
+def with_next(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows: doc_id, key, text.  Adds ``fingerprint`` and ``nxt`` (text and fingerprint) of the next lower key, after the last the first.
+
+    Of a key with more than ``hot_rows`` rows only the row that stands for it takes part in the ranges; what is next to
+    it is then joined to all its rows, dealt to ``SALTS`` parts.
+    """
+    hot = [r["key"] for r in rows.groupBy("key").count().where(F.col("count") > hot_rows).select("key").collect()]  # one in hot_rows keys at most
+    if not hot:
+        return _ranged(rows)
+    many = rows.where(F.col("key").isin(hot))
+    heads = many.groupBy("key").agg(F.min(F.struct("text", "doc_id")).alias("r")).select("r.doc_id", "key", "r.text")
+    done = _ranged(rows.where(~F.col("key").isin(hot)).unionByName(heads))
+    after = done.where(F.col("key").isin(hot)).select("key", "nxt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = many.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(after, ["key", "_salt"])
+    return done.where(~F.col("key").isin(hot)).unionByName(fingerprint(dealt.drop("_salt"), "text").select(*done.columns))
+
+
+def _ranged(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``with_next`` by ranges of keys.
 
     Rows are dealt to ranges of keys between quantiles (the only values that reach the driver), as many as give ranges
     of ``range_bytes`` of text, but MAX_RANGES at most; each range also gets a copy of the head of the range below it, so that one shuffle and a window inside ranges are enough.  Of
@@ -101,11 +119,11 @@ def with_next(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return made.withColumn("nxt", F.expr("lead(_given) IGNORE NULLS OVER (PARTITION BY _r ORDER BY _copy, key DESC, text)")).where("_copy = 0").drop("_r", "_copy", "_first", "_given")
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each document, its text with the last half replaced from the next document, and how alike they are."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"))
-    joined = with_next(base).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
+    joined = with_next(base, hot_rows).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("_half")).cast("int")), F.substring(F.col("nxt.text"), F.lit(1), F.col("_half")))
     made = fingerprint(joined.withColumn("edited", edited), "edited", "edited_fingerprint")
     return made.select(

@@ -44,6 +44,13 @@ def test_odd_rows(spark):
     assert one.near_edited == one.near_next == 1.0
 
 
+def test_keys_with_many_rows(spark):
+    rows = [(i % 9 if i % 3 else 4, f"text {i % 7} of {i}, and more\nline") for i in range(120)] + [(None, f"no id {i}") for i in range(30)] + [(20, "alone"), (21, "alone too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = [sorted(map(repr, mt.edited_fingerprints(docs, hot_rows=n).collect())) for n in (10**6, 12, 1)]
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+
+
 def test_edits_lower_likeness_less_than_other_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") > 400)
     r = mt.edited_fingerprints(docs).agg(F.avg((F.col("near_edited") > F.col("near_next")).cast("int")).alias("share"), F.avg("near_edited").alias("edited")).first()
