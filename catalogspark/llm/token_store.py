@@ -81,7 +81,7 @@ def plain_piece(word: str) -> str | None:
     """What the model sees of a word that is one run of letters: normaliser and pre-tokenizer leave one piece of it."""
     if word.isascii():
         return word.lower() if word.isalpha() else None
-    low = "".join([c.lower() for c in word])
+    low = word.lower() if "Σ" not in word else "".join([c.lower() for c in word])  # each letter for itself, a last sigma too
     if word.isalpha() and low.isalpha() and unicodedata.is_normalized("NFC", word):
         return low.encode().decode("latin-1").translate(_AS_TEXT)
     return None
