@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import decontaminate, html_extract, jump_shard, line_dedup, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity
+from catalogspark.llm import decontaminate, html_extract, jump_shard, line_dedup, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity, whitening
 from catalogspark.llm.common import new_path
 
 
@@ -55,6 +55,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_superminhash": op8_superminhash,
         "op9_decontaminate": op9_decontaminate,
         "op10_html_extract": op10_html_extract,
+        "op11_whitening": op11_whitening,
     }
 
 
