@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import decontaminate, html_extract, jump_shard, line_dedup, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity, whitening
+from catalogspark.llm import decontaminate, html_extract, jump_shard, license_scan, line_dedup, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity, whitening
 from catalogspark.llm.common import new_path
 
 
@@ -59,6 +59,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_html_extract": op10_html_extract,
         "op11_whitening": op11_whitening,
+        "op12_license_scan": op12_license_scan,
     }
 
 
