@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogspark.llm import decontaminate, html_extract, jump_shard, license_scan, line_dedup, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity, whitening
+from catalogspark.llm import decontaminate, html_extract, jump_shard, lexical_search, license_scan, line_dedup, merkle_text, minhash, sentencepiece_codec, token_store, toxicity, warc_fixity, whitening
 from catalogspark.llm.common import new_path
 
 
@@ -63,6 +63,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_extract": op10_html_extract,
         "op11_whitening": op11_whitening,
         "op12_license_scan": op12_license_scan,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -84,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_merkle_fingerprint": merkle_text.sql(),
         "op6_warc_fixity": warc_fixity.SQL,
+        "op13_lexical_search": lexical_search.SQL,
     }
