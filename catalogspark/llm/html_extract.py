@@ -1,24 +1,32 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
-A page is read as a row of scored tokens, words and tags, and one linear scan finds the contiguous run with the highest
-sum; nothing else chooses the place or the bounds of the text.
+A page is read as a row of scored tokens, pieces of text and tags, and one linear scan finds the contiguous run with the
+highest sum; nothing else chooses the place or the bounds of the text.
 
-Words score +1 each, but -1 (-1/1000 inside ``article`` or ``main``, whose text goes on behind it) in an element that by
-its name, role, class or id is a menu, footer, form, advert, reader comment or the like, and -1/2 outside ``article`` and ``main`` on pages where these hold at least a third of the words
-that no such element holds.  A class or id counts only as a whole name (or if it is made of such names, as
-``cookie-banner``), and never for the element around the ``article`` or ``main`` with the most words of its own or, on
-a page without these, around over three quarters of the words: layout names lower no score.  Tags score minus their
-weight: 0.01 inside ``article`` or ``main``, elsewhere what labelled pages (content marked by exactly one such element)
-say: the mean run of words between tags outside the content, times the surplus of the tag's uses outside it over those
-inside, as a share; so such a run can hardly pay for the tags around it.
+A piece of text scores its letters (characters that aren't white space, so that scripts without blanks count like all
+others) times the worth of the element that it stands in, from 1 to -1, and a tag scores minus its weight.  Both come
+from labelled pages, those with exactly one ``article`` or ``main`` (below): the worth of an element is the letters
+directly in it inside the content less those outside, as a share; the weight of a tag is the mean run of letters outside
+the content times the surplus of its uses outside, as a share.  An element never seen is worth 1, a link 0.
 
-The run is widened to whole blocks of text.  Of its words those with a negative score that stand between positive ones
-are left out: an advert in the middle of the article.
+What is known of names comes first: text in an element that by its name, role, class or id is a menu, footer, form,
+advert, reader comment or the like scores minus its letters, whatever it is worth.  A class or id counts only as a whole
+name (or if it is made of such names, as ``cookie-banner``).  As pages also give such names to what holds everything,
+the number of class names around a text matters only beyond those around the content: around the only ``article`` or
+``main``, else none, or if no region is then worth more than a mean run of letters outside content, as few as give one.
+
+A page with exactly one outermost ``article`` or ``main`` that holds text (of several, only those with the fewest class
+names around them are looked at) is labelled itself: letters outside score minus 1, inside 1, and tags and boilerplate
+inside score nothing, so that no advert or list can end the region.  On pages with several, as cards, they are elements
+like all others.
+
+The run is widened to whole blocks of text.  Of what lies between its first and last text that scores above 0,
+boilerplate is left out, and so is a block of which nothing scores 0 or more: an advert in the middle of the article.
 
 Defined results: a null or empty page has the empty text and 0 characters; white space is what HTML calls so (space,
 tab, line feed, form feed, return) and the vertical tab; rows are independent, so repeated ids, nulls and extra
 columns, whatever their names, change nothing; of regions with the same score the first is taken; an empty table gives
-an empty result.  Pages are read whole.
+an empty result, and without labelled pages all weights are those of elements never seen.  Pages are read whole.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +54,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "html", "head", "body", "title"}
 
+#: Weight of a tag at least; uses and letters of an unseen element that stand for what is not known yet; run of letters
+#: without labelled pages; names whose counts reach the driver (pages may make up names without end).
+LEAST, FEW_TAGS, FEW_LETTERS, UNSEEN_RUN, MOST_NAMES = 0.1, 20, 500, 25.0, 10_000
+TEXT_IN, RUN, ALL_LETTERS, ALL_RUNS = "text in ", "mean run", "all letters", "all runs"
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _HINT_ATTR = re.compile(r"""\b(class|id|role|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?<![-\w])(hidden)(?![-\w=])""", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f\v]+")
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -71,61 +86,51 @@ def _boilerplate(name: str, attrs: str, marked: bool) -> str:
     return "class" if by_class else ""
 
 
-class Words:
-    """Of a first reading: words of the page, of each element with a telling class, and of each article or main its own."""
+@dataclass(frozen=True)
+class Token:
+    """A tag or a piece of text; ``name``: of the tag, or of the element, with its classes, that the text stands in (``a`` in a link).
 
-    def __init__(self):
-        self.total = 0
-        self.hinted: Counter = Counter()
-        self.own: Counter = Counter()
-        self.around: dict[int, list[int]] = {}
+    ``aside``: in an element that is boilerplate by its name or role; ``level``: class names of boilerplate around it;
+    ``mark``: number of the outermost ``article`` or ``main`` around it, or -1.
+    """
 
-    def content(self) -> set[int]:
-        """Places of the elements whose class doesn't count, as they hold the page's content."""
-        if self.own:
-            return set(self.around[max(self.own, key=lambda at: (self.own[at], -at))])
-        return {at for at, n in self.hinted.items() if 4 * n > 3 * self.total}
+    tag: bool
+    name: str
+    text: str
+    aside: bool
+    level: int
+    mark: int
+    letters: int = 0
 
 
-Token = tuple[str, str, bool, bool]
+def _letters(text: str) -> int:
+    return len("".join((html.unescape(text) if "&" in text else text).split()))
 
 
 def tokens(page: str) -> list[Token]:
-    """(kind, value, marked, low): kind 't' a tag's name, 'w' a piece of text; marked: in an article or main; low: in an element that lowers words."""
-    seen = Words()
-    row = list(_read(page, set(), seen))
-    return list(_read(page, seen.content(), None)) if seen.hinted else row
+    return list(_read(page))
 
 
-def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[Token]:
-    """The tokens; the classes of elements at the places ``kept`` don't count.  With ``seen`` none does, and words are counted."""
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, silent, low, marked, place if its class may count
-    silent = low = marked = at = 0
-    hinted: list[int] = []
-    inner: list[int] = []
+def _read(page: str) -> Iterator[Token]:
+    stack: list[tuple[str, bool, bool, bool, bool, str]] = []  # name, silent, aside, class name of boilerplate, outermost mark, name with classes
+    silent = aside = level = at = marks = links = 0
+    mark = -1
 
     def pop() -> None:
-        nonlocal silent, low, marked
-        _, s, d, m, hint = stack.pop()
+        nonlocal silent, aside, level, mark, links
+        name, s, a, c, m, _ = stack.pop()
         silent -= s
-        low -= d
-        marked -= m
+        aside -= a
+        level -= c
+        links -= name == "a"
         if m:
-            inner.pop()
-        if hint >= 0:
-            hinted.pop()
+            mark = -1
 
     while at < len(page):
         found = _TOKEN.search(page, at)
         text = page[at:found.start()] if found else page[at:]
         if text and not silent:
-            if seen is not None and not low:
-                n = len(text.split())
-                seen.total += n
-                seen.hinted.update(dict.fromkeys(hinted, n))
-                if inner:
-                    seen.own[inner[-1]] += n
-            yield "w", text, marked > 0, low > 0
+            yield Token(False, "a" if links else stack[-1][5] if stack else "body", text, aside > 0, level, mark, _letters(text))
         if not found:
             break
         at = found.end()
@@ -134,15 +139,15 @@ def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[Token]:
             continue
         if found[1]:
             if name == "br":
-                yield "t", name, marked > 0, low > 0
+                yield Token(True, name, "", aside > 0, level, mark)
             elif any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
                     pop()
-                inside = marked > 0, low > 0
+                inside = aside > 0, level, mark
                 was = silent
                 pop()
                 if not was:
-                    yield "t", name, *inside
+                    yield Token(True, name, "", *inside)
             continue
         attrs = found[3]
         if name in CLOSES_P and any(x[0] == "p" for x in stack):
@@ -154,7 +159,7 @@ def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[Token]:
             if stack and stack[-1][0] == end:
                 pop()
         if name in MARKED:  # content never stands inside a menu or footer: an unclosed one ends here
-            while low and any(x[2] and x[0] in ("nav", "header", "footer") for x in stack):
+            while aside and any(x[2] and x[0] in ("nav", "header", "footer") for x in stack):
                 pop()
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -162,55 +167,94 @@ def _read(page: str, kept: set[int], seen: Words | None) -> Iterator[Token]:
             continue
         if name in VOID:
             if not silent:
-                yield "t", name, marked > 0, low > 0
+                yield Token(True, name, "", aside > 0, level, mark)
             continue
         if attrs.endswith("/") and name not in BLOCK:
             continue
-        why = _boilerplate(name, attrs, marked > 0)
-        hint = at if why == "class" and not low and not silent else -1
-        down = why != "" and (hint < 0 or seen is None and hint not in kept)
-        stack.append((name, name in SILENT, down, name in MARKED and why == "" and not low and not silent, hint))
+        why = _boilerplate(name, attrs, mark >= 0)
+        first = name in MARKED and why == "" and mark < 0 and not aside and not silent
+        classes = _CLASS.search(attrs) if "class" in attrs else None
+        full = " ".join([name, *sorted(set(classes[1].strip("\"'").lower().split()))])[:80] if classes else name
+        stack.append((name, name in SILENT, why == "element", why == "class", first, full))
         silent += stack[-1][1]
-        low += down
-        marked += stack[-1][3]
-        if hint >= 0:
-            hinted.append(hint)
-        if stack[-1][3]:
-            inner.append(at)
-            if seen is not None:
-                seen.around[at] = hinted.copy()
+        aside += stack[-1][2]
+        level += stack[-1][3]
+        links += name == "a"
+        if first:
+            mark, marks = marks, marks + 1
         if not silent:
-            yield "t", name, marked > 0, low > 0
+            yield Token(True, name, "", aside > 0, level, mark)
+
 
+def only_mark(row: list[Token]) -> tuple[int, int]:
+    """(number, class names around it) of the one article or main that labels the page, or (-1, 0)."""
+    held: dict[int, int] = {}
+    for x in row:
+        if x.mark >= 0 and not x.tag and not x.aside and x.letters:
+            held[x.mark] = min(held.get(x.mark, x.level), x.level)
+    fewest = min(held.values(), default=0)
+    best = [m for m, level in held.items() if level == fewest]
+    return (best[0], fewest) if len(best) == 1 else (-1, 0)
 
-def count_tags(page: str) -> tuple[Counter, Counter, int, int] | None:
-    """Of a labelled page: tags inside, tags outside, words outside and runs of them; None if it isn't labelled."""
-    if len(re.findall(r"<(?:article|main)[\s>]", page, re.I)) != 1:
+
+def count_page(page: str) -> Counter | None:
+    """Of a labelled page: (what, inside the content) to letters, uses and runs; None if it isn't labelled.
+
+    What is known by its names to be boilerplate teaches what text in its elements is worth, but nothing of tags and links:
+    a menu says nothing against other lists.
+    """
+    row = tokens(page)
+    mark, level = only_mark(row)
+    if mark < 0:
         return None
-    inside, outside, words, runs = Counter(), Counter(), 0, 0
-    for name in re.findall(r"<([a-zA-Z][\w-]*)", re.sub(r"<(article|main)[\s>].*</\1\s*>", " ", page, flags=re.S | re.I)):
-        outside[name.lower()] += 1
-    for kind, value, marked, _ in tokens(page):
-        if kind == "t" and marked:
-            inside[value] += 1
-    for text in re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<(article|main)[\s>].*</\2\s*>|<!--.*?-->", "<x>", page).split("<"):
-        n = len(text.partition(">")[2].split())
-        words, runs = words + n, runs + (n > 0)
-    return inside, outside, words, runs
+    out: Counter = Counter()
+    for x in row:
+        inside, known = x.mark == mark, x.aside or x.level > level
+        if not x.tag and not inside and (n := x.letters):
+            out[ALL_LETTERS, False] += n
+            out[ALL_RUNS, False] += 1
+        if x.name.split(" ")[0] in MARKED or known and (x.tag or x.name == "a"):
+            continue
+        out[(x.name if x.tag else TEXT_IN + x.name), inside and not known] += 1 if x.tag else x.letters
+    return out
+
+
+def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
+    """Weights of tags, ``text in`` elements their worth, and the mean run of letters outside content."""
+    if not counts:
+        return {}
+    run = counts.get((ALL_LETTERS, False), 0) / max(1, counts.get((ALL_RUNS, False), 0))
+    out = {RUN: run}
+    for name in {name for name, _ in counts} - {ALL_LETTERS, ALL_RUNS}:
+        inside, outside = counts.get((name, True), 0), counts.get((name, False), 0)
+        if name.startswith(TEXT_IN):
+            prior = 0 if name == TEXT_IN + "a" else 1
+            out[name] = (inside - outside + FEW_LETTERS * prior) / (inside + outside + FEW_LETTERS)
+        else:
+            out[name] = max(LEAST, run * (outside - inside) / (outside + inside + FEW_TAGS))
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total: Counter = Counter()
+        for page in batch.column(0):
+            total.update(count_page(page.as_py()) or {})
+        if total:
+            columns = [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.bool_()), pa.array(list(total.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "inside", "n"])
 
 
 def fit_weights(pages: DataFrame, html_col: str = "html", sample: int = 400) -> dict[str, float]:
-    """Tag weights from at most ``sample`` labelled pages, those with the lowest hash of their html."""
+    """Weights from at most ``sample`` different pages with a mark, those with the lowest hash of their html; counted by tasks."""
     labelled = pages.select(pages[html_col].cast("string").alias("html")).where(F.lower("html").rlike(r"<(article|main)[\s>]")).withColumn("h", F.xxhash64("html"))
-    # hashes first: only the chosen pages themselves come to the driver, whatever the number of partitions
+    # hashes first: no page comes to the driver, whatever its length
     chosen = [r["h"] for r in labelled.select("h").distinct().orderBy("h").limit(sample).collect()]
-    rows = labelled.where(F.col("h") <= chosen[-1]).dropDuplicates(["h"]).collect() if chosen else []
-    inside, outside, words, runs = Counter(), Counter(), 0, 0
-    for r in rows:
-        if counted := count_tags(r["html"]):
-            inside, outside, words, runs = inside + counted[0], outside + counted[1], words + counted[2], runs + counted[3]
-    run = words / runs if runs else 10.0
-    return {t: max(0.1, run * (outside[t] - inside[t]) / (outside[t] + inside[t])) for t in {*inside, *outside} if t not in MARKED}
+    if not chosen:
+        return {}
+    rows = labelled.where(F.col("h") <= chosen[-1]).dropDuplicates(["h"]).select("html").mapInArrow(_counted, "name string, inside boolean, n long")
+    counts = rows.groupBy("name", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(MOST_NAMES)
+    return weights_of({(r["name"], r["inside"]): r["n"] for r in counts.collect()})
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -226,42 +270,59 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def token_scores(row: list[Token], weights: dict[str, float]) -> list[float]:
-    """What each token adds to a region that holds it."""
-    size = [len(value.split()) if kind == "w" else 0 for kind, value, _, _ in row]
-    plain = sum(n for n, x in zip(size, row, strict=True) if not x[3])
-    in_marks = sum(n for n, x in zip(size, row, strict=True) if x[2] and not x[3])
-    outside = -0.5 if 3 * in_marks >= plain and in_marks else 1.0
+def token_scores(row: list[Token], weights: dict[str, float], mark: int, level: int) -> list[float]:
+    """What each token adds to a region that holds it, where ``mark`` labels the page (or -1) and ``level`` class names don't count."""
     out = []
-    for n, (kind, value, marked, low) in zip(size, row, strict=True):
-        if kind == "w":
-            out.append(n * (1.0 if marked else outside) if not low else -n * (0.001 if marked else 1.0))
+    for x in row:
+        low = x.aside or x.level > level
+        if x.tag:
+            out.append(0.0 if 0 <= mark == x.mark else -weights.get(x.name, 1.0 if x.name in BLOCK else LEAST))
+        elif mark >= 0:
+            out.append(-float(x.letters) if x.mark != mark else 0.0 if low else float(x.letters))
         else:
-            out.append(-0.01 if marked else -weights.get(value, 1.0 if value in BLOCK else 0.1))
+            out.append(-float(x.letters) if low else x.letters * weights.get(TEXT_IN + x.name, 0.0 if x.name == "a" else 1.0))
     return out
 
 
+def region(row: list[Token], weights: dict[str, float]) -> tuple[int, int, int, list[float]]:
+    """(begin, end, class names that don't count, scores) of the best region of a page."""
+    mark, level = only_mark(row)
+    if mark >= 0:
+        scores = token_scores(row, weights, mark, level)
+        return *best_region(scores), level, scores
+    held = None
+    for level in sorted({x.level for x in row} | {0}):
+        scores = token_scores(row, weights, -1, level)
+        begin, end = best_region(scores)
+        if begin < end and held is None or sum(scores[begin:end]) > weights.get(RUN, UNSEEN_RUN):
+            held = begin, end, level, scores
+            if sum(scores[begin:end]) > weights.get(RUN, UNSEEN_RUN):
+                break
+    return held or (0, 0, 0, scores)
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page: blocks joined by line feeds."""
     row = tokens(page or "")
-    scores = token_scores(row, weights)
-    begin, end = best_region(scores)
-    wall = lambda i: row[i][0] == "t" and row[i][1] in BLOCK or row[i][0] == "w" and scores[i] < 0
+    begin, end, level, scores = region(row, weights)
+    low = [not x.tag and (x.aside or x.level > level) for x in row]
+    wall = lambda i: row[i].name in BLOCK if row[i].tag else low[i] or scores[i] < 0
     while 0 < begin < end and not wall(begin - 1):
         begin -= 1
     while begin < end < len(row) and not wall(end):
         end += 1
-    good = [i for i in range(begin, end) if row[i][0] == "w" and scores[i] > 0]
-    blocks, now = [], []
+    good = [i for i in range(begin, end) if not row[i].tag and scores[i] > 0]
+    blocks, now, worth = [], [], False
     for i in range(begin, end + 1):
-        kind, value = row[i][:2] if i < end else ("t", "div")
-        if kind == "w":
-            if scores[i] >= 0 or not good[0] < i < good[-1]:
-                now.append(html.unescape(value))
-        elif value in BLOCK:
-            if line := _WHITE.sub(" ", "".join(now)).strip(" "):
+        if i < end and not row[i].tag:
+            inner = good[0] < i < good[-1]
+            if not (low[i] and inner):
+                now.append(html.unescape(row[i].text))
+                worth = worth or scores[i] >= 0 and row[i].letters > 0 or not inner
+        elif i == end or row[i].name in BLOCK:
+            if worth and (line := _WHITE.sub(" ", "".join(now)).strip(" ")):
                 blocks.append(line)
-            now = []
+            now, worth = [], False
     return "\n".join(blocks)
 
 

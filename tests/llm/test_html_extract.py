@@ -101,3 +101,99 @@ def test_related_work_and_teasers():
     long = "a real text that runs on and on over many words of its own " * 6
     page = f"<div class=content><p>{long}</p><p>{long}</p></div><article class=card>tiny</article><article class=card>small card</article>"
     assert he.extract(page, {}).count("over many words") == 12
+
+
+LANGUAGES = {
+    "en": ("The title of it", "An article goes on for a good many words, and then it ends here.", "Its second paragraph is as long as the first one was, or nearly."),
+    "zh": ("标题在这里", "这是一篇很长的文章的第一段，没有任何空格，但是有很多字，而且还在继续写下去。", "第二段也一样长，一样没有空格，读者还是应该能读到它的全部内容，直到最后一个字。"),
+    "ja": ("題名はここです", "これは長い記事の最初の段落で、空白はひとつもありませんが、文字はたくさんあります。", "二番目の段落も同じくらい長く、最後の一文字まで読めるはずです。終わりまで残ります。"),
+    "th": ("หัวเรื่องอยู่ที่นี่", "นี่คือย่อหน้าแรกของบทความที่ยาวมากซึ่งไม่มีช่องว่างเลยแต่มีตัวอักษรมากมายและยังเขียนต่อไป", "ย่อหน้าที่สองก็ยาวพอๆกันและไม่มีช่องว่างเช่นกันผู้อ่านควรได้อ่านทั้งหมดจนจบ"),
+}
+
+
+def learned(pages):
+    total = he.Counter()
+    for page in pages:
+        total.update(he.count_page(page) or {})
+    return he.weights_of(total)
+
+
+def test_scripts_without_blanks_with_and_without_a_mark(spark):
+    given = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    menus = ("<nav><ul>{}</ul></nav>", "<ul>{}</ul>", "<div class=menu>{}</div>", "<div>{}</div>")
+    links = "".join(f"<li><a href=/{x}>{x}</a>" for x in ("Home", "About us", "News and more", "Shop", "Contact"))
+    for weights in ({}, learned(given)):
+        for title, first, second in LANGUAGES.values():
+            body = f"<h1>{title}</h1><p>{first}</p><p>{second}</p>"
+            for menu in menus:
+                for mark in ("article", "main", "div", "section"):
+                    page = f"<html><body>{menu.format(links)}<{mark}>{body}</{mark}><footer>Seven English words stand in this footer</footer></body></html>"
+                    assert he.extract(page, weights) == f"{title}\n{first}\n{second}", (mark, menu)
+
+
+def test_short_article_beside_a_long_block_and_lists():
+    short, long = "a short article " * 9, "a long block of something else that nobody asked for " * 15
+    for page in (f"<article><p>{short}</p></article><div>{long}</div>", f"<div>{long}</div><article><p>{short}</p></article>"):
+        assert he.extract(page, {}) == short.strip()
+    items = [f"item number {i}" for i in range(30)]
+    page = f"<body><h2>A list</h2><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></body>"
+    assert he.extract(page, {}) == "\n".join(["A list", *items])
+    assert he.extract("<article><h1>T</h1><ul><li>a<li>b</ul><div class=ad>" + "buy " * 200 + "</div><p>end</p></article>", {"li": 50.0, "div": 50.0}) == "T\na\nb\nend"
+
+
+def test_class_names_around_all_of_a_page():
+    text = "words that go on and on for a while " * 4
+    page = f"<div class=widget><div class=modal><p>{text}</p><div class=ads>buy this now</div><p>{text}</p></div></div><p>2020</p>"
+    assert he.extract(page, {}) == f"{text.strip()}\n{text.strip()}"
+    assert he.extract("<div class=ads>buy</div><p>x</p>", {}) == "x"  # nothing longer anywhere: as few names as give any text
+
+
+def test_learned_worth_and_weights_decide(spark):
+    junk = "junk that no list of names knows, and quite a lot of it at that"
+    label = [f"<body><section><i>{junk} {i}</i></section><section><i>{junk}</i></section><article><h1>t {i}</h1><p>text of the page, long enough {i}</p></article></body>" for i in range(30)]
+    weights = learned(label)
+    assert weights[he.TEXT_IN + "i"] < 0 < weights[he.TEXT_IN + "p"] and weights["section"] > weights["p"]
+    page = f"<body><section><i>{junk}</i></section><div><h1>Title</h1><p>The text of it.</p></div><section><i>{junk}</i></section></body>"
+    assert he.extract(page, weights) == "Title\nThe text of it." and junk in he.extract(page, {})
+    # the pages of the tables without any telling name: what is learned finds the content, wherever it stands
+    bare = lambda x: re.sub(r"<(/?)(nav|footer)", r"<\1section", x).replace(' class="ad"', "")
+    given = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    weights = learned(bare(x) for x in given)
+    for page in given:
+        hidden = bare(page).replace("<article>", "<td>").replace("</article>", "</td>")
+        assert he.extract(hidden, weights) == plain(page) != he.extract(hidden, {})
+
+
+def test_the_scan_and_not_the_first_and_last_words_decide(monkeypatch):
+    text = "one two three four five six seven eight nine ten " * 5
+    page = f"<body><div>Some words</div><hr><table><tr><td>of</td><td>a</td><td>header</td></tr></table><div><p>{text}</p><p>{text}</p></div><table><tr><td>and</td><td>so</td><td>on</td></tr></table><div>The end</div></body>"
+    weights = {"td": 8.0, "tr": 8.0, "table": 8.0}
+    row = he.tokens(page)
+    scores = he.token_scores(row, weights, -1, 0)
+    begin, end = he.best_region(scores)
+    sums = {(i, j): sum(scores[i:j]) for i in range(len(row)) for j in range(i + 1, len(row) + 1)}
+    assert sums[begin, end] == max(sums.values())  # all regions of the page
+    mine = he.extract(page, weights)
+    assert mine == f"{text.strip()}\n{text.strip()}"
+    monkeypatch.setattr(he, "best_region", lambda s: (min(i for i, x in enumerate(s) if x > 0), max(i for i, x in enumerate(s) if x > 0) + 1))
+    assert he.extract(page, weights) != mine
+
+
+def test_given_pages_against_all_regions(spark):
+    """The result of the query's operator on whole pages: no region of a page scores more than the one that is taken."""
+    given = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(25).collect()]
+    weights = learned(given)
+    for page in (*given, *(x.replace("<article>", "<div>").replace("</article>", "</div>") for x in given)):
+        row = he.tokens(page)
+        begin, end, _, scores = he.region(row, weights)
+        total = [0.0]
+        for s in scores:
+            total.append(total[-1] + s)
+        best = max(total[j] - total[i] for i in range(len(total)) for j in range(i, len(total)))
+        assert abs(total[end] - total[begin] - best) < 1e-6
+
+
+def test_links_in_a_paragraph_stay():
+    weights = {he.TEXT_IN + "a": -0.9, "a": 5.0}
+    text = "words of a paragraph that is long enough for links in it " * 2
+    assert he.extract(f"<p>{text}<a href=x>a link</a> {text}</p><p><a>only links here</a></p><p>{text}</p>", weights) == f"{text}a link {text.strip()}\n{text.strip()}"
