@@ -5,7 +5,9 @@ All joins are equi-joins on a key; whether a side is broadcast is left to the op
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,11 +73,12 @@ def expand_siblings(touched: DataFrame, versions: DataFrame, computed: DataFrame
 
 
 def needs_backfill(current: DataFrame, versions: DataFrame, columns: list[str]) -> DataFrame:
-    """Groups still present whose stored projection or children are null."""
-    missing: Column = F.lit(False)
-    for c in columns:
-        missing = missing | F.col(c).isNull()
-    return versions.where(missing).join(current.select("version_dir").distinct(), "version_dir", "left_semi").select("version_dir").distinct()
+    """Groups still present whose stored projection or children are null.
+
+    A scan for each column, so that the test for null reaches the files: those whose statistics have no null are not read.
+    """
+    missing = reduce(DataFrame.unionByName, (versions.where(F.col(c).isNull()).select("version_dir") for c in columns))
+    return missing.join(current.select("version_dir").distinct(), "version_dir", "left_semi").distinct()
 
 
 def groups_to_refresh(dirty: DataFrame, current: DataFrame, everything: bool) -> DataFrame:

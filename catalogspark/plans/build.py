@@ -1,8 +1,9 @@
 """The incremental job: scan, find dirty groups, assemble, resolve conflicts, compare, index, commit; and publishing.
 
-What a run reads of contents, assembles and writes follows what has changed: hashes are worked out for new and altered
-files only, a run without dirty groups ends there, and of the state only the buckets of touched groups and packages are
-read in full and rewritten.  The index is built from the projections of all versions.
+What a run reads of contents, assembles and writes follows what has changed: only new and altered files are opened, once,
+for hash and fragment alike, then the other files of the groups that turn out dirty; a run without dirty groups ends
+there, and of the state only the buckets of touched groups and packages are read in full and rewritten.  The index is
+built from the projections of all versions.
 """
 
 from __future__ import annotations
@@ -78,7 +79,11 @@ def _claims(versions: DataFrame) -> DataFrame:
 
 
 def scan_changes(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work: Work) -> dict:
-    """listed (the inventory without hashes), prev, hashed (new and altered files), gone (files that are no more), groups (dirty), chosen (targets or None)."""
+    """What there is to do.
+
+    listed (the inventory without hashes), prev, fragments (of the files that were opened), hashed (new and altered files),
+    gone (files that are no more), groups (dirty), chosen (targets or None).
+    """
     prev = store.read("files", FILES)
     listed = fl.scan_files(spark, cfg.corpus, cfg.glob)
     chosen = None
@@ -90,7 +95,11 @@ def scan_changes(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, wo
             listed = lookup.exclude_targets(listed, chosen)
     same = ["path", "size", "mtime"] if cfg.trust_mtime else ["path"]
     fresh = listed.join(prev.select(*same), same, "left_anti") if cfg.trust_mtime else listed
-    hashed = work.table(diff.fill_hashes(fresh, prev.limit(0), fl.read_contents(spark, cfg.corpus, cfg.glob)).drop("reused"), "files")
+    if chosen is not None:  # other pending changes stay pending, unread
+        fresh = fresh.join(chosen, "version_dir", "left_semi")
+    fresh = work.table(fresh, "fresh")
+    opened = _opened(spark, cfg, fresh, work, "fresh-fragments")
+    hashed = work.table(diff.fill_hashes(fresh, prev.limit(0), opened).drop("reused"), "files")
     gone = prev.join(listed.select("path"), "path", "left_anti")
     before = prev.join(hashed.select("path"), "path", "left_semi").unionByName(gone)
     groups = diff.dirty_groups(hashed, before)
@@ -100,13 +109,20 @@ def scan_changes(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, wo
     groups = diff.groups_to_refresh(groups, listed, cfg.force)
     if chosen is not None:
         groups = groups.join(chosen, "version_dir", "left_semi")
-    return {"listed": listed, "prev": prev, "hashed": hashed, "gone": gone, "groups": work.table(groups, "groups"), "chosen": chosen}
+    return {"listed": listed, "prev": prev, "fragments": opened, "hashed": hashed, "gone": gone, "groups": work.table(groups, "groups"), "chosen": chosen}
+
+
+def _opened(spark: SparkSession, cfg: BuildConfig, files: DataFrame, work: Work, name: str) -> DataFrame:
+    """Fragments of some files, with the hash of their bytes; no other file of the corpus is opened."""
+    made = fl.read_chosen(spark, cfg.corpus, files, lambda contents: fr.parse_fragments(contents, hashes=True), f"{work.root}/{name}")
+    return spark.createDataFrame([], fr.HASHED) if made is None else made
 
 
 def _assembled(spark: SparkSession, cfg: BuildConfig, scan: dict, groups: DataFrame, work: Work, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, violations, fragments) of the files of some groups."""
-    paths = scan["listed"].join(diff.still_present(groups, scan["listed"]), "version_dir", "left_semi").select("path")
-    fragments = work.table(fr.parse_fragments(fl.read_contents(spark, cfg.corpus, cfg.glob).join(paths, "path", "left_semi")), f"{name}-fragments")
+    files = scan["listed"].join(diff.still_present(groups, scan["listed"]), "version_dir", "left_semi").select("path")
+    unread = _opened(spark, cfg, files.join(scan["fragments"].select("path"), "path", "left_anti"), work, f"{name}-opened")
+    fragments = work.table(scan["fragments"].join(files, "path", "left_semi").unionByName(unread).drop("raw_sha256"), f"{name}-fragments")
     broken = work.table(records.check_groups(fragments), f"{name}-violations")
     good = fragments.join(broken.select("version_dir").distinct(), "version_dir", "left_anti")
     return work.table(records.assemble_records(good), f"{name}-records"), broken, fragments
@@ -207,7 +223,7 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
             return summary | {"build": build, "status": "staged_reused"}
         st.write_changes(plan["changes"], f"{store.root}/changes", build)
         st.write_queue(plan["queue"], f"{store.root}/snapshots/{build:08d}/queue", "version_dir", "child_sha")
-        untouched = store.read("versions", VERSIONS).where(~store.bucket("package_id").isin(plan["buckets"]["versions"]))
+        untouched = store.read("versions", VERSIONS, [k for k in range(store.buckets) if k not in plan["buckets"]["versions"]])
         everything = untouched.unionByName(plan["versions"])
         if cfg.index_format:
             tables |= {f"index_{n}": df for n, df in index_tables(everything, cfg.index_format, base=build).items()}

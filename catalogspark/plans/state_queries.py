@@ -59,6 +59,14 @@ def _(spark, d):
     return fl.scan_files(spark, _text_files(d), "part-*").groupBy("version_dir").agg(F.sum("size").alias("bytes"))
 
 
+@on_documents("s3_read_chosen", f"select version_dir, sum(strlen(text) + 1)::bigint bytes, sum(length(text) + 1)::bigint letters from ({TREE}) where version_dir like 'lang=en/%' or version_dir like '%/source=src7' group by 1")
+def _(spark, d):
+    root = _text_files(d)
+    wanted = fl.scan_files(spark, root, "part-*").where("version_dir LIKE 'lang=en/%' OR version_dir LIKE '%/source=src7'")
+    seen = fl.read_chosen(spark, root, wanted, lambda c: c.select("path", F.length("content").alias("bytes"), F.length(F.col("content").cast("string")).alias("letters")), new_path(spark, "chosen"))
+    return seen.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("version_dir")).agg(F.sum("bytes").alias("bytes"), F.sum("letters").alias("letters"))
+
+
 @on_documents("s14_scan_inventory", "select 'source=' || source package_id, count(*) > 0 hashed from documents where text is not null group by 1")
 def _(spark, d):
     seen = fl.scan_inventory(spark, _text_files(d), "part-*")

@@ -1,8 +1,10 @@
-"""File inventories: listing without bytes, and bytes of chosen files."""
+"""File inventories: listing without bytes, and bytes of chosen files only."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +42,38 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*.yaml") -> DataFram
 
 
 def read_contents(spark: SparkSession, root: str, glob: str = "*.yaml") -> DataFrame:
-    """path, content: join it with the paths that are wanted before anything reads the bytes."""
+    """path, content of every file.  A join with wanted paths comes after the bytes are read: ``read_chosen`` reads only those."""
     root = corpus_root(spark, root)
     return _binary(spark, root, glob).select(_relative(root).alias("path"), "content")
 
 
+#: Paths that are read by one scan: their file states are on the driver while it runs.
+BLOCK_PATHS = 50_000
+
+
+def blocks_of_paths(paths: DataFrame, size: int) -> Iterator[list[str]]:
+    """The distinct paths, fetched partition by partition, at most ``size`` of them at a time."""
+    rows = paths.select("path").where("path IS NOT NULL").distinct().toLocalIterator()
+    while block := [r[0] for r in islice(rows, size)]:
+        yield block
+
+
+def read_chosen(spark: SparkSession, root: str, paths: DataFrame, make: Callable[[DataFrame], DataFrame], out: str, block: int = BLOCK_PATHS) -> DataFrame | None:
+    """What ``make`` turns (path, content) of the chosen files into, as a table at ``out``; None without any path.
+
+    Only these files are listed and opened, whatever else lies in the corpus.  They are read a block of paths after
+    another, each an ordinary scan over its own files, so that neither the driver nor a plan ever holds all of them.
+    A path that is null is none; one that is no file fails the read.
+    """
+    root, schema = corpus_root(spark, root), None
+    for chosen in blocks_of_paths(paths, block):
+        files = [f"{root}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", path) for path in chosen]  # names are no patterns
+        rows = make(spark.read.format("binaryFile").load(files).select(_relative(root).alias("path"), "content"))
+        rows.write.mode("append").parquet(out)
+        schema = rows.schema
+    return None if schema is None else spark.read.schema(schema).parquet(out)
+
+
 def scan_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """relpath, package_id (second segment), sha256 of a staged tree."""
     rows = _binary(spark, root.rstrip("/"), glob).select(_relative(root.rstrip("/")).alias("relpath"), F.sha2("content", 256).alias("sha256"))

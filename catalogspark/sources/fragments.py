@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ NOT_IDENTITY = frozenset(("Commands", "Protocols", "FileExtensions"))
 VERSION_NODE = "\0version"
 
 SCHEMA = "version_dir string, path string, file_name string, frag_type string, fields map<string,string>, child_fields map<string,string>, installers array<map<string,string>>, warnings array<string>, error string"
+HASHED = f"{SCHEMA}, raw_sha256 string"
 
 
 def dump(value) -> str:
@@ -108,8 +110,8 @@ def parse(path: str, content: bytes, load) -> dict:
     return row
 
 
-def parse_fragments(contents: DataFrame) -> DataFrame:
-    """(path, content) to fragments."""
+def parse_fragments(contents: DataFrame, hashes: bool = False) -> DataFrame:
+    """(path, content) to fragments; with ``hashes`` also raw_sha256 of the bytes, so that a file is opened once for both."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load = loader()
@@ -119,6 +121,8 @@ def parse_fragments(contents: DataFrame) -> DataFrame:
             for c in ("fields", "child_fields"):
                 out[c] = [None if x is None else dict(x) for x in out[c]]
             out["installers"] = [None if x is None else [dict(m) for m in x] for x in out["installers"]]
+            if hashes:
+                out["raw_sha256"] = [hashlib.sha256(bytes(c)).hexdigest() for c in frame["content"]]
             yield out
 
-    return contents.select("path", "content").mapInPandas(run, SCHEMA)
+    return contents.select("path", "content").mapInPandas(run, HASHED if hashes else SCHEMA)
