@@ -8,7 +8,9 @@ built from the projections of all versions.
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from catalogspark.operators import conflicts, diff, index, inventory, lookup, re
 from catalogspark.sources import files as fl
 from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
+from catalogspark.sources.lease import Mark
+from catalogspark.sources.site import Site
 
 FILES = "path string, version_dir string, size bigint, mtime timestamp, raw_sha256 string"
 SETS = ("tags", "commands", "families", "product_codes", "upgrade_codes", "display_versions", "claimed_versions", "norm_names", "norm_publishers")
@@ -52,10 +56,16 @@ class BuildConfig:
 
 
 class Work:
-    """Tables of one run below the state's work folder: steps that several others read."""
+    """Tables of one run below the state's work folder: steps that several others read.
+
+    A mark of the same name says that the run lives, and which pointer it may be reading.
+    """
 
     def __init__(self, spark: SparkSession, store: st.StateStore):
-        self.spark, self.root = spark, f"{store.root}/work/{uuid.uuid4().hex}"
+        name = uuid.uuid4().hex
+        self.spark, self.root = spark, f"{store.root}/work/{name}"
+        self.mark = Mark(spark, f"{store.root}/readers/{name}", store.lease, str((store.numbers() or [0])[-1]))
+        self.mark.start()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
@@ -64,6 +74,7 @@ class Work:
     def drop(self) -> None:
         fs, path = fl.filesystem(self.spark, self.root)
         fs.delete(path, True)
+        self.mark.stop()
 
 
 def _projected(made: DataFrame) -> DataFrame:
@@ -128,6 +139,13 @@ def _assembled(spark: SparkSession, cfg: BuildConfig, scan: dict, groups: DataFr
     return work.table(records.assemble_records(good), f"{name}-records"), broken, fragments
 
 
+def _packages(versions: DataFrame) -> DataFrame:
+    """Rows of the packages table for all versions of some packages."""
+    data = rollup.version_data(versions).select("package_id", F.sha2(F.to_json("versions"), 256).alias("sha256"))
+    rows = rollup.package_hash(versions).join(rollup.version_counts(versions), "package_id").join(data, "package_id")
+    return rows.withColumn("relpath", nz.sidecar_relpath(F.col("package_id"), F.col("package_sha"))).select(*[f.split()[0] for f in PACKAGES.split(", ")])
+
+
 def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work: Work, scan: dict) -> dict:
     """The touched part of every state table, the changes and the queue; the state is not touched."""
     groups = scan["groups"]
@@ -167,9 +185,7 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
     kept_files = store.read("files", FILES, buckets["files"]).join(hashed.select("path").union(gone.select("path")), "path", "left_anti")
     files = kept_files.unionByName(hashed.select(*kept_files.columns))
     queue = diff.validation_queue(changes, kids, prev_children)
-    data = rollup.version_data(versions).select("package_id", F.sha2(F.to_json("versions"), 256).alias("sha256"))
-    packages = rollup.package_hash(versions).join(rollup.version_counts(versions), "package_id").join(data, "package_id").withColumn("relpath", nz.sidecar_relpath(F.col("package_id"), F.col("package_sha")))
-    return {"files": files, "versions": versions, "children": kids, "packages": packages.select(*[f.split()[0] for f in PACKAGES.split(", ")]), "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets}
+    return {"files": files, "versions": versions, "children": kids, "packages": _packages(versions), "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets}
 
 
 def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0) -> index.Tables:
@@ -258,17 +274,23 @@ def _bodies(versions: DataFrame, packages: DataFrame, touched: DataFrame | None
     return only(versions.select("relpath", F.col("record").alias("body"))).unionByName(side.join(data, "package_id").select("relpath", "body")).unionByName(only(_catalogue(packages)))
 
 
-def published_files(spark: SparkSession, target: str) -> DataFrame:
+def _begins(store: st.StateStore, site: Site) -> dict | None:
+    """What the site holds: by its pointer, or by the state if a publishing died after its commit and before it has pointed."""
+    now, told = site.pointer(), store.get_meta("site")
+    if now and told and told["target"] == site.target and told["after"] == now["number"]:
+        return told
+    return now
+
+
+def published_files(spark: SparkSession, target: str, begins: dict | None = None) -> DataFrame:
     """relpath, sha256 of the bodies that are really there."""
-    fs, path = fl.filesystem(spark, target)
-    if not fs.exists(path) or not list(fs.listStatus(path)):
-        return spark.createDataFrame([], "relpath string, sha256 string")
-    return spark.read.parquet(target).select("relpath", F.sha2("body", 256).alias("sha256"))
+    return Site(spark, target).rows(begins and begins["begins"]).select("relpath", F.sha2("body", 256).alias("sha256"))
 
 
 def verify_published(spark: SparkSession, cfg: BuildConfig, target: str) -> DataFrame:
     """relpath, drift_kind: published files that are missing, changed or not tracked."""
-    return inventory.drift(st.StateStore(spark, cfg.state, cfg.buckets).read("published", PUBLISHED), published_files(spark, target))
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
+    return inventory.drift(store.read("published", PUBLISHED), published_files(spark, target, _begins(store, Site(spark, target))))
 
 
 def plan_publish(spark: SparkSession, cfg: BuildConfig, build_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -281,39 +303,58 @@ def plan_publish(spark: SparkSession, cfg: BuildConfig, build_id: int | None = N
     return wanted, inventory.plan_publish(wanted, store.read("published", PUBLISHED)), versions, packages
 
 
-def publish(spark: SparkSession, cfg: BuildConfig, target: str, force: bool = False, dry_run: bool = False, build_id: int | None = None) -> dict:
+def _finish(store: st.StateStore, site: Site) -> None:
+    """Complete a publishing that died after its commit: point to what it has committed."""
+    told = _begins(store, site)
+    if told and "after" in told:
+        site.point(told["name"], told["begins"], told["after"])
+
+
+def publish(
+    spark: SparkSession, cfg: BuildConfig, target: str, force: bool = False, dry_run: bool = False, build_id: int | None = None, on_step: Callable[[str], None] = lambda step: None
+) -> dict:
     """Publish a build's records and sidecars at ``target`` (a table in buckets), unless what is there drifted from what is tracked.
 
-    Only buckets with files to copy or delete are written again.
+    Only buckets with files to copy or delete are written again.  Files are added beside the old ones, the state commits
+    what is tracked and where it is, the site's pointer follows, and the old files go last: whenever this dies, readers of
+    the site see the old one or the new one, nothing has drifted, and the next publishing completes or clears what is left.
+    ``on_step`` is called after each step.
     """
-    store = st.StateStore(spark, cfg.state, cfg.buckets)
+    store, site = st.StateStore(spark, cfg.state, cfg.buckets), Site(spark, target)
     off = verify_published(spark, cfg, target).groupBy("drift_kind").count().collect()
     if off and not force:
         raise ValueError("published files drifted: " + ", ".join(f"{r['count']} {r.drift_kind}" for r in off))
     wanted, actions, versions, packages = plan_publish(spark, cfg, build_id)
     if off:  # whatever is there, all files are written again
         actions = wanted.select("relpath", F.lit("copy").alias("action")).unionByName(actions.where("action = 'delete'"))
-    work = Work(spark, store)
     counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
     if dry_run:
         return counts | {"status": "dry-run"}
     build = store.begin()
+    work = Work(spark, store)
     try:
+        _finish(store, site)
+        held = site.adopt()
+        site.sweep()
+        on_step("began")
         actions = work.table(actions, "actions")
         buckets = store.buckets_of(actions, "relpath")
-        fs, path = fl.filesystem(spark, target)
-        if off:
-            fs.delete(path, True)
         bodies = _bodies(versions, packages, actions.where("action = 'copy'"))
         rows = bodies.join(wanted.select("relpath", "kind"), "relpath").select("relpath", "kind", "body")
-        if fs.exists(path) and list(fs.listStatus(path)):
-            there = spark.read.parquet(target).where(F.col("bucket").isin(buckets)).select("relpath", "kind", "body")
+        if not off:
+            there = site.rows(held["begins"]).where(F.col("bucket").isin(buckets)).select("relpath", "kind", "body")
             rows = rows.unionByName(there.join(actions.select("relpath"), "relpath", "left_anti"))
-        ready = work.table(rows.withColumn("bucket", store.bucket("relpath")), "published")
-        for k in buckets:  # at most as many as there are buckets
-            fs.delete(fl.filesystem(spark, f"{target}/bucket={k}")[1], True)
-        ready.hint("rebalance", "bucket").write.partitionBy("bucket").mode("append").parquet(target)
-        store.commit({"published": wanted}, "published", {"published": buckets}, published=build if build_id is None else build_id)
+        name = f"site-{build:08d}-{uuid.uuid4().hex[:8]}"
+        added = site.add(rows.withColumn("bucket", store.bucket("relpath")), name, on_step)
+        begins = ({} if off else {k: b for k, b in held["begins"].items() if int(k) not in buckets}) | added
+        on_step("moved")
+        told = {"target": site.target, "name": name, "begins": begins, "after": held["number"]}
+        store.commit({"published": wanted}, "published", {"published": buckets}, published=build if build_id is None else build_id, site=told)
+        on_step("committed")
+        site.point(name, begins, held["number"])
+        on_step("pointed")
+        site.sweep()
+        on_step("swept")
         return counts | {"status": "published"}
     except Exception as e:
         store.fail(str(e))
@@ -331,3 +372,13 @@ def clear_published(spark: SparkSession, cfg: BuildConfig) -> None:
     except Exception as e:
         store.fail(str(e))
         raise
+
+
+def clean(spark: SparkSession, cfg: BuildConfig, keep_last: int, older_than: str | None = None, dry_run: bool = False) -> dict:
+    """Forget all but the newest builds (with ``older_than``, as ``30d``, only those that ended before), free what only they needed.
+
+    The current and the published build stay whatever their age.
+    """
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
+    cutoff = None if older_than is None else lookup.age_cutoff(int(time.time()), older_than)
+    return store.prune(lookup.prune_builds(store.builds(), keep_last, cutoff), dry_run)

@@ -7,14 +7,16 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.operators import records
+from catalogspark.operators import lookup, records
 from catalogspark.plans import build as bd
 from catalogspark.plans.fixtures import duck, view
 from catalogspark.plans.queries import CANONICAL, DIFF, ORACLE, QUERIES, QUEUE, _diff, _queue, child_sql, fragments, query, record_sql, rules_sql
 from catalogspark.sources import files as fl
 from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
+from catalogspark.sources.lease import Fenced
 from catalogspark.sources.scratch import new_path
+from catalogspark.sources.site import Site
 
 
 def _root(df: DataFrame, label: str) -> str:
@@ -67,10 +69,13 @@ def _(spark, d):
     return seen.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("version_dir")).agg(F.sum("bytes").alias("bytes"), F.sum("letters").alias("letters"))
 
 
-@on_documents("s14_scan_inventory", "select 'source=' || source package_id, count(*) > 0 hashed from documents where text is not null group by 1")
+@on_documents("s14_scan_inventory", "select 'source=' || source package_id, sha256(string_agg(text, chr(10) order by doc_id) || chr(10)) sha256 from documents where text is not null and source is not null group by lang, source")
 def _(spark, d):
-    seen = fl.scan_inventory(spark, _text_files(d), "part-*")
-    return seen.groupBy("package_id").agg((F.count_distinct("sha256") > 0).alias("hashed"))
+    """One file for each language and source, its texts in order of their ids: the hashes of its bytes are compared."""
+    root = _root(d, "inventory")
+    rows = d.where("text IS NOT NULL AND source IS NOT NULL").repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    rows.select("lang", "source", "text").write.partitionBy("lang", "source").option("lineSep", "\n").text(root)
+    return fl.scan_inventory(spark, root, "part-*").select("package_id", "sha256")
 
 
 def _store(df: DataFrame) -> st.StateStore:
@@ -102,6 +107,43 @@ def _(n, o):
     return store.read("versions", STATE)
 
 
+@query("s5_fenced_writer", "ver_now ver_prev", "select version_dir, package_id, package_version, channel, content_sha from ver_now")
+def _(n, o):
+    """A writer that lost its lock commits last: what the one that took over has committed stays."""
+    first = _store(n)
+    first.begin()
+    second = st.StateStore(n.sparkSession, first.root, buckets=8, lease=-1)
+    second.begin()
+    second.commit({"versions": n})
+    try:
+        first.commit({"versions": o})
+    except Fenced:
+        pass
+    return second.read("versions", STATE)
+
+
+@query(
+    "w6_clean", "ver_now ver_prev",
+    "select 2::bigint builds, 2::bigint was, (select count(*) from ver_now where package_id like '%3') + (select count(*) from ver_prev where package_id not like '%3') \"rows\", (select count(distinct package_id) from (select package_id from ver_now where package_id like '%3' union all select package_id from ver_prev where package_id not like '%3')) packages",
+)
+def _(n, o):
+    """Three builds, of which the first is forgotten but for the buckets that the last one still names."""
+    store = _store(n)
+    store.begin()
+    store.commit({"versions": o})
+    hot = [n.where("package_id LIKE '%3'"), o.where("package_id LIKE '%3'")]
+    buckets = store.buckets_of(hot[0].select("package_id").union(hot[1].select("package_id")), "package_id")
+    for _ in range(2):
+        kept = store.read("versions", STATE, buckets).where("package_id NOT LIKE '%3'")
+        store.begin()
+        store.commit({"versions": kept.unionByName(hot[0].select(*kept.columns))}, touched={"versions": buckets})
+    gone = store.prune(lookup.prune_builds(store.builds(), 2))
+    left = store.builds().count()
+    store.prune(lookup.prune_builds(store.builds(), 1))
+    rows = store.read("versions", STATE)
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("package_id").alias("packages")).withColumns({"builds": F.lit(left).cast("long"), "was": F.lit(left + gone["builds"] - 1).cast("long")})
+
+
 @query("s16_schema_evolution", "ver_now", "select version_dir, channel, null::varchar later from ver_now")
 def _(v):
     store = _store(v)
@@ -166,14 +208,28 @@ def _history(spark: SparkSession, sf_dir: str) -> dict:
     out["b5"], out["b1"] = bd.pending_diff(spark, cfg), bd.incremental_build(spark, cfg)
     out["versions"] = store().current()["tables"]
     out["b2"] = bd.incremental_build(spark, cfg)
+    out["reused"] = store().current()["tables"]
     out["b4"] = bd.apply_targets(spark, cfg, {"packages": ["V.7", "V.8"]}, remove=True)
     out["b6"] = bd.publish(spark, cfg, f"{root}/site", build_id=out["b1"]["build"])
     out["tracked"] = store().read("published", bd.PUBLISHED).groupBy("kind").count().collect()
     out["drift"] = bd.verify_published(spark, cfg, f"{root}/site").count()
     bd.clear_published(spark, cfg)
     out["b8"] = store().read("published", bd.PUBLISHED).count()
+    out["untracked"] = bd.verify_published(spark, cfg, f"{root}/site").groupBy("drift_kind").count().collect()
     out["builds"] = store().builds().collect()
-    out["rows"] = {n: store().read("versions", bd.VERSIONS, tables=out["versions"]) for n in ("final",)}
+
+    def dies(step: str) -> None:
+        if step == "moved":
+            raise InterruptedError(step)
+
+    kinds = lambda: [tuple(r) for r in Site(spark, f"{root}/site").rows().groupBy("kind").count().collect()]
+    try:
+        bd.publish(spark, cfg, f"{root}/site", force=True, on_step=dies)
+    except InterruptedError:
+        out["after_failure"] = [("failed", *r) for r in kinds()]
+    bd.publish(spark, cfg, f"{root}/site", force=True)
+    out["after_failure"] += [("published", *r) for r in kinds()]
+    out["rows"] = {n: store().read("versions", bd.VERSIONS, tables=out[t]) for n, t in (("final", "versions"), ("reused", "reused"))}
     return out
 
 
@@ -205,9 +261,19 @@ job("b3_full_rebuild", f"""select (select count(*) from {_good(BEFORE)}) added,
 job("b5_pending_diff", COUNTS)(lambda s, h: _counts(s, h["b5"]))
 job("b1_incremental_build", f"select version_dir, package_id, package_version, sha256(record) content_sha, source_file_count from {_good(AFTER)}")(lambda s, h: h["rows"]["final"].select("version_dir", "package_id", "package_version", "content_sha", "source_file_count"))
 job("b1_incremental_counts", COUNTS)(lambda s, h: _counts(s, h["b1"]))
-job("b2_no_change", "select 'staged_reused' status, 0::bigint changes from frag_files limit 1")(lambda s, h: s.createDataFrame([(h["b2"]["status"], h["b2"]["added"] + h["b2"]["updated"] + h["b2"]["removed"])], "status string, changes long"))
+job("b2_no_change", f"select 'staged_reused' status, 0::bigint changes, count(*) versions from {_good(AFTER)}")(
+    lambda s, h: h["rows"]["reused"].groupBy().agg(F.count(F.lit(1)).alias("versions")).select(F.lit(h["b2"]["status"]).alias("status"), F.lit(h["b2"]["added"] + h["b2"]["updated"] + h["b2"]["removed"]).cast("long").alias("changes"), "versions")
+)
 job("b4_remove_targets", f"select count(*) removed from {_good(AFTER)} where package_id in ('V.7', 'V.8')")(lambda s, h: s.createDataFrame([(h["b4"]["removed"],)], "removed long"))
 job("b6_publish", f"select 'manifest' kind, count(*) files from {_good(AFTER)} union all select 'package', count(distinct package_id) from {_good(AFTER)} union all select 'catalog', 1")(lambda s, h: s.createDataFrame([tuple(r) for r in h["tracked"]], "kind string, files long"))
 job("b6_publish_plan", f"select (select count(*) from {_good(AFTER)}) + (select count(distinct package_id) from {_good(AFTER)}) + 1 copied, 0::bigint drifted")(lambda s, h: s.createDataFrame([(h["b6"]["copy"], h["drift"])], "copied long, drifted long"))
-job("b8_clear_published", "select 0::bigint tracked from frag_files limit 1")(lambda s, h: s.createDataFrame([(h["b8"],)], "tracked long"))
+_FILES = "(select count(*) from {0}) + (select count(distinct package_id) from {0}) + 1"
+job("b8_clear_published", f"select 0::bigint tracked, 'extra' drift_kind, {_FILES.format(_good(AFTER))} files")(
+    lambda s, h: s.createDataFrame([(h["b8"], *r) for r in h["untracked"]], "tracked long, drift_kind string, files long")
+)
+_LEFT = f"(select * from {_good(AFTER)} where package_id not in ('V.7', 'V.8'))"
+_KINDS = "select '{0}' moment, 'manifest' kind, count(*) files from {1} union all select '{0}', 'package', count(distinct package_id) from {1} union all select '{0}', 'catalog', 1"
+job("b6_publish_after_failure", f"{_KINDS.format('failed', _good(AFTER))} union all {_KINDS.format('published', _LEFT)}")(
+    lambda s, h: s.createDataFrame(h["after_failure"], "moment string, kind string, files long")
+)
 job("s6_build_log", "select unnest([1, 2, 3, 4, 5, 6]) build_id, unnest(['staged', 'staged', 'staged_reused', 'staged', 'published', 'published']) status from (select 1 from frag_files limit 1)")(lambda s, h: s.createDataFrame([(r.build_id, r.status) for r in h["builds"]], "build_id int, status string"))

@@ -2,9 +2,16 @@
 
 A table's rows are dealt to buckets by the hash of a key; a commit writes only the buckets that a run has touched into
 the build's own folder, checks their keys, and then creates the next pointer by renaming a finished file.  A pointer
-names the folder of every bucket, so readers see the old state or the new one, and older builds stay readable.  A lock
-file, created only if absent, refuses a second writer; one older than ``lease`` seconds is taken over, and the build
-that left it is logged as failed.
+names the folder of every bucket, so readers see the old state or the new one, and older builds stay readable.
+
+Writers are fenced.  A lock file with a token, renewed while its holder lives, refuses a second writer; one that has not
+been renewed for ``lease`` seconds is taken over, and the build that left it is logged as failed.  Every pointer carries
+the number after the last one that its writer has created or found when it began: whoever was taken over finds that
+number used, and what it has written, into the folder of its own build, never becomes current.
+
+The log of builds is what the pointers say of them, each of the build that has made it (and of one that it took over
+from); the latest says how a build ended.  ``prune`` deletes pointers of old builds and then every folder that no
+remaining pointer names, but for those that a living reader may still need.
 """
 
 from __future__ import annotations
@@ -12,51 +19,56 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from catalogspark.sources.files import filesystem
+from catalogspark.sources.lease import Fenced, Lease, Mark, age, delete, read_text, write_text
 
 KEYS = {"files": ["path"], "versions": ["version_dir"], "children": ["version_dir", "child_sha"], "packages": ["package_id"], "published": ["relpath"]}
 BUCKET_BY = {"files": "version_dir", "versions": "package_id", "children": "version_dir", "packages": "package_id", "published": "relpath"}
 
 
+EVENT = "struct<build_id: long, started: long, finished: long, status: string, error: string>"
+STAGED = ("staged", "staged_reused", "published")
+
+
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, lease: int = 86_400):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, lease: float = 86_400):
         self.spark, self.root, self.lease = spark, root.rstrip("/"), lease
-        fs, target = filesystem(spark, f"{self.root}/pointers")
-        fs.mkdirs(target)
+        for folder in ("pointers", "readers"):
+            fs, target = filesystem(spark, f"{self.root}/{folder}")
+            fs.mkdirs(target)
         self.buckets = self.current().get("buckets", buckets)
+        self._lock: Lease | None = None
+        self._number = 0  # of the last pointer that this writer knows of
+        self._event: dict = {}
 
-    def _put(self, path: str, body: dict) -> None:
-        fs, target = filesystem(self.spark, path)
-        _, temp = filesystem(self.spark, f"{self.root}/.{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
-        if fs.exists(target) or not fs.rename(temp, target):
-            raise RuntimeError(f"{path} exists already")
+    def numbers(self) -> list[int]:
+        fs, target = filesystem(self.spark, f"{self.root}/pointers")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(target) if s.getPath().getName().isdigit())
 
-    def _text(self, path: str) -> dict:
-        return json.loads(self.spark.read.option("wholetext", "true").text(path).first()[0])
+    def pointer(self, number: int) -> dict:
+        return json.loads(read_text(self.spark, self._pointer_path(number)))
 
-    def _names(self) -> list[str]:
-        fs, target = filesystem(self.spark, f"{self.root}/pointers")
-        return sorted(s.getPath().getName() for s in fs.listStatus(target))
+    def _pointer_path(self, number: int) -> str:
+        return f"{self.root}/pointers/{number:012d}"
 
     def current(self) -> dict:
-        """The current pointer: build, status, tables, meta."""
-        names = self._names()
-        return self._text(f"{self.root}/pointers/{names[-1]}") if names else {"build": 0, "tables": {}, "meta": {}, "builds": []}
+        """The current pointer: build, status, tables, meta, and what it says of builds."""
+        numbers = self.numbers()
+        return self.pointer(numbers[-1]) if numbers else {"build": 0, "status": None, "tables": {}, "meta": {}, "events": []}
 
     def tables_of(self, build: int) -> dict:
         """The tables as the build left them."""
-        for name in reversed(self._names()):
-            pointer = self._text(f"{self.root}/pointers/{name}")
+        for number in reversed(self.numbers()):
+            pointer = self.pointer(number)
             if pointer["build"] == build:
-                if pointer["builds"][-1]["status"] not in ("staged", "staged_reused", "published"):
+                if pointer["status"] not in STAGED:
                     break
                 return pointer["tables"]
         raise ValueError(f"build {build} was never staged")
@@ -78,50 +90,93 @@ class StateStore:
         have = self.spark.read.option("mergeSchema", "true").parquet(*paths)
         return have.select(*(F.col(f.name).cast(f.dataType) if f.name in have.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
+    def _put(self, number: int, body: dict) -> None:
+        """Create a pointer under its number, which nobody may have used."""
+        body = body | {"number": number, "token": uuid.uuid4().hex}
+        path = self._pointer_path(number)
+        temp = f"{self.root}/pointers/.{body['token']}"
+        write_text(self.spark, temp, json.dumps(body))
+        fs, target = filesystem(self.spark, path)
+        if fs.exists(target) or not fs.rename(filesystem(self.spark, temp)[1], target) or self.pointer(number)["token"] != body["token"]:
+            delete(self.spark, temp)
+            raise Fenced(f"{path} exists already: another writer has taken over")
+
     def _move(self, **changes) -> dict:
-        body = self.current() | {"buckets": self.buckets} | changes
-        names = self._names()
-        self._put(f"{self.root}/pointers/{int(names[-1]) + 1 if names else 1:012d}", body)
+        """The next pointer: the current one with changes."""
+        numbers = self.numbers()
+        last = numbers[-1] if numbers else 0
+        if self._lock and (last != self._number or not self._lock.held()):
+            raise Fenced(f"{self.root}: another writer has taken over")
+        body = self.current() | {"buckets": self.buckets, "events": []} | changes
+        self._put(last + 1, body)
+        self._number = last + 1
         return body
 
-    def _lock(self) -> None:
-        fs, target = filesystem(self.spark, f"{self.root}/lock")
-        if fs.exists(target) and time.time() - fs.getFileStatus(target).getModificationTime() / 1000 > self.lease:
-            fs.delete(target, False)
+    @contextmanager
+    def locked(self) -> Iterator[None]:
+        """Hold the lock without a build: for work on the state itself."""
+        lock = Lease(self.spark, f"{self.root}/lock", self.lease)
+        lock.start()
         try:
-            fs.create(target, False).close()
-        except Exception as e:
-            raise RuntimeError(f"{self.root} is locked by another writer") from e
+            yield
+        finally:
+            lock.stop()
 
     def begin(self) -> int:
         """Take the lock and log a running build."""
-        self._lock()
-        now = self.current()
-        past = [b | {"status": "failed", "finished": int(time.time()), "error": "abandoned"} if b["status"] == "running" else b for b in now["builds"]]
-        build = now["build"] + 1
-        self._move(build=build, builds=[*past, {"build_id": build, "started": int(time.time()), "finished": None, "status": "running", "error": None}])
-        return build
+        lock = Lease(self.spark, f"{self.root}/lock", self.lease)
+        lock.start()
+        try:
+            numbers, now = self.numbers(), self.current()
+            self._lock, self._number = lock, numbers[-1] if numbers else 0
+            left = [e | {"status": "failed", "finished": int(time.time()), "error": "abandoned"} for e in now["events"] if e["status"] == "running"]
+            self._event = {"build_id": now["build"] + 1, "started": int(time.time()), "finished": None, "status": "running", "error": None}
+            self._move(build=now["build"] + 1, status="running", events=[*left, self._event])
+        except BaseException:
+            self._release()
+            raise
+        return self._event["build_id"]
+
+    def _release(self) -> None:
+        lock, self._lock = self._lock, None
+        if lock:
+            lock.stop()
 
     def close(self, status: str, error: str | None = None, **changes) -> None:
         """Log how the build ended, release the lock."""
-        builds = self.current()["builds"]
-        builds[-1] |= {"finished": int(time.time()), "status": status, "error": error}
-        self._move(builds=builds, **changes)
-        fs, target = filesystem(self.spark, f"{self.root}/lock")
-        fs.delete(target, False)
+        self._event = self._event | {"finished": int(time.time()), "status": status, "error": error}
+        try:
+            self._move(status=status, events=[self._event], **changes)
+        finally:
+            self._release()
 
     def fail(self, error: str) -> None:
-        """Log the running build as failed, release the lock."""
-        if self.current()["builds"][-1]["status"] == "running":
-            self.close("failed", error[:2000])
+        """Log the running build as failed, release the lock; a build that was taken over is logged already."""
+        if self._lock:
+            try:
+                self.close("failed", error[:2000])
+            except Fenced:
+                pass
+
+    @contextmanager
+    def reading(self) -> Iterator[dict]:
+        """The current pointer, whose folders ``prune`` leaves alone while the reader lives."""
+        mark = Mark(self.spark, f"{self.root}/readers/{uuid.uuid4().hex}", self.lease, str((self.numbers() or [0])[-1]))
+        mark.start()
+        try:
+            yield self.pointer(int(mark.text)) if mark.text != "0" else self.current()
+        finally:
+            mark.stop()
 
     def commit(self, tables: dict[str, DataFrame], status: str = "staged", touched: dict[str, list[int]] | None = None, **meta) -> None:
         """Write the tables, or the touched buckets of them, check their keys, point to them."""
-        now = self.current()
+        if not self._lock:
+            raise RuntimeError("a commit belongs to a build: begin() first")
+        now, build = self.current(), self._event["build_id"]  # of this writer, whatever has become current meanwhile
         held = {n: dict(t) for n, t in now["tables"].items()}
         for name, df in tables.items():
             only = (touched or {}).get(name)
-            path = f"{self.root}/snapshots/{now['build']:08d}/{name}"
+            path = f"{self.root}/snapshots/{build:08d}/{name}"
             by = BUCKET_BY.get(name)
             rows = df.withColumn("bucket", self.bucket(by) if by else F.lit(0))
             if only is not None:
@@ -141,10 +196,84 @@ class StateStore:
     def get_meta(self, key: str, default=None):
         return self.current()["meta"].get(key, default)
 
+    def events(self) -> DataFrame:
+        """number of the pointer, and what it says of builds."""
+        if not self.numbers():
+            return self.spark.createDataFrame([], f"number long, event {EVENT}")
+        rows = self.spark.read.schema(f"number long, events array<{EVENT}>").json(f"{self.root}/pointers")
+        return rows.select("number", F.explode("events").alias("event"))
+
     def builds(self) -> DataFrame:
-        """The log: bounded by the number of builds."""
-        rows = [(b["build_id"], b["started"], b["finished"], b["status"], b["error"]) for b in self.current()["builds"]]
-        return self.spark.createDataFrame(rows, "build_id long, started long, finished long, status string, error string")
+        """The log: of every build what the latest pointer says."""
+        last = self.events().groupBy("event.build_id").agg(F.max_by("event", "number").alias("event"))
+        return last.select("event.build_id", "event.started", "event.finished", "event.status", "event.error")
+
+    # -- deleting what no build needs ----------------------------------------------------------------------------------
+
+    def living_readers(self) -> dict[str, int]:
+        """Marks of readers that live, and the pointer that each reads; marks of dead ones are deleted."""
+        fs, target = filesystem(self.spark, f"{self.root}/readers")
+        out = {}
+        for s in fs.listStatus(target):
+            name = s.getPath().getName()
+            path = f"{self.root}/readers/{name}"
+            if name.startswith("."):
+                continue
+            if age(self.spark, path) > max(0, self.lease):
+                delete(self.spark, path)
+            else:
+                out[name] = int(read_text(self.spark, path))
+        return out
+
+    def _folders(self, path: str) -> list[str]:
+        fs, target = filesystem(self.spark, path)
+        return sorted(f"{path}/{s.getPath().getName()}" for s in fs.listStatus(target) if s.isDirectory()) if fs.exists(target) else []
+
+    def _size(self, path: str) -> int:
+        fs, target = filesystem(self.spark, path)
+        return fs.getContentSummary(target).getLength()
+
+    def prune(self, old: DataFrame, dry_run: bool = False) -> dict:
+        """Forget some builds (build_id) and delete every folder that nothing needs any more; returns counts and bytes.
+
+        The current pointer and those that living readers hold stay, and with them all folders that they name; so do the
+        pointers that tell how the other builds ended, which keep their folders too.  Pointers go first: if the job dies
+        between, the next one finds folders without a pointer and deletes them.
+        """
+        with self.locked():
+            read = self.living_readers()
+            numbers = self.numbers()
+            events = self.events()
+            gone = old.select("build_id").distinct()
+            told = events.select("number", "event.build_id").join(gone, "build_id", "left_anti").groupBy("build_id").agg(F.max("number").alias("number"))
+            keep = {r["number"] for r in told.select("number").collect()} | set(read.values()) | set(numbers[-1:])
+            keep &= set(numbers)
+            published = self.current()["meta"].get("published") if numbers else None
+            named, staying = set(), set()
+            for number in sorted(keep):
+                pointer = self.pointer(number)
+                staying |= {pointer["build"], published}
+                named |= {path for table in pointer["tables"].values() for path in table.values()}
+            forgotten = {r["build_id"] for r in gone.collect()} - staying
+            doomed = [f"{self.root}/changes/build_id={b}" for b in sorted(forgotten)]
+            doomed += [f for f in self._folders(f"{self.root}/work") if f.rpartition("/")[2] not in read]
+            for build in self._folders(f"{self.root}/snapshots"):
+                number, parts = int(build.rpartition("/")[2]), []
+                for table in self._folders(build):
+                    buckets = self._folders(table)
+                    free = [x for x in buckets if x not in named] if buckets else [table] if number not in staying else []
+                    parts += [table] if free and len(free) == len(buckets) else free
+                doomed += [build] if parts and set(parts) == set(self._folders(build)) else parts
+            fs, _ = filesystem(self.spark, self.root)
+            doomed = [x for x in doomed if fs.exists(filesystem(self.spark, x)[1])]
+            out = {"builds": len(forgotten), "pointers": len(numbers) - len(keep), "folders": len(doomed), "bytes": sum(map(self._size, doomed))}
+            if not dry_run:
+                for number in numbers:
+                    if number not in keep:
+                        delete(self.spark, self._pointer_path(number))
+                for path in doomed:
+                    delete(self.spark, path)
+            return out
 
 
 def write_changes(changes: DataFrame, path: str, build_id: int) -> None:
