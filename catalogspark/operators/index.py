@@ -73,6 +73,36 @@ def index_lookup(words: DataFrame, bridge: DataFrame, value: str, owner: str) ->
     return bridge.join(words, "id").select(value, owner)
 
 
+def counted(words: DataFrame, bridge: DataFrame) -> DataFrame:
+    """value, id, n: a dictionary with the number of owners of each value, by which it is kept up to date."""
+    return words.join(bridge.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id").select("value", "id", "n")
+
+
+def changed_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """package, value, sign: pairs that some owners have gained (1) or lost (-1); a pair that is given twice counts once."""
+    both = before.select("package", "value").distinct().withColumn("s", F.lit(-1)).unionByName(after.select("package", "value").distinct().withColumn("s", F.lit(1)))
+    return both.where("package IS NOT NULL AND value IS NOT NULL").groupBy("package", "value").agg(F.sum("s").cast("int").alias("sign")).where("sign <> 0")
+
+
+def update_words(words: DataFrame, changes: DataFrame, first: int) -> dict[str, DataFrame]:
+    """What the pairs that were gained and lost change of a dictionary (value, id, n) and of its bridge (package, id).
+
+    Ids stay; new values get ids from ``first`` on, in order; a value goes when its last owner goes, and its id is not given
+    again.  words, words_gone, bridge, bridge_gone, fresh (the new values).  Null owners and values are no pairs.
+    """
+    by_value = changes.groupBy("value").agg(F.sum("sign").alias("d"))
+    known = words.select("value", "id", "n").join(by_value, "value")
+    fresh = dictionary(by_value.join(known.select("value"), "value", "left_anti"), "value").withColumn("id", F.col("id") + F.lit(first - 1))
+    fresh = fresh.join(by_value, "value").select("value", "id", F.col("d").alias("n"))
+    moved = known.where("d <> 0").select("value", "id", (F.col("n") + F.col("d")).alias("n"))
+    ids = known.select("value", "id").unionByName(fresh.select("value", "id"))
+    pairs = changes.join(ids, "value")
+    return {
+        "words": moved.where("n > 0").unionByName(fresh), "words_gone": moved.where("n <= 0"),
+        "bridge": pairs.where("sign > 0").select("package", "id"), "bridge_gone": pairs.where("sign < 0").select("package", "id"), "fresh": fresh,
+    }
+
+
 #: Tables of the two index formats (fixed values): dictionary and bridge, dictionary alone, values with their owners.
 V2_MAPPED, V2_DIRECT = ("tags", "commands"), ("pfns", "productcodes", "upgradecodes", "norm_names", "norm_publishers")
 V1_SCALARS = ("ids", "names", "monikers", "versions", "channels")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogspark.functions.version import reverse_key, version_key
+from catalogspark.functions.version import version_key
 
 
 def version_counts(versions: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def rank_versions(versions: DataFrame) -> DataFrame:
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
-    """The first version of each package in that order, by one aggregation with partial results."""
-    rest = [c for c in versions.columns if c != "package_id"]
-    keyed = versions.withColumn("_key", reverse_key(version_key(F.col("package_version"))))
-    return keyed.groupBy("package_id").agg(F.min_by(F.struct(*rest), F.struct("channel", "_key", "version_dir")).alias("r")).select("package_id", *[f"r.{c}" for c in rest])
+    """The first version of each package in that order; Spark drops all but the first of every task before the shuffle."""
+    keyed = versions.withColumn("_key", version_key(F.col("package_version")))
+    first = F.row_number().over(Window.partitionBy("package_id").orderBy(*_order()))
+    return keyed.withColumn("_nth", first).where("_nth = 1").select("package_id", *[c for c in versions.columns if c != "package_id"])
 
 
 def union_sets(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 What a run reads of contents, assembles and writes follows what has changed: only new and altered files are opened, once,
 for hash and fragment alike, then the other files of the groups that turn out dirty; a run without dirty groups ends
-there, and of the state only the buckets of touched groups and packages are read in full and rewritten.  The index is
-built from the projections of all versions.
+there, and of the state only the buckets of touched groups and packages are read in full and rewritten.  The index by
+packages is kept up to date by segments with the rows that the touched packages change; the index by versions is built
+from the projections of all versions.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
     kept_files = store.read("files", FILES, buckets["files"]).join(hashed.select("path").union(gone.select("path")), "path", "left_anti")
     files = kept_files.unionByName(hashed.select(*kept_files.columns))
     queue = diff.validation_queue(changes, kids, prev_children)
-    return {"files": files, "versions": versions, "children": kids, "packages": _packages(versions), "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets}
+    return {"files": files, "versions": versions, "children": kids, "packages": _packages(versions), "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets, "touched": touched}
 
 
 def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0) -> index.Tables:
@@ -198,6 +199,49 @@ def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0)
     return index.build_index_v2(named, {t: versions.select("package_id", F.explode(c).alias("value")) for t, c in V2_VALUES.items()}, versions.select("package_id"), now, base)
 
 
+INDEX_PACKAGES = "package_id string, version_dir string, package_version string, channel string, name string, moniker string, package long"
+
+
+def full_index(versions: DataFrame, fmt: int, base: int) -> tuple[dict[str, DataFrame], dict]:
+    """(state tables, meta) of a whole index; of format 2 with counts and the next ids, by which later builds keep it up to date."""
+    made = index_tables(versions, fmt, base=base)
+    tables = {f"index_{n}": df for n, df in made.items()}
+    if fmt != 2:
+        return tables, {"index": None}
+    names = [f"{n}2" for n in index.V2_MAPPED]
+    tables |= {f"index_{n}": index.counted(made[n], made[f"{n}_map"]) for n in names}
+    tops = {n: made[n].agg(F.max("id")).first()[0] or 0 for n in names}
+    packages, top = made["packages"].agg(F.count(F.lit(1)), F.max("package")).first()
+    return tables, {"index": {"next": {n: t + 1 for n, t in tops.items()} | {"packages": (top or 0) + 1}, "packages": packages}}
+
+
+def index_deltas(store: st.StateStore, work: Work, before: DataFrame, after: DataFrame, touched: DataFrame, base: int) -> tuple[dict, dict, dict]:
+    """(deltas, tables, meta): what some packages' versions before and after change of the index; the rest of it is not read but for its dictionaries."""
+    spark, state = work.spark, store.get_meta("index")
+    following, buckets = dict(state["next"]), store.buckets_of(touched, "package_id")
+    held = work.table(store.read("index_packages", INDEX_PACKAGES, buckets).join(touched, "package_id", "left_semi"), "index-held")
+    fresh = work.table(index.dictionary(after.select("package_id").distinct().join(held.select("package_id"), "package_id", "left_anti"), "package_id").withColumn("package", F.col("id") + F.lit(following["packages"] - 1)).drop("id"), "index-fresh")
+    added = fresh.count()
+    following["packages"] += added
+    owners = held.select("package_id", "package").unionByName(fresh)
+    named = index_tables(after, 2)  # names and latest versions of these packages only
+    rows = named["packages"].drop("package").join(owners, "package_id")
+    lost = held.join(after.select("package_id").distinct(), "package_id", "left_anti")
+    deltas = {"index_packages": (rows.select(*[c.split()[0] for c in INDEX_PACKAGES.split(", ")]), lost)}
+    pairs = lambda versions, column: versions.select("package_id", F.explode(column).alias("value")).join(owners, "package_id").select("package", "value")
+    for name, column in V2_VALUES.items():
+        changes = work.table(index.changed_pairs(pairs(before, column), pairs(after, column)), f"index-{name}-pairs")
+        if name in index.V2_MAPPED:
+            made = {k: work.table(df, f"index-{name}-{k}") for k, df in index.update_words(store.read(f"index_{name}2", "value string, id long, n long"), changes, following[f"{name}2"]).items()}
+            following[f"{name}2"] += made["fresh"].count()
+            deltas |= {f"index_{name}2": (made["words"], made["words_gone"]), f"index_{name}2_map": (made["bridge"], made["bridge_gone"])}
+        else:
+            deltas[f"index_{name}2"] = tuple(changes.where(f"sign = {sign}").select("value", "package") for sign in (1, -1))
+    packages = state["packages"] + added - lost.count()
+    metadata = spark.createDataFrame([("majorVersion", "2"), ("lastWriteTime", "0"), ("trackingBase", str(max(0, base))), ("rows", str(packages))], "name string, value string")
+    return deltas, {"index_metadata": metadata}, {"index": {"next": following, "packages": packages}}
+
+
 def pending_diff(spark: SparkSession, cfg: BuildConfig) -> dict:
     """What a build would do: added, updated, removed, revalidations.  The state is not touched."""
     store = st.StateStore(spark, cfg.state, cfg.buckets)
@@ -239,11 +283,17 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
             return summary | {"build": build, "status": "staged_reused"}
         st.write_changes(plan["changes"], f"{store.root}/changes", build)
         st.write_queue(plan["queue"], f"{store.root}/snapshots/{build:08d}/queue", "version_dir", "child_sha")
-        untouched = store.read("versions", VERSIONS, [k for k in range(store.buckets) if k not in plan["buckets"]["versions"]])
-        everything = untouched.unionByName(plan["versions"])
-        if cfg.index_format:
-            tables |= {f"index_{n}": df for n, df in index_tables(everything, cfg.index_format, base=build).items()}
-        store.commit(tables, "staged", touched, staged=build, format=cfg.index_format)
+        deltas, meta = {}, {}
+        if cfg.index_format == 2 and store.get_meta("index") and not first and not cfg.force:
+            mine = lambda versions: versions.join(plan["touched"], "package_id", "left_semi")
+            was = store.read("versions", VERSIONS, plan["buckets"]["versions"])
+            deltas, small, meta = index_deltas(store, work, mine(was), mine(plan["versions"]), plan["touched"], build)
+            tables |= small
+        elif cfg.index_format:
+            untouched = store.read("versions", VERSIONS, [k for k in range(store.buckets) if k not in plan["buckets"]["versions"]])
+            whole, meta = full_index(untouched.unionByName(plan["versions"]), cfg.index_format, build)
+            tables |= whole
+        store.commit(tables, "staged", touched, deltas, staged=build, format=cfg.index_format, **meta)
         return summary | {"build": build, "status": "staged"}
     except Exception as e:
         store.fail(str(e))

@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.operators import lookup, records
+from catalogspark.operators import index, lookup, records
 from catalogspark.plans import build as bd
 from catalogspark.plans.fixtures import duck, view
 from catalogspark.plans.queries import CANONICAL, DIFF, ORACLE, QUERIES, QUEUE, _diff, _queue, child_sql, fragments, query, record_sql, rules_sql
@@ -107,6 +107,40 @@ def _(n, o):
     return store.read("versions", STATE)
 
 
+@query("s5_segments", "ver_now ver_prev", "select version_dir, package_id, package_version, channel, content_sha from ver_now")
+def _(n, o):
+    """The earlier table is changed into the later one by three segments: changed and new rows, and keys of rows that are gone."""
+    store = _store(n)
+    store.begin()
+    store.commit({"versions": o})
+    changed = n.join(o.select("version_dir", "content_sha"), ["version_dir", "content_sha"], "left_anti").select(*o.columns)
+    gone = o.join(n.select("version_dir"), "version_dir", "left_anti")
+    third = lambda df, k: df.where(F.pmod(F.xxhash64("version_dir"), F.lit(3)) == k)
+    for k in range(3):
+        store.begin()
+        store.commit({}, deltas={"versions": (third(changed, k), third(gone, k))})
+    return store.read("versions", STATE)
+
+
+@query("s11_index_updated", "attrs", "select brand \"value\", package_id, count(*) over (partition by brand) n from (select distinct brand, package_id from attrs)")
+def _(a):
+    """A dictionary and its bridge over other pairs, brought to those of today by what was gained and lost, joined back to values."""
+    store, owners = _store(a), index.dictionary(a, "package_id").withColumnRenamed("id", "package")
+    now = a.join(owners, "package_id").select("package", F.col("brand").alias("value"))
+    part = F.pmod(F.xxhash64("package", "value"), F.lit(5))
+    before = now.where(part != 0).unionByName(now.where(part == 1).withColumn("value", F.concat(F.lit("old "), F.col("value"))))
+    words = index.dictionary(before, "value")
+    bridge = index.map_table(before, "package", "value", words)
+    store.begin()
+    store.commit({"index_tags2": index.counted(words, bridge), "index_tags2_map": bridge})
+    held = store.read("index_tags2", "value string, id long, n long")
+    made = index.update_words(held, index.changed_pairs(before, now), held.agg(F.max("id")).first()[0] + 1)
+    store.begin()
+    store.commit({}, deltas={"index_tags2": (made["words"], made["words_gone"]), "index_tags2_map": (made["bridge"], made["bridge_gone"])})
+    pairs = index.index_lookup(store.read("index_tags2", "value string, id long"), store.read("index_tags2_map", "package long, id long"), "value", "package")
+    return pairs.join(owners, "package").join(store.read("index_tags2", "value string, n long"), "value").select("value", "package_id", "n")
+
+
 @query("s5_fenced_writer", "ver_now ver_prev", "select version_dir, package_id, package_version, channel, content_sha from ver_now")
 def _(n, o):
     """A writer that lost its lock commits last: what the one that took over has committed stays."""

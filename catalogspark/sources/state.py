@@ -9,6 +9,11 @@ been renewed for ``lease`` seconds is taken over, and the build that left it is
 the number after the last one that its writer has created or found when it began: whoever was taken over finds that
 number used, and what it has written, into the folder of its own build, never becomes current.
 
+A bucket may be changed by segments instead: a commit of ``deltas`` writes changed rows and the keys of rows that are gone,
+and a read takes of every key what the latest segment says, else the base.  Segments of a bucket are merged once there
+are more than ``SEGMENTS``, and with the base once they have grown to its size, so that what is written follows what
+has changed, whatever the number of buckets.
+
 The log of builds is what the pointers say of them, each of the build that has made it (and of one that it took over
 from); the latest says how a build ended.  ``prune`` deletes pointers of old builds and then every folder that no
 remaining pointer names, but for those that a living reader may still need.
@@ -21,6 +26,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +42,18 @@ BUCKET_BY = {"files": "version_dir", "versions": "package_id", "children": "vers
 EVENT = "struct<build_id: long, started: long, finished: long, status: string, error: string>"
 STAGED = ("staged", "staged_reused", "published")
 
+# the index by packages, kept up to date by segments: ids of values and packages never change
+DIRECT = ("pfns", "productcodes", "upgradecodes", "norm_names", "norm_publishers")
+KEYS |= {"index_packages": ["package_id"]} | {f"index_{n}2": ["value"] for n in ("tags", "commands")} | {f"index_{n}2_map": ["package", "id"] for n in ("tags", "commands")} | {f"index_{n}2": ["value", "package"] for n in DIRECT}
+BUCKET_BY |= {"index_packages": "package_id"} | {f"index_{n}2": "value" for n in ("tags", "commands")} | {f"index_{n}2_map": "package" for n in ("tags", "commands")} | {f"index_{n}2": "package" for n in DIRECT}
+#: Segments of one bucket that a read has to merge.
+SEGMENTS = 8
+
+
+def parts_of(held: str | list[str]) -> list[str]:
+    """The base of a bucket ("" for none) and its segments, oldest first."""
+    return [held] if isinstance(held, str) else held
+
 
 class StateStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, lease: float = 86_400):
@@ -80,14 +98,37 @@ class StateStore:
         """The buckets that hold these keys; at most as many numbers as there are buckets."""
         return sorted(r[0] for r in rows.select(self.bucket(column)).distinct().collect())
 
+    def _load(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
+
+    def _latest(self, name: str, segments: list[str]) -> DataFrame:
+        """Of every key in the segments what the latest one says, ``_gone`` rows included."""
+        rows = self._load(segments)
+        key = sorted({*KEYS[name], BUCKET_BY[name]})  # a key that has moved to another bucket is gone from its old one
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), "_seq").alias("r")).select("r.*")
+
+    def _merged(self, name: str, parts: list[list[str]]) -> DataFrame:
+        """The rows of some buckets: their bases, and what the segments say."""
+        base, segments = [p[0] for p in parts if p[0]], [x for p in parts for x in p[1:]]
+        if not segments:
+            return self._load(base)
+        latest = self._latest(name, segments)
+        alive = latest.where("NOT _gone").drop("_gone", "_seq")
+        if not base:
+            return alive
+        rows, key = self._load(base), sorted({*KEYS[name], BUCKET_BY[name]})
+        changed = latest.select(*(F.col(k).alias(f"_{k}") for k in key))
+        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key))
+        return rows.join(changed, same, "left_anti").unionByName(alive, allowMissingColumns=True)
+
     def read(self, name: str, schema: str | StructType, buckets: list[int] | None = None, tables: dict | None = None) -> DataFrame:
         """A table of the current snapshot with the wanted columns: those it does not have yet are null."""
         wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         held = (self.current()["tables"] if tables is None else tables).get(name, {})
-        paths = [p for k, p in sorted(held.items()) if buckets is None or int(k) in buckets]
-        if not paths:
+        parts = [parts_of(p) for k, p in sorted(held.items()) if buckets is None or int(k) in buckets]
+        if not parts:
             return self.spark.createDataFrame([], wanted)
-        have = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        have = self._merged(name, parts)
         return have.select(*(F.col(f.name).cast(f.dataType) if f.name in have.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
     def _put(self, number: int, body: dict) -> None:
@@ -168,8 +209,47 @@ class StateStore:
         finally:
             mark.stop()
 
-    def commit(self, tables: dict[str, DataFrame], status: str = "staged", touched: dict[str, list[int]] | None = None, **meta) -> None:
-        """Write the tables, or the touched buckets of them, check their keys, point to them."""
+    def _written(self, rows: DataFrame, path: str) -> dict[str, str]:
+        """Write rows by their bucket; the folders that there are now."""
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        fs, target = filesystem(self.spark, path)
+        return {s.getPath().getName().partition("=")[2]: f"{path}/{s.getPath().getName()}" for s in fs.listStatus(target) if s.isDirectory()}
+
+    def _check_key(self, name: str, paths: list[str]) -> None:
+        key = KEYS.get(name)
+        if key and paths and not self.spark.read.parquet(*paths).groupBy(*key, *(["_gone"] if "_gone" in self.spark.read.parquet(*paths).columns else [])).count().where("count > 1").limit(1).isEmpty():
+            raise ValueError(f"{name} repeats a key")
+
+    def _add_segment(self, name: str, held: dict, changed: DataFrame, gone: DataFrame, root: str, build: int) -> None:
+        """Write changed rows and keys of rows that are gone as a segment of each bucket that has any; merge where there are many."""
+        by = BUCKET_BY[name]
+        keys = gone.select(*sorted({*KEYS[name], by})).distinct().withColumn("_gone", F.lit(True))
+        rows = changed.withColumn("_gone", F.lit(False)).unionByName(keys, allowMissingColumns=True)
+        new = self._written(rows.withColumns({"_seq": F.lit(build).cast("long"), "bucket": self.bucket(by)}), f"{root}/{name}")
+        self._check_key(name, list(new.values()))
+        held |= {k: [*parts_of(held.get(k, "")), p] for k, p in new.items()}
+        few, all_of = [], []
+        for k in new:
+            base, *segments = held[k]
+            if base and sum(map(self._size, segments)) >= self._size(base) or not base and len(segments) > SEGMENTS:
+                all_of.append(k)
+            elif len(segments) > SEGMENTS:
+                few.append(k)
+        if few:
+            rows = self._latest(name, [x for k in few for x in held[k][1:]]).withColumn("bucket", self.bucket(by))
+            held |= {k: [held[k][0], p] for k, p in self._written(rows, f"{root}/{name}-segments").items()}
+        if all_of:
+            rows = self._merged(name, [held[k] for k in all_of]).withColumn("bucket", self.bucket(by))
+            made = self._written(rows, f"{root}/{name}-merged")
+            for k in all_of:  # a bucket may have become empty
+                held.pop(k)
+            held |= made
+
+    def commit(self, tables: dict[str, DataFrame], status: str = "staged", touched: dict[str, list[int]] | None = None, deltas: dict[str, tuple[DataFrame, DataFrame]] | None = None, **meta) -> None:
+        """Write the tables, or the touched buckets of them, check their keys, point to them.
+
+        deltas: by table changed rows, and rows of which only the key and the column of the bucket count, that are gone.
+        """
         if not self._lock:
             raise RuntimeError("a commit belongs to a build: begin() first")
         now, build = self.current(), self._event["build_id"]  # of this writer, whatever has become current meanwhile
@@ -181,13 +261,11 @@ class StateStore:
             rows = df.withColumn("bucket", self.bucket(by) if by else F.lit(0))
             if only is not None:
                 rows = rows.where(F.col("bucket").isin(only))
-            rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
-            fs, target = filesystem(self.spark, path)
-            new = {s.getPath().getName().partition("=")[2]: f"{path}/{s.getPath().getName()}" for s in fs.listStatus(target) if s.isDirectory()}
+            new = self._written(rows, path)
             held[name] = {k: p for k, p in held.get(name, {}).items() if only is not None and int(k) not in only} | new
-            key = KEYS.get(name)
-            if key and new and not self.spark.read.parquet(*new.values()).groupBy(*key).count().where("count > 1").limit(1).isEmpty():
-                raise ValueError(f"{name} repeats a key")
+            self._check_key(name, list(new.values()))
+        for name, (changed, gone) in (deltas or {}).items():
+            self._add_segment(name, held.setdefault(name, {}), changed, gone, f"{self.root}/snapshots/{build:08d}", build)
         self.close(status, tables=held, meta=now["meta"] | meta)
 
     def set_meta(self, **values) -> None:
@@ -253,7 +331,7 @@ class StateStore:
             for number in sorted(keep):
                 pointer = self.pointer(number)
                 staying |= {pointer["build"], published}
-                named |= {path for table in pointer["tables"].values() for path in table.values()}
+                named |= {path for table in pointer["tables"].values() for held in table.values() for path in parts_of(held)}
             forgotten = {r["build_id"] for r in gone.collect()} - staying
             doomed = [f"{self.root}/changes/build_id={b}" for b in sorted(forgotten)]
             doomed += [f for f in self._folders(f"{self.root}/work") if f.rpartition("/")[2] not in read]
