@@ -2,17 +2,18 @@
 
 Words are runs of ASCII letters, digits, apostrophes and all non-ASCII bytes, A-Z lower-cased.
 
-1. Every ``n``-word run of a test item is a seed, however many documents hold it: of an edited copy that is itself
-   repeated only frequent seeds may be left.  A text or item of fewer words has its whole sequence as its only seed, so
-   a short item is found in texts that are nothing but this item, and nowhere else.
+1. Every run of 3 words of a test item is a seed, of an item of 4 to 9 words every run of 2: the shorter an item, the
+   rarer a run of 3 that edits leave whole.  None is dropped, however many documents hold it: of an edited copy that is
+   itself repeated only frequent seeds may be left.  An item of fewer than 4 words has its whole sequence as its only
+   seed, and is found in texts that are nothing but this item: single words and pairs stand in any text.
 2. The seeds' hashes set bits of a map of at most ``MAP_BITS`` bits, the only thing that is sent to every task.  One
    pass over the texts keeps the seeds whose bit is set, with their places; a join with the table of seeds says which
    are an item's.  Both sides of the join carry one of ``SALTS`` numbers, so that a seed held by a third of all texts is
-   dealt to many tasks.
+   dealt to many tasks.  The items of one text go on in rows of about ``ITEMS`` items each, however many they are.
 3. Texts that hold seeds meet their items' words, and the passage around the seeds' diagonals is aligned with the item
    word by word (match 2, mismatch -1, gap -1); the best local score over twice the item's words is the score, 1 for a
    whole copy.  A passage that has too few of the item's words to reach the threshold in any alignment isn't aligned,
-   which changes no result.  A copy of which edits leave no ``n`` adjacent words isn't found.
+   which changes no result.  A copy of which edits leave no 3 (2) adjacent words isn't found.
 
 Texts are known by 128 bits of hash, so what is found depends on the text alone, never on its id.
 
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from catalogspark.llm.common import id_text, materialize, text_key, text_slices
 from catalogspark.llm.shingles import U, mix, word_hashes, words
 
-N, THRESHOLD = 4, 0.5
-MAP_BITS, SALTS = 1 << 24, 32
+THRESHOLD = 0.5
+#: Words of a seed of an item with at least so many words, and of shorter ones; below ``WHOLE`` the item itself.
+SEED, FROM, SHORT_SEED, WHOLE = 3, 10, 2, 4
+MAP_BITS, SALTS, ITEMS = 1 << 24, 32, 256
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = False
 _STEP = U(0xA24BAED4963EE407)
@@ -57,16 +60,25 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U(n))
 
 
-def seeds(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word's place in it, hash) of all seeds of a slice, in order."""
+def seeds(h: np.ndarray, first: np.ndarray, sizes: tuple[int, ...], own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word's place in it, hash) of all seeds of a slice, in order; sizes: words of a run, negative for a whole text of so many.
+
+    ``own``: those of test items, each by its own length.
+    """
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
     out = []
-    for size in range(1, n + 1):
-        g = _grams(h, size)
+    for size in sizes:
+        g = _grams(h, abs(size))
         if len(g):
-            whole = doc[:len(g)] == doc[size - 1:]
-            place = np.flatnonzero(whole & (count[doc[:len(g)]] == size) if size < n else whole)
+            long = count[doc[:len(g)]]
+            here = doc[:len(g)] == doc[abs(size) - 1:]
+            if size < 0:
+                here &= long == -size
+                g = mix(g + U(WHOLE))  # never equal to that of a run inside a text
+            elif own:
+                here &= (long >= FROM) if size == SEED else (long >= WHOLE) & (long < FROM)
+            place = np.flatnonzero(here)
             out.append((doc[place], place - first[doc[place]], g[place]))
     if not out:
         none = np.zeros(0, np.int64)
@@ -76,6 +88,14 @@ def seeds(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return doc[order], place[order], g[order]
 
 
+ALL_SIZES = (SEED, SHORT_SEED, *range(-1, -WHOLE, -1))
+
+
+def sizes_of(words: int) -> int:
+    """The kind of seed of an item with so many words."""
+    return -words if words < WHOLE else SHORT_SEED if words < FROM else SEED
+
+
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Best local score (match 2, mismatch -1, gap -1) and the passage's words [begin, end) that it covers."""
     width = len(passage)
@@ -129,24 +149,21 @@ def best_passage(item: np.ndarray, text: np.ndarray, spans: list[tuple[int, int]
     return best
 
 
-def _item_rows(n: int):
-    """(item_id, text) to the item's words and seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, size, data, offsets in text_slices(batch, "text"):
-                h, first = _words(data, offsets)
-                doc, _, g = seeds(h, first, n)
-                ends = np.searchsorted(doc, np.arange(size + 1)).astype(np.int32)
-                raw = h.tobytes()
-                words_of = [raw[8 * a:8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(g.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), pa.array(words_of, pa.binary()), lists], ["item_id", "words", "seeds"])
-
-    return run
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) to the item's words, seeds and their kind."""
+    for batch in batches:
+        for at, size, data, offsets in text_slices(batch, "text"):
+            h, first = _words(data, offsets)
+            doc, _, g = seeds(h, first, ALL_SIZES, own=True)
+            ends = np.searchsorted(doc, np.arange(size + 1)).astype(np.int32)
+            raw = h.tobytes()
+            words_of = [raw[8 * a:8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(g.view(np.int64)))
+            kinds = pa.array([sizes_of(int(k)) for k in np.diff(first)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), pa.array(words_of, pa.binary()), lists, kinds], ["item_id", "words", "seeds", "kind"])
 
 
-def _candidates(bits: np.ndarray, n: int):
+def _candidates(bits: np.ndarray, sizes: tuple[int, ...]):
     """(t1, t2, text) to the seeds whose bit is set: (t1, t2, h, places), one row for each distinct seed of a text."""
     mask = U(8 * len(bits) - 1)
 
@@ -154,7 +171,7 @@ def _candidates(bits: np.ndarray, n: int):
         for batch in batches:
             for at, _, data, offsets in text_slices(batch, "text"):
                 h, first = _words(data, offsets)
-                doc, place, g = seeds(h, first, n)
+                doc, place, g = seeds(h, first, sizes)
                 bit = (g & mask).astype(np.int64)
                 hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 doc, place, g = doc[hit], place[hit], g[hit]
@@ -204,21 +221,23 @@ def _bitmap(table: DataFrame, seed: str) -> np.ndarray:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, t1, t2 (key of the text), item_id, score, begin_word, end_word."""
     texts = id_text(docs, id_col, text_col).where("text IS NOT NULL").select("doc_id", *text_key("text"), "text")
     given = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("text IS NOT NULL")
-    items = materialize(given.mapInArrow(_item_rows(n), "item_id long, words binary, seeds array<long>").where("size(seeds) > 0").distinct().withColumn("item", F.xxhash64("item_id", "words")), "leak-items")
+    items = materialize(given.mapInArrow(_item_rows, "item_id long, words binary, seeds array<long>, kind int").where("size(seeds) > 0").distinct().withColumn("item", F.xxhash64("item_id", "words")), "leak-items")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     # of a seed that an item repeats the first and last place are enough: the diagonals between them lie in one passage
     table = items.select("item", F.posexplode("seeds").alias("at", "h")).groupBy("item", "h").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     bits = _bitmap(table.select("h").distinct(), "h")
-    held = texts.select("t1", "t2", "text").mapInArrow(_candidates(bits, n), "t1 long, t2 long, h long, places array<int>")
+    sizes = tuple(sorted(r["kind"] for r in items.select("kind").distinct().collect()))  # five at most
+    chunks = -(-max(1, items.count()) // ITEMS)
+    held = texts.select("t1", "t2", "text").mapInArrow(_candidates(bits, sizes), "t1 long, t2 long, h long, places array<int>")
     held = held.groupBy("t1", "t2", "h").agg(F.first("places").alias("places")).withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int"))
     hits = held.join(table.select("*", salts), ["h", "salt"]).groupBy("t1", "t2", "salt", "item").agg(F.collect_list(F.struct("places", "lo", "hi")).alias("hits"))
     words_of = items.select("item", "item_id", "words", salts)
-    grouped = hits.join(words_of, ["item", "salt"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("items"))
-    wanted = materialize(grouped, "leak-candidates")  # a plain table: the join below may then split the copies of one text
+    grouped = hits.join(words_of, ["item", "salt"]).groupBy("t1", "t2", F.pmod("item", F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("items"))
+    wanted = materialize(grouped.drop("chunk"), "leak-candidates")  # a plain table: the join below may then split the copies of one text
     schema = "doc_id long, t1 long, t2 long, item_id long, score double, begin_word long, end_word long"
     # the table grows with the texts: one way to join at every size
     return texts.join(wanted.hint("merge"), ["t1", "t2"]).select("doc_id", "t1", "t2", "text", "items").mapInArrow(_align(threshold), schema)

@@ -110,3 +110,38 @@ def test_repeated_seeds_of_item_and_text(spark):
     got = {r.doc_id: r.score for r in dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     score = {i: dc.smith_waterman(code(item), code(t))[0] / (2 * len(code(item))) for i, t in rows}
     assert got == {i: s for i, s in score.items() if s >= dc.THRESHOLD} and 1 in got
+
+
+def test_recall_of_edited_copies_of_any_length(spark):
+    """Copies with 10, 20 and 30 % of the words replaced that score enough are found, nine of ten at least at every length."""
+    rnd = random.Random(12)
+    number: dict[str, int] = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in split(t)], np.uint64)
+    lengths, rows, want = (6, 8, 10, 12, 15, 20, 30, 60), [], {}
+    items = {k: [f"w{k}x{i}" for i in range(k)] for k in lengths}
+    for k in lengths:
+        for rate in (0.1, 0.2, 0.3):
+            for _ in range(60):
+                copy = [w if rnd.random() >= rate else f"e{len(rows)}x{i}" for i, w in enumerate(items[k])]
+                text = " ".join([*(f"f{rnd.randrange(999)}" for _ in range(20)), *copy, *(f"f{rnd.randrange(999)}" for _ in range(20))])
+                if dc.smith_waterman(code(" ".join(items[k])), code(text))[0] / (2 * k) >= dc.THRESHOLD:
+                    want[len(rows)] = (k, rate)
+                rows.append((len(rows), text))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {r.doc_id for r in dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench).collect()}
+    assert found <= want.keys()
+    for k in lengths:
+        for rate in (0.1, 0.2, 0.3):
+            of = [i for i, x in want.items() if x == (k, rate)]
+            assert len(found.intersection(of)) >= 0.9 * len(of) > 0, (k, rate)
+    every_fourth = [w if i % 4 else f"z{i}" for i, w in enumerate(items[30])]
+    assert dc.contaminated(spark.createDataFrame([(1, " ".join(every_fourth))], "doc_id long, text string"), bench).count() == 1
+
+
+def test_more_items_than_one_row_holds(spark, monkeypatch):
+    monkeypatch.setattr(dc, "ITEMS", 4)
+    items = [(i, f"the same words in all of them and then number {i} at the very end") for i in range(50)]
+    docs = spark.createDataFrame([(1, items[7][1]), (2, "the same words in all of them"), (3, "nothing of it")], "doc_id long, text string")
+    got = dc.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (1, 2) for i in range(50)}  # half of the words are enough
+    assert next(r.score for r in got if (r.doc_id, r.item_id) == (1, 7)) == 1.0
