@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each one operator of ``catalogspark.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns of ``documents``; the
-last returns the encoded documents.  Between stages the documents are a written table; the one before is deleted.
+last returns the encoded documents.  Between stages the documents are a written table; the one before is deleted, and so
+is every table that the stage's operators have written.
 
 In every stage rows are judged whole: very long texts are read to their end, columns may have any names beside those of
 ``documents``, ties are broken by the smaller id, and an empty table gives an empty one.  What a stage does with null
@@ -14,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from catalogspark.llm import decontaminate, line_dedup, minhash, sentencepiece_codec, toxicity
-from catalogspark.llm.common import delete_path, materialize_at
+from catalogspark.llm.common import delete_path, materialize_at, written_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +77,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, path = materialize_at(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with written_tables() as made:
+            docs, path = materialize_at(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        for table in made:  # what the stage's operators have written, and the stage before
+            if table != path:
+                delete_path(spark, table)
         if before:
             delete_path(spark, before)
         before = path
