@@ -181,9 +181,12 @@ query("x7_owner_ids", "ver_now", IDS.format(c="package_id", t="ver_now"))(lambda
 query("j14_index_lookup", "attrs", "select distinct brand, package_id from attrs")(lambda a: index.index_lookup(d := index.dictionary(a, "brand"), index.map_table(a, "package_id", "brand", d), "brand", "package_id"))
 
 
+#: What each index table holds: an expression of its own, the same in both engines.
+INDEXED = {"tags": "brand", "commands": "type", "pfns": "brand || '_' || type", "productcodes": "name", "upgradecodes": "upper(type)", "norm_names": "lower(name)", "norm_publishers": "lower(brand)"}
+
+
 def _v2(v, a):
-    values = lambda c: a.select("package_id", F.col(c).alias("value"))
-    return index.build_index_v2(rollup.latest_version(v), {"tags": values("brand"), "commands": values("type"), **{t: values("name") for t in index.V2_DIRECT}}, v.select("package_id"), 1700000000)
+    return index.build_index_v2(rollup.latest_version(v), {t: a.select("package_id", F.expr(e).alias("value")) for t, e in INDEXED.items()}, v.select("package_id"), 1700000000)
 
 
 OWNERS = f"({IDS.format(c='package_id', t='ver_now')}) o"
@@ -193,21 +196,21 @@ for _t, _c in (("tags", "brand"), ("commands", "type")):
     query(f"s11_index_v2_{_t}", "ver_now attrs", IDS.format(c=_c, t="attrs").replace(f"select {_c},", f'select {_c} "value",', 1))(lambda v, a, t=_t: _v2(v, a)[f"{t}2"])
     query(f"s11_index_v2_{_t}_map", "ver_now attrs", f"select distinct o.id package, d.id from attrs join {OWNERS} using (package_id) join ({IDS.format(c=_c, t='attrs')}) d using ({_c})")(lambda v, a, t=_t: _v2(v, a)[f"{t}2_map"])
 for _t in index.V2_DIRECT:
-    query(f"s11_index_v2_{_t}", "ver_now attrs", f"select distinct name \"value\", o.id package from attrs join {OWNERS} using (package_id)")(lambda v, a, t=_t: _v2(v, a)[f"{t}2"])
+    query(f"s11_index_v2_{_t}", "ver_now attrs", f"select distinct {INDEXED[_t]} \"value\", o.id package from attrs join {OWNERS} using (package_id)")(lambda v, a, t=_t: _v2(v, a)[f"{t}2"])
 
 
 def _v1(v, a):
     rows = v.withColumns({"name": F.when(F.col("channel") == "", F.col("package_version")), "moniker": F.nullif("channel", F.lit("")), "publisher": F.nullif("channel", F.lit("")), "path": F.col("version_dir")})
-    return index.build_index_v1(rows, {t: a.select("version_dir", F.col("brand" if t == "tags" else "type").alias("value")) for t in index.V1_MAPPED}, 1700000000)
+    return index.build_index_v1(rows, {t: a.select("version_dir", F.expr(INDEXED[t]).alias("value")) for t in index.V1_MAPPED}, 1700000000)
 
 
 V1_COLUMN = {"ids": ("package_id", "package_id"), "names": ("name", "case when channel = '' then package_version else package_id end"), "monikers": ("moniker", "nullif(channel, '')"), "versions": ("package_version", "package_version"), "channels": ("channel", "channel")}
 for _t, (_c, _e) in V1_COLUMN.items():
     query(f"s12_index_v1_{_t}", "ver_now attrs", f"select {_c}, row_number() over (order by {_c}) id from (select distinct {_e} {_c} from ver_now) where {_c} is not null")(lambda v, a, t=_t: _v1(v, a)[t])
 for _t in index.V1_MAPPED:
-    _c = "brand" if _t == "tags" else "type"
-    query(f"s12_index_v1_{_t}", "ver_now attrs", IDS.format(c=_c, t="attrs").replace(f"select {_c},", f'select {_c} "value",', 1))(lambda v, a, t=_t: _v1(v, a)[t])
-    query(f"s12_index_v1_{_t}_map", "ver_now attrs", f"select distinct version_dir, d.id from attrs join ({IDS.format(c=_c, t='attrs')}) d using ({_c})")(lambda v, a, t=_t: _v1(v, a)[f"{t}_map"])
+    _words = f"(select v \"value\", row_number() over (order by v) id from (select distinct {INDEXED[_t]} v from attrs) where v is not null)"
+    query(f"s12_index_v1_{_t}", "ver_now attrs", f"select * from {_words}")(lambda v, a, t=_t: _v1(v, a)[t])
+    query(f"s12_index_v1_{_t}_map", "ver_now attrs", f"select distinct version_dir, d.id from attrs join {_words} d on d.\"value\" = {INDEXED[_t]}")(lambda v, a, t=_t: _v1(v, a)[f"{t}_map"])
 query("s12_index_v1_manifest_metadata", "ver_now attrs", "select version_dir, 5 kind, channel \"value\" from ver_now where channel <> ''")(lambda v, a: _v1(v, a)["manifest_metadata"])
 query("s12_index_v1_metadata", "ver_now attrs", "select unnest(['majorVersion', 'lastWriteTime', 'trackingBase', 'rows']) name, unnest(['1', '1700000000', '0', (select count(*) from ver_now)::varchar]) \"value\"")(lambda v, a: _v1(v, a)["metadata"])
 V1_TREE = TREE.replace("from paths)", "from (select version_dir path from ver_now))")
