@@ -2,9 +2,9 @@
 
 What a run reads of contents, assembles and writes follows what has changed: only new and altered files are opened, once,
 for hash and fragment alike, then the other files of the groups that turn out dirty; a run without dirty groups ends
-there, and of the state only the buckets of touched groups and packages are read in full and rewritten.  The index by
-packages is kept up to date by segments with the rows that the touched packages change; the index by versions is built
-from the projections of all versions.
+there, and of the state only the buckets of touched groups and packages are read.  State and the index by packages are
+changed by segments with the rows that are new, altered or gone; the index by versions is built from the projections of
+all versions.
 """
 
 from __future__ import annotations
@@ -177,7 +177,8 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
     changes = work.table(diff.diff_records(now, was, "version_dir", ["content_sha", "children_sha"]), "changes")
     buckets["children"] = store.buckets_of(compared, "version_dir")
     prev_children = store.read("children", CHILDREN, buckets["children"])
-    kids = work.table(diff.apply_changes(prev_children, records.child_records(final).select(*prev_children.columns), compared), "children")
+    made_children = work.table(records.child_records(final).select(*prev_children.columns), "made-children")
+    kids = work.table(diff.apply_changes(prev_children, made_children, compared), "children")
     versions = work.table(diff.apply_changes(prev, computed, compared), "versions")
 
     done = groups if scan["chosen"] is not None else None
@@ -186,7 +187,18 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
     kept_files = store.read("files", FILES, buckets["files"]).join(hashed.select("path").union(gone.select("path")), "path", "left_anti")
     files = kept_files.unionByName(hashed.select(*kept_files.columns))
     queue = diff.validation_queue(changes, kids, prev_children)
-    return {"files": files, "versions": versions, "children": kids, "packages": _packages(versions), "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets, "touched": touched}
+    packages = _packages(versions)
+
+    # the same as changed rows and keys that are gone: what a commit writes unless everything is new
+    mine = _packages(versions.join(touched, "package_id", "left_semi"))
+    was = lambda df, key: df.join(compared, "version_dir", "left_semi").select(*key)
+    deltas = {
+        "files": (hashed.select(*kept_files.columns), gone.select("path", "version_dir")),
+        "versions": (computed, was(prev, ["version_dir", "package_id"]).join(computed.select("version_dir", "package_id"), ["version_dir", "package_id"], "left_anti")),
+        "children": (made_children, was(prev_children, ["version_dir", "child_sha"]).join(made_children.select("version_dir", "child_sha"), ["version_dir", "child_sha"], "left_anti")),
+        "packages": (mine, touched.select("package_id").join(versions.select("package_id"), "package_id", "left_anti")),
+    }
+    return {"files": files, "versions": versions, "children": kids, "packages": packages, "deltas": deltas, "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets, "touched": touched}
 
 
 def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0) -> index.Tables:
@@ -231,6 +243,8 @@ def index_deltas(store: st.StateStore, work: Work, before: DataFrame, after: Dat
     pairs = lambda versions, column: versions.select("package_id", F.explode(column).alias("value")).join(owners, "package_id").select("package", "value")
     for name, column in V2_VALUES.items():
         changes = work.table(index.changed_pairs(pairs(before, column), pairs(after, column)), f"index-{name}-pairs")
+        if changes.isEmpty():  # as most attributes are in most builds
+            continue
         if name in index.V2_MAPPED:
             made = {k: work.table(df, f"index-{name}-{k}") for k, df in index.update_words(store.read(f"index_{name}2", "value string, id long, n long"), changes, following[f"{name}2"]).items()}
             following[f"{name}2"] += made["fresh"].count()
@@ -279,15 +293,18 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
         touched = {n: None if first else b for n, b in plan["buckets"].items()}
         tables = {n: plan[n] for n in ("files", "versions", "children", "packages")}
         if not first and not cfg.force and not any(summary.values()):
-            store.commit({"files": plan["files"]}, "staged_reused", touched)
+            store.commit({}, "staged_reused", deltas={"files": plan["deltas"]["files"]})
             return summary | {"build": build, "status": "staged_reused"}
         st.write_changes(plan["changes"], f"{store.root}/changes", build)
         st.write_queue(plan["queue"], f"{store.root}/snapshots/{build:08d}/queue", "version_dir", "child_sha")
         deltas, meta = {}, {}
+        if not first and not cfg.force:
+            deltas, tables = dict(plan["deltas"]), {}
         if cfg.index_format == 2 and store.get_meta("index") and not first and not cfg.force:
             mine = lambda versions: versions.join(plan["touched"], "package_id", "left_semi")
             was = store.read("versions", VERSIONS, plan["buckets"]["versions"])
-            deltas, small, meta = index_deltas(store, work, mine(was), mine(plan["versions"]), plan["touched"], build)
+            more, small, meta = index_deltas(store, work, mine(was), mine(plan["versions"]), plan["touched"], build)
+            deltas |= more
             tables |= small
         elif cfg.index_format:
             untouched = store.read("versions", VERSIONS, [k for k in range(store.buckets) if k not in plan["buckets"]["versions"]])

@@ -216,8 +216,10 @@ class StateStore:
         return {s.getPath().getName().partition("=")[2]: f"{path}/{s.getPath().getName()}" for s in fs.listStatus(target) if s.isDirectory()}
 
     def _check_key(self, name: str, paths: list[str]) -> None:
-        key = KEYS.get(name)
-        if key and paths and not self.spark.read.parquet(*paths).groupBy(*key, *(["_gone"] if "_gone" in self.spark.read.parquet(*paths).columns else [])).count().where("count > 1").limit(1).isEmpty():
+        if not (key := KEYS.get(name)) or not paths:
+            return
+        rows = self.spark.read.parquet(*paths)
+        if not rows.groupBy(*key, *({"_gone"} & {*rows.columns})).count().where("count > 1").limit(1).isEmpty():
             raise ValueError(f"{name} repeats a key")
 
     def _add_segment(self, name: str, held: dict, changed: DataFrame, gone: DataFrame, root: str, build: int) -> None:
