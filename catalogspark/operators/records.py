@@ -202,7 +202,7 @@ def project_index(records: DataFrame, ascii_only: bool = False) -> DataFrame:
     def tagged(column: str, kind: str) -> Column:
         return F.transform(column, lambda x: F.struct(F.lit(kind).alias("k"), x.alias("t")))
 
-    # names are normalised as rows of a table of their own, so that the NFKC step sees plain columns
+    # names are normalised as rows of a table of their own, so that each is brought to NFKC once
     said = listed.select("version_dir", F.explode(F.concat(tagged("_names", "n"), tagged("_displays", "d"), tagged("_publishers", "p"))).alias("s")).select("version_dir", "s.k", nz.nfkc(F.col("s.t"), ascii_only).alias("t"))
     keys = F.when(F.col("k") == "d", nz.name_variants(F.col("t"), True, True)).when(F.col("k") == "n", nz.name_variants(F.col("t"), False, True)).otherwise(F.array(F.nullif(nz.normalize_publisher(F.col("t"), True), F.lit(""))))
     sets = said.select("version_dir", F.when(F.col("k") == "p", "p").otherwise("n").alias("k"), F.explode(keys).alias("v")).where("v IS NOT NULL").groupBy("version_dir").agg(

@@ -64,7 +64,7 @@ from (""" + _version("", 0, False).replace("\nselect ", "select o_orderkey, ", 1
     "names": """
 select p_partkey id, p_name || case p_partkey % 5 when 0 then ' (x64)' when 1 then ' en-US 32-bit' when 2 then ' X86_64 2.0' when 3 then ' [de-DE] 64 bit' else ' x86 x64' end display from part""",
     "titles": """
-select doc_id id, substring(text, 1, 40) || case doc_id % 4 when 0 then ' (x64)' when 1 then ' Größe SARL' when 2 then ' Éditions 32-bit' else ' GmbH' end display from documents where text is not null""",
+select doc_id id, text || case doc_id % 4 when 0 then ' (x64)' when 1 then ' Größe SARL' when 2 then ' Éditions 32-bit' else ' GmbH' end display from documents where text is not null""",
     "publishers": """
 select c_custkey id, c_mktsegment || case c_custkey % 5 when 0 then ' Holdings LLC' when 1 then ', Inc.' when 2 then ' & Sons GmbH, Berlin' when 3 then '' else ' Co Ltd' end publisher from customer""",
     "paths": r"""
