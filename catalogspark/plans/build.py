@@ -23,6 +23,7 @@ from catalogspark.sources import files as fl
 from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
 from catalogspark.sources.lease import Mark
+from catalogspark.sources.listing import list_files
 from catalogspark.sources.site import Site
 
 FILES = "path string, version_dir string, size bigint, mtime timestamp, raw_sha256 string"
@@ -54,6 +55,7 @@ class BuildConfig:
     targets: dict = field(default_factory=dict)
     remove: bool = False
     glob: str = "*.yaml"
+    listing: str = "driver"  # who lists the corpus: Spark's own listing, or "tasks" for corpora beyond the driver's memory
 
 
 class Work:
@@ -90,6 +92,12 @@ def _claims(versions: DataFrame) -> DataFrame:
     return versions.select("package_id", "version_dir", "package_version", "channel", F.explode("claimed_versions").alias("value"))
 
 
+def _listed(spark: SparkSession, cfg: BuildConfig, work: Work) -> DataFrame:
+    if cfg.listing not in ("driver", "tasks"):
+        raise ValueError(f"listing by {cfg.listing}")
+    return fl.scan_files(spark, cfg.corpus, cfg.glob) if cfg.listing == "driver" else list_files(spark, cfg.corpus, f"{work.root}/listing", cfg.glob)
+
+
 def scan_changes(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work: Work) -> dict:
     """What there is to do.
 
@@ -97,7 +105,7 @@ def scan_changes(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, wo
     gone (files that are no more), groups (dirty), chosen (targets or None).
     """
     prev = store.read("files", FILES)
-    listed = fl.scan_files(spark, cfg.corpus, cfg.glob)
+    listed = _listed(spark, cfg, work)
     chosen = None
     if cfg.targets:
         known = store.read("versions", "version_dir string, package_id string, package_version string")

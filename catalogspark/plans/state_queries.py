@@ -15,6 +15,7 @@ from catalogspark.sources import files as fl
 from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
 from catalogspark.sources.lease import Fenced
+from catalogspark.sources.listing import list_files
 from catalogspark.sources.scratch import new_path
 from catalogspark.sources.site import Site
 
@@ -61,6 +62,11 @@ def _(spark, d):
     return fl.scan_files(spark, _text_files(d), "part-*").groupBy("version_dir").agg(F.sum("size").alias("bytes"))
 
 
+@on_documents("s1_list_by_tasks", f"select version_dir, sum(strlen(text) + 1)::bigint bytes from ({TREE}) group by 1")
+def _(spark, d):
+    return list_files(spark, _text_files(d), new_path(spark, "listing"), "part-*").groupBy("version_dir").agg(F.sum("size").alias("bytes"))
+
+
 @on_documents("s3_read_chosen", f"select version_dir, sum(strlen(text) + 1)::bigint bytes, sum(length(text) + 1)::bigint letters from ({TREE}) where version_dir like 'lang=en/%' or version_dir like '%/source=src7' group by 1")
 def _(spark, d):
     root = _text_files(d)

@@ -35,7 +35,7 @@ def _relative(root: str):
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.yaml") -> DataFrame:
-    """path (below the root), version_dir, size, mtime of every file; contents are not read."""
+    """path (below the root), version_dir, size, mtime of every file that has bytes and is not hidden; contents are not read."""
     root = corpus_root(spark, root)
     rows = _binary(spark, root, glob).select(_relative(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return rows.select("path", parent(F.col("path")).alias("version_dir"), "size", "mtime")
