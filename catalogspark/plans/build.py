@@ -368,6 +368,38 @@ def verify_published(spark: SparkSession, cfg: BuildConfig, target: str) -> Data
     return inventory.drift(store.read("published", PUBLISHED), published_files(spark, target, _begins(store, Site(spark, target))))
 
 
+def verify_build(spark: SparkSession, cfg: BuildConfig, build_id: int | None = None) -> DataFrame:
+    """relpath, drift_kind: where the state of the current or a chosen build contradicts itself; nothing is changed.
+
+    All records are hashed and all packages rolled up again.  ``mismatched``: a record's text has another hash than noted, a
+    null text included; ``missing``: a package's file is noted that does not follow from its versions; ``extra``: one that
+    follows is not noted.  A sound build gives no rows; one that was never staged is an error.
+    """
+    wanted, _, versions, packages = plan_publish(spark, cfg, build_id)
+    again = _packages(versions)
+    bodies = versions.select("relpath", F.sha2("record", 256).alias("sha256"))
+    catalogue = _catalogue(packages).select("relpath", F.sha2("body", 256).alias("sha256"))
+    return inventory.drift(wanted, inventory.published_inventory(bodies, again.select("relpath", "sha256"), catalogue))
+
+
+def package_files(spark: SparkSession, cfg: BuildConfig, packages: DataFrame, build_id: int | None = None) -> DataFrame:
+    """package_id, version_dir, package_version, channel, relpath, files (path, sha256; in order of path) of some packages.
+
+    Only the buckets of these packages and of their groups are read.  Packages that are null, unknown or named twice add
+    no rows; a version without tracked files has an empty list.
+    """
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
+    tables = None if build_id is None else store.tables_of(build_id)
+    wanted = packages.select("package_id").where("package_id IS NOT NULL").distinct()
+    columns = ["package_id", "version_dir", "package_version", "channel", "relpath"]
+    mine = store.read("versions", VERSIONS, store.buckets_of(wanted, "package_id"), tables=tables).join(wanted, "package_id", "left_semi").select(*columns)
+    tracked = store.read("files", FILES, store.buckets_of(mine.select("version_dir"), "version_dir"), tables=tables)
+    files = F.array_sort(F.collect_list(F.struct("path", F.col("raw_sha256").alias("sha256"))))
+    held = tracked.join(mine.select("version_dir"), "version_dir", "left_semi").groupBy("version_dir").agg(files.alias("files"))
+    none = F.array().cast("array<struct<path:string,sha256:string>>")
+    return mine.join(held, "version_dir", "left").select(*columns, F.coalesce("files", none).alias("files"))
+
+
 def plan_publish(spark: SparkSession, cfg: BuildConfig, build_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(wanted, actions, versions, packages) for publishing the current or a chosen build."""
     store = st.StateStore(spark, cfg.state, cfg.buckets)
