@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.functions import normalize as nz
-from catalogspark.operators import conflicts, diff, index, inventory, lookup, records, rollup
+from catalogspark.operators import conflicts, counted, diff, index, inventory, lookup, records, rollup
 from catalogspark.sources import files as fl
 from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
@@ -35,6 +35,7 @@ VERSIONS = (
 CHILDREN = "version_dir string, child_sha string, url string, architecture string, type string, locale string, scope string, family string, product_codes array<string>"
 PACKAGES = "package_id string, package_sha string, version_count bigint, relpath string, sha256 string"
 PUBLISHED = "relpath string, kind string, sha256 string"
+VALUES = "package_id string, attribute string, value string, n long"
 #: Version-level values of each index table (fixed names).
 V1_VALUES = {"tags": "tags", "commands": "commands", "pfns": "families", "productcodes": "product_codes", "norm_names": "norm_names", "norm_publishers": "norm_publishers"}
 V2_VALUES = V1_VALUES | {"upgradecodes": "upgrade_codes"}
@@ -197,6 +198,13 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
     queue = diff.validation_queue(changes, kids, prev_children)
     packages = _packages(versions)
 
+    # values that packages hold: moved by what the compared versions held and hold
+    buckets["values"] = buckets["versions"]
+    held = lambda rows: counted.holdings(rows, V2_VALUES)
+    shifts = counted.count_changes(held(prev.join(compared, "version_dir", "left_semi")), held(computed))
+    counts = store.read("values", VALUES, buckets["values"]).join(touched, "package_id", "left_semi")
+    moved = counted.moved_counts(counts, shifts) if store.holds("values") and not cfg.force else None
+
     # the same as changed rows and keys that are gone: what a commit writes unless everything is new
     mine = _packages(versions.join(touched, "package_id", "left_semi"))
     was = lambda df, key: df.join(compared, "version_dir", "left_semi").select(*key)
@@ -206,7 +214,8 @@ def plan_build(spark: SparkSession, cfg: BuildConfig, store: st.StateStore, work
         "children": (made_children, was(prev_children, ["version_dir", "child_sha"]).join(made_children.select("version_dir", "child_sha"), ["version_dir", "child_sha"], "left_anti")),
         "packages": (mine, touched.select("package_id").join(versions.select("package_id"), "package_id", "left_anti")),
     }
-    return {"files": files, "versions": versions, "children": kids, "packages": packages, "deltas": deltas, "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets, "touched": touched}
+    values = counted.count_holdings(held(versions))
+    return {"values": values, "moved": moved, "files": files, "versions": versions, "children": kids, "packages": packages, "deltas": deltas, "changes": changes, "queue": queue, "violations": broken, "warnings": records.fragment_warnings(fragments), "buckets": buckets, "touched": touched}
 
 
 def index_tables(versions: DataFrame, fmt: int = 2, now: int = 0, base: int = 0) -> index.Tables:
@@ -235,8 +244,9 @@ def full_index(versions: DataFrame, fmt: int, base: int) -> tuple[dict[str, Data
     return tables, {"index": {"next": {n: t + 1 for n, t in tops.items()} | {"packages": (top or 0) + 1}, "packages": packages}}
 
 
-def index_deltas(store: st.StateStore, work: Work, before: DataFrame, after: DataFrame, touched: DataFrame, base: int) -> tuple[dict, dict, dict]:
-    """(deltas, tables, meta): what some packages' versions before and after change of the index; the rest of it is not read but for its dictionaries."""
+def index_deltas(store: st.StateStore, work: Work, after: DataFrame, touched: DataFrame, moved: DataFrame, base: int) -> tuple[dict, dict, dict]:
+    """(deltas, tables, meta): what changes in the index when some packages have the versions ``after`` and have gained and
+    lost values (``moved``); the rest of it is not read but for its dictionaries."""
     spark, state = work.spark, store.get_meta("index")
     following, buckets = dict(state["next"]), store.buckets_of(touched, "package_id")
     held = work.table(store.read("index_packages", INDEX_PACKAGES, buckets).join(touched, "package_id", "left_semi"), "index-held")
@@ -248,11 +258,10 @@ def index_deltas(store: st.StateStore, work: Work, before: DataFrame, after: Dat
     rows = named["packages"].drop("package").join(owners, "package_id")
     lost = held.join(after.select("package_id").distinct(), "package_id", "left_anti")
     deltas = {"index_packages": (rows.select(*[c.split()[0] for c in INDEX_PACKAGES.split(", ")]), lost)}
-    pairs = lambda versions, column: versions.select("package_id", F.explode(column).alias("value")).join(owners, "package_id").select("package", "value")
-    for name, column in V2_VALUES.items():
-        changes = work.table(index.changed_pairs(pairs(before, column), pairs(after, column)), f"index-{name}-pairs")
-        if changes.isEmpty():  # as most attributes are in most builds
-            continue
+    shifts = work.table(moved.where("sign <> 0").join(owners, "package_id").select("attribute", "package", "value", "sign"), "index-pairs")
+    shifted = {r["attribute"] for r in shifts.select("attribute").distinct().collect()}  # names of attributes
+    for name in [n for n in V2_VALUES if n in shifted]:
+        changes = shifts.where(F.col("attribute") == name).drop("attribute")
         if name in index.V2_MAPPED:
             made = {k: work.table(df, f"index-{name}-{k}") for k, df in index.update_words(store.read(f"index_{name}2", "value string, id long, n long"), changes, following[f"{name}2"]).items()}
             following[f"{name}2"] += made["fresh"].count()
@@ -299,7 +308,7 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
             raise ValueError("; ".join(f"{r.version_dir}: {r.rule}" for r in bad))
         summary = diff.diff_summary(plan["changes"], plan["queue"]).first().asDict()
         touched = {n: None if first else b for n, b in plan["buckets"].items()}
-        tables = {n: plan[n] for n in ("files", "versions", "children", "packages")}
+        tables = {n: plan[n] for n in ("files", "versions", "children", "packages", "values")}
         if not first and not cfg.force and not any(summary.values()):
             store.commit({}, "staged_reused", deltas={"files": plan["deltas"]["files"]})
             return summary | {"build": build, "status": "staged_reused"}
@@ -308,15 +317,19 @@ def incremental_build(spark: SparkSession, cfg: BuildConfig) -> dict:
         deltas, meta = {}, {}
         if not first and not cfg.force:
             deltas, tables = dict(plan["deltas"]), {}
-        if cfg.index_format == 2 and store.get_meta("index") and not first and not cfg.force:
-            mine = lambda versions: versions.join(plan["touched"], "package_id", "left_semi")
-            was = store.read("versions", VERSIONS, plan["buckets"]["versions"])
-            more, small, meta = index_deltas(store, work, mine(was), mine(plan["versions"]), plan["touched"], build)
+        moved = None if plan["moved"] is None else work.table(plan["moved"], "moved-values")
+        if moved is not None:
+            deltas["values"] = (moved.where("n > 0").drop("sign"), moved.where("n = 0"))
+        everything = store.read("versions", VERSIONS, [k for k in range(store.buckets) if k not in plan["buckets"]["versions"]]).unionByName(plan["versions"])
+        if not first and moved is None:  # forced, or a state without the table
+            tables["values"], touched["values"] = counted.count_holdings(counted.holdings(everything, V2_VALUES)), None
+        if cfg.index_format == 2 and store.get_meta("index") and moved is not None:
+            after = plan["versions"].join(plan["touched"], "package_id", "left_semi")
+            more, small, meta = index_deltas(store, work, after, plan["touched"], moved, build)
             deltas |= more
             tables |= small
         elif cfg.index_format:
-            untouched = store.read("versions", VERSIONS, [k for k in range(store.buckets) if k not in plan["buckets"]["versions"]])
-            whole, meta = full_index(untouched.unionByName(plan["versions"]), cfg.index_format, build)
+            whole, meta = full_index(everything, cfg.index_format, build)
             tables |= whole
         store.commit(tables, "staged", touched, deltas, staged=build, format=cfg.index_format, **meta)
         return summary | {"build": build, "status": "staged"}
@@ -400,6 +413,24 @@ def package_files(spark: SparkSession, cfg: BuildConfig, packages: DataFrame, bu
     return mine.join(held, "version_dir", "left").select(*columns, F.coalesce("files", none).alias("files"))
 
 
+def package_rollups(spark: SparkSession, cfg: BuildConfig, packages: DataFrame, build_id: int | None = None) -> DataFrame:
+    """package_id, version_dir, package_version, channel of the latest version of some packages, and all values that any of
+    their versions holds, a sorted array for each attribute.
+
+    Only the buckets of these packages are read, values from their counts.  Packages that are null, unknown or named twice
+    add no rows.
+    """
+    store = st.StateStore(spark, cfg.state, cfg.buckets)
+    tables = None if build_id is None else store.tables_of(build_id)
+    wanted = packages.select("package_id").where("package_id IS NOT NULL").distinct()
+    buckets = store.buckets_of(wanted, "package_id")
+    columns = ["package_id", "version_dir", "package_version", "channel"]
+    latest = rollup.latest_version(store.read("versions", VERSIONS, buckets, tables=tables).select(*columns).join(wanted, "package_id", "left_semi"))
+    names = [*V2_VALUES]
+    values = counted.rollup_counted(store.read("values", VALUES, buckets, tables=tables).join(wanted, "package_id", "left_semi"), names)
+    return latest.join(values, "package_id", "left").withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in names})
+
+
 def plan_publish(spark: SparkSession, cfg: BuildConfig, build_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(wanted, actions, versions, packages) for publishing the current or a chosen build."""
     store = st.StateStore(spark, cfg.state, cfg.buckets)

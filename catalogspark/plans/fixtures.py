@@ -58,6 +58,10 @@ select 'o/' || cast(l_orderkey as {S}) owner, l_partkey, l_linenumber from linei
     "attrs": """
 select distinct 'C.' || cast(o_custkey as {S}) package_id, 'c/' || cast(o_custkey as {S}) || '/' || cast(o_orderkey as {S}) version_dir, p_brand brand, p_type type, p_name name
 from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey""",
+    "attrs_prev": """
+select distinct 'C.' || cast(o_custkey + case when o_orderkey % 8 = 3 then 1 else 0 end as {S}) package_id, 'c/' || cast(o_custkey as {S}) || '/' || cast(o_orderkey as {S}) version_dir,
+  case when o_orderkey % 7 = 0 then p_brand || '|old' else p_brand end brand, p_type type, case when p_partkey % 9 = 2 then null else p_name end name
+from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where o_orderkey % 11 <> 0""",
     "claims": """
 select distinct package_id, 'P' || cast(l_partkey as {S}) value, version_dir, package_version, channel
 from (""" + _version("", 0, False).replace("\nselect ", "select o_orderkey, ", 1) + """) v join lineitem on l_orderkey = o_orderkey""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import normalize as nz
 from catalogspark.functions.version import version_key, version_parts
-from catalogspark.operators import conflicts, diff, index, inventory, lookup, records, rollup
+from catalogspark.operators import conflicts, counted, diff, index, inventory, lookup, records, rollup
 from catalogspark.plans.fixtures import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,30 @@ query("a9_children_hash", "child_now", "select version_dir, sha256(string_agg(di
 query("a2_rollup_packages", "ver_now attrs", f"""select l.*, {', '.join(f"coalesce((select list_sort(list(distinct {c})) from attrs a where a.package_id = l.package_id), []) {c}s" for c in ('brand', 'type', 'name'))} from ({LATEST}) l""")(
     lambda v, a: rollup.rollup_packages(v, {f"{c}s": a.select("package_id", F.col(c).alias("value")) for c in ("brand", "type", "name")})
 )
+
+
+def _held(attrs: DataFrame) -> DataFrame:
+    """Holdings out of rows with a value of each attribute."""
+    listed = attrs.groupBy("package_id", "version_dir").agg(*(F.collect_set(c).alias(c) for c in ("brand", "type", "name")))
+    return counted.holdings(listed, {c: c for c in ("brand", "type", "name")})
+
+
+def _moved(now: DataFrame, prev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts of the earlier rows, what moves in them when the versions become the later ones)."""
+    counts = counted.count_holdings(_held(prev))
+    return counts, counted.moved_counts(counts, counted.count_changes(_held(prev), _held(now)))
+
+
+LONG = "select package_id, version_dir, unnest([{{'a': 'brand', 'v': brand}}, {{'a': 'type', 'v': type}}, {{'a': 'name', 'v': name}}], recursive := true) from {t}"
+COUNTS = "select package_id, a attribute, v \"value\", count(distinct version_dir) n from ({l}) where v is not null group by all"
+NOW_COUNTS, PREV_COUNTS = (COUNTS.format(l=LONG.format(t=t)) for t in ("attrs", "attrs_prev"))
+query("u4_value_counts_updated", "attrs attrs_prev", NOW_COUNTS)(lambda n, o: counted.apply_moved(*_moved(n, o)))
+query("a2_moved_values", "attrs attrs_prev", f"""select coalesce(n.package_id, o.package_id) package_id, coalesce(n.attribute, o.attribute) attribute, coalesce(n.value, o.value) "value", coalesce(n.n, 0) n,
+ case when o.n is null then 1 when n.n is null then -1 else 0 end sign from ({NOW_COUNTS}) n full join ({PREV_COUNTS}) o on n.package_id = o.package_id and n.attribute = o.attribute and n.value = o.value
+ where n.n is distinct from o.n""")(lambda n, o: _moved(n, o)[1])
+query("a2_rollup_counted", "attrs attrs_prev", f"""select package_id, {', '.join(f"list_sort(list(distinct {c})) {c}" for c in ('brand', 'type', 'name'))} from attrs group by 1""")(
+    lambda n, o: counted.rollup_counted(counted.apply_moved(*_moved(n, o)), ["brand", "type", "name"])
+)
 query("a7_package_hash", "ver_now", _hash("ver_now"))(rollup.package_hash)
 query("s10_version_data", "ver_now ver_prev", f"""select package_id, list({{'ordinal': ordinal, 'package_version': package_version, 'channel': channel, 'version_dir': version_dir, 'content_sha': content_sha}} order by ordinal) versions
  from (select *, row_number() over (partition by package_id order by {ORDER}) ordinal from ver_now where package_id in ({TOUCHED})) group by 1""")(

@@ -35,8 +35,8 @@ from pyspark.sql.types import StructType
 from catalogspark.sources.files import filesystem
 from catalogspark.sources.lease import Fenced, Lease, Mark, age, delete, read_text, write_text
 
-KEYS = {"files": ["path"], "versions": ["version_dir"], "children": ["version_dir", "child_sha"], "packages": ["package_id"], "published": ["relpath"]}
-BUCKET_BY = {"files": "version_dir", "versions": "package_id", "children": "version_dir", "packages": "package_id", "published": "relpath"}
+KEYS = {"files": ["path"], "versions": ["version_dir"], "children": ["version_dir", "child_sha"], "packages": ["package_id"], "values": ["package_id", "attribute", "value"], "published": ["relpath"]}
+BUCKET_BY = {"files": "version_dir", "versions": "package_id", "children": "version_dir", "packages": "package_id", "values": "package_id", "published": "relpath"}
 
 
 EVENT = "struct<build_id: long, started: long, finished: long, status: string, error: string>"
@@ -91,6 +91,10 @@ class StateStore:
                 return pointer["tables"]
         raise ValueError(f"build {build} was never staged")
 
+    def holds(self, name: str) -> bool:
+        """Whether the current snapshot has the table, be it empty."""
+        return name in self.current()["tables"]
+
     def bucket(self, column: str) -> F.Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
