@@ -81,5 +81,10 @@ def test_a_build_moves_counts_of_changed_versions_only(spark, tmp_path):
     full = bd.BuildConfig(**{**cfg.__dict__, "state": cfg.state + "2"})
     bd.incremental_build(spark, full)
     assert now == {(r.package_id, r.attribute, r.value): r.n for r in st.StateStore(spark, full.state).read("values", bd.VALUES).collect()}
+    store._move(tables={n: t for n, t in store.current()["tables"].items() if n != "values"})  # a state from before there was the table
+    write(corpus, "Ex.P2", "2.0", d="2.2.0", items=(("x64", "AB", "late"),))
+    bd.incremental_build(spark, cfg)
+    late = {k: n for k, n in now.items() if k != ("Ex.P2", "commands", "run2.0")} | {("Ex.P2", "commands", "late"): 1}
+    assert read() == late
     bd.incremental_build(spark, bd.BuildConfig(**{**cfg.__dict__, "force": True}))
-    assert read() == now
+    assert read() == late
