@@ -98,10 +98,16 @@ def apply_changes(prev: DataFrame, computed: DataFrame, compared: DataFrame, key
 
 
 def validation_queue(changes: DataFrame, new_children: DataFrame, old_children: DataFrame, owner: str = "version_dir", child: str = "child_sha") -> DataFrame:
-    """owner, child, reason: children of added records, and children that updated records gained.  One outer join of the children."""
+    """owner, child, reason: children of added records, and children that updated records gained; a null child is none.
+
+    Everything is joined by owner, on lists of its children that are gathered as ``records.children_hash`` gathers them: where
+    both are asked for, Spark shuffles the children once for both.
+    """
     kinds = changes.where(F.col("change_kind").isin("add", "update")).select(owner, "change_kind")
-    gained = new_children.select(owner, child).distinct().join(old_children.select(owner, child).withColumn("_had", F.lit(True)).distinct(), [owner, child], "left")
-    rows = gained.join(kinds, owner).where((F.col("change_kind") == "add") | F.col("_had").isNull())
+    listed = lambda rows, name: rows.select(owner, child).groupBy(owner).agg(F.collect_set(child).alias(name))
+    joined = listed(new_children, "_now").join(kinds, owner).join(listed(old_children, "_had"), owner, "left")
+    gained = F.when((F.col("change_kind") == "add") | F.col("_had").isNull(), F.col("_now")).otherwise(F.array_except("_now", "_had"))
+    rows = joined.select(owner, "change_kind", F.explode(gained).alias(child))
     return rows.select(owner, child, F.when(F.col("change_kind") == "add", "added").otherwise("installer-changed").alias("reason"))
 
 

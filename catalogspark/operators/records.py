@@ -179,7 +179,8 @@ def child_records(records: DataFrame) -> DataFrame:
 
 def children_hash(children: DataFrame, owner: str = "version_dir", child: str = "child_sha") -> DataFrame:
     """owner, children_sha: one hash over the sorted distinct children of each owner."""
-    return children.select(owner, child).distinct().groupBy(owner).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(child)), ""), 256).alias("children_sha"))
+    listed = children.select(owner, child).groupBy(owner).agg(F.collect_set(child).alias("_children"))
+    return listed.select(owner, F.sha2(F.array_join(F.array_sort("_children"), ""), 256).alias("children_sha"))
 
 
 def project_index(records: DataFrame, ascii_only: bool = False) -> DataFrame:
