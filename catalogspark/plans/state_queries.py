@@ -17,7 +17,7 @@ from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
 from catalogspark.sources.lease import Fenced
 from catalogspark.sources.listing import list_files
-from catalogspark.sources.scratch import new_path
+from catalogspark.sources.scratch import new_path, written
 from catalogspark.sources.site import Site
 
 
@@ -133,15 +133,15 @@ def _(n, o):
 def _(a):
     """A dictionary and its bridge over other pairs, brought to those of today by what was gained and lost, joined back to values."""
     store, owners = _store(a), index.dictionary(a, "package_id").withColumnRenamed("id", "package")
-    now = a.join(owners, "package_id").select("package", F.col("brand").alias("value"))
+    now = written(a.join(owners, "package_id").select("package", F.col("brand").alias("value")).distinct(), "pairs")  # the view is worked out twice, not for every table
     part = F.pmod(F.xxhash64("package", "value"), F.lit(5))
     before = now.where(part != 0).unionByName(now.where(part == 1).withColumn("value", F.concat(F.lit("old "), F.col("value"))))
     words = index.dictionary(before, "value")
-    bridge = index.map_table(before, "package", "value", words)
+    bridge = written(index.map_table(before, "package", "value", words), "bridge")
     store.begin()
     store.commit({"index_tags2": index.counted(words, bridge), "index_tags2_map": bridge})
     held = store.read("index_tags2", "value string, id long, n long")
-    made = index.update_words(held, index.changed_pairs(before, now), held.agg(F.max("id")).first()[0] + 1)
+    made = index.update_words(held, written(index.changed_pairs(before, now), "changed-pairs"), held.agg(F.max("id")).first()[0] + 1)
     store.begin()
     store.commit({}, deltas={"index_tags2": (made["words"], made["words_gone"]), "index_tags2_map": (made["bridge"], made["bridge_gone"])})
     pairs = index.index_lookup(store.read("index_tags2", "value string, id long"), store.read("index_tags2_map", "package long, id long"), "value", "package")
