@@ -1,8 +1,11 @@
 """The composite jobs run no further than a query needs, and their corpus is written and listed by few jobs of many tasks."""
 
+from pyspark.sql import functions as F
+
 from catalogspark.plans import state_queries as sq
 from catalogspark.sources import files as fl
 from catalogspark.sources import state as st
+from catalogspark.sources.listing import write_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +37,26 @@ def test_listing_starts_few_tasks(spark, tmp_path):
     tracker = spark.sparkContext.statusTracker()
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) <= fl.LISTING_TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "x.yaml").write_text(f"a: {k}")
+    root, most = f"file://{tmp_path}", fl.READING_TASKS * spark.sparkContext.defaultParallelism
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file each, by its cost
+    try:
+        listed = fl.scan_files(spark, root)
+        seen = fl.read_chosen(spark, root, listed, lambda c: c.select("path", F.col("content").cast("string").alias("text")), f"{root}-out")
+        assert listed.rdd.getNumPartitions() <= most and len(seen.inputFiles()) <= most
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert {(r.path, r.text) for r in seen.collect()} == {(f"d{k}/x.yaml", f"a: {k}") for k in range(60)}
+
+
+def test_files_are_written_once_whatever_runs_again(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p={k % 3}/v=1/f{k}.yaml", f"größe: {k}\n") for k in range(9)], "path string, content string")
+    assert [write_files(rows, f"file://{tmp_path}/c") for _ in range(2)] == [9, 9]
+    assert {p.relative_to(tmp_path / "c").as_posix(): p.read_text() for p in tmp_path.glob("c/**/*.yaml")} == {r.path: r.content for r in rows.collect()}
+    assert write_files(rows.limit(0), f"file://{tmp_path}/none") == 0
