@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,22 @@ def dirty_groups(now: DataFrame, prev: DataFrame) -> DataFrame:
     return changed.select(F.explode(F.array_distinct(F.array_compact(F.array("version_dir", "_dir")))).alias("version_dir")).distinct()
 
 
+def packed(child: Column) -> Column:
+    """Bytes for a text: of one in lower-case hexadecimal, as hashes are, half as many; told apart by the first byte."""
+    short = F.unhex(child)
+    return F.when(F.lower(F.hex(short)) == child, F.concat(F.lit(b"\x01"), short)).otherwise(F.concat(F.lit(b"\x00"), child.cast("binary")))
+
+
+def unpacked(data: Column) -> Column:
+    rest = F.substring(data, F.lit(2), F.length(data))
+    return F.when(F.substring(data, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def gathered(children: DataFrame, owner: str, child: str, name: str) -> DataFrame:
+    """owner, name: the packed distinct children of each owner."""
+    return children.select(owner, packed(F.col(child)).alias(child)).groupBy(owner).agg(F.collect_set(child).alias(name))
+
+
 def diff_records(new: DataFrame, old: DataFrame, key: str, compare: list[str]) -> DataFrame:
     """key, change_kind (add, update, remove, noop), new_<c> and old_<c> for the compared columns."""
     a = new.select(key, F.lit(True).alias("_n"), *(F.col(c).alias(f"new_{c}") for c in compare))
@@ -100,15 +116,15 @@ def apply_changes(prev: DataFrame, computed: DataFrame, compared: DataFrame, key
 def validation_queue(changes: DataFrame, new_children: DataFrame, old_children: DataFrame, owner: str = "version_dir", child: str = "child_sha") -> DataFrame:
     """owner, child, reason: children of added records, and children that updated records gained; a null child is none.
 
-    Everything is joined by owner, on lists of its children that are gathered as ``records.children_hash`` gathers them: where
-    both are asked for, Spark shuffles the children once for both.
+    Everything is joined by owner, on lists of its packed children that are gathered as ``records.children_hash`` gathers
+    them: where both are asked for, Spark shuffles the children once for both.
     """
     kinds = changes.where(F.col("change_kind").isin("add", "update")).select(owner, "change_kind")
-    listed = lambda rows, name: rows.select(owner, child).groupBy(owner).agg(F.collect_set(child).alias(name))
+    listed = lambda rows, name: gathered(rows, owner, child, name)
     joined = listed(new_children, "_now").join(kinds, owner).join(listed(old_children, "_had"), owner, "left")
     gained = F.when((F.col("change_kind") == "add") | F.col("_had").isNull(), F.col("_now")).otherwise(F.array_except("_now", "_had"))
     rows = joined.select(owner, "change_kind", F.explode(gained).alias(child))
-    return rows.select(owner, child, F.when(F.col("change_kind") == "add", "added").otherwise("installer-changed").alias("reason"))
+    return rows.select(owner, unpacked(F.col(child)).alias(child), F.when(F.col("change_kind") == "add", "added").otherwise("installer-changed").alias("reason"))
 
 
 def queue_order(queue: DataFrame, *columns: str) -> DataFrame:

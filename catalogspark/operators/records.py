@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.functions import normalize as nz
+from catalogspark.operators import diff
 from catalogspark.sources.fragments import canonical, dump
 
 # Fields every fragment has; root fields that describe and do not identify a child.
@@ -179,8 +180,8 @@ def child_records(records: DataFrame) -> DataFrame:
 
 def children_hash(children: DataFrame, owner: str = "version_dir", child: str = "child_sha") -> DataFrame:
     """owner, children_sha: one hash over the sorted distinct children of each owner."""
-    listed = children.select(owner, child).groupBy(owner).agg(F.collect_set(child).alias("_children"))
-    return listed.select(owner, F.sha2(F.array_join(F.array_sort("_children"), ""), 256).alias("children_sha"))
+    listed = diff.gathered(children, owner, child, "_children")
+    return listed.select(owner, F.sha2(F.array_join(F.array_sort(F.transform("_children", diff.unpacked)), ""), 256).alias("children_sha"))
 
 
 def project_index(records: DataFrame, ascii_only: bool = False) -> DataFrame:
