@@ -88,3 +88,11 @@ def test_a_build_moves_counts_of_changed_versions_only(spark, tmp_path):
     assert read() == late
     bd.incremental_build(spark, bd.BuildConfig(**{**cfg.__dict__, "force": True}))
     assert read() == late
+
+
+def test_changes_are_applied_without_a_join(spark):
+    was, now = (counted.holdings(frame(spark, v), NAMES) for v in ({"v": ("P", ["a", "b"], None), "w": ("P", ["b"], ["c"])}, {"v": ("P", ["b", "d"], None), "w": ("Q", ["b"], [])}))
+    made = counted.apply_changes(counted.count_holdings(was), counted.count_changes(was, now))
+    assert rows(made) == rows(counted.count_holdings(now)) and "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="taken back"):
+        counted.apply_changes(counted.count_holdings(now), counted.count_changes(was, now)).collect()
