@@ -22,16 +22,19 @@ def find_conflicts(children: DataFrame) -> DataFrame:
     return winners(children, "strip-all").select("package_id", "value", "claimants")
 
 
-def _marked(children: DataFrame, strategy: str) -> DataFrame:
-    """Rows with a value, with ``_keeper`` (null under strip-all) and ``_fought``: whether several versions claim the value.
+def _marked(children: DataFrame, strategy: str, alone: Column | None = None) -> DataFrame:
+    """Rows with ``_keeper`` (null under strip-all) and ``_fought``: whether several versions claim the value.
 
-    One shuffle and one sort by package and value serve both windows; sort keys of versions are worked out for fought values only.
+    Rows that are ``alone`` go through unfought, dealt by their versions, however many share a null.  One shuffle and one sort by package and value serve both windows; sort keys of versions are worked out for fought values only.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    group, owner = Window.partitionBy("package_id", "value"), F.struct(*_OWNER)
-    rows = children.where("value IS NOT NULL").withColumns({"_least": F.min(owner).over(group), "_most": F.max(owner).over(group)})
-    rows = rows.withColumn("_fought", ~F.col("_least").eqNullSafe(F.col("_most"))).drop("_least", "_most")
+    group, owner, rows = Window.partitionBy("package_id", "value"), F.struct(*_OWNER), children
+    if alone is not None:
+        group, rows = Window.partitionBy("package_id", "value", "_apart"), rows.withColumn("_apart", F.when(alone, F.xxhash64(*_OWNER)))
+    rows = rows.withColumns({"_least": F.min(owner).over(group), "_most": F.max(owner).over(group)})
+    fought = ~F.col("_least").eqNullSafe(F.col("_most"))
+    rows = rows.withColumn("_fought", fought if alone is None else fought & ~alone).drop("_least", "_most")
     key = F.when(F.col("_fought"), F.struct(version_key(F.col("package_version")).alias("v"), F.col("channel"), F.col("version_dir")))
     if strategy == "strip-all":
         return rows.withColumn("_keeper", F.lit(None).cast(_KEEPER))
@@ -44,7 +47,7 @@ def _marked(children: DataFrame, strategy: str) -> DataFrame:
 
 def _contenders(children: DataFrame, strategy: str) -> DataFrame:
     """Distinct claims to the values that several versions claim, with ``_keeper``."""
-    return _marked(children.select("package_id", "value", *_OWNER), strategy).where("_fought").drop("_fought").distinct()
+    return _marked(children.select("package_id", "value", *_OWNER).where("value IS NOT NULL"), strategy).where("_fought").drop("_fought").distinct()
 
 
 def winners(children: DataFrame, strategy: str) -> DataFrame:
@@ -63,11 +66,10 @@ def losing_claims(children: DataFrame, strategy: str) -> DataFrame:
 
 
 def resolve_conflicts(children: DataFrame, strategy: str = "latest") -> DataFrame:
-    """Rows of ``children`` without the losing claims: one shuffle, no join."""
-    known = F.col("package_id").isNotNull() & F.col("value").isNotNull()
-    marked = _marked(children.where(known), strategy)
+    """Rows of ``children`` without the losing claims: one pass over them, one shuffle, no join."""
+    marked = _marked(children, strategy, alone=F.col("package_id").isNull() | F.col("value").isNull())
     kept = marked.where(~F.col("_fought") | F.coalesce(F.col("_keeper.version_dir") == F.col("version_dir"), F.lit(False)))
-    return kept.select(*children.columns).unionByName(children.where(~known))
+    return kept.select(*children.columns)
 
 
 def _label(version, channel):

@@ -185,9 +185,17 @@ CLAIMED = "select package_id, value, count(*) claimants from claims group by 1,
 KEY = f"{{'v': {NUM}, 'c': channel, 'd': version_dir}}"
 LABEL = "case when channel = '' then package_version else package_version || ' [' || channel || ']' end"
 WON = f"select *, row_number() over (partition by package_id, value order by {NUM} {{d}}, channel {{d}}, version_dir {{d}}) rn, count(*) over (partition by package_id, value) n from claims"
+
+
+def _distinct_claims(rows: DataFrame) -> DataFrame:
+    """Distinct rows, dealt as conflicts are found: Spark then shuffles them once for both."""
+    return rows.repartition("package_id", "value").distinct()
+
+
 query("a3_find_conflicts", "claims", CLAIMED)(conflicts.find_conflicts)
 for _name, _d, _keep in (("latest", "desc", "n = 1 or rn = 1"), ("oldest", "", "n = 1 or rn = 1"), ("strip-all", "", "n = 1")):
-    query(f"w4_resolve_{_name.replace('-', '_')}", "claims", f"select package_id, value, version_dir, package_version, channel from ({WON.format(d=_d)}) where {_keep}")(lambda c, s=_name: conflicts.resolve_conflicts(c, s))
+    query(f"w4_resolve_{_name.replace('-', '_')}", "claims_rows", None)(lambda c, s=_name: conflicts.resolve_conflicts(_distinct_claims(c), s))
+    sql_on(f"w4_resolve_{_name.replace('-', '_')}", "claims", f"select package_id, value, version_dir, package_version, channel from ({WON.format(d=_d)}) where {_keep}")
 query("w3_conflict_winners", "claims", f"select package_id, value, n claimants, {{'version_dir': version_dir, 'package_version': package_version, 'channel': channel}} keeper from ({WON.format(d='desc')}) where n > 1 and rn = 1")(lambda c: conflicts.winners(c, "latest"))
 query("w5_conflict_report", "claims", f"select package_id, value, max(case when rn = 1 then {LABEL} end) retained, string_agg(case when rn > 1 then {LABEL} end, ', ' order by {LABEL}) stripped from ({WON.format(d='desc')}) where n > 1 group by 1, 2")(conflicts.conflict_report)
 
