@@ -1,10 +1,18 @@
 """The composite jobs run no further than a query needs, and their corpus is written and listed by few jobs of many tasks."""
 
+import threading
+import time
+
+import pytest
+import yaml
 from pyspark.sql import functions as F
 
+from catalogspark.plans import build as bd
 from catalogspark.plans import state_queries as sq
 from catalogspark.sources import files as fl
+from catalogspark.sources import fragments as fr
 from catalogspark.sources import state as st
+from catalogspark.sources.scratch import together
 from catalogspark.sources.listing import write_files
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +68,83 @@ def test_files_are_written_once_whatever_runs_again(spark, tmp_path):
     assert [write_files(rows, f"file://{tmp_path}/c") for _ in range(2)] == [9, 9]
     assert {p.relative_to(tmp_path / "c").as_posix(): p.read_text() for p in tmp_path.glob("c/**/*.yaml")} == {r.path: r.content for r in rows.collect()}
     assert write_files(rows.limit(0), f"file://{tmp_path}/none") == 0
+
+
+def test_names_of_chosen_files_are_no_calls_each(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"f{k},a b.yaml").write_text(f"a: {k}")
+    files = [f"file://{tmp_path}/f{k},a b.yaml" for k in range(300)]
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    was = client.send_command
+    client.send_command = lambda command, *a, **k: calls.append(command[:2]) or was(command, *a, **k)
+    try:
+        opened = fl._open_files(spark, files)
+    finally:
+        client.send_command = was
+    assert 0 < sum(c in ("c\n", "l\n") for c in calls) < 100  # others free what went before
+    assert sorted(int(r.t) for r in opened.select(F.substring(F.col("content").cast("string"), 4, 9).alias("t")).collect()) == list(range(300))
+
+
+TEXTS = ("a: 1", "a: [1, {b: 'x''y', c: \"u\\n\"}]\nPackageVersion: 1.10", "a: [x\nb: 1", "a: 1\na: 2", "a: b: c", "a: {b:c}", "a: x\n  y\nb:\n- 1\n-  c: ~", "a: [u?v]", "a: &x 1\nb: *x", "a: \t1", "größe: 1", "a: 1\n---\nb: 2", "")
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_plain_texts_are_parsed_alike_and_fast(text):
+    slow, fast = fr.loader(), fr.fast_loader()
+    assert fr.parse("d/f", text.encode(), slow, fast) == fr.parse("d/f", text.encode(), slow)
+
+
+def test_plain_texts_take_the_fast_parser():
+    class Never:
+        def __init__(self, _):
+            raise AssertionError("not for this text")
+
+    assert yaml.__with_libyaml__ and fr.tree_of(b"a: [1, {b: c}]\n", Never, fr.fast_loader()) == {"a": [1, {"b": "c"}]}
+
+
+def test_steps_run_together_and_end_before_an_error(spark):
+    meet, ended = threading.Barrier(2, timeout=20), []
+
+    def met(k):
+        meet.wait()
+        return k
+
+    assert together(spark, [lambda: met(1), lambda: met(2)]) == [1, 2]
+
+    def late():
+        time.sleep(0.5)
+        ended.append(1)
+
+    with pytest.raises(ZeroDivisionError):
+        together(spark, [lambda: 1 // 0, late])
+    assert ended == [1]
+
+
+def test_tables_of_a_commit_are_written_together(spark, tmp_path, monkeypatch):
+    """The first and the second commit of a build: every table waits for another one to be under way."""
+    meet, was = threading.Barrier(2, timeout=60), st.StateStore._written
+
+    def written(self, rows, path):
+        if not path.endswith(("-segments", "-merged")):
+            meet.wait()
+        return was(self, rows, path)
+
+    store = st.StateStore(spark, f"file://{tmp_path}/s", buckets=2)
+    rows = spark.createDataFrame([("d", "p", "1")], "version_dir string, package_id string, path string")
+    monkeypatch.setattr(st.StateStore, "_written", written)
+    store.begin()
+    store.commit({"versions": rows.drop("path"), "files": rows.drop("package_id")})
+    more = spark.createDataFrame([("e", "p", "2")], rows.schema)
+    store.begin()
+    store.commit({}, deltas={"versions": (more.drop("path"), rows.drop("path").limit(0)), "files": (more.drop("package_id"), rows.drop("package_id").limit(0))})
+    assert store.read("versions", "version_dir string").count() == 2 and store.read("files", "path string").count() == 2
+
+
+def test_a_first_build_works_out_no_changed_rows(spark, tmp_path, monkeypatch):
+    """What only later builds write (changed rows, moved counts, rows of other packages) isn't planned by the first one."""
+    seen = []
+    was = bd._packages
+    monkeypatch.setattr(bd, "_packages", lambda rows: seen.append(1) or was(rows))
+    jobs = sq._Jobs(spark, SF)
+    jobs.upto("b3")
+    assert seen == [1]
