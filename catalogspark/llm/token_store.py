@@ -10,9 +10,10 @@ Layout of a store (a folder in any store that Spark writes):
 
 A rolling hash over the last 16 ids cuts each document's id stream, so that an edit changes the chunks around it and
 no others.  With the tokenizer whose normaliser and pre-tokenizer are named below (``WORD_WISE``) documents are encoded
-word by word: white space is dropped and no token crosses it, so a word's ids do not depend on its neighbours, and each
-distinct word of a slice is encoded once; words count as equal if a 64-bit hash, the length and the first and last
-eight bytes are.  Any other tokenizer encodes whole texts.
+word by word: white space is dropped and no token crosses it, nor the edge between letters and punctuation, so a word's
+ids do not depend on its neighbours, and each distinct word of a slice is encoded once; words count as equal if a 64-bit
+hash, the length and the first and last eight bytes are.  Any other tokenizer, and a slice that holds a token added to
+the vocabulary (in whatever case), encodes whole texts.
 
 Reading back recomputes every chunk's sha256, every document's root from its recipe and every manifest node; a
 difference stops the job.  ``read_documents`` joins ids to documents; ``digests`` needs only each chunk's length and
@@ -54,8 +55,13 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _SHIFT = np.array([0, *(64 - 8 * n for n in range(1, 9))], U)
+# Punctuation that ends a run of letters; a hyphen stays inside, so that compounds are words.
 _STOP = np.zeros(256, bool)
-_STOP[[33, 44, 46, 58, 59, 63]] = True  # ! , . : ; ?
+_STOP[[*b"!\"#$%&'()*+,./:;<=>?@[\\]^_`{|}~"]] = True
+# Second bytes of the letters of Latin-1 (after 0xC3): they compose with nothing that is ASCII, and lower to one letter.
+_LATIN = np.zeros(256, bool)
+_LATIN[128:192] = True
+_LATIN[[0x97, 0xB7]] = False  # the signs of multiplication and division
 
 
 # Settings of the tokenizer that may be taken word by word.
@@ -95,12 +101,19 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tool = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.width = id_width(self.tool)
         settings = json.loads(self.tool.to_str())
         model = settings["model"]
         self.by_word = all(settings.get(k) == v for k, v in WORD_WISE.items()) and model["type"] == "BPE" and not model.get("dropout")
+        self.by_word = self.by_word and not any(t["normalized"] for t in settings["added_tokens"])
+        self.added = [t["content"].encode().lower() for t in settings["added_tokens"]]
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words: their hashes in order, their marks, where in ``flat`` their ids begin, and how many there are."""
+        self.keys, self.marks = np.zeros(0, U), np.zeros(0, U)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, f"<u{self.width}")
 
     def encode_whole(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, by the tokenizer on whole texts."""
@@ -109,83 +122,121 @@ class WordEncoder:
         ids = [[*e.ids, end_id] for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), f"<u{self.width}"), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
 
-    def _known(self, words: list[bytes]) -> list[bytes | None]:
-        """Ids of the words seen lately.  Of two generations the older goes when the newer is full; words in use move on."""
-        out = [*map(self.ids.get, words)]
-        old = self.older
-        if old:
-            for i, x in enumerate(out):
-                if x is None and (x := old.get(words[i])) is not None:
-                    out[i] = self.ids[words[i]] = x
-        return out
-
-    def _fill(self, words: list[bytes]) -> None:
-        if len(self.ids) + len(words) > WORDS_KEPT // 2:
-            self.older, self.ids = self.ids, {}
-        text = [w.decode() for w in words]
-        bpe = self.tool.model.tokenize
-        ids = [[x.id for x in bpe(piece)] if (piece := plain_piece(t)) else None for t in text]
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, e in zip(rest, self.tool.encode_batch_fast([text[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
-        raw = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
-        ends = (self.width * np.cumsum([len(x) for x in ids])).tolist()
-        at = 0
-        for w, end in zip(words, ends, strict=True):
-            self.ids[w] = raw[at:end]
-            at = end
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some words in any order, and where in them each word's begin and how many there are."""
+        other = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+        letters = other[ends] == other[starts]
+        here, there = np.flatnonzero(letters), np.flatnonzero(~letters)
+        raw = data.tobytes()
+        words = [raw[s:e].decode() for s, e in zip(starts[there].tolist(), ends[there].tolist(), strict=True)]
+        pieces = [*map(plain_piece, words)]
+        plain = [i for i, p in enumerate(pieces) if p is not None]
+        rest = [i for i, p in enumerate(pieces) if p is None]
+        ids, count, bpe = [], [], self.tool.model.tokenize
+        for piece in chain(joined(data, starts[here], ends[here]).split(), (pieces[i] for i in plain)):
+            tokens = bpe(piece)
+            count.append(len(tokens))
+            ids += [x.id for x in tokens]
+        for e in self.tool.encode_batch_fast([words[i] for i in rest], add_special_tokens=False):
+            count.append(len(e.ids))
+            ids += e.ids
+        order = np.concatenate([here, there[plain], there[rest]]).astype(np.int64)
+        begin, size = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        size[order] = count
+        begin[order] = np.cumsum(count) - count
+        return np.array(ids, self.flat.dtype), begin, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice with the end id after each document, and where each document's ids begin."""
         if not self.by_word:
             return self.encode_whole(data, offsets, end_id)
-        docs = len(offsets) - 1
-        starts, ends, first = _units(data, offsets)
-        h = word_hashes(data, starts, ends)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        if not same_words(data, starts, ends, at, which):
+        low = _FOLD[data]
+        raw = low.tobytes()
+        if any(token in raw for token in self.added):
             return self.encode_whole(data, offsets, end_id)
-        raw = data.tobytes()
-        names = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        parts = self._known(names)
-        missing = [i for i, p in enumerate(parts) if p is None]
-        if missing:
-            self._fill([names[i] for i in missing])
-            for i in missing:
-                parts[i] = self.ids[names[i]]
-        parts.append(end_id.to_bytes(self.width, "little"))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
-        begin = np.concatenate([[0], np.cumsum(size)])
-        order = np.insert(which, first[1:], len(parts) - 1) if len(which) else np.full(docs, len(parts) - 1)
+        starts, ends, first = _units(low, offsets)
+        h = word_hashes(low, starts, ends)
+        at, which = distinct(h)
+        if not same_words(low, starts, ends, at, which):
+            return self.encode_whole(data, offsets, end_id)
+        if len(self.keys) + len(at) > WORDS_KEPT:
+            self._forget()
+        rank = np.argsort(h[at])
+        at = at[rank]
+        keys, marks = h[at], word_marks(low, starts[at], ends[at])
+        near = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inner = near < len(self.keys)
+        known[inner] = self.keys[near[inner]] == keys[inner]
+        if (self.marks[near[known]] != marks[known]).any():
+            return self.encode_whole(data, offsets, end_id)
+        begin, size = np.empty(len(keys) + 1, np.int64), np.empty(len(keys) + 1, np.int64)
+        begin[:-1][known], size[:-1][known] = self.begin[near[known]], self.size[near[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            flat, begins, size[new] = self._encoded(low, starts[at[new]], ends[at[new]])
+            begin[new] = begins + len(self.flat)
+            self.flat = np.concatenate([self.flat, flat])
+            self.begin, self.size = np.insert(self.begin, near[new], begin[new]), np.insert(self.size, near[new], size[new])
+            self.keys, self.marks = np.insert(self.keys, near[new], keys[new]), np.insert(self.marks, near[new], marks[new])
+        flat = np.append(self.flat, np.array(end_id, self.flat.dtype))
+        begin[-1], size[-1] = len(self.flat), 1
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        order = np.insert(place[which], first[1:], len(rank))
         length = size[order]
         out_at = np.concatenate([[0], np.cumsum(length)])
-        flat = np.frombuffer(b"".join(parts), f"<u{self.width}")
         take = np.arange(out_at[-1]) + np.repeat(begin[order] - out_at[:-1], length)
-        return flat[take], out_at[first + np.arange(docs + 1)]
+        return flat[take], out_at[first + np.arange(len(offsets))]
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """Words of ASCII letters with a space after each."""
+    size = ends - starts + 1
+    out_at = np.cumsum(size)
+    text = np.append(data, np.uint8(0))[np.arange(size.sum()) + np.repeat(starts - out_at + size, size)]
+    text[out_at - 1] = 32
+    return text.tobytes().decode("ascii")
 
 
 def id_width(tool) -> int:
     return 2 if tool.get_vocab_size(with_added_tokens=True) <= 65536 else 4
 
 
-def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, which: np.ndarray) -> bool:
-    """Whether every word has the length and the first and last eight bytes of the word that stands for its hash."""
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct hash stands first, in that order, and for every hash which of them it is."""
+    coded = pa.array(h).dictionary_encode()
+    which = coded.indices.to_numpy()
+    at = np.zeros(len(coded.dictionary), np.int64)
+    at[which[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return at, which
+
+
+def word_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Length and the first and last eight bytes of each word."""
     low = np.concatenate([np.zeros(8, np.uint8), _FOLD[data], np.zeros(8, np.uint8)])
     window = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
     size = np.minimum(ends - starts, 8)
-    mark = (window[starts + 8] & _MASK[size]) + (window[ends] >> _SHIFT[size]) * U(0x9E3779B97F4A7C15) + (ends - starts).astype(U)
+    return (window[starts + 8] & _MASK[size]) + (window[ends] >> _SHIFT[size]) * U(0x9E3779B97F4A7C15) + (ends - starts).astype(U)
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, which: np.ndarray) -> bool:
+    """Whether every word has the length and the first and last eight bytes of the word that stands for its hash."""
+    mark = word_marks(data, starts, ends)
     return bool((mark[at][which] == mark).all()) if len(mark) else True
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut at ASCII white space and between an ASCII letter and a stop, where no token can cross."""
+    """Words cut at ASCII white space and between a letter of ASCII or Latin-1 and a stop, where no token can cross."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
     inside = ~_BREAK[data]
     edge = np.zeros(n, bool)  # a new unit begins here although the byte before is inside one
-    edge[1:] = _LETTER[data[:-1]] & _STOP[data[1:]]
+    edge[1:] = _LETTER[data[:-1]]
+    edge[2:] |= _LATIN[data[1:-1]] & (data[:-2] == 0xC3)
+    edge[1:] &= _STOP[data[1:]]
     cut = offsets[(offsets > 0) & (offsets < n)]
     edge[cut] = True
     first, last = inside.copy(), inside.copy()

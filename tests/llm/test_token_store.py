@@ -111,3 +111,34 @@ def test_words_are_compared():
         same = which.copy()
         same[x] = which[y]
         assert not ts.same_words(data, starts, ends, at, same)
+
+
+def test_added_tokens_in_other_case(spark):
+    """They are no such tokens, and words of other case next to them are not equal to them."""
+    rows = [(1, "x <|ENDOFTEXT|> y <|endoftext|> Z"), (2, "<|EndOfText|>"), (3, "plain Words, words")]
+    assert sorted(map(tuple, ts.digests(spark, run(spark, rows)).collect())) == [x[:4] for x in want(rows)]
+
+
+def test_edges_of_letters():
+    """Letters and the punctuation behind them are words of their own; mixed texts give the library's ids."""
+    text = "esí, die&&& die Die*** esí"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = ts._units(data, np.array([0, len(data)]))
+    assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == ["esí", ",", "die", "&&&", "die", "Die", "***", "esí"]
+    tool, enc, rnd = Tokenizer.from_file(PATH), ts.WordEncoder(PATH), random.Random(5)
+    signs = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", *"abSTdr059 \n", "é", "É", "×", "÷", "ß", "İ", "\u0301", "\u0338", "ÿ", "Σ", "ς", "'s", "'LL", "…", "日", "\u00a0", "\u00aa", "K"]
+    for _ in range(30):
+        texts = ["".join(rnd.choices(signs, k=rnd.randrange(60))) for _ in range(80)]
+        raw = [t.encode() for t in texts]
+        ids, bounds = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 2)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*tool.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_words_are_forgotten(monkeypatch):
+    """A cache that fills up again and again changes no ids."""
+    monkeypatch.setattr(ts, "WORDS_KEPT", 50)
+    tool, enc = Tokenizer.from_file(PATH), ts.WordEncoder(PATH)
+    for k in range(20):
+        raw = " ".join(f"word{'abcdefghij'[i % 10]}{'xyz'[k % 3]}" for i in range(k, k + 30)).encode()
+        ids, _ = enc.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 2)
+        assert ids.tolist() == [*tool.encode(raw.decode(), add_special_tokens=False).ids, 2] and len(enc.keys) <= 50
