@@ -7,6 +7,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from catalogspark.operators import records
 from catalogspark.plans import build as bd
 from catalogspark.plans import state_queries as sq
 from catalogspark.sources import files as fl
@@ -148,3 +149,42 @@ def test_a_first_build_works_out_no_changed_rows(spark, tmp_path, monkeypatch):
     jobs = sq._Jobs(spark, SF)
     jobs.upto("b3")
     assert seen == [1]
+
+
+def test_a_first_build_writes_no_copies(spark, tmp_path, monkeypatch):
+    """All files are new and all groups dirty: neither is worked out by joins with a state that is empty, nor written twice."""
+    for group, text in (("p=A/v=1", "PackageIdentifier: A\nPackageVersion: 1\nManifestVersion: 1.1.0\nManifestType: merged\nInstallers:\n- Architecture: x64\n"), ("p=B/v=1", "ManifestType: [")):
+        (tmp_path / "corpus" / group).mkdir(parents=True)
+        (tmp_path / "corpus" / group / "x.yaml").write_text(text)
+    names, was = [], bd.Work.table
+    monkeypatch.setattr(bd.Work, "table", lambda self, df, name: names.append(name) or was(self, df, name))
+    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/corpus", state=f"file://{tmp_path}/state", quarantine=True, index_format=0, buckets=2)
+    got = bd.incremental_build(spark, cfg)
+    assert (got["added"], got["status"]) == (1, "staged")
+    assert not {"fresh", "siblings", "dirty-fragments"} & {*names}
+    assert [r.version_dir for r in st.StateStore(spark, cfg.state).read("versions", bd.VERSIONS).collect()] == ["p=A/v=1"]
+    (tmp_path / "corpus" / "p=B/v=1" / "x.yaml").write_text("PackageIdentifier: B\nPackageVersion: 1\nManifestVersion: 1.1.0\nManifestType: merged\nInstallers:\n- Architecture: x64\n")
+    names.clear()
+    assert bd.incremental_build(spark, cfg)["added"] == 1 and "dirty-fragments" in names
+
+
+def test_groups_are_checked_in_one_shuffle(spark):
+    rows = spark.createDataFrame([("d", "d/x", "x", "version", {"PackageIdentifier": '"A"'}), ("d", "d/y", "y", "installer", {"PackageIdentifier": '"B"'}), ("d", "d/z", "z", "defaultlocale", {})], "version_dir string, path string, file_name string, frag_type string, fields map<string,string>").withColumn("error", F.lit(None).cast("string"))
+    broken = records.check_groups(rows)
+    plan = broken._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange") == 1
+    rules = {r.rule for r in broken.collect()}
+    assert "PackageIdentifier differs" in rules and "PackageVersion differs" not in rules
+
+
+def test_writers_follow_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(sq, "WRITERS", 1)
+    jobs, seen = sq._Jobs(spark, SF), []
+    monkeypatch.setattr(sq, "write_files", lambda rows, root: seen.append(rows.rdd.getNumPartitions()))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "333")
+    try:
+        jobs._add("turn <> 99")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen == [4 * spark.sparkContext.defaultParallelism]
