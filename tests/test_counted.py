@@ -1,6 +1,7 @@
 """Values counted by versions, moved by what changed versions held and hold, against counts from scratch."""
 
 import random
+import re
 
 import pytest
 
@@ -96,3 +97,12 @@ def test_changes_are_applied_without_a_join(spark):
     assert rows(made) == rows(counted.count_holdings(now)) and "Join" not in made._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception, match="taken back"):
         counted.apply_changes(counted.count_holdings(now), counted.count_changes(was, now)).collect()
+
+
+def test_values_are_counted_where_their_packages_rows_are(spark):
+    """Rows are shuffled by package, and neither versions, counts nor rollups are shuffled after that; rows are made distinct there."""
+    from catalogspark.plans.queries import QUERIES
+
+    plan = QUERIES["a2_rollup_counted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)
+    assert [re.sub(r"#\d+L?", "", k) for k in keys if "key" not in k] == ["package_id"] * 3  # the earlier rows twice, of which one is reused
