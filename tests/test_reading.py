@@ -86,3 +86,18 @@ def test_groups_are_checked_and_assembled_in_one_shuffle(spark):
     text = lambda df: df.select("version_dir", "record", "package_id", "source_file_count", F.to_json("child_fields").alias("c"), F.to_json("installers").alias("i"))
     assert same(text(both), text(records.assemble_records(frag)))
     frag.unpersist()
+
+
+def test_a_publishing_is_planned_once(spark, tmp_path, monkeypatch):
+    """What is wanted and what is to do are tables that counting, copying and the commit read; a dry run leaves nothing behind."""
+    cfg = bd.BuildConfig(corpus=f"file://{tmp_path}/c", state=f"file://{tmp_path}/s", index_format=0, buckets=2)
+    write(tmp_path / "c/manifests", "Ex.P", "1.0", d="x")
+    bd.incremental_build(spark, cfg)
+    names, planned, was, plan = [], [], bd.Work.table, bd.inventory.published_inventory
+    monkeypatch.setattr(bd.Work, "table", lambda self, df, name: names.append(name) or was(self, df, name))
+    monkeypatch.setattr(bd.inventory, "published_inventory", lambda *a: planned.append(1) or plan(*a))
+    assert bd.publish(spark, cfg, f"file://{tmp_path}/site", dry_run=True) == {"copy": 3, "status": "dry-run"}
+    assert not [*(tmp_path / "s/work").iterdir()] and not (tmp_path / "site").exists()
+    assert bd.publish(spark, cfg, f"file://{tmp_path}/site") == {"copy": 3, "status": "published"}
+    assert names == ["wanted", "actions"] * 2 and planned == [1, 1]
+    assert bd.verify_published(spark, cfg, f"file://{tmp_path}/site").isEmpty()
